@@ -237,3 +237,55 @@ class Words:
         doc = np.searchsorted(offs, starts + at, "right") - 1
         # empty texts share an offset: searchsorted(right) gives the last, which is the one that holds bytes
         return doc, hashed(starts, ends), starts + at, ends + at, lambda k: hashed(starts, np.minimum(starts + k, ends))
+
+
+# ---------------------------------------------------------------- packed rows
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one byte string: a header of dtype codes and lengths, then the values."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (_CODES[a.dtype.str], len(a)))], np.int32)
+    return head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+_CODES = {np.dtype(t).str: i for i, t in enumerate((np.uint8, np.uint16, np.uint32, np.uint64, np.int32, np.int64, np.float32, np.float64))}
+_TYPES = [np.dtype(s) for s in _CODES]
+
+
+def unpack(buf) -> list[np.ndarray]:
+    n = int(np.frombuffer(buf, np.int32, 1)[0])
+    head = np.frombuffer(buf, np.int32, 2 * n, 4)
+    at, out = 4 + 8 * n, []
+    for code, size in head.reshape(-1, 2):
+        t = _TYPES[code]
+        out.append(np.frombuffer(buf, t, size, at))
+        at += t.itemsize * int(size)
+    return out
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the smallest unsigned type that holds them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def pack_sorted(x: np.ndarray) -> np.ndarray:
+    """Sorted unsigned values as differences, the first against zero, in a narrow type."""
+    return narrow(np.diff(x, prepend=x.dtype.type(0))) if len(x) else x.astype(np.uint8)
+
+
+def unpack_sorted(d: np.ndarray) -> np.ndarray:
+    return np.cumsum(d, dtype=U64)
+
+
+def rows_of(batches):
+    """All rows of a partition of Arrow batches as lists of Python values, binary columns as buffers."""
+    for b in batches:
+        cols = [([v.as_buffer() for v in c] if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c.to_pylist()) for c in b.columns]
+        yield from zip(*cols)
+
+
+def block_id(nth: int) -> int:
+    """A number for the nth batch of this task: the same when the task runs again over the same split."""
+    from pyspark import TaskContext
+
+    ctx = TaskContext.get()
+    return ((ctx.partitionId() if ctx else 0) << 24) | nth
