@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from .language import op6
+from .ngram_join import op9
 from .quality import op10
+from .suffix_dedup import op4
 from .toxicity import op7
 
 
@@ -19,8 +21,10 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _shipped(f)
     for name, f in {
+        "op4_suffix_dedup": op4,
         "op6_language_id": op6,
         "op7_toxicity": op7,
+        "op9_ngram_join": op9,
         "op10_quality": op10,
     }.items()
 }
