@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from .language import op6
+from .lm_scoring import op1
 from .ngram_join import op9
 from .quality import op10
 from .suffix_dedup import op4
@@ -21,6 +22,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _shipped(f)
     for name, f in {
+        "op1_lm_scoring": op1,
         "op4_suffix_dedup": op4,
         "op6_language_id": op6,
         "op7_toxicity": op7,
