@@ -7,9 +7,9 @@ Item-sized windows are embedded by several independent walks, and repeated sampl
 embedding serve as hash keys: a window that shares a key with an item is compared exactly (bit-parallel edit distance
 over the stretch around the window).  Sampling repeats until strings at the limit are met with the target recall.
 
-Windows are laid only where they can matter: a text within D edits of an item holds one of D + 1 disjoint pieces of it
-unchanged, so windows start where an eight-byte piece of an item occurs, at its distance from the piece; no other
-window can pass the exact comparison.
+Windows are laid only where they can matter: of D + 3 disjoint pieces of an item, a text within D edits of it holds three
+unchanged, shifted against each other by D at most.  So windows start where that many eight-byte pieces of an item
+occur, at their distances from it; no other window can pass the exact comparison.
 """
 
 from __future__ import annotations
@@ -19,20 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import LOWER, NULL_ID, SPACE, U64, ids_back, longs, mix, ranges, text_bytes
+from .base import LOWER, NULL_ID, SPACE, U64, ids_back, longs, ranges, text_bytes
 
-SEED = 8
+SEED, SPARE = 8, 3
 WALKS, TABLES, BITS = 3, 12, 3
 _FOLD = LOWER.copy()
 _FOLD[SPACE] = 32
 
 
-def edits_allowed(length: int, rate: float) -> int:
-    """rate * length, less where the pieces would be shorter than a seed."""
-    d = int(rate * length)
-    while d and length // (d + 1) < SEED:
-        d -= 1
-    return d
+def edits_allowed(length: int, rate: float) -> tuple[int, int]:
+    """(edits, pieces): rate * length edits, fewer where pieces would be shorter than a seed; SPARE more pieces than edits,
+    as far as the length goes."""
+    d = max(0, min(int(rate * length), length // SEED - 1))
+    return d, max(1, min(d + SPARE, length // SEED))
 
 
 def fold(text: bytes) -> np.ndarray:
@@ -73,10 +72,11 @@ class Items:
         self.ids, self.rate = np.array(ids, np.int64), rate
         self.texts = [fold(t).tobytes() for t in texts]
         self.size = np.array([len(t) for t in self.texts], np.int64)
-        self.most = np.array([edits_allowed(n, rate) for n in self.size], np.int64)
+        allowed = np.array([edits_allowed(n, rate) for n in self.size], np.int64).reshape(-1, 2)
+        self.most, self.need = allowed[:, 0], allowed[:, 1] - allowed[:, 0]
         grams, item, off = [], [], []
         for k, t in enumerate(self.texts):
-            pieces = self.most[k] + 1
+            pieces = int(allowed[k, 1])
             for j in range(pieces if len(t) >= SEED else 0):
                 a = len(t) * j // pieces
                 grams.append(int.from_bytes(t[a : a + SEED], "little"))
@@ -149,13 +149,31 @@ class Items:
             pos = np.repeat(pos, n) + lo
             doc = np.searchsorted(offs, pos, "right") - 1
             inside = pos + SEED <= offs[doc + 1]
-            out.append(np.stack([doc[inside], self.item[j[inside]], (pos - self.off[j])[inside]]))
-        x = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
-        key = (x[0].astype(U64) << U64(44)) ^ mix(x[1].astype(U64) * U64(1 << 40) + (x[2] + (1 << 20)).astype(U64)) >> U64(20)
-        order = np.argsort(key, kind="stable")
-        new = np.ones(len(order), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        return tuple(x[:, order[new]])
+            out.append(np.stack([doc[inside], self.item[j[inside]], (pos - self.off[j])[inside], self.off[j[inside]]]))
+        x = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
+        # pieces that stay together fall into one of two overlapping bins; distinct pieces of a bin are counted
+        keep = np.zeros(x.shape[1], bool)
+        width = np.maximum(self.most[x[1]], 8)
+        for half in (0, 1):
+            bin_of = (x[2] + (1 << 20) + half * width) // (2 * width)
+            order = np.lexsort((x[3], bin_of, x[1], x[0]))
+            y = np.stack([x[0], x[1], bin_of, x[3]])[:, order]
+            if not y.shape[1]:
+                break
+            new = np.ones(y.shape[1], bool)
+            new[1:] = (y[:3, 1:] != y[:3, :-1]).any(0)
+            piece = new.copy()
+            piece[1:] |= y[3, 1:] != y[3, :-1]
+            s = np.flatnonzero(new)
+            many = np.add.reduceat(piece, s, dtype=np.int64) >= self.need[y[1, s]]
+            keep[order] |= np.repeat(many, np.diff(np.append(s, y.shape[1])))
+        x = x[:3, keep]
+        order = np.lexsort((x[2], x[1], x[0]))
+        x = x[:, order]
+        new = np.ones(x.shape[1], bool)
+        if x.shape[1]:
+            new[1:] = (x[:, 1:] != x[:, :-1]).any(0)
+        return tuple(x[:, new])
 
     def search(self, data: np.ndarray, offs: np.ndarray):
         """(doc, item, edits, start, end) of the nearest stretch of each item that is found in a text."""
@@ -224,10 +242,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits long, start long, stop long") if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rate: float = 0.1) -> DataFrame:
-    """``docs`` without the documents in which any item is found."""
-    bad = contaminated(docs, benchmark, key, text, rate=rate).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[key].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, most_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` without the rows in whose text any item is found; one pass over the rows for each part of the benchmark."""
+    column = docs.columns.index(text)
+    for items in batches_of_items(benchmark, item_key, item_text, rate, most_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared):
+            known = shared.value
+            for batch in batches:
+                for i in range(0, batch.num_rows, 4096):
+                    b = batch.slice(i, 4096)
+                    keep = np.ones(b.num_rows, bool)
+                    for d, _ in known.search(*text_bytes(b.column(column))):
+                        keep[d] = False
+                    yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

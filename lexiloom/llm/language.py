@@ -207,6 +207,26 @@ def identify(docs: DataFrame, model: ByteCNN, key: str = "doc_id", text: str = "
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: ByteCNN, text: str = "text", least: float = 0.3) -> DataFrame:
+    """``docs`` without the rows whose language cannot be told: null, empty or letterless texts, or a score under ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index(text)
+
+    def run(batches):
+        net = shared.value
+        for b in batches:
+            texts = b.column(column)
+            data, offs = text_bytes(texts)
+            keep = has_letter(texts.to_pylist())
+            if net.langs and len(keep):
+                keep &= net.predict(data, offs)[1] >= least
+            else:
+                keep[:] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     """The digest query: learns from documents whose remainder is not 2, predicts every whole text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")

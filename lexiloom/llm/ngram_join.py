@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .base import SPACE, U64, Words, block_id, buckets_for, distinct_sorted, longs, materialise, mix, pack, pack_sorted, rows_of, runs, text_bytes, unpack, unpack_sorted
 from .components import components
 
-BLOCK, PIVOTS, HEAVY = 2048, 64, 24
+BLOCK, PIVOTS, HEAVY = 4096, 64, 24
 
 
 def shingle_keys(data: np.ndarray, offs: np.ndarray, size: int) -> np.ndarray:
@@ -79,8 +79,8 @@ def _incidence(size: int, buckets: int):
         nth = 0
         shift = U64(64 - (buckets.bit_length() - 1))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 14):
-                b = batch.slice(at, 1 << 14)
+            for at in range(0, batch.num_rows, 1 << 12):
+                b = batch.slice(at, 1 << 12)
                 block = block_id(nth)
                 nth += 1
                 data, offs = text_bytes(b.column(1))
@@ -182,7 +182,7 @@ def _links(n: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
     heavy = length > HEAVY
     light = np.repeat(~heavy & (length > 1), length)
     lr, lh = row[light], h[light]
-    flat = np.zeros(m * m, np.float32) if len(lr) else None
+    pairs = []
     for d in range(1, HEAVY):
         if d >= len(lr):
             break
@@ -190,24 +190,29 @@ def _links(n: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
         if not same.any():
             break
         a, b = lr[:-d][same], lr[d:][same]
-        flat += np.bincount(np.minimum(a, b) * m + np.maximum(a, b), minlength=m * m).astype(np.float32)
-    if flat is not None:
-        overlap += flat.reshape(m, m)
+        pairs.append(np.minimum(a, b) * m + np.maximum(a, b))
+    if pairs:
+        at = np.concatenate(pairs)
+        at.sort()
+        s2, n2 = runs(at)
+        overlap.ravel()[at[s2]] = n2
     if heavy.any():
         cols = np.repeat(np.arange(int(heavy.sum())), length[heavy])
         rows = row[np.repeat(heavy, length)]
         width = int(heavy.sum())
-        for c in range(0, width, 4096):
-            w = min(4096, width - c)
+        for c in range(0, width, 2048):
+            w = min(2048, width - c)
             x = np.zeros((m, w), np.float32)
             k = (cols >= c) & (cols < c + w)
             x[rows[k], cols[k] - c] = 1
             for i in range(0, m, 256):
                 overlap[i : i + 256, i:] += x[i : i + 256] @ x[i:].T
-    lo, hi = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
-    linked = (lo * 100 >= percent * hi) & (overlap > 0)
-    linked &= 100 * overlap.astype(np.float64) >= percent * (lo + hi - overlap.astype(np.float64))
-    linked = np.triu(linked, 1)
+    linked = np.zeros((m, m), bool)
+    for i in range(0, m, 256):
+        o = overlap[i : i + 256].astype(np.float64)
+        lo, hi = np.minimum(n[i : i + 256, None], n[None]), np.maximum(n[i : i + 256, None], n[None])
+        linked[i : i + 256] = (o > 0) & (lo * 100 >= percent * hi) & (100 * o >= percent * (lo + hi - o))
+    linked &= np.tri(m, k=-1, dtype=bool).T
     return linked | linked.T
 
 
@@ -226,6 +231,42 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+def _meetings(batches):
+    """Rows (cls, first) -> within each batch, documents that meet on a column are contracted to one of them before anything
+    is shuffled: (cls, rep, null) for those that were, and each column of a contracted set once, as (null, rep, h)."""
+    for b in batches:
+        cls = b.column(0).to_numpy(zero_copy_only=False)
+        first = b.column(1)
+        h = first.flatten().to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(cls)), pa.compute.list_value_length(first).to_numpy(zero_copy_only=False))
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        s, length = runs(h)
+        home = np.argsort(cls, kind="stable")  # a contracted set is named by its smallest class: place in order -> document
+        label = np.empty(len(cls), np.int64)
+        label[home] = np.arange(len(cls))
+        name = cls[home]
+        while len(s):
+            low = np.repeat(np.minimum.reduceat(label[doc], s), length)
+            new = label.copy()
+            np.minimum.at(new, doc, low)
+            new = np.minimum(new, new[home[new]])
+            if (new == label).all():
+                break
+            label = new
+        rep = name[label] if len(cls) else cls
+        moved = rep != cls
+        pair = np.lexsort((label[doc], h))
+        ph, pl = h[pair], label[doc][pair]
+        keep = np.ones(len(ph), bool)
+        keep[1:] = (ph[1:] != ph[:-1]) | (pl[1:] != pl[:-1])
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(cls[moved]), none]), pa.array(np.concatenate([rep[moved], name[pl[keep]]])), pa.concat_arrays([pa.nulls(int(moved.sum()), pa.int64()), pa.array(ph[keep])])],
+            ["cls", "rep", "h"],
+        )
+
+
 def _block_product(percent: int):
     """A group of (cluster, block) rows -> (cls, root cls) links that span each block's components."""
 
@@ -280,9 +321,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     live = table.where("columns is not null")
     classes = table.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     rows = materialise(live.dropDuplicates(["cls"]).select("cls", "n", "columns", "first"))
-    met = rows.select(F.explode("first").alias("h"), "cls")
-    low = met.groupBy("h").agg(F.min("cls").alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m")
-    clusters = components(met.join(low, "h").select(F.col("cls").alias("a"), F.col("m").alias("b")))
+    met = materialise(rows.select("cls", "first").mapInArrow(_meetings, "cls long, rep long, h long"))
+    on = met.where("h is not null").select("h", "rep")
+    low = on.groupBy("h").agg(F.min("rep").alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m")
+    meet = on.join(low, "h").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
+    clusters = components(meet.union(met.where("cls is not null").select("cls", "rep")))
     sizes = clusters.groupBy("root").count()
     big = sizes.where(F.col("count") > block)
     parts = clusters.join(sizes, "root").select(F.col("v").alias("cls"), F.col("root").alias("cluster"), F.ceil(F.col("count") / block).cast("int").alias("parts"))
@@ -296,7 +339,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     roots = components(links)
     if not big.isEmpty():
         # pairs across blocks, in clusters of several blocks, whose ends are not yet in one component
-        wide = met.join(parts.where("parts > 1").select("cls"), "cls").join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        wide = rows.join(parts.where("parts > 1").select("cls"), "cls").select("cls", F.explode("first").alias("h"))
+        wide = wide.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         wide = materialise(wide.join(rows.select("cls", "n"), "cls"))
         left = wide.select("h", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
         right = wide.select("h", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))

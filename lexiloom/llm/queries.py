@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
+from .ann import op3
+from .decontaminate import op8
 from .language import op6
 from .lm_scoring import op1
+from .mixing import op5
 from .ngram_join import op9
 from .quality import op10
 from .suffix_dedup import op4
 from .toxicity import op7
+from .url_filters import op2
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,9 +27,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _shipped(f)
     for name, f in {
         "op1_lm_scoring": op1,
+        "op2_url_filters": op2,
+        "op3_ann": op3,
         "op4_suffix_dedup": op4,
+        "op5_mixing": op5,
         "op6_language_id": op6,
         "op7_toxicity": op7,
+        "op8_decontamination": op8,
         "op9_ngram_join": op9,
         "op10_quality": op10,
     }.items()

@@ -512,8 +512,9 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     """``docs`` with each text reduced to the bytes that are not removed; null texts stay null."""
     marked = with_sub(docs, key, text)
     kept = remove_repeats(marked, key, text, length, with_text=True).select(F.col("doc_id").alias("_k"), F.col("sub").alias("_s"), "kept").dropDuplicates(["_k", "_s"])
-    out = marked.join(kept, marked[key].cast("long").eqNullSafe(kept["_k"]) & (marked["_sub"] == kept["_s"]), "left")
-    return out.select(*[F.when(F.col(text).isNotNull(), F.col("kept")).alias(c) if c == text else F.col(c) for c in docs.columns])
+    rest = marked.withColumn("_null", F.col(text).isNull()).drop(text)
+    out = rest.join(kept, rest[key].cast("long").eqNullSafe(kept["_k"]) & (rest["_sub"] == kept["_s"]), "left")
+    return out.select(*[F.when(~F.col("_null"), F.col("kept")).alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
