@@ -70,14 +70,18 @@ def spearman_pairs(df: DataFrame, columns: list[str], row_id: str, least: int =
 
 def correlation_clusters(pairs: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(column_name, cluster): components of columns that correlate at least so much; the first name stands for a cluster.
-    The graph has one vertex a column, so a recursive query closes it."""
-    spark = pairs.sparkSession
-    pairs.where(F.abs("pearson") >= threshold).select("column_a", "column_b").createOrReplaceTempView("_strong_pairs")
-    return spark.sql(
-        """WITH RECURSIVE e AS (SELECT column_a a, column_b b FROM _strong_pairs UNION ALL SELECT column_b, column_a FROM _strong_pairs),
-        r(a, b, d) AS (SELECT a, b, 1 FROM e UNION ALL SELECT r.a, e.b, r.d + 1 FROM r JOIN e ON r.b = e.a WHERE r.d < 12 AND e.b <> r.a)
-        SELECT a AS column_name, least(a, min(b)) AS cluster FROM r GROUP BY a"""
-    )
+    A driver step: the graph has one vertex a column of the schema."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in pairs.where(F.abs("pearson") >= threshold).select("column_a", "column_b").collect():
+        a, b = sorted((find(r[0]), find(r[1])))
+        root[b] = a
+    return pairs.sparkSession.createDataFrame([(c, find(c)) for c in sorted(root)], "column_name string, cluster string")
 
 
 def recommended_exclusions(inventory: DataFrame, duplicates: DataFrame) -> DataFrame:
