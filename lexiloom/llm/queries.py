@@ -13,6 +13,7 @@ from .language import op6
 from .lm_scoring import op1
 from .mixing import op5
 from .ngram_join import op9
+from .oracle import ORACLE_SQL  # noqa: F401
 from .quality import op10
 from .suffix_dedup import op4
 from .toxicity import op7
@@ -38,5 +39,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op10_quality": op10,
     }.items()
 }
-
-ORACLE_SQL: dict[str, str] = {}
