@@ -7,7 +7,7 @@ from lexiloom.sources import chat, clan
 
 CHA = """@UTF8
 @Begin
-@ID:\teng|ENNI|CHI|4;06.15|male|SLI||Target_Child|||
+@ID:\teng|Corpus|CHI|4;06.15|male|SLI||Target_Child|||
 @Comment:\tkind=test
 @G:\tA1
 *CHI:\the goed [* m:=ed] home .
