@@ -38,12 +38,19 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexiloom_path = path
+    return out
 
 
 _made: list = []
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` returned, once nothing that is still to be computed reads them."""
+    forget([p for p in (getattr(t, "_lexiloom_path", None) for t in tables) if p])
+
+
 def forget(df_paths: list | None = None) -> None:
     """Deletes tables that ``materialise`` wrote (all of them, or those at the given paths)."""
     for spark, path in [x for x in _made if df_paths is None or x[1] in df_paths]:

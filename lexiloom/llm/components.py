@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise
+from .base import drop, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,8 +18,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Null ends and loops are ignored.  Vertices without edges are absent."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     maps: list[DataFrame] = []
+    done: list[DataFrame] = []
     while True:
         e = materialise(e)
+        drop(*done)  # what led to these edges
         if e.isEmpty():
             break
         both = e.union(e.select("b", "a"))
@@ -28,6 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         nxt = low.select(F.col("v").alias("m"), F.col("m").alias("mm"))
         step = materialise(low.join(nxt, "m", "left").select("v", F.coalesce("mm", "m").alias("root")))
         maps.append(step)
+        done = [e, low]
         left = step.select(F.col("v").alias("a"), F.col("root").alias("ra"))
         right = step.select(F.col("v").alias("b"), F.col("root").alias("rb"))
         e = e.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
@@ -36,4 +39,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     out = maps[0]
     for m in maps[1:]:
         out = out.join(m.select(F.col("v").alias("root"), F.col("root").alias("r2")), "root", "left").select("v", F.coalesce("r2", "root").alias("root"))
-    return materialise(out)
+    out = materialise(out)
+    drop(e, *maps)
+    return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACE, U64, Words, block_id, buckets_for, distinct_sorted, longs, materialise, mix, pack, pack_sorted, rows_of, runs, text_bytes, unpack, unpack_sorted
+from .base import SPACE, U64, Words, block_id, buckets_for, distinct_sorted, drop, longs, materialise, mix, pack, pack_sorted, rows_of, runs, text_bytes, unpack, unpack_sorted
 from .components import components
 
 BLOCK, PIVOTS, HEAVY = 4096, 64, 24
@@ -347,8 +347,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         pairs = left.join(right, "h").where(f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
         cols = rows.select(F.col("cls"), F.col("columns"))
         pairs = pairs.join(cols.toDF("a", "ca"), "a").join(cols.toDF("b", "cb"), "b").select("a", "b", "na", "nb", "ca", "cb")
-        links = materialise(links.union(pairs.mapInArrow(_verify(percent), "a long, b long")))
+        more = materialise(links.union(pairs.mapInArrow(_verify(percent), "a long, b long")))
+        drop(wide, links, roots)
+        links = more
         roots = components(links)
+    drop(rows, met, clusters, links)  # the roots are written, and the table of documents stays
     label = classes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = label.groupBy("root").agg(F.min("low").alias("low"))
     label = label.join(lowest.withColumnRenamed("low", "component"), "root").where("component <> low or copies > 1").select("cls", "component")
