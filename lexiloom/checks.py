@@ -61,3 +61,11 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     cov = F.covar_pop(x, y)
     spread = F.stddev_pop(x) * F.stddev_pop(y)
     return F.when((n >= 2) & (spread > 0), F.try_divide(cov, spread))
+
+
+def apply_decisions(df: DataFrame, decisions: dict[str, str]) -> DataFrame:
+    """The columns marked ``keep``, in the order of the decisions; raises where a column has none (closed world)."""
+    open_ = [c for c in df.columns if c not in decisions]
+    if open_:
+        raise ValueError(f"Columns without a decision: {', '.join(open_)}")
+    return df.select(*[c for c, d in decisions.items() if d == "keep" and c in df.columns])

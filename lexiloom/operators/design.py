@@ -168,3 +168,20 @@ def balanced_prompts(slots: DataFrame, candidates: DataFrame, fold: str, slot: s
 
     k, kc = dict(slots.dtypes), dict(candidates.dtypes)
     return slots.groupBy(fold).cogroup(candidates.groupBy(fold)).applyInPandas(choose, f"{fold} {k[fold]}, {slot} {k[slot]}, chosen {kc[key]}")
+
+
+def fold_overview(prompts: DataFrame, evals: DataFrame, fold: str, prompt_id: str) -> DataFrame:
+    """Per fold: its distinct prompts in numeric order, and how many rows it evaluates; folds without rows count 0."""
+    p = prompts.groupBy(fold).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.col(prompt_id).cast("long"))), lambda x: x.cast("string")), "|").alias("prompt_ids"))
+    e = evals.groupBy(fold).agg(F.count("*").alias("eval_rows"))
+    return p.join(e, fold, "left").na.fill(0, ["eval_rows"])
+
+
+def with_exemplar(df: DataFrame, narratives: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
+    """The narrative of the same keys as ``name``, empty where there is none."""
+    return df.join(narratives.select(*keys, F.col(text).alias(name)), keys, "left").na.fill("", [name])
+
+
+def prompt_text(items: str, lead: str) -> Column:
+    """A lead and a numbered list of an array column."""
+    return F.concat(F.lit(lead + "\n"), F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n"))

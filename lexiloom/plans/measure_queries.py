@@ -363,3 +363,21 @@ def event_windows(spark, d):
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark, d):
     return EV.sessions(t(spark, d, "events"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def column_decisions(spark, d):
+    from ..checks import apply_decisions
+
+    return apply_decisions(t(spark, d, "customer"), {"c_custkey": "keep", "c_name": "drop", "c_nationkey": "drop", "c_acctbal": "keep", "c_mktsegment": "drop"})
+
+
+@query("WITH p AS (SELECT s_nationkey, string_agg(CAST(s_suppkey AS VARCHAR), '|' ORDER BY s_suppkey) AS prompt_ids FROM supplier GROUP BY 1), e AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) SELECT s_nationkey, prompt_ids, CAST(coalesce(n, 0) AS BIGINT) AS eval_rows FROM p LEFT JOIN e ON s_nationkey = c_nationkey")
+def fold_overview(spark, d):
+    return D.fold_overview(t(spark, d, "supplier"), t(spark, d, "customer").withColumnRenamed("c_nationkey", "s_nationkey"), "s_nationkey", "s_suppkey")
+
+
+@query("SELECT o_orderkey, coalesce(c_name, '') AS exemplar FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey")
+def exemplar_lookup(spark, d):
+    n = t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").withColumnRenamed("c_custkey", "o_custkey")
+    return D.with_exemplar(t(spark, d, "orders").select("o_orderkey", "o_custkey"), n, ["o_custkey"], "c_name", "exemplar").select("o_orderkey", "exemplar")

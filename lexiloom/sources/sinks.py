@@ -51,3 +51,29 @@ def markdown(df: DataFrame, most: int = 12) -> str:
     rows = df.limit(most).collect()
     cell = lambda v: "NA" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)])
+
+
+def stories_to_transcripts(stories: DataFrame, keys: list[str], text_columns: dict[str, str], age: str, sex: str) -> DataFrame:
+    """(keys, grp, content): one transcript for each text column of a row, e.g. a control and a target story; ``text_columns``
+    maps a group to its column.  Texts without words give no transcript."""
+    from ..operators.quotes import utterances
+
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(c).alias("text")) for g, c in text_columns.items()]))
+    rows = stories.select(*keys, F.col(age).alias("_age"), F.col(sex).alias("_sex"), each.alias("e")).select(*keys, "_age", "_sex", "e.grp", utterances("e.text").alias("u")).where(F.size("u") > 0)
+    who = F.concat(F.lit("@ID:\teng|Generated|CHI|"), F.coalesce("_age", F.lit("")), F.lit("|"), F.coalesce("_sex", F.lit("")), F.lit("|"), F.col("grp"), F.lit("||Target_Child|||"))
+    said = F.transform("u", lambda x: F.concat(F.lit("*CHI:\t"), x))
+    head = F.array(F.lit("@UTF8"), F.lit("@Begin"), F.lit("@Languages:\teng"), F.lit("@Participants:\tCHI Target_Child"), who)
+    return rows.select(*keys, "grp", F.concat(F.array_join(F.concat(head, said, F.array(F.lit("@End"))), "\n"), F.lit("\n")).alias("content"))
+
+
+def reference_template(narratives: DataFrame) -> DataFrame:
+    """One empty reference per story, as JSON."""
+    empty = F.array().cast("array<string>")
+    ref = F.struct(F.col("story_id"), F.lit("").alias("title"), empty.alias("units"), empty.alias("content_invariants"), empty.alias("optional_content"), F.lit("").alias("notes"))
+    return narratives.select("story_id").distinct().select("story_id", F.to_json(ref).alias("reference"))
+
+
+def transform_json_field(rows: DataFrame, column: str, schema: str, field: str, change) -> DataFrame:
+    """JSON lines with one field changed by a column function; lines without it, or that do not parse, stay as they are."""
+    parsed = F.from_json(column, schema)
+    return rows.withColumn(column, F.when(parsed[field].isNotNull(), F.to_json(parsed.withField(field, change(parsed[field])))).otherwise(F.col(column)))

@@ -79,3 +79,19 @@ def test_clan_readers(spark):
     assert [(x["code"], x["n"]) for x in fr.collect()] == [("m:0ed", 5)]
     assert clan.unique_names(["File", "Group", "Group", ""]) == ["File", "Group", "Group_2", "Unnamed"]
     assert clan.numeric_columns(spark.createDataFrame([("1", "x"), ("", "2")], "a string, b string")) == ["a"]
+
+
+def test_sinks(spark):
+    from lexiloom.sources import sinks
+
+    df = spark.createDataFrame([(1, "The dog ran. It hid", None, "4;00.", "male")], "k int, td string, sli string, age string, sex string")
+    r = sinks.stories_to_transcripts(df, ["k"], {"TD": "td", "SLI": "sli"}, "age", "sex").collect()
+    assert len(r) == 1 and r[0]["grp"] == "TD" and r[0]["content"].endswith("*CHI:\tThe dog ran .\n*CHI:\tIt hid .\n@End\n")
+    back = chat.headers(spark.createDataFrame([("p", r[0]["content"])], "path string, content string")).first()
+    assert (back["age"], back["sex"], back["grp"]) == ("4;00.", "male", "TD")
+    j = spark.createDataFrame([('{"text":"a b"}',), ("broken",)], "value string")
+    out = [x["value"] for x in sinks.transform_json_field(j, "value", "text string", "text", F.upper).collect()]
+    assert out == ['{"text":"A B"}', "broken"]
+    a = spark.createDataFrame([("x",), ("x",), ("y",)], "t string")
+    assert [x["t"] for x in sinks.new_rows(a, spark.createDataFrame([("y",)], "t string"), ["t"]).collect()] == ["x"]
+    assert sinks.markdown(a.limit(1)) == "| t |\n| --- |\n| x |"
