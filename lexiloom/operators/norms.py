@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..checks import number, row_mean
+from .stats import running_counts
 
 # Measures where more is better (their z is turned round) and where more is worse, and the scores they make up.
 ABILITY = ["MLU_Morphemes", "VOCD_D_optimum_average", "IPSyn_Total", "DSS_tbl_score", "DSS_tbl_IP", "DSS_tbl_PP", "DSS_tbl_MV", "DSS_tbl_SV", "DSS_tbl_NG", "DSS_tbl_CNJ", "DSS_tbl_IR", "DSS_tbl_WHQ"]
@@ -102,15 +102,10 @@ def tertile_bands(df: DataFrame, score: str, reference: Column, names: tuple[str
 
 
 def reference_percentile(df: DataFrame, score: str, reference: Column, name: str = "percentile") -> DataFrame:
-    """Share of reference rows whose score is at most the row's.  Distinct scores are counted first, and the running sum goes
-    over hash-free ranges of them: one small row per range precedes each."""
-    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_v")).agg(F.count_if(reference).alias("_r"))
-    per = per.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
-    within = per.withColumn("_c", F.sum("_r").over(Window.partitionBy("_part").orderBy("_v")))
-    before = per.groupBy("_part").agg(F.sum("_r").alias("_n"))
-    total = Window.partitionBy()
-    before = before.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(total).alias("_all"))  # one row a range
-    share = within.join(before, "_part").select("_v", F.try_divide((F.col("_c") + F.col("_before")).cast("double"), F.col("_all")).alias(name))
+    """Share of reference rows whose score is at most the row's: distinct scores are counted first, and counts run over ranges
+    of them."""
+    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_v")).agg(F.count_if(reference).alias("r"))
+    share = running_counts(per, "_v", ["r"]).select("_v", F.try_divide(F.col("run_r").cast("double"), F.col("all_r")).alias(name))
     return df.join(share, df[score] == share["_v"], "left").drop("_v")
 
 

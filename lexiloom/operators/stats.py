@@ -18,12 +18,28 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFram
     return (df.groupBy(*by) if by else df).agg(*cols)
 
 
+def running_counts(per: DataFrame, value: str, counts: list[str], by: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """``per`` (one row a distinct value) with ``run_<c>``, the count up to the value, and ``all_<c>``, that of the group.
+
+    Values are dealt to ranges at approximate quantiles, so that no group is sorted in one task; a range's start is the sum
+    of the ranges before it (at most ``parts`` rows a group)."""
+    by = by or []
+    cuts = per.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    part = sum(((F.col(value) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    p = per.withColumn("_part", part)
+    within = Window.partitionBy(*by, "_part").orderBy(value)
+    ahead, group = Window.partitionBy(*by).orderBy("_part"), Window.partitionBy(*by)
+    total = p.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
+    total = total.select(*by, "_part", *[(F.sum(f"_t_{c}").over(ahead) - F.col(f"_t_{c}")).alias(f"_b_{c}") for c in counts], *[F.sum(f"_t_{c}").over(group).alias(f"all_{c}") for c in counts])
+    j = p.withColumns({f"_r_{c}": F.sum(c).over(within) for c in counts}).join(total, [*by, "_part"])
+    return j.select(*per.columns, *[(F.col(f"_r_{c}") + F.col(f"_b_{c}")).alias(f"run_{c}") for c in counts], *[f"all_{c}" for c in counts])
+
+
 def _runs(df: DataFrame, value: str, side: Column, by: list[str]) -> DataFrame:
-    """Counts of each side at each distinct value, with running counts below and totals: windows over distinct values only."""
+    """Counts of each side at each distinct value, with running counts and totals."""
     g = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    w = Window.partitionBy(*by).orderBy("v")
-    t = Window.partitionBy(*by)
-    return g.withColumns({"below": F.sum(F.col("a") + F.col("b")).over(w) - F.col("a") - F.col("b"), "ca": F.sum("a").over(w), "cb": F.sum("b").over(w), "na": F.sum("a").over(t), "nb": F.sum("b").over(t)})
+    r = running_counts(g, "v", ["a", "b"], by).withColumnsRenamed({"run_a": "ca", "run_b": "cb", "all_a": "na", "all_b": "nb"})
+    return r.withColumn("below", F.col("ca") + F.col("cb") - F.col("a") - F.col("b"))
 
 
 def mann_whitney(df: DataFrame, value: str, side: Column, by: list[str] | None = None) -> DataFrame:
@@ -78,8 +94,7 @@ def type8_quantiles(df: DataFrame, value: str, probs: int, by: list[str]) -> Dat
     """(by, i, q): quantiles at i / (probs - 1), of type 8: position (n + 1/3) p + 1/3 between order statistics."""
     v = df.where(F.col(value).isNotNull())
     per = v.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("v")
-    per = per.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c") + 1).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    per = running_counts(per, "v", ["c"], by).withColumnsRenamed({"run_c": "hi", "all_c": "n"}).withColumn("lo", F.col("hi") - F.col("c") + 1)
     ask = per.select(*by, "n").distinct().select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(probs - 1))).alias("i"))
     h = F.greatest(F.least((F.col("n") + 1 / 3) * (F.col("i") / F.lit(float(probs - 1))) + 1 / 3, F.col("n").cast("double")), F.lit(1.0))
     ask = ask.withColumn("h", h).withColumn("k", F.floor("h"))
