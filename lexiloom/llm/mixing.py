@@ -3,29 +3,49 @@
 The documents of each source are cut into blocks of equal size.  A source of weight w (its share of the active weights)
 releases its j-th block (from 0) at slot floor(j / w) and must have placed it before slot ceil((j + 1) / w); slots are
 given earliest deadline first among released blocks.  At any slot each source then has its share of the slots so far,
-give or take less than one block.  Weights are rounded to multiples of 1 / PERIOD, so the schedule repeats: a table of
-PERIOD slots, made on the driver for each set of sources that are still active, places block j of a source in closed
-form, and the documents are numbered and placed without any sequential pass.  When a source runs out the phase ends,
-and the next one shares its weight among those left, so that every document is placed exactly once.
+give or take less than one block.  Weights are exact fractions, so the schedule repeats after their common denominator: a
+table of that many slots, or of the phase where that is shorter, made on the driver for each set of sources that are still
+active, places block j of a source in closed form, and the documents are numbered and placed without any sequential pass.
+When a source runs out the phase ends, and the next one shares its weight among those left, so that every document is
+placed exactly once.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .base import NULL_ID, materialise, size_of
 
-PERIOD = 1024
 BLOCK = 16
+BROADCAST_SLOTS = 1 << 16  # a longer slot table is joined by exchange
 
 
-def quotas(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period: largest remainders, one slot at least for a positive weight."""
+def fraction(w: float) -> Fraction:
+    """The simple fraction that the number stands for (0.75 / 19 is 3/76), its binary value where there is none."""
+    near = Fraction(w).limit_denominator(1 << 20)
+    return near if float(near) == float(w) else Fraction(w)
+
+
+def exact_quotas(weights: Mapping[str, float]) -> dict[str, int]:
+    """Slots of each source in the shortest period in which every weight is a whole number of slots."""
+    live = {s: fraction(w) for s, w in weights.items() if w > 0}
+    total = sum(live.values())
+    share = {s: w / total for s, w in live.items()}
+    period = lcm(*[x.denominator for x in share.values()])
+    return {s: int(x * period) for s, x in share.items()}
+
+
+def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
+    """Weights rounded to a given period.  Slots of each source in a period: largest remainders, one slot at least for a positive weight."""
     live = {s: w for s, w in weights.items() if w > 0}
     total = sum(live.values())
     exact = {s: w / total * period for s, w in live.items()}
@@ -40,27 +60,26 @@ def quotas(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]
     return out
 
 
-def one_period(quota: Mapping[str, int]) -> list[str]:
+def one_period(quota: Mapping[str, int]) -> Iterator[str]:
     """The source of each slot: released blocks, earliest deadline first (ties to the longer block queue, then by name)."""
     period = sum(quota.values())
     coming = [(0, s, 0) for s in sorted(quota)]  # release, source, block
     heapq.heapify(coming)
     ready: list = []
-    slots = []
     for slot in range(period):
         while coming and coming[0][0] <= slot:
             _, s, j = heapq.heappop(coming)
             heapq.heappush(ready, (-(-(j + 1) * period // quota[s]), -quota[s], s, j))
         _, _, s, j = heapq.heappop(ready)
-        slots.append(s)
         if j + 1 < quota[s]:
             heapq.heappush(coming, ((j + 1) * period // quota[s], s, j + 1))
-    return slots
+        yield s
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[tuple]:
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int | None = None) -> list[tuple]:
     """(first slot, {source: first block}, slots of the period, length in slots) of each phase.  A phase repeats its period
-    while all its sources can fill it, then runs into a last one up to the slot whose source has nothing left."""
+    while all its sources can fill it, then runs into a last one up to the slot whose source has nothing left; of a period
+    longer than the phase only the phase is made.  ``period`` rounds the weights to multiples of 1 / period instead."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     at, out = 0, []
@@ -68,42 +87,52 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int
         share = {s: weights.get(s, 0) for s in left}
         if not any(w > 0 for w in share.values()):
             share = dict.fromkeys(left, 1.0)  # sources without a target come last, in equal parts
-        for part in _chunks({s: w for s, w in share.items() if w > 0}, period):
-            slots = one_period(part)
-            quota = part
-            whole = min(left[s] // quota[s] for s in quota)
-            used = {s: whole * quota[s] for s in quota}
-            length = whole * len(slots)
-            for s in slots:
-                if used[s] == left[s]:
-                    break
-                used[s] += 1
-                length += 1
-            out.append((at, {s: done[s] for s in quota}, slots, length))
-            at += length
-            for s in used:
-                done[s] += used[s]
-                left[s] -= used[s]
+        share = {s: w for s, w in share.items() if w > 0}
+        quota = quotas(share, _fitting(share, period)) if period else exact_quotas(share)
+        slots = list(one_period(quota)) if period else list(_within(one_period(quota), left))
+        whole = min(left[s] // n for s, n in quota.items()) if len(slots) == sum(quota.values()) else 0
+        used = {s: whole * n for s, n in quota.items()}
+        length = whole * len(slots)
+        for s in slots:
+            if used[s] == left[s]:
+                break
+            used[s] += 1
+            length += 1
+        out.append((at, {s: done[s] for s in quota}, slots, length))
+        at += length
+        for s in used:
+            done[s] += used[s]
+            left[s] -= used[s]
         left = {s: n for s, n in left.items() if n > 0}
     return out
 
 
-def _chunks(share: dict, period: int):
-    """One quota table; a period holds at least four slots a source."""
+def _within(slots: Iterator[str], left: Mapping[str, int]) -> Iterator[str]:
+    """The slots before the first whose source has nothing left."""
+    used: Counter = Counter()
+    for s in slots:
+        if used[s] == left[s]:
+            return
+        used[s] += 1
+        yield s
+
+
+def _fitting(share: dict, period: int) -> int:
+    """The period, doubled until it holds at least four slots a source."""
     while len(share) * 4 > period:
         period *= 2
-    yield quotas(share, period)
+    return period
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int | None = None) -> DataFrame:
     """``docs`` with ``mix_block`` (number of the document's block within its source), ``mix_slot`` (the block's place in
     the mix, from 0) and ``mix_place`` (the document's place within its block).
 
     ``weights`` are target shares by source; without them all sources count alike.  A null source is a source of its own
     (named by a null key in ``weights``).  Documents of a source come in the order of a hash of id, ties by id, then by
     the hash of all columns, so that repeated rows are placed one after the other.  The driver holds one number per
-    source and a table of ``period`` slots per phase; numbers within a source come from counts per hash range, never
-    from one task per source.
+    source and a table of one period per phase (weights without a small common denominator: one row a block of the phase,
+    unless ``period`` rounds them); numbers within a source come from counts per hash range, never from one task per source.
     """
     cols = docs.columns
     src = F.coalesce(F.col(source).cast("string"), F.lit("\x00null"))
@@ -119,26 +148,30 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     if target is None:
         target = dict.fromkeys(totals, 1.0)
     plan = phases({s: -(-n // block) for s, n in totals.items()}, target, period)
-    rows = []
+    names: list = []
+    numbers: list = [[] for _ in range(5)]
+    spans = []
     for first_slot, first_block, slots, length in plan:
-        quota: dict = {}
-        for s in slots:
-            quota[s] = quota.get(s, 0) + 1
-        nth: dict = {}
+        quota = Counter(slots)
         whole, rest = divmod(length, len(slots))
-        ends = {s: first_block[s] + whole * quota[s] + slots[:rest].count(s) for s in quota}
+        last = Counter(slots[:rest])
+        spans += [(s, n, first_block[s], first_block[s] + whole * n + last[s]) for s, n in quota.items()]
+        nth: Counter = Counter()
+        names += slots
         for i, s in enumerate(slots):
-            k = nth[s] = nth.get(s, -1) + 1
-            rows.append((s, quota[s], k, first_block[s], ends[s], first_slot + i, len(slots)))
+            for column, v in zip(numbers, (quota[s], nth[s], first_block[s], first_slot + i, len(slots))):
+                column.append(v)
+            nth[s] += 1
     spark = docs.sparkSession
-    table = spark.createDataFrame(rows, "_s string, _q long, _k long, _from long, _to long, _slot long, _len long") if rows else spark.createDataFrame([], "_s string, _q long, _k long, _from long, _to long, _slot long, _len long")
-    spans = table.select("_s", "_q", "_from", "_to").distinct()
+    table = spark.createDataFrame(pa.table([pa.array(names, pa.string()), *[pa.array(c, pa.int64()) for c in numbers]], names=["_s", "_q", "_k", "_from", "_slot", "_len"]))
+    table = F.broadcast(table) if len(names) <= BROADCAST_SLOTS else table
+    spans = spark.createDataFrame(spans, "_s string, _q long, _from long, _to long")
     order = Window.partitionBy("_s", "_r").orderBy("_h", key, F.xxhash64(*[F.col(c) for c in cols]))
     placed = marked.withColumn("_i", F.row_number().over(order) - 1).join(before, ["_s", "_r"]).withColumn("_i", F.col("_i") + F.col("_before"))
     placed = placed.withColumn("mix_block", F.floor(F.col("_i") / block).cast("long")).withColumn("mix_place", (F.col("_i") % block).cast("int"))
-    # both tables have at most period slots a phase, and a phase ends a source: their size is bound by the sources
+    # a phase ends a source: spans has at most one row a source and phase
     placed = placed.join(F.broadcast(spans), "_s").where("mix_block >= _from and mix_block < _to").withColumn("_k", F.pmod(F.col("mix_block") - F.col("_from"), F.col("_q")))
-    placed = placed.join(F.broadcast(table.drop("_to")), ["_s", "_q", "_from", "_k"])
+    placed = placed.join(table, ["_s", "_q", "_from", "_k"])
     return placed.select(*cols, "mix_block", (F.col("_slot") + F.floor((F.col("mix_block") - F.col("_from")) / F.col("_q")) * F.col("_len")).cast("long").alias("mix_slot"), "mix_place")
 
 

@@ -132,6 +132,40 @@ def test_pfair_schedule_stays_within_one_block():
         assert collections.Counter(placed) == {s: n for s, n in blocks.items() if n}
 
 
+def test_pfair_schedule_stays_within_one_block_of_the_targets():
+    g = random.Random(5)
+    names = [f"src{i}" for i in range(20)]
+    skewed = {f"s{i}": g.random() ** 4 + 1e-5 for i in range(7)} | {"rare": 1 / 5000}
+    for w, n in ((mixing.targets(names), 3000), (skewed, 4000)):
+        blocks = {s: n + g.randint(0, 9) for s in w}
+        placed = 0
+        for at, _, slots, length in mixing.phases(blocks, w):
+            assert at == placed
+            left = {s for s in w if blocks[s] > 0}
+            total = sum(w[s] for s in left)
+            seen = collections.Counter()
+            for i in range(1, length + 1):
+                seen[slots[(i - 1) % len(slots)]] += 1
+                if i % 7 == 0 or i == length:
+                    assert all(abs(seen[s] - w[s] / total * i) < 1 for s in left)
+            for s in seen:
+                blocks[s] -= seen[s]
+            placed += length
+        assert not any(blocks.values())
+
+
+def test_mix_of_exact_weights_follows_the_phases(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    w = {"a": 0.123456789012345, "b": 0.7, "c": 0.2}
+    want = [s for _, _, slots, n in mixing.phases(dict.fromkeys("abc", 250), w) for s in (slots * (n // len(slots) + 1))[:n]]
+    for most in (mixing.BROADCAST_SLOTS, 10):
+        monkeypatch.setattr(mixing, "BROADCAST_SLOTS", most)
+        out = mixing.mix_sources(df, w, block=4).toPandas()
+        assert len(out) == 3000 and not out.duplicated(["mix_slot", "mix_place"]).any()
+        assert out.drop_duplicates("mix_slot").sort_values("mix_slot").source.tolist() == want
+
+
 def test_mix_places_every_row_once(spark):
     g = random.Random(3)
     rows = [(i if i % 50 else None, g.choice(["a", "a", "a", "b", "c", None]), "t") for i in range(2000)] + [(7, "a", "t"), (7, "a", "t")]
