@@ -301,7 +301,7 @@ def wasserstein_type8(spark, d):
 
 @query()
 def bootstrap_interval(spark, d):
-    b = S.bootstrap(_labelled(spark, d).limit(400), "n_chars", F.col("quality") == 1, 1000)
+    b = S.bootstrap(_labelled(spark, d), "n_chars", F.col("quality") == 1)
     return b.select("reps", *[F.round(c, 1).alias(c) for c in ("difference_low", "difference_high")])
 
 

@@ -113,3 +113,27 @@ def test_designs(spark):
     assert all(own[r["eval_pair_id"]] != r["round_index"] for r in m.collect()) and m.count() == 20
     inv = audit.column_inventory(spark.createDataFrame([(1, None), (2, None)], "id int, v string"))
     assert {r["column_name"]: (r["is_constant"], r["is_id_like"]) for r in inv.collect()} == {"id": (0, 1), "v": (1, 0)}
+
+
+def test_bootstrap_takes_all_rows(spark, tmp_path):
+    from lexiloom.plans.measure_queries import bootstrap_interval
+
+    g = np.random.default_rng(4)
+    n = 3001
+    # the first rows differ from all the others
+    rows = [(i, int(g.integers(100, 900)) + (4000 if i < 500 else 0) + 50 * (i % 2), i % 2) for i in range(n)]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    got = bootstrap_interval(spark, str(tmp_path)).first()
+    v, q = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]) == 1
+    draw = lambda x: np.median(g.choice(x, (4000, len(x))), 1)
+    want = np.percentile(draw(v[~q]) - draw(v[q]), [2.5, 97.5])
+    assert got["reps"] == 10_000 and abs(got["difference_low"] - want[0]) < 6 and abs(got["difference_high"] - want[1]) < 6
+
+
+def test_bootstrap_of_few_and_missing_values(spark):
+    df = spark.createDataFrame([(1.0, True), (2.0, True), (None, True), (4.0, False), (4.0, False)], "v double, s boolean")
+    r = stats.bootstrap(df, "v", F.col("s")).first()
+    assert (r["difference_low"], r["difference_high"], r["ratio_low"], r["ratio_high"]) == (2.0, 3.0, 2.0, 4.0)
+    r = stats.bootstrap(df.where("not s"), "v", F.col("s")).first()
+    assert r["reps"] == 10_000 and math.isnan(r["difference_low"])
