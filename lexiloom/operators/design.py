@@ -92,7 +92,8 @@ def optimal_match(df: DataFrame, cohort: str, key: str, age: str, is_target: str
     """Each target with one control, none twice, so that the sum of absolute age gaps is least (per cohort).
 
     With both sides in age order some best matching does not cross, so D[i][j] = min(D[i][j-1], D[i-1][j-1] + gap) finds it; of
-    equal sums the one with the smaller control ids so far is kept.  A cohort is a few hundred children and one task."""
+    equal sums (in units of 1e-9) the one with the smaller sum of control ids is kept.  A cohort is one task; a row of D is two
+vector operations, and of each cell one bit stays."""
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf[pdf[is_target]].sort_values([age, key])
@@ -100,19 +101,20 @@ def optimal_match(df: DataFrame, cohort: str, key: str, age: str, is_target: str
         n, m = len(t), len(c)
         if n > m:
             raise ValueError("fewer controls than targets")
-        gap = np.abs(t[age].to_numpy()[:, None] - c[age].to_numpy()[None]) + 1e-9 * c[key].to_numpy(dtype=float)[None]
-        best = np.full((n + 1, m + 1), np.inf)
-        best[0] = 0
+        ta, ca, ids = t[age].to_numpy(dtype=float), c[age].to_numpy(dtype=float), c[key].to_numpy(dtype=float)
+        # complex numbers compare by gap, then by ids; both parts are whole numbers, so that sums are exact
+        best, skips = np.zeros(m + 1, complex), []
         for i in range(1, n + 1):
-            for j in range(i, m + 1):
-                best[i, j] = min(best[i, j - 1], best[i - 1, j - 1] + gap[i - 1, j - 1])
+            cost = best[i - 1 : m] + np.rint(np.abs(ta[i - 1] - ca[i - 1 :]) * 1e9) + 1j * ids[i - 1 :]
+            best[i:] = np.minimum.accumulate(cost)
+            skips.append(np.packbits(best[i + 1 :] == best[i:-1]))  # D[i][j] = D[i][j-1] for j from i + 1
         rows, i, j = [], n, m
         while i:
-            if best[i, j] == best[i, j - 1]:
+            at = j - i - 1
+            if at >= 0 and skips[i - 1][at >> 3] >> (7 - (at & 7)) & 1:
                 j -= 1
                 continue
-            a, b = t.iloc[i - 1], c.iloc[j - 1]
-            rows.append((a[cohort], a[key], b[key], abs(float(a[age]) - float(b[age]))))
+            rows.append((t[cohort].iat[i - 1], t[key].iat[i - 1], c[key].iat[j - 1], abs(float(ta[i - 1]) - float(ca[j - 1]))))
             i, j = i - 1, j - 1
         return pd.DataFrame(rows[::-1], columns=[cohort, "target_id", "control_id", "gap"])
 
@@ -123,14 +125,15 @@ def greedy_match(df: DataFrame, cohort: str, key: str, age: str, is_target: str)
     """Targets in age and id order take the nearest control that is left (ties: younger, then smaller id)."""
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[~pdf[is_target]].sort_values([age, key]).reset_index(drop=True)
-        rows = []
+        c = pdf[~pdf[is_target]].sort_values([age, key])
+        ages, ids = c[age].to_numpy(dtype=float), c[key].to_numpy()
+        taken, rows = np.zeros(len(c), bool), []
         for _, a in pdf[pdf[is_target]].sort_values([age, key]).iterrows():
-            if left.empty:
+            if len(rows) == len(c):
                 break
-            j = int((left[age] - a[age]).abs().to_numpy().argmin())
-            rows.append((a[cohort], a[key], left.at[j, key], abs(float(a[age]) - float(left.at[j, age]))))
-            left = left.drop(index=j).reset_index(drop=True)
+            j = int(np.where(taken, np.inf, np.abs(ages - a[age])).argmin())
+            rows.append((a[cohort], a[key], ids[j], abs(float(a[age]) - float(ages[j]))))
+            taken[j] = True
         return pd.DataFrame(rows, columns=[cohort, "target_id", "control_id", "gap"])
 
     return df.select(cohort, key, age, is_target).groupBy(cohort).applyInPandas(match, _pairs_schema(df, cohort, key))

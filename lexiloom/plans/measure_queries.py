@@ -317,12 +317,12 @@ def _children(spark, d):
 
 @query()
 def optimal_match(spark, d):
-    return D.optimal_match(_children(spark, d).where("id <= 600"), "cohort", "id", "age", "target")
+    return D.optimal_match(_children(spark, d), "cohort", "id", "age", "target")
 
 
 @query()
 def greedy_match(spark, d):
-    return D.greedy_match(_children(spark, d).where("id <= 600"), "cohort", "id", "age", "target")
+    return D.greedy_match(_children(spark, d), "cohort", "id", "age", "target")
 
 
 @query()
@@ -334,7 +334,7 @@ def balanced_story_assignment(spark, d):
 @query()
 def balanced_prompt_choice(spark, d):
     slots = spark.range(60).select((F.col("id") % 5).cast("int").alias("cohort"), F.col("id").alias("slot"), (F.col("id") * 1.5).alias("want"))
-    return D.balanced_prompts(slots, _children(spark, d).where("not target and id <= 600").drop("target"), "cohort", "slot", "want", "id", "age")
+    return D.balanced_prompts(slots, _children(spark, d).where("not target").drop("target"), "cohort", "slot", "want", "id", "age")
 
 
 @query()

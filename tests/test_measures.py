@@ -137,3 +137,49 @@ def test_bootstrap_of_few_and_missing_values(spark):
     assert (r["difference_low"], r["difference_high"], r["ratio_low"], r["ratio_high"]) == (2.0, 3.0, 2.0, 4.0)
     r = stats.bootstrap(df.where("not s"), "v", F.col("s")).first()
     assert r["reps"] == 10_000 and math.isnan(r["difference_low"])
+
+
+def test_matching_takes_every_customer(spark, tmp_path):
+    from lexiloom.plans import measure_queries as Q
+
+    def least(t, c):
+        row = [0] * (len(c) + 1)
+        for x in sorted(t):
+            new = [math.inf]
+            for j, y in enumerate(sorted(c)):
+                new.append(min(new[j], row[j] + abs(x - y)))
+            row = new
+        return row[-1]
+
+    g = np.random.default_rng(6)
+    rows = [(i, int(g.integers(0, 25)), int(g.integers(-99_999, 999_999)) / 100) for i in range(1, 2001)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    best = Q.optimal_match(spark, str(tmp_path)).toPandas()
+    near = Q.greedy_match(spark, str(tmp_path)).toPandas()
+    for got in (best, near):
+        assert set(got.target_id) == set(range(4, 2001, 4)) and got.control_id.is_unique and (got.control_id % 4 != 0).all()
+    for k in range(5):
+        t = [round(b * 100) for i, n, b in rows if n % 5 == k and i % 4 == 0]
+        c = [round(b * 100) for i, n, b in rows if n % 5 == k and i % 4 != 0]
+        assert best[best.cohort == k].gap.sum() == pytest.approx(least(t, c) / 10_000, abs=1e-9)
+    chosen = Q.balanced_prompt_choice(spark, str(tmp_path)).toPandas()
+    for k in range(5):
+        s = chosen[chosen.cohort == k].sort_values("slot")
+        left = sorted((i, b / 100) for i, n, b in rows if n % 5 == k and i % 4 != 0)
+        for slot, i in zip(s.slot, s.chosen):
+            want = min(left, key=lambda r: (abs(r[1] - slot * 1.5), r[0]))
+            assert i == want[0]
+            left.remove(want)
+
+
+def test_optimal_match_equals_every_assignment(spark):
+    from itertools import permutations
+
+    g = np.random.default_rng(8)
+    rows = [(k, 10_000 * k + int(i), float(g.integers(0, 6)), bool(i % 3 == 0)) for k in range(30) for i in g.permutation(9)]
+    got = design.optimal_match(spark.createDataFrame(rows, "cohort int, id int, age double, target boolean"), "cohort", "id", "age", "target").toPandas()
+    for k in range(30):
+        t, c = [r for r in rows if r[0] == k and r[3]], [r for r in rows if r[0] == k and not r[3]]
+        want = min((sum(abs(a[2] - b[2]) for a, b in zip(t, p)), sum(b[1] for b in p)) for p in permutations(c, len(t)))
+        mine = got[got.cohort == k]
+        assert (mine.gap.sum(), mine.control_id.sum()) == want
