@@ -48,15 +48,19 @@ def screen_features(df: DataFrame, columns: list[str], missing: float = 0.2, lim
 
 
 def detectability(df: DataFrame, key: str, grams: str, label: str, folds: int = 5, dims: int = 1 << 14) -> DataFrame:
-    """(fold, auc, accuracy) of a balanced logistic regression on hashed, idf-weighted character n-grams, stratified by label."""
+    """(fold, auc, accuracy) of a balanced logistic regression on hashed character n-grams (1 + ln of their count, idf-weighted),
+    stratified by label."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import SparseVector, VectorUDT
     from pyspark.sql.window import Window
 
     d = df.select(F.col(key).alias("k"), F.col(grams).alias("g"), F.col(label).cast("double").alias("y"))
     d = d.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("y", F.pmod(F.xxhash64("k"), F.lit(64))).orderBy(F.xxhash64("k"))) + F.pmod(F.xxhash64("k"), F.lit(64)), F.lit(folds)).cast("int"))
-    d = HashingTF(inputCol="g", outputCol="tf", numFeatures=dims).transform(d).select("k", "y", "fold", "tf").cache()
+    d = HashingTF(inputCol="g", outputCol="tf", numFeatures=dims).transform(d)
+    sublinear = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+    d = d.select("k", "y", "fold", sublinear("tf").alias("tf")).cache()
     out = None
     for f in range(folds):
         train, test = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
@@ -64,7 +68,7 @@ def detectability(df: DataFrame, key: str, grams: str, label: str, folds: int =
         norm = Normalizer(inputCol="w", outputCol="x")
         share = train.agg(F.avg("y")).first()[0]
         ready = norm.transform(idf.transform(train)).withColumn("weight", F.when(F.col("y") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1e-3, maxIter=15).fit(ready)
+        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1e-3, maxIter=100).fit(ready)
         p = model.transform(norm.transform(idf.transform(test))).select("y", vector_to_array("probability")[1].alias("p"), F.lit(f).alias("fold"))
         got = mann_whitney(p, "p", F.col("y") == 1, ["fold"]).select("fold", "auc").join(p.groupBy("fold").agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("accuracy")), "fold")
         out = got if out is None else out.union(got)

@@ -306,8 +306,8 @@ def near_duplicate_greedy(spark, d):
 
 @query()
 def detectability_auc(spark, d):
-    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").withColumn("grams", R.word_char_ngrams(F.col("text"), 3, 3))
-    out = detectability(x, "doc_id", "grams", "quality", folds=3, dims=1 << 12)
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").withColumn("grams", R.word_char_ngrams(F.col("text")))
+    out = detectability(x, "doc_id", "grams", "quality")
     return out.select("fold", F.round("auc", 3).alias("auc"), F.round("accuracy", 3).alias("accuracy"))
 
 

@@ -183,3 +183,17 @@ def test_optimal_match_equals_every_assignment(spark):
         want = min((sum(abs(a[2] - b[2]) for a, b in zip(t, p)), sum(b[1] for b in p)) for p in permutations(c, len(t)))
         mine = got[got.cohort == k]
         assert (mine.gap.sum(), mine.control_id.sum()) == want
+
+
+def test_detectability_runs_the_whole_operator(spark, tmp_path, monkeypatch):
+    from lexiloom.plans import text_queries as Q
+
+    seen = []
+    plain = Q.detectability
+    monkeypatch.setattr(Q, "detectability", lambda df, *a, **k: (seen.append(df), plain(df, *a, **k))[1])
+    rows = [(i, ("alpha beta " if i % 2 else "gamma delta ") * (1 + i % 3), i % 2) for i in range(60)]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    out = Q.detectability_auc(spark, str(tmp_path)).toPandas()
+    assert sorted(out.fold) == [0, 1, 2, 3, 4] and (out.auc == 1).all()
+    assert {len(g) for g in seen[0].first()["grams"]} == {3, 4, 5}
