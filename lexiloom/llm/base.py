@@ -7,6 +7,7 @@ long).  Rows that repeat both ``doc_id`` and ``text`` are one document and all o
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,12 +22,13 @@ U64 = np.uint64
 
 # ---------------------------------------------------------------- Spark side
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (local mode)."""
-    try:
-        path = spark.conf.get("spark.checkpoint.dir")
-    except Exception:
-        path = None
+    """The folder that driver and executors share.  Where the session names none, a temporary one in local mode, and an error
+    elsewhere: executors of a cluster would each write to a disk of their own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -102,14 +102,28 @@ def test_quality(spark):
     assert not none.any() and quality.score_quality(df, quality.fit_quality(df.where("false"), none), none).count() == 165
 
 
+def _batch(ids, offs, which):
+    """(inputs, first windows, targets, whether a target counts) of the given (text, window) pairs, cut one by one."""
+    x, y, ok = (np.full((len(which), n), lm_scoring.END) for n in (lm_scoring.SLOTS, lm_scoring.STRIDE, lm_scoring.STRIDE))
+    for i, (d, k) in enumerate(which):
+        text = [lm_scoring.END, *ids[offs[d] : offs[d + 1]].tolist()]  # the input of target j is text[j]
+        for slot in range(lm_scoring.SLOTS):
+            j = k * lm_scoring.STRIDE + slot - lm_scoring.CONTEXT
+            if 0 <= j < len(text):
+                x[i, slot] = text[j]
+            if slot >= lm_scoring.CONTEXT:
+                ok[i, slot - lm_scoring.CONTEXT] = j + 1 < len(text)
+                y[i, slot - lm_scoring.CONTEXT] = text[j + 1] if j + 1 < len(text) else lm_scoring.END
+    return x, np.flatnonzero([k == 0 for _, k in which]), y, ok
+
+
 def test_attention_gradients():
     m = lm_scoring.CausalModel(dim=8)
     g = np.random.default_rng(0)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
     m.start_from(g.integers(0, 5, (lm_scoring.VOCAB, lm_scoring.VOCAB)))
-    ids, offs = g.integers(0, 1023, 200), np.array([0, 30, 31, 200])
-    doc, nth = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 0, 0, 3])
-    w = lm_scoring.windows_of(ids, offs, doc, nth)
+    ids, offs = g.integers(0, lm_scoring.PIECES, 200), np.array([0, 30, 31, 200])
+    w = _batch(ids, offs, [(0, 0), (0, 1), (1, 0), (2, 0), (2, 3)])
     _, grad = m.step(*w)
     for k, v in grad.items():
         i = np.unravel_index(np.abs(v).argmax(), v.shape)
@@ -122,29 +136,63 @@ def test_attention_gradients():
 
 
 def test_each_id_is_scored_once_in_its_window():
-    m = lm_scoring.CausalModel(dim=8).start_from(np.ones((lm_scoring.VOCAB, lm_scoring.VOCAB)))
+    m = lm_scoring.CausalModel(dim=8).start_from(np.ones((lm_scoring.VOCAB, lm_scoring.VOCAB))).ready()
     g = np.random.default_rng(1)
     size = np.array([1, 5, 16, 17, 32, 100])
     offs = np.concatenate([[0], np.cumsum(size)])
-    ids = g.integers(0, 1023, offs[-1]).astype(np.uint16)
+    ids = g.integers(0, lm_scoring.PIECES, offs[-1]).astype(np.uint16)
     ids[offs[1:] - 1] = lm_scoring.END
     whole = lm_scoring.score_ids(m, ids, offs)
     for d, n in enumerate(size):
-        c = -(-n // lm_scoring.STRIDE)
-        x, live, y, ok = lm_scoring.windows_of(ids, offs, np.full(c, d), np.arange(c))
-        assert ok.sum() == n and abs((m.window_scores(x, live, y) * ok).sum() / math.log(10) - whole[d]) < 1e-4
+        x, first, y, ok = _batch(ids, offs, [(d, k) for k in range(-(-n // lm_scoring.STRIDE))])
+        assert ok.sum() == n and abs((m.window_scores(x, first, y) * ok).sum() / math.log(10) - whole[d]) < 1e-4
+        # the folded tables against the network itself
+        assert abs(m.step(x, first, y, ok)[0] * n / math.log(10) + whole[d]) < 1e-3 * n
     # a distribution: probabilities of all next ids add up to 1
-    x, live, y, _ = lm_scoring.windows_of(ids, offs, np.array([5]), np.array([1]))
-    total = sum(np.exp(m.window_scores(x, live, np.full_like(y, t))[0, 0]) for t in range(lm_scoring.VOCAB))
+    x, first, y, _ = _batch(ids, offs, [(5, 1)])
+    total = sum(np.exp(m.window_scores(x, first, np.full_like(y, t))[0, 0]) for t in range(lm_scoring.VOCAB))
     assert abs(total - 1) < 1e-3
 
 
+@TOK
+def test_learning_reads_all_texts(spark):
+    """Every pair of neighbouring ids is counted, and with a share of 1 every window is drawn, copies and null ids included."""
+    ranks = lm_scoring.load_pieces()
+    rows = [*texts(50), *texts(3) * 4, *ODD]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    data, offs = text_bytes(__import__("pyarrow").array([r[1] for r in rows]))
+    _, _, ids, at = lm_scoring.texts_as_ids(data, offs, lm_scoring.Subwords(ranks), Words(SPACE))
+    want = np.zeros((lm_scoring.VOCAB, lm_scoring.VOCAB), np.int64)
+    for a, b in zip(at, at[1:]):
+        np.add.at(want, (np.concatenate([[lm_scoring.END], ids[a : b - 1]]), ids[a:b]), 1)
+    got = lm_scoring.gather(df.select(F.coalesce("text", F.lit("")).alias("t")), ranks, 1.0, 5, "t")
+    assert (lm_scoring.bigram_counts(got) == want).all()
+    drawn = [np.frombuffer(r["load"], np.uint16).reshape(-1, lm_scoring.SLOTS + 3) for r in got.where("kind = 1").collect()]
+    assert got.where("kind = 1").select("g", "round").distinct().count() == 5 * lm_scoring.ROUNDS
+    lay = lm_scoring.Layout(ids, at)
+    assert sorted(map(bytes, np.concatenate(drawn))) == sorted(map(bytes, lay.pack(np.arange(len(lay.doc)))))
+    part = lm_scoring.gather(df.select(F.coalesce("text", F.lit("")).alias("t")), ranks, 0.25, 1, "t").where("kind = 1").agg(F.sum("weight")).first()[0]
+    assert abs(part / len(lay.doc) - 0.25) < 0.03
+
+
+@TOK
+def test_training_helps(spark):
+    df = spark.createDataFrame(texts(400), SCHEMA)
+    ranks = lm_scoring.load_pieces()
+    train = df.where("doc_id % 7 <> 2")
+    model = lm_scoring.fit_model(train, ranks, shard=400)  # several shards
+    plain = lm_scoring.CausalModel().start_from(lm_scoring.bigram_counts(lm_scoring.gather(train, ranks, 0.0, 1))).ready()
+    held = [lm_scoring.score_texts(df, m, ranks, F.col("doc_id") % 7 == 2).where("held_out").agg(F.sum("score")).first()[0] for m in (model, plain)]
+    assert held[0] > held[1]
+
+
 @TOK
 def test_scores_and_word_counts(spark):
     rows = texts(60) + ODD
     df = spark.createDataFrame(rows, SCHEMA)
     held = F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))
-    model, pieces = lm_scoring.fit_model(df.where(~held), lm_scoring.load_pieces(), steps=30)
+    pieces = lm_scoring.load_pieces()
+    model = lm_scoring.fit_model(df.where(~held), pieces)
     got = {r["doc_id"]: r for r in lm_scoring.score_texts(df, model, pieces, held).collect()}
     words = {r[0]: [*(r[1] or "").lower().encode().split(), None] for r in rows}
     count = collections.Counter(w for i, ws in words.items() if i is None or i % 7 != 2 for w in ws)
@@ -155,6 +203,9 @@ def test_scores_and_word_counts(spark):
         assert math.isclose(r["base_score"], sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
         assert r["score"] < 0 and math.isfinite(r["score"])
     assert lm_scoring.score_texts(df.where("false"), model, pieces, held).count() == 0
+    twice = lm_scoring.score_texts(df.union(df.where("doc_id = 3")), model, pieces, held).where("doc_id = 3").collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and math.isclose(twice[0]["score"], got[3]["score"], rel_tol=1e-6)
+    assert lm_scoring.fit_model(df.where("false"), pieces).weights().size
 
 
 def test_remainders(spark):
