@@ -5,11 +5,14 @@ lower-cased, white space as spaces).  The CGK random walk maps strings to longer
 Hamming distance: it copies the current byte to the output and moves on by a random bit that depends on step and byte.
 Item-sized windows are embedded by several independent walks, and repeated samples of ``BITS`` coordinates of the
 embedding serve as hash keys: a window that shares a key with an item is compared exactly (bit-parallel edit distance
-over the stretch around the window).  Sampling repeats until strings at the limit are met with the target recall.
+over the stretch around the window).  Sampling repeats until strings at the limit are met with the target recall; a
+window that equals its item has all its keys and is always met.
 
-Windows are laid only where they can matter: of D + 3 disjoint pieces of an item, a text within D edits of it holds three
-unchanged, shifted against each other by D at most.  So windows start where that many eight-byte pieces of an item
-occur, at their distances from it; no other window can pass the exact comparison.
+Windows are laid only where they can matter, and this loses nothing: of D + k disjoint pieces of an item, D edits leave k
+unchanged, shifted against each other by D at most.  So windows start where that many pieces of eight bytes occur, at
+their distances from it; any other window is farther from the item than D.  Items too short for D + 1 such pieces have
+shorter ones, and all their windows are compared exactly, without sampling.  Items over ``LONG`` bytes are cut into equal
+units: if the item has D edits, one of its k units has D // k at most; the whole item is compared where a unit is found.
 """
 
 from __future__ import annotations
@@ -21,17 +24,18 @@ from pyspark.sql import functions as F
 
 from .base import LOWER, NULL_ID, SPACE, U64, ids_back, longs, ranges, text_bytes
 
-SEED, SPARE = 8, 3
+SEED, SPARE, LONG = 8, 3, 1024
 WALKS, TABLES, BITS = 3, 12, 3
+STEPS = 1 << 12  # the walks' random bits repeat after so many steps
 _FOLD = LOWER.copy()
 _FOLD[SPACE] = 32
 
 
-def edits_allowed(length: int, rate: float) -> tuple[int, int]:
-    """(edits, pieces): rate * length edits, fewer where pieces would be shorter than a seed; SPARE more pieces than edits,
-    as far as the length goes."""
-    d = max(0, min(int(rate * length), length // SEED - 1))
-    return d, max(1, min(d + SPARE, length // SEED))
+def pieces_of(length: int, edits: int) -> tuple[int, int]:
+    """(number, bytes) of the disjoint pieces of a string, more than ``edits`` of them: SPARE more where they can be of SEED
+    bytes."""
+    size = min(SEED, length // (edits + 1))
+    return (min(edits + SPARE, length // SEED) if size == SEED else edits + 1), size
 
 
 def fold(text: bytes) -> np.ndarray:
@@ -65,57 +69,85 @@ def semi_global(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     return best
 
 
+def word_global(pattern: np.ndarray, size: np.ndarray, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``semi_global`` for many (pattern of 64 bytes at most, stretch) pairs at once: (least edits, end within the stretch)."""
+    n, one = len(size), U64(1)
+    eq = np.zeros((n, 256), U64)
+    for j in range(int(size.max()) if n else 0):
+        live = np.flatnonzero(j < size)
+        eq[live, pattern[live, j]] |= one << U64(j)
+    top = (size - 1).astype(U64)
+    pv, mv, score = np.full(n, ~U64(0)), np.zeros(n, U64), size.copy()
+    best, end = size.copy(), np.zeros(n, np.int64)
+    for j in range(int((hi - lo).max()) if n else 0):
+        live = lo + j < hi
+        e = np.where(live, eq[np.arange(n), data[np.minimum(lo + j, len(data) - 1)]], U64(0))
+        xv = e | mv
+        xh = (((e & pv) + pv) ^ pv) | e
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += (ph >> top & one).astype(np.int64) - (mh >> top & one).astype(np.int64)
+        ph, mh = ph << one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+        less = live & (score < best)
+        best[less], end[less] = score[less], j + 1
+    return best, end
+
+
 class Items:
-    """The benchmark, ready to be searched for: seeds, embeddings and sampled keys."""
+    """The benchmark, ready to be searched for: units of items, seeds, embeddings and sampled keys."""
 
     def __init__(self, ids: list, texts: list[bytes], rate: float, seed: int = 41):
         self.ids, self.rate = np.array(ids, np.int64), rate
         self.texts = [fold(t).tobytes() for t in texts]
-        self.size = np.array([len(t) for t in self.texts], np.int64)
-        allowed = np.array([edits_allowed(n, rate) for n in self.size], np.int64).reshape(-1, 2)
-        self.most, self.need = allowed[:, 0], allowed[:, 1] - allowed[:, 0]
-        grams, item, off = [], [], []
+        self.limit = np.array([int(rate * len(t)) for t in self.texts], np.int64)
+        self.body = np.frombuffer(b"".join(self.texts) or b"\0", np.uint8)
+        units, seeds, base = [], {}, 0
         for k, t in enumerate(self.texts):
-            pieces = int(allowed[k, 1])
-            for j in range(pieces if len(t) >= SEED else 0):
-                a = len(t) * j // pieces
-                grams.append(int.from_bytes(t[a : a + SEED], "little"))
-                item.append(k)
-                off.append(a)
-        order = np.argsort(np.array(grams, U64), kind="stable")
-        self.gram, self.item, self.off = np.array(grams, U64)[order], np.array(item, np.int64)[order], np.array(off, np.int64)[order]
-        self.bitmap = np.zeros(1 << 21, bool)
-        self.bitmap[self._slot(self.gram)] = True
+            parts = -(-len(t) // LONG)
+            for i in range(parts):
+                a, b = len(t) * i // parts, len(t) * (i + 1) // parts
+                edits = int(self.limit[k]) // parts
+                number, size = pieces_of(b - a, edits)
+                for j in range(number):
+                    at = (b - a) * j // number
+                    seeds.setdefault(size, []).append((int.from_bytes(t[a + at : a + at + size], "little"), len(units), at))
+                units.append((k, a, base + a, b - a, edits, number - edits, size < SEED))
+            base += len(t)
+        self.item, self.at, self.begin, self.size, self.most, self.need, self.direct = np.array(units, np.int64).reshape(-1, 7).T
+        self.seeds = {}
+        for size, found in seeds.items():
+            g, u, off = zip(*found)
+            order = np.argsort(np.array(g, U64), kind="stable")
+            gram = np.array(g, U64)[order]
+            bitmap = np.zeros(1 << 21, bool)
+            bitmap[self._slot(gram)] = True
+            self.seeds[size] = gram, np.array(u, np.int64)[order], np.array(off, np.int64)[order], bitmap
         g = np.random.default_rng(seed)
-        self.width = int(self.size.max()) if len(self.size) else 0
-        self.bits = g.integers(0, 2, (WALKS, 3 * self.width, 256), dtype=np.int8)
+        self.bits = g.integers(0, 2, (WALKS, min(STEPS, 3 * int(self.size.max())) if len(self.size) else 1, 256), dtype=np.int8)
         self.samples = np.sort(g.random((WALKS, TABLES, BITS)), axis=2)
-        body = np.zeros((len(self.texts), self.width), np.uint8)
-        for k, t in enumerate(self.texts):
-            body[k, : len(t)] = np.frombuffer(t, np.uint8)
-        self.keys = self.embed(body, np.arange(len(self.texts)))
+        self.keys = self.embed(self.body, self.begin, self.begin + self.size, np.arange(len(self.item)))
 
     @staticmethod
     def _slot(gram: np.ndarray) -> np.ndarray:
         return (gram * U64(0x9E3779B97F4A7C15) >> U64(43)).astype(np.int64)
 
-    def embed(self, body: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Sampled keys (windows x WALKS * TABLES) of windows that are as long as their items; places beyond are 0."""
-        n = len(body)
+    def embed(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Sampled keys (windows x WALKS * TABLES) of the windows lo to hi of ``data``, each as long as its unit; what a walk
+        reads beyond a window is 0."""
+        n = len(unit)
         keys = np.zeros((n, WALKS, TABLES), np.uint32)
-        wide = np.concatenate([body, np.zeros((n, 1), np.uint8)], 1).ravel()
-        row = np.arange(n) * (body.shape[1] + 1)
-        size = self.size[item]
+        size = self.size[unit]
         for w in range(WALKS):
             # coordinates are shares of the walk, so that windows of all lengths go together
             at = np.floor(self.samples[w][None] * (3 * size)[:, None, None]).astype(np.int32)
             wanted = at.reshape(n, -1)
             order = np.argsort(wanted, 1, kind="stable")
             walk = np.zeros((n, TABLES * BITS), np.uint8)
-            place, nxt = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            place, nxt = lo.copy(), np.zeros(n, np.int64)
             due = np.take_along_axis(wanted, order[:, :1], 1)[:, 0]
             for j in range(int(wanted.max()) + 1 if n else 0):
-                c = wide[row + place]
+                c = data[np.minimum(place, hi - 1)]
+                c[place >= hi] = 0
                 hit = np.flatnonzero(due == j)
                 while len(hit):
                     walk[hit, order[hit, nxt[hit]]] = c[hit]
@@ -125,41 +157,51 @@ class Items:
                     hit = hit[more]
                     due[hit] = wanted[hit, order[hit, nxt[hit]]]
                     hit = hit[due[hit] == j]
-                place += self.bits[w, j][c]
-                np.minimum(place, body.shape[1], out=place)
+                place += self.bits[w, j % self.bits.shape[1]][c]
             for b in range(BITS):
                 keys[:, w] = keys[:, w] << 8 | walk.reshape(n, TABLES, BITS)[:, :, b]
         return keys.reshape(n, -1)
 
     def windows(self, data: np.ndarray, offs: np.ndarray):
-        """(doc, item, start) of the windows that seeds call for, distinct; ``data`` is folded."""
-        if len(data) < SEED or not len(self.gram):
-            return (np.zeros(0, np.int64),) * 3
-        out = []
+        """(doc, unit, start) of the windows that pieces call for, distinct and in order; ``data`` is folded."""
+        out = [np.zeros((3, 0), np.int64)]
+        for size, (gram, unit, off, bitmap) in self.seeds.items():
+            out.append(self._laid(data, offs, size, gram, unit, off, bitmap))
+        x = np.concatenate(out, 1)
+        x = x[:, np.lexsort((x[2], x[1], x[0]))]
+        new = np.ones(x.shape[1], bool)
+        new[1:] = (x[:, 1:] != x[:, :-1]).any(0)
+        return tuple(x[:, new])
+
+    def _laid(self, data, offs, size, gram, unit, off, bitmap) -> np.ndarray:
+        out = [np.zeros((4, 0), np.int64)]
         for lo in range(int(offs[0]), int(offs[-1]), 1 << 18):
-            b = data[lo : min(int(offs[-1]), lo + (1 << 18) + SEED - 1)]
-            if len(b) < SEED:
+            b = data[lo : min(int(offs[-1]), lo + (1 << 18) + size - 1)]
+            if len(b) < size:
                 break
-            v = np.lib.stride_tricks.as_strided(b, (len(b) - 7, 8), (1, 1)).copy().view(U64)[:, 0]
-            pos = np.flatnonzero(self.bitmap[self._slot(v)])
+            if size == SEED:
+                v = np.lib.stride_tricks.as_strided(b, (len(b) - 7, 8), (1, 1)).copy().view(U64)[:, 0]
+            else:
+                v = np.zeros(len(b) - size + 1, U64)
+                for j in range(size):
+                    v |= b[j : j + len(v)].astype(U64) << U64(8 * j)
+            pos = np.flatnonzero(bitmap[self._slot(v)])
             v = v[pos]
-            left, right = np.searchsorted(self.gram, v, "left"), np.searchsorted(self.gram, v, "right")
+            left, right = np.searchsorted(gram, v, "left"), np.searchsorted(gram, v, "right")
             n = right - left
             j = ranges(left, n)
             pos = np.repeat(pos, n) + lo
             doc = np.searchsorted(offs, pos, "right") - 1
-            inside = pos + SEED <= offs[doc + 1]
-            out.append(np.stack([doc[inside], self.item[j[inside]], (pos - self.off[j])[inside], self.off[j[inside]]]))
-        x = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
+            inside = pos + size <= offs[doc + 1]
+            out.append(np.stack([doc[inside], unit[j[inside]], (pos - off[j])[inside], off[j[inside]]]))
+        x = np.concatenate(out, 1)
         # pieces that stay together fall into one of two overlapping bins; distinct pieces of a bin are counted
         keep = np.zeros(x.shape[1], bool)
         width = np.maximum(self.most[x[1]], 8)
-        for half in (0, 1):
-            bin_of = (x[2] + (1 << 20) + half * width) // (2 * width)
+        for half in (0, 1) if x.shape[1] else ():
+            bin_of = (x[2] + (1 << 40) + half * width) // (2 * width)
             order = np.lexsort((x[3], bin_of, x[1], x[0]))
             y = np.stack([x[0], x[1], bin_of, x[3]])[:, order]
-            if not y.shape[1]:
-                break
             new = np.ones(y.shape[1], bool)
             new[1:] = (y[:3, 1:] != y[:3, :-1]).any(0)
             piece = new.copy()
@@ -167,47 +209,82 @@ class Items:
             s = np.flatnonzero(new)
             many = np.add.reduceat(piece, s, dtype=np.int64) >= self.need[y[1, s]]
             keep[order] |= np.repeat(many, np.diff(np.append(s, y.shape[1])))
-        x = x[:3, keep]
-        order = np.lexsort((x[2], x[1], x[0]))
-        x = x[:, order]
-        new = np.ones(x.shape[1], bool)
-        if x.shape[1]:
-            new[1:] = (x[:, 1:] != x[:, :-1]).any(0)
-        return tuple(x[:, new])
+        return x[:3, keep]
 
-    def search(self, data: np.ndarray, offs: np.ndarray):
-        """(doc, item, edits, start, end) of the nearest stretch of each item that is found in a text."""
+    def met(self, data: np.ndarray, offs: np.ndarray, doc: np.ndarray, unit: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether a window shares a key with its unit; units compared directly need none."""
+        near = self.direct[unit] > 0
+        ask = np.flatnonzero(~near)
+        ask = ask[np.argsort(self.size[unit[ask]], kind="stable")]  # walks of like length go together
+        for at in range(0, len(ask), 8192):
+            i = ask[at : at + 8192]
+            lo, hi = np.maximum(start[i], offs[doc[i]]), np.minimum(start[i] + self.size[unit[i]], offs[doc[i] + 1])
+            near[i] = (self.embed(data, lo, hi, unit[i]) == self.keys[unit[i]]).any(1)
+        return near
+
+    def search(self, data: np.ndarray, offs: np.ndarray) -> dict:
+        """{(doc, item): (edits, start, end)}: the nearest stretch of each item that is found in a text."""
         base = int(offs[0])
         data, offs = _FOLD[data[base : offs[-1]]], offs - base
-        doc, item, start = self.windows(data, offs)
+        doc, unit, start = self.windows(data, offs)
+        near = self.met(data, offs, doc, unit, start)
+        doc, unit, start = doc[near], unit[near], start[near]
+        if not len(doc):
+            return {}
+        # windows whose stretches overlap are one stretch, up to some lengths of the unit
+        new, cell = np.ones(len(doc), bool), start // (8 * self.size[unit] + 64)
+        new[1:] = (doc[1:] != doc[:-1]) | (unit[1:] != unit[:-1]) | (start[1:] - start[:-1] > self.most[unit[1:]] + 1) | (cell[1:] != cell[:-1])
+        s = np.flatnonzero(new)
+        last = np.append(s[1:], len(doc)) - 1
+        doc, unit, lo, hi = doc[s], unit[s], start[s] - self.most[unit[s]], start[last] + (self.size + self.most)[unit[s]]
+        lo, hi = np.maximum(lo, offs[doc]), np.minimum(hi, offs[doc + 1])
         found: dict = {}
+
+        def note(d: int, k: int, edits: int, end: int) -> None:
+            end -= int(offs[d])
+            if (d, k) not in found or edits < found[d, k][0]:
+                found[d, k] = (edits, max(0, end - len(self.texts[k]) - edits), end)
+
+        small = self.size[unit] <= 64
+        for at in range(0, int(small.sum()), 8192):
+            i = np.flatnonzero(small)[at : at + 8192]
+            size = self.size[unit[i]]
+            pattern = self.body[np.minimum(self.begin[unit[i], None] + np.arange(64), len(self.body) - 1)]
+            edits, end = word_global(pattern, size, data, lo[i], hi[i])
+            for x in np.flatnonzero(edits <= self.most[unit[i]]).tolist():
+                note(int(doc[i[x]]), int(self.item[unit[i[x]]]), int(edits[x]), int(lo[i[x]] + end[x]))
         tried: set = set()
-        for at in range(0, len(doc), 8192):
-            d, k, s = doc[at : at + 8192], item[at : at + 8192], start[at : at + 8192]
-            lo = np.maximum(s, offs[d])
-            n = np.minimum(s + self.size[k], offs[d + 1]) - lo
-            body = np.zeros((len(d), self.width), np.uint8)
-            flat = ranges(np.zeros(len(n), np.int64), n)
-            body[np.repeat(np.arange(len(d)), n), flat] = data[ranges(lo, n)]
-            near = (self.embed(body, k) == self.keys[k]).any(1)
-            for i in np.flatnonzero(near).tolist():
-                dd, kk, most = int(d[i]), int(k[i]), int(self.most[k[i]])
-                a, b = max(int(offs[dd]), int(s[i]) - most), min(int(offs[dd + 1]), int(s[i]) + int(self.size[kk]) + most)
-                if (dd, kk, a) in tried or found.get((dd, kk), (1,))[0] == 0:
+        for i in np.flatnonzero(~small).tolist():
+            d, u = int(doc[i]), int(unit[i])
+            k, a, b = int(self.item[u]), int(lo[i]), int(hi[i])
+            if found.get((d, k), (1,))[0] == 0:
+                continue
+            t = self.texts[k]
+            if self.size[u] < len(t):  # a unit of a long item: the whole one is compared around it
+                got = _nearest(t[int(self.at[u]) : int(self.at[u] + self.size[u])], data[a:b].tobytes(), int(self.most[u]))
+                if not got:
+                    continue
+                # the unit ends at a + got[1]; the item lies about it, give or take its limit
+                from_ = a + got[1] - int(self.at[u] + self.size[u])
+                wide = int(self.limit[k])
+                if any((d, k, x) in tried for x in (from_ // (wide + 1) - 1, from_ // (wide + 1), from_ // (wide + 1) + 1)):
                     continue
-                tried.add((dd, kk, a))
-                text = data[a:b].tobytes()
-                p = text.find(self.texts[kk])
-                got = (0, p + int(self.size[kk])) if p >= 0 else semi_global(self.texts[kk], text, most)
-                if got and ((dd, kk) not in found or got[0] < found[dd, kk][0]):
-                    end = a + got[1] - int(offs[dd])
-                    found[dd, kk] = (got[0], max(0, end - int(self.size[kk]) - got[0]), end)
+                tried.add((d, k, from_ // (wide + 1)))
+                a, b = max(int(offs[d]), from_ - 4 * wide - 4), min(int(offs[d + 1]), from_ + len(t) + 4 * wide + 4)
+            got = _nearest(t, data[a:b].tobytes(), int(self.limit[k]))
+            if got:
+                note(d, k, got[0], a + got[1])
         return found
 
 
+def _nearest(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
+    p = text.find(item)
+    return (0, p + len(item)) if p >= 0 else semi_global(item, text, most)
+
+
 def batches_of_items(benchmark: DataFrame, key: str, text: str, rate: float, most_bytes: int):
-    """The benchmark in parts of bounded size: each is small enough to send to every task."""
-    items = benchmark.where(F.col(text).isNotNull() & (F.octet_length(F.col(text)) >= SEED)).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    """The benchmark in parts of about ``most_bytes``, small enough to send to every task."""
+    items = benchmark.where(F.octet_length(F.col(text)) > 0).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-total // most_bytes))
     for i in range(parts if total else 0):
@@ -218,8 +295,10 @@ def batches_of_items(benchmark: DataFrame, key: str, text: str, rate: float, mos
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, most_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, edits, start, stop): each item found in a document, with the least number of edits and about where
-    (byte offsets; ``stop`` is exact).  Null texts hold nothing; items under eight bytes are too short to be told and are
-    left out.  Rows that repeat an id are searched each; repeated items are reported each once."""
+    (byte offsets; ``stop`` is exact, the first of equally near ones).  Null and empty texts hold nothing; null and empty
+    items are found nowhere; items under 1 / ``rate`` bytes must occur as they are.  Rows that repeat an id are searched each;
+    repeated items are one, and different items under one id are reported each.  Other columns are not looked at.  Memory
+    of a task is bounded by ``most_bytes`` of items, or one item if that is longer, and its batch of texts."""
     out = None
     for items in batches_of_items(benchmark, item_key, item_text, rate, most_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # most_bytes of items at most
@@ -243,7 +322,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, most_bytes: int = 8 << 20) -> DataFrame:
-    """``docs`` without the rows in whose text any item is found; one pass over the rows for each part of the benchmark."""
+    """``docs`` without the rows in whose text any item is found; one pass over the rows for each part of the benchmark.
+    Null and empty texts stay, repeated rows go or stay together, and columns keep names, order and values."""
     column = docs.columns.index(text)
     for items in batches_of_items(benchmark, item_key, item_text, rate, most_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)

@@ -92,7 +92,7 @@ def test_decontamination_recall_and_clean_texts(spark):
     g = random.Random(1)
     word = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(g.randint(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(g.randint(16, 50))) for i in range(20)] + [(90, None), (91, ""), (92, "short")]
+    items = [(i, prose(g.randint(16, 50))) for i in range(20)] + [(90, None), (91, ""), (92, "0short")]
     rows, want = [], set()
     for i in range(120):
         k, t = g.choice(items[:20])
@@ -115,6 +115,82 @@ def test_decontamination_recall_and_clean_texts(spark):
     assert decontaminate.contaminated(df.where("false"), bench).count() == 0
 
 
+def _edited(g, t: str, n: int, alphabet: str) -> str:
+    out = list(t)
+    for _ in range(n):
+        p = g.randrange(len(out))
+        out[p : p + g.randint(0, 1)] = [g.choice(alphabet)] if g.random() < 0.7 else []
+    return "".join(out)
+
+
+def test_decontamination_against_all_stretches(spark):
+    """The query against the edit distance to every stretch of every text, for items of 3 bytes and more."""
+    g = random.Random(4)
+    letters = "abcdefg "
+    text = lambda n: "".join(g.choice(letters) for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([3, 5, 9, 10, 15, 15, 23, 31, 39, 40, 47, 64, 65, 80, 120, 300])] + [(3, text(33)), (50, None), (51, "")]
+    rows = [(i, text(g.randint(0, 30)) + _edited(g, t, g.randint(0, len(t) // 10 + 1), letters) + text(g.randint(0, 30))) for i, (_, t) in enumerate([x for x in items if x[1]] * 8)]
+    rows += [(500, None), (501, ""), (7, rows[7][1]), (7, "another text of this id")]
+    want, exact, limit = set(), set(), set()
+    for d, t in rows:
+        for k, x in items:
+            if x and t:
+                e = brute_edits(x.encode(), t.encode())
+                if e <= int(0.1 * len(x)):
+                    want.add((d, k))
+                    (exact if e == 0 or len(x) < 40 else limit).add((d, k))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("edits", F.lit("clash")).withColumn("k", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string").union(spark.createDataFrame(items[:2], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got <= want and exact <= got and len(limit) > 25 and len(got & limit) >= 0.97 * len(limit)
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and not {r["doc_id"] for r in kept.collect()} & ({d for d, _ in got} - {7})
+
+
+def test_windows_from_pieces_lose_nothing():
+    """Whatever the edits up to the limit, a window of the item starts within the limit of the place."""
+    g = random.Random(5)
+    for _ in range(150):
+        n = g.choice([12, 25, 40, 55, 79, 80, 100, 119, 120, 200, 400, 1500, 2500])
+        t = "".join(g.choice("abcd") for _ in range(n))
+        known = decontaminate.Items([1], [t.encode()], 0.1)
+        before = "".join(g.choice("wxyz") for _ in range(g.randint(0, 50)))
+        passage = t
+        for _ in range(n // 10):  # substitutions, insertions, deletions spread as they come
+            p = g.randrange(len(passage))
+            passage = passage[:p] + g.choice(["", "w", passage[p] + "x"]) + passage[p + 1 :]
+        data = np.frombuffer((before + passage + "zz").encode(), np.uint8)
+        _, unit, start = known.windows(data, np.array([0, len(data)]))
+        near = np.abs(start - known.at[unit] - len(before)) <= n // 10
+        assert near.any(), (n, t, passage)
+
+
+def test_long_items_in_bounded_memory():
+    g = np.random.default_rng(6)
+    million, long = (g.integers(97, 123, n, dtype=np.uint8) for n in (1 << 20, 20000))
+    known = decontaminate.Items([1, 2], [million.tobytes(), long.tobytes()], 0.1)
+    assert known.bits.nbytes <= 3 * 4096 * 256 and known.keys.nbytes < 1 << 20
+    edited = long.copy()
+    edited[g.choice(20000, 1500, replace=False)] = 46
+    texts = [g.integers(97, 123, 50000, dtype=np.uint8), edited, million, long[:9000]]
+    data, offs = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = known.search(data, offs)
+    assert set(got) == {(1, 1), (2, 0)} and got[2, 0][0] == 0 and 1400 < got[1, 1][0] <= 1500
+
+
+def test_word_distance():
+    g = random.Random(7)
+    pairs = [("".join(g.choice("ab ") for _ in range(g.randint(1, 64))).encode(), "".join(g.choice("ab ") for _ in range(g.randint(0, 90))).encode()) for _ in range(200)]
+    data = np.frombuffer(b"".join(t for _, t in pairs), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for _, t in pairs])])
+    pattern = np.array([np.frombuffer(p.ljust(64), np.uint8) for p, _ in pairs])
+    edits, end = decontaminate.word_global(pattern, np.array([len(p) for p, _ in pairs]), data, offs[:-1], offs[1:])
+    for (p, t), e, at in zip(pairs, edits, end):
+        assert e == brute_edits(p, t)
+        got = decontaminate.semi_global(p, t, len(p))
+        assert got is None or e == len(p) or got == (e, at)
+
+
 def test_pfair_schedule_stays_within_one_block():
     g = random.Random(2)
     for _ in range(60):
