@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from .base import NULL_ID, materialise, size_of
 
 BLOCK = 16
+MOST_BLOCKS = 1 << 22
 BROADCAST_SLOTS = 1 << 16  # a longer slot table is joined by exchange
 
 
@@ -44,22 +45,6 @@ def exact_quotas(weights: Mapping[str, float]) -> dict[str, int]:
     return {s: int(x * period) for s, x in share.items()}
 
 
-def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Weights rounded to a given period.  Slots of each source in a period: largest remainders, one slot at least for a positive weight."""
-    live = {s: w for s, w in weights.items() if w > 0}
-    total = sum(live.values())
-    exact = {s: w / total * period for s, w in live.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(live, key=lambda s: (-(exact[s] - int(exact[s])), s)):
-        if sum(out.values()) >= period:
-            break
-        out[s] += 1
-    while sum(out.values()) > period:
-        big = max(out, key=lambda s: (out[s] - exact[s], s))
-        out[big] -= 1
-    return out
-
-
 def one_period(quota: Mapping[str, int]) -> Iterator[str]:
     """The source of each slot: released blocks, earliest deadline first (ties to the longer block queue, then by name)."""
     period = sum(quota.values())
@@ -76,10 +61,10 @@ def one_period(quota: Mapping[str, int]) -> Iterator[str]:
         yield s
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int | None = None) -> list[tuple]:
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple]:
     """(first slot, {source: first block}, slots of the period, length in slots) of each phase.  A phase repeats its period
     while all its sources can fill it, then runs into a last one up to the slot whose source has nothing left; of a period
-    longer than the phase only the phase is made.  ``period`` rounds the weights to multiples of 1 / period instead."""
+    longer than the phase only the phase is made."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     at, out = 0, []
@@ -88,8 +73,8 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int
         if not any(w > 0 for w in share.values()):
             share = dict.fromkeys(left, 1.0)  # sources without a target come last, in equal parts
         share = {s: w for s, w in share.items() if w > 0}
-        quota = quotas(share, _fitting(share, period)) if period else exact_quotas(share)
-        slots = list(one_period(quota)) if period else list(_within(one_period(quota), left))
+        quota = exact_quotas(share)
+        slots = list(_within(one_period(quota), left))
         whole = min(left[s] // n for s, n in quota.items()) if len(slots) == sum(quota.values()) else 0
         used = {s: whole * n for s, n in quota.items()}
         length = whole * len(slots)
@@ -117,37 +102,38 @@ def _within(slots: Iterator[str], left: Mapping[str, int]) -> Iterator[str]:
         yield s
 
 
-def _fitting(share: dict, period: int) -> int:
-    """The period, doubled until it holds at least four slots a source."""
-    while len(share) * 4 > period:
-        period *= 2
-    return period
-
-
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """``docs`` with ``mix_block`` (number of the document's block within its source), ``mix_slot`` (the block's place in
-    the mix, from 0) and ``mix_place`` (the document's place within its block).
+    the mix, from 0) and ``mix_place`` (the document's place within its block); columns of these names that ``docs`` has
+    are replaced.
 
     ``weights`` are target shares by source; without them all sources count alike.  A null source is a source of its own
     (named by a null key in ``weights``).  Documents of a source come in the order of a hash of id, ties by id, then by
-    the hash of all columns, so that repeated rows are placed one after the other.  The driver holds one number per
-    source and a table of one period per phase (weights without a small common denominator: one row a block of the phase,
-    unless ``period`` rounds them); numbers within a source come from counts per hash range, never from one task per source.
+    the hash of all columns, so that repeated rows are placed one after the other; texts are not looked at but for that.
+    An empty table gives none.
+
+    The driver holds one number per source and the slots of one period per phase: with weights that have no small common
+    denominator, one slot a block.  So that this stays bounded, ``block`` is doubled until the mix has ``MOST_BLOCKS`` blocks
+    at most.  Numbers within a source come from counts per hash range, never from one task per source.
     """
-    cols = docs.columns
-    src = F.coalesce(F.col(source).cast("string"), F.lit("\x00null"))
+    cols = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_place")]
     target = {("\x00null" if k is None else k): v for k, v in weights.items()} if weights is not None else None
     ranges_n = 64  # hash ranges of a source: they grow with the input, so that a range fits a task
     while ranges_n * (4 << 20) < size_of(docs):
         ranges_n *= 2
+    told = [F.col(_quoted(c)) for c in cols if "map<" not in docs.schema[c].dataType.simpleString()]
     h = F.xxhash64(F.lit(5), F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)))
-    marked = docs.withColumn("_s", src).withColumn("_h", h).withColumn("_r", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(ranges_n)).cast("int"))
-    counts = materialise(marked.groupBy("_s", "_r").agg(F.count("*").alias("_n")))
-    before = counts.select("_s", "_r", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_r")) - F.col("_n")).alias("_before"))  # one row a range
-    totals = {r["_s"]: r["n"] for r in counts.groupBy("_s").agg(F.sum("_n").alias("n")).collect()}  # one row a source
+    # the columns of ``docs`` go along as one, so that no name of theirs meets a name of ours
+    marked = docs.select(F.struct(*[F.col(_quoted(c)) for c in cols]).alias("row"), F.coalesce(F.col(source).cast("string"), F.lit("\x00null")).alias("s"), h.alias("h"), F.xxhash64(*told).alias("t"), F.col(key).alias("id"))
+    marked = marked.withColumn("r", F.pmod(F.shiftrightunsigned("h", 20), F.lit(ranges_n)).cast("int"))
+    counts = materialise(marked.groupBy("s", "r").agg(F.count("*").alias("n")))
+    before = counts.select("s", "r", (F.sum("n").over(Window.partitionBy("s").orderBy("r")) - F.col("n")).alias("before"))  # one row a range
+    totals = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # one row a source
     if target is None:
         target = dict.fromkeys(totals, 1.0)
-    plan = phases({s: -(-n // block) for s, n in totals.items()}, target, period)
+    while sum(-(-n // block) for n in totals.values()) > max(MOST_BLOCKS, len(totals)):
+        block *= 2
+    plan = phases({s: -(-n // block) for s, n in totals.items()}, target)
     names: list = []
     numbers: list = [[] for _ in range(5)]
     spans = []
@@ -163,16 +149,21 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
                 column.append(v)
             nth[s] += 1
     spark = docs.sparkSession
-    table = spark.createDataFrame(pa.table([pa.array(names, pa.string()), *[pa.array(c, pa.int64()) for c in numbers]], names=["_s", "_q", "_k", "_from", "_slot", "_len"]))
-    table = F.broadcast(table) if len(names) <= BROADCAST_SLOTS else table
-    spans = spark.createDataFrame(spans, "_s string, _q long, _from long, _to long")
-    order = Window.partitionBy("_s", "_r").orderBy("_h", key, F.xxhash64(*[F.col(c) for c in cols]))
-    placed = marked.withColumn("_i", F.row_number().over(order) - 1).join(before, ["_s", "_r"]).withColumn("_i", F.col("_i") + F.col("_before"))
-    placed = placed.withColumn("mix_block", F.floor(F.col("_i") / block).cast("long")).withColumn("mix_place", (F.col("_i") % block).cast("int"))
-    # a phase ends a source: spans has at most one row a source and phase
-    placed = placed.join(F.broadcast(spans), "_s").where("mix_block >= _from and mix_block < _to").withColumn("_k", F.pmod(F.col("mix_block") - F.col("_from"), F.col("_q")))
-    placed = placed.join(table, ["_s", "_q", "_from", "_k"])
-    return placed.select(*cols, "mix_block", (F.col("_slot") + F.floor((F.col("mix_block") - F.col("_from")) / F.col("_q")) * F.col("_len")).cast("long").alias("mix_slot"), "mix_place")
+    sent = lambda df, n: F.broadcast(df) if n <= BROADCAST_SLOTS else df
+    table = sent(spark.createDataFrame(pa.table([pa.array(names, pa.string()), *[pa.array(c, pa.int64()) for c in numbers]], names=["s", "q", "k", "first", "slot", "len"])), len(names))
+    # a phase ends a source, and a span is a source with a slot in a phase: there are fewer than blocks
+    spans = sent(spark.createDataFrame(pa.table([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(zip(*spans) if spans else [()] * 4)], names=["s", "q", "first", "end"])), len(spans))
+    order = Window.partitionBy("s", "r").orderBy("h", "id", "t")
+    placed = marked.withColumn("i", F.row_number().over(order) - 1).join(before, ["s", "r"]).withColumn("i", F.col("i") + F.col("before"))
+    placed = placed.withColumn("b", F.floor(F.col("i") / block).cast("long")).withColumn("place", (F.col("i") % block).cast("int"))
+    placed = placed.join(spans, "s").where("b >= first and b < end").withColumn("k", F.pmod(F.col("b") - F.col("first"), F.col("q")))
+    placed = placed.join(table, ["s", "q", "first", "k"])
+    slot = (F.col("slot") + F.floor((F.col("b") - F.col("first")) / F.col("q")) * F.col("len")).cast("long")
+    return placed.select("row.*", F.col("b").alias("mix_block"), slot.alias("mix_slot"), F.col("place").alias("mix_place"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

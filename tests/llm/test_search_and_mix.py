@@ -191,23 +191,6 @@ def test_word_distance():
         assert got is None or e == len(p) or got == (e, at)
 
 
-def test_pfair_schedule_stays_within_one_block():
-    g = random.Random(2)
-    for _ in range(60):
-        w = {f"s{i}": g.random() + 0.01 for i in range(g.randint(1, 9))}
-        blocks = {s: g.randint(0, 300) for s in w}
-        placed = []
-        for at, _, slots, length in mixing.phases(blocks, w, 64):
-            assert at == len(placed)
-            quota, seen = collections.Counter(slots), collections.Counter()
-            part = (slots * (length // len(slots) + 1))[:length]
-            for i, s in enumerate(part, 1):
-                seen[s] += 1
-                assert all(abs(seen[x] - quota[x] * i / len(slots)) < 1 for x in quota)
-            placed += part
-        assert collections.Counter(placed) == {s: n for s, n in blocks.items() if n}
-
-
 def test_pfair_schedule_stays_within_one_block_of_the_targets():
     g = random.Random(5)
     names = [f"src{i}" for i in range(20)]
@@ -230,6 +213,39 @@ def test_pfair_schedule_stays_within_one_block_of_the_targets():
         assert not any(blocks.values())
 
 
+def test_pfair_over_a_hundred_thousand_slots():
+    """Random weights: at each slot every source is less than a block off its true share, by simulation of the whole mix."""
+    g = np.random.default_rng(8)
+    for w in ([1 / 3, 2 / 3], g.random(5).tolist(), (g.random(12) ** 3 + 1e-4).tolist()):
+        share = np.array(w) / sum(w)
+        (at, _, slots, length), *_ = mixing.phases({f"s{i:02}": int(x * 100_000) + 1 for i, x in enumerate(share)}, {f"s{i:02}": x for i, x in enumerate(w)})
+        assert at == 0 and length > 99_000
+        seen = np.zeros((length, len(w)), np.int32)
+        name = {f"s{i:02}": i for i in range(len(w))}
+        seen[np.arange(length), [name[slots[i % len(slots)]] for i in range(length)]] = 1
+        off = np.abs(np.cumsum(seen, 0) - np.arange(1, length + 1)[:, None] * share)
+        assert off.max() < 1 + 1e-9 * length
+
+
+def test_mix_columns_that_clash_and_bounded_slots(spark, monkeypatch):
+    names = ["s", "r", "h", "t", "id", "row", "n", "b", "k", "q", "first", "slot", "len", "i", "place", "before", "end", "mix_slot", "mix_block", "a.b"]
+    df = spark.createDataFrame([(i, "ab"[i % 2], *[f"{c}{i}" for c in names]) for i in range(200)], ["doc_id", "source", *names])
+    out = mixing.mix_sources(df, {"a": 0.5, "b": 0.5}, block=4)
+    assert out.columns == ["doc_id", "source", *[c for c in names if not c.startswith("mix")], "mix_block", "mix_slot", "mix_place"]
+    got = out.toPandas()
+    assert all((got[c] == c + got.doc_id.astype(str)).all() for c in ("s", "row", "k", "a.b")) and got.mix_slot.nunique() == 50
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    few = mixing.mix_sources(df, {"a": 0.30000000000000007, "b": 0.7}, block=4).toPandas()
+    assert few.mix_slot.max() < 10 and len(few) == 200 and not few.duplicated(["mix_slot", "mix_place"]).any()
+
+
+def test_many_sources(spark):
+    """Hosts as sources: what the driver makes grows with the blocks, not with the square of the sources."""
+    n = {f"h{i}": 1 + i % 3 for i in range(500)}
+    plan = mixing.phases(n, {s: 1 + (i % 7) / 10 for i, s in enumerate(n)})
+    assert sum(x[3] for x in plan) == sum(n.values()) and sum(len(x[2]) for x in plan) <= 2 * sum(n.values())
+
+
 def test_mix_of_exact_weights_follows_the_phases(spark, monkeypatch):
     rows = [(i, "abc"[i % 3]) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
