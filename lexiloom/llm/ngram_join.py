@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACE, U64, Words, block_id, buckets_for, distinct_sorted, drop, longs, materialise, mix, pack, pack_sorted, rows_of, runs, text_bytes, unpack, unpack_sorted
+from .base import NULL_ID, SPACE, U64, Words, block_id, buckets_for, distinct_sorted, drop, longs, materialise, mix, pack, pack_sorted, rows_of, runs, text_bytes, unpack, unpack_sorted
 from .components import components
 
-BLOCK, PIVOTS, HEAVY = 4096, 64, 24
+BLOCK, PIVOTS, HEAVY = 1024, 64, 24
 
 
 def shingle_keys(data: np.ndarray, offs: np.ndarray, size: int) -> np.ndarray:
@@ -105,9 +105,13 @@ def _incidence(size: int, buckets: int):
     return run
 
 
+def rarity(count: np.ndarray) -> np.ndarray:
+    """Numbers of documents as bytes in the same order: as they are up to 64, then eight steps for each doubling."""
+    return np.where(count <= 64, count, np.minimum(64 + np.log2(np.maximum(count, 64) / 64) * 8, 255)).astype(np.uint8)
+
+
 def _shared_columns(batches):
-    """One partition of buckets -> for each block the entries whose hash has two documents or more, with the number of
-    documents (at most 255)."""
+    """One partition of buckets -> for each block the entries whose hash has two documents or more, with their rarity."""
     by: dict = {}
     for bucket, block, kind, load in rows_of(batches):
         if kind == 0:
@@ -122,7 +126,7 @@ def _shared_columns(batches):
         order = np.argsort(h, kind="stable")
         s, length = runs(h[order])
         df = np.empty(len(h), np.uint8)
-        df[order] = np.repeat(np.minimum(length, 255), length)
+        df[order] = np.repeat(rarity(length), length)
         out, at = [], 0
         for (block, _), (_, doc), x, n in zip(loads, parts, hs, size):
             m = df[at : at + n] > 1
@@ -134,11 +138,11 @@ def _shared_columns(batches):
 
 
 def _documents(percent: int):
-    """One partition of blocks -> a row for each document; for those that may have a partner, the shared columns and the
-    first of them, rarest first, that any partner must meet."""
+    """One partition of blocks -> a row for each document; for those that may have a partner, and are the first of their
+    class here, the shared columns and the first of them, rarest first, that any partner must meet."""
 
     def run(batches):
-        tables, entries = {}, {}
+        tables, entries, seen = {}, {}, set()
         for _, block, kind, load in rows_of(batches):
             (tables.__setitem__(block, unpack(load)) if kind == 0 else entries.setdefault(block, []).append(unpack(load)))
         for block, (ids, count, cls) in tables.items():
@@ -157,6 +161,9 @@ def _documents(percent: int):
             live = np.flatnonzero((count > 0) & (have >= need))
             columns, first = [None] * n, [None] * n
             for d in live:
+                if int(cls[d]) in seen:
+                    continue
+                seen.add(int(cls[d]))
                 x, f = h[start[d] : start[d] + have[d]], df[start[d] : start[d] + have[d]]
                 rare = (f.astype(U64) << U64(48)) | x
                 k = int(have[d] - need[d] + 1)
@@ -164,7 +171,8 @@ def _documents(percent: int):
                 columns[d] = x.tobytes()
                 first[d] = (rare & U64((1 << 48) - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(count), pa.array(cls), pa.array(columns, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "n", "cls", "columns", "first"]
+                [pa.array((block << 16) + np.arange(n)), pa.array(ids), pa.array(count), pa.array(cls), pa.array(columns, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                ["row", "id", "n", "cls", "columns", "first"],
             )
 
     return run
@@ -316,11 +324,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     entries = texts.mapInArrow(_incidence(size, buckets), _EXCHANGE).repartition("bucket").mapInArrow(_shared_columns, _EXCHANGE)
-    table = materialise(entries.repartition("block").mapInArrow(_documents(percent), "id long, n long, cls long, columns binary, first array<long>"))
-    # documents with equal sets are one row of the matrix
+    table = materialise(entries.repartition("block").mapInArrow(_documents(percent), "row long, id long, n long, cls long, columns binary, first array<long>"))
+    # documents with equal sets are one row of the matrix: one of those that carry it is chosen by number, and only it is sent on
     live = table.where("columns is not null")
     classes = table.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
-    rows = materialise(live.dropDuplicates(["cls"]).select("cls", "n", "columns", "first"))
+    chosen = live.groupBy("cls").agg(F.min("row").alias("row")).select("row")
+    rows = materialise(live.join(chosen, "row", "left_semi").select("cls", "n", "columns", "first"))
     met = materialise(rows.select("cls", "first").mapInArrow(_meetings, "cls long, rep long, h long"))
     on = met.where("h is not null").select("h", "rep")
     low = on.groupBy("h").agg(F.min("rep").alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m")
@@ -361,13 +370,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component; texts without words all stay."""
-    found = materialise(jaccard_components(docs, key, text, size, percent))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(keep, docs[key].cast("long").eqNullSafe(keep["_kept"]), "left_semi")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows: one of them stays
-        out = out.dropDuplicates([key, text])
-    return out
+    """``docs`` with one document of each component, that of the smallest id (a null id is smallest; of different texts
+    under one id the one of the smallest hash).  Texts without words all stay, repeated or not; columns keep names, order
+    and values."""
+    if docs.groupBy(key).count().where("count > 1").isEmpty():
+        found = jaccard_components(docs, key, text, size, percent)
+        keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"))
+        mine = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"))
+        return mine.join(materialise(keep), "id", "left_semi").select("row.*")
+    # an id does not tell rows apart: they are numbered, and the number stands for the row
+    rows = materialise(docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("t")).withColumn("nth", F.monotonically_increasing_id()))
+    found = materialise(jaccard_components(rows, "nth", "t", size, percent))
+    order = F.struct(F.coalesce("id", F.lit(NULL_ID)), F.xxhash64("t"), "nth")
+    named = rows.select("nth", order.alias("o")).join(found.withColumnRenamed("doc_id", "nth"), "nth")
+    keep = named.where("n_shingles > 0").groupBy("component_id").agg(F.min("o")["nth"].alias("nth")).select("nth").union(found.where("n_shingles = 0").select("doc_id"))
+    return rows.join(materialise(keep), "nth", "left_semi").select("row.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

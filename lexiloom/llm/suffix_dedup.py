@@ -110,7 +110,7 @@ def _occurrences(length: int, buckets: int, homes: int):
         for batch in batches:
             for begin in range(0, batch.num_rows, 1 << 13):
                 b = batch.slice(begin, 1 << 13)
-                ids, sub = longs(b.column(0)), longs(b.column(1)).astype(np.uint32)
+                ids, sub = longs(b.column(0)), longs(b.column(1)).astype(U64)
                 data, offs = text_bytes(b.column(2))
                 got = [anchors(data, lo, min(lo + PIECE, int(offs[-1])), offs, length) for lo in range(int(offs[0]), int(offs[-1]), PIECE)]
                 if not got:
@@ -134,7 +134,7 @@ def _occurrences(length: int, buckets: int, homes: int):
                     rows += _spans(ids[doc[rest]], sub[doc[rest]], start[rest], start[rest] + (last - first)[rest].astype(np.uint32) + np.uint32(length), homes)
                 if len(keep):
                     dest = (key[keep] >> shift).astype(np.int32) if buckets > 1 else np.zeros(len(keep), np.int32)
-                    rows += _by_dest(dest, _SEEN, [key[keep], digest[keep], ids[doc[keep]], sub[doc[keep]], start[keep], (last - first)[keep].astype(np.uint16), (at - first)[keep].astype(np.uint16)], True)
+                    rows += _by_dest(dest, _SEEN, [key[keep], digest[keep], ids[doc[keep]], narrow(sub[doc[keep]]), start[keep], (last - first)[keep].astype(np.uint16), (at - first)[keep].astype(np.uint16)], True)
                 yield _batch(rows)
 
     return run
@@ -151,7 +151,7 @@ def _spans(ids, sub, start, end, homes: int) -> list:
     cut[1:] |= start[1:] > reach[:-1]
     s = np.flatnonzero(cut)
     ids, sub, start, end = ids[s], sub[s], start[s].astype(np.uint32), np.maximum.reduceat(end, s).astype(np.uint32)
-    return _by_dest(_home(ids, sub, homes), _SPANS, [ids, sub, start, end])
+    return _by_dest(_home(ids, sub, homes), _SPANS, [ids, narrow(sub), start, end])
 
 
 def _compare_digests(length: int, homes: int, hot: int):
@@ -168,7 +168,8 @@ def _compare_digests(length: int, homes: int, hot: int):
         for loads in by.values():
             key = np.concatenate([unpack_sorted(x[0]) for x in loads])
             digest, ids = (np.concatenate([x[i] for x in loads]) for i in (1, 2))
-            sub, start, more, off = (np.concatenate([x[i].astype(np.uint32) for x in loads]) for i in (3, 4, 5, 6))
+            sub = np.concatenate([x[3].astype(U64) for x in loads])
+            start, more, off = (np.concatenate([x[i].astype(np.uint32) for x in loads]) for i in (4, 5, 6))
             order = np.argsort(key, kind="stable")
             _, n = runs(key[order])
             order = order[np.repeat(n > 1, n)]  # a key that is alone cannot repeat
@@ -190,7 +191,7 @@ def _compare_digests(length: int, homes: int, hot: int):
             m = kinds > 1
             if m.any():
                 o, kinds = o[m], kinds[m]
-                rows += _by_dest(_home(ids[o], sub[o], homes), _ASKED, [ids[o], sub[o], start[o], more[o].astype(np.uint16), key[o], (kinds > hot).astype(np.uint8)])
+                rows += _by_dest(_home(ids[o], sub[o], homes), _ASKED, [ids[o], narrow(sub[o]), start[o], more[o].astype(np.uint16), key[o], (kinds > hot).astype(np.uint8)])
             if rows:
                 yield _batch(rows)
 
@@ -205,7 +206,7 @@ def _pack_texts(homes: int):
         for batch in batches:
             for begin in range(0, batch.num_rows, 1 << 12):
                 b = batch.slice(begin, 1 << 12)
-                ids, sub = longs(b.column(0)), longs(b.column(1)).astype(np.uint32)
+                ids, sub = longs(b.column(0)), longs(b.column(1)).astype(U64)
                 data, offs = text_bytes(b.column(2))
                 dest = _home(ids, sub, homes)
                 order = np.argsort(dest, kind="stable")
@@ -215,7 +216,7 @@ def _pack_texts(homes: int):
                     i = order[a : a + n]
                     size = (offs[i + 1] - offs[i]).astype(np.int64)
                     body = b"".join(data[offs[j] : offs[j + 1]].tobytes() for j in i)
-                    rows.append((int(dest[i[0]]), _TEXT, pack(ids[i], sub[i], size, np.frombuffer(z.compress(body), np.uint8))))
+                    rows.append((int(dest[i[0]]), _TEXT, pack(ids[i], narrow(sub[i]), size, np.frombuffer(z.compress(body), np.uint8))))
                 yield _batch(rows)
 
     return run
@@ -227,7 +228,7 @@ def _texts(loads: list):
     parts = [unpack(x) for x in loads]
     size = np.concatenate([p[2] for p in parts])
     data = np.frombuffer(b"".join(z.decompress(p[3].tobytes(), max_output_size=int(p[2].sum()) or 1) for p in parts), np.uint8)
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.uint32), np.concatenate([[0], np.cumsum(size)]), data
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(U64) for p in parts]), np.concatenate([[0], np.cumsum(size)]), data
 
 
 def _gather(batches):
@@ -278,7 +279,7 @@ def _fetch(length: int, buckets: int):
             for a, n in zip(s, count):
                 i = order[a : a + n]
                 body = data[ranges(at[i], more[i] + length)]
-                rows.append((int(dest[i[0]]), _CONTEXT, pack(key[i], wid[i], narrow(wsub[i].astype(np.uint32)), start[i].astype(np.uint32), narrow(more[i].astype(np.uint32)), body)))
+                rows.append((int(dest[i[0]]), _CONTEXT, pack(key[i], wid[i], narrow(wsub[i].astype(U64)), start[i].astype(np.uint32), narrow(more[i].astype(np.uint32)), body)))
             if rows:
                 yield _batch(rows)
 
@@ -435,7 +436,7 @@ def _shard(c, ids, sub, start, more, size, begin, body, length, homes) -> list:
         return []
     o = mine[pos[gone]]
     first = (place[gone] & ((1 << 33) - 1)).astype(np.uint32)
-    return _spans(ids[c][o], sub[c][o].astype(np.uint32), first, first + np.uint32(length), homes)
+    return _spans(ids[c][o], sub[c][o].astype(U64), first, first + np.uint32(length), homes)
 
 
 def _finish(length: int, with_text: bool):
@@ -476,28 +477,26 @@ def _finish(length: int, with_text: bool):
     return run
 
 
-def with_sub(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Adds ``_sub``, which tells different texts of one id apart: 0 unless an id has several; then the rank of the hash."""
-    twice = docs.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key)
-    if twice.isEmpty():
-        return docs.withColumn("_sub", F.lit(0).cast("long"))
-    names = docs.join(twice.withColumnRenamed(key, "_k"), docs[key].eqNullSafe(F.col("_k")), "left_semi").select(F.col(key).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"))
-    names = materialise(names.groupBy("_k").agg(F.array_sort(F.collect_set("_h")).alias("_all")))
-    out = docs.join(names, docs[key].eqNullSafe(names["_k"]), "left")
-    return out.withColumn("_sub", F.coalesce(F.array_position("_all", F.xxhash64(F.coalesce(F.col(text), F.lit("")))), F.lit(0)).cast("long")).drop("_k", "_all")
+def _named(docs: DataFrame, key: str, text: str) -> list:
+    """Columns (k, s, t) of ``docs``: the id, what tells different texts of one id apart, and the text.  ``s`` is 0, or, where
+    any id repeats, 63 bits of the text's hash: no row has to meet the others of its id, of which there may be many."""
+    twice = not docs.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    sub = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1) if twice else F.lit(0).cast("long")
+    return [F.col(key).cast("long").alias("k"), sub.alias("s"), F.col(text).alias("t")]
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, sub, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row of ``docs``.
 
     Texts are taken as UTF-8; a null text is empty.  Rows that repeat id and text are one document and are all cut alike;
-    different texts under one id are ordered by their hash.  ``kept`` drops bytes that no longer form a character.
+    different texts under one id are ordered by their hash, and a null id comes before all others.  Other columns are not
+    looked at; an empty table gives none.  ``kept`` drops bytes that no longer form a character.
     """
-    buckets = buckets_for(docs)
+    return _removed(docs.select(*_named(docs, key, text)), length, with_text, hot, buckets_for(docs))
+
+
+def _removed(texts: DataFrame, length: int, with_text: bool, hot: int, buckets: int) -> DataFrame:
     homes = buckets
-    if "_sub" not in docs.columns:
-        docs = with_sub(docs.select(key, text), key, text)
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col("_sub").alias("s"), F.col(text).alias("t"))
     seen = texts.mapInArrow(_occurrences(length, buckets, homes), _ROWS).repartition("dest")
     told = materialise(seen.mapInArrow(_compare_digests(length, homes, hot), _ROWS))
     packed = texts.mapInArrow(_pack_texts(homes), _ROWS)
@@ -509,12 +508,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """``docs`` with each text reduced to the bytes that are not removed; null texts stay null."""
-    marked = with_sub(docs, key, text)
-    kept = remove_repeats(marked, key, text, length, with_text=True).select(F.col("doc_id").alias("_k"), F.col("sub").alias("_s"), "kept").dropDuplicates(["_k", "_s"])
-    rest = marked.withColumn("_null", F.col(text).isNull()).drop(text)
-    out = rest.join(kept, rest[key].cast("long").eqNullSafe(kept["_k"]) & (rest["_sub"] == kept["_s"]), "left")
-    return out.select(*[F.when(~F.col("_null"), F.col("kept")).alias(c) if c == text else F.col(c) for c in docs.columns])
+    """``docs`` with each text reduced to the bytes that are not removed; null texts stay null, rows without anything left
+    stay with an empty text, and all other columns keep names, order and values."""
+    k, s, t = _named(docs, key, text)
+    texts = docs.select(k, s, t)
+    kept = _removed(texts, length, True, HOT, buckets_for(docs)).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.col("sub").alias("s"), "kept").dropDuplicates(["k", "s"])
+    others = F.struct(*[F.col(_quoted(c)) for c in docs.columns if c != text])  # as one, so that no name of theirs meets ours
+    rest = docs.select(others.alias("row"), F.coalesce(k, F.lit(NULL_ID)).alias("k"), s, F.col(text).isNull().alias("none"))
+    out = rest.join(kept, ["k", "s"], "left")
+    return out.select(*[(F.when(~F.col("none"), F.col("kept")) if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

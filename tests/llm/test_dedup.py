@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.llm import ngram_join, suffix_dedup
 from lexiloom.llm.components import components
@@ -100,6 +101,34 @@ def test_cut_repeated_ids_and_empty(spark):
     assert len(got) == 5 and (None, len(b)) in by and by.count((1, 0)) == 2 and (1, 1) in by and got[0].asDict().keys() == {"doc_id", "text", "id", "k"}
 
 
+def test_cut_many_texts_under_null_ids_and_clashes(spark):
+    g = random.Random(9)
+    text = lambda: "".join(g.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150))
+    same = text()
+    rows = [(None if i % 3 else i, text() + same * (i % 5 == 0), i) for i in range(60)]
+    df = spark.createDataFrame([(*r, *[f"{c}{r[2]}" for c in ("k", "s", "t", "kept", "row", "_sub", "a.b")]) for r in rows], "doc_id long, text string, nth long, k string, s string, t string, kept string, row string, _sub string, `a.b` string")
+    out = suffix_dedup.cut_repeats(df)
+    assert out.columns == df.columns
+    got = {r["nth"]: r.asDict() for r in out.collect()}
+    assert len(got) == 60 and all(r[c] == f"{c}{i}" for i, r in got.items() for c in ("k", "s", "kept", "_sub", "a.b"))
+    assert sum(r["text"].count(same) for r in got.values()) == 1 and all(got[i]["doc_id"] == d and got[i]["text"][:140] == t[:140] for d, t, i in rows)
+
+
+def test_one_text_of_each_group_stays_under_repeated_ids(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, b, "x"), (3, b, "x"), (None, c, "x"), (None, c, "x"), (4, None, "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string").withColumn("nth", F.lit("clash")).withColumn("row", F.lit("clash"))
+    out = ngram_join.keep_one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (4, None), (4, None)], key=str)
+
+
+def test_rarity_keeps_the_order():
+    n = np.unique(np.geomspace(1, 1e9, 5000).astype(np.int64))
+    r = ngram_join.rarity(n)
+    assert (np.diff(r.astype(int)) >= 0).all() and (r[n <= 64] == n[n <= 64]).all() and len(set(r[n < 1 << 20])) > 150
+
+
 def test_transform_by_levels():
     g = np.random.default_rng(0)
     for trial in range(40):
