@@ -12,8 +12,8 @@ pair whose Jaccard similarity reaches ``percent``:
 Within a cluster the product is computed in blocks: heavy columns as a dense matrix product of row blocks, light ones
 by accumulating their pairs; pairs beyond the size ratio or below the required overlap are discarded.  Documents with
 equal n-gram sets are one row of the matrix.  Clusters over ``BLOCK`` rows are dealt to several blocks which share
-pivot rows; pairs across blocks that are still in different components afterwards are then compared one by one, so
-that no link is lost.
+pivot rows; pairs across blocks that are still in different components afterwards, and whose columns from the first
+shared one on could be enough, are then compared one by one, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def _documents(percent: int):
                 x, f = h[start[d] : start[d] + have[d]], df[start[d] : start[d] + have[d]]
                 rare = (f.astype(U64) << U64(48)) | x
                 k = int(have[d] - need[d] + 1)
-                rare = np.partition(rare, k - 1)[:k] if k < len(rare) else rare
+                rare = np.sort(np.partition(rare, k - 1)[:k] if k < len(rare) else rare)  # one order for all documents
                 columns[d] = x.tobytes()
                 first[d] = (rare & U64((1 << 48) - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -348,12 +348,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     roots = components(links)
     if not big.isEmpty():
         # pairs across blocks, in clusters of several blocks, whose ends are not yet in one component
-        wide = rows.join(parts.where("parts > 1").select("cls"), "cls").select("cls", F.explode("first").alias("h"))
-        wide = wide.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        wide = materialise(wide.join(rows.select("cls", "n"), "cls"))
-        left = wide.select("h", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        right = wide.select("h", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-        pairs = left.join(right, "h").where(f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
+        wide = rows.join(parts.where("parts > 1").select("cls"), "cls").select("cls", "n", (F.octet_length("columns") / 8).cast("long").alias("have"), F.posexplode("first").alias("at", "h"))
+        # of the first column that two documents share, what follows it in each bounds their overlap
+        wide = wide.select("cls", "n", "h", (F.col("have") - F.col("at")).alias("after"))
+        wide = materialise(wide.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+        left = wide.select("h", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("after").alias("fa"))
+        right = wide.select("h", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("after").alias("fb"))
+        enough = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(fa, fb) >= {percent} * (na + nb)"
+        pairs = left.join(right, "h").where(f"a < b and ra <> rb and {enough}").select("a", "b", "na", "nb").distinct()
         cols = rows.select(F.col("cls"), F.col("columns"))
         pairs = pairs.join(cols.toDF("a", "ca"), "a").join(cols.toDF("b", "cb"), "b").select("a", "b", "na", "nb", "ca", "cb")
         more = materialise(links.union(pairs.mapInArrow(_verify(percent), "a long, b long")))

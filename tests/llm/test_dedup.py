@@ -162,3 +162,12 @@ def test_components(spark):
     got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for v in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_threshold_passages_over_many_blocks(spark):
+    """Documents around one common passage, just below and just above the threshold, in clusters of several blocks."""
+    g = random.Random(11)
+    passage = [f"p{i}" for i in range(24)]
+    rows = [(i, " ".join(passage + [f"u{i}_{j}" for j in range(g.randint(0, 8))]), "x", "y") for i in range(70)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), block=4).collect()}
+    assert got == brute_components(rows)
