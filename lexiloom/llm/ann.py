@@ -18,26 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import bounded_sample
+from .base import NULL_ID, bounded_sample, ids_back, materialise
 
 PIVOTS, PREFIX, SHARE = 512, 64, 0.16
 SHARD, QUERIES = 8192, 4096
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, x array<double>) of the vectors that take part: with an id, of the commonest dimension (ties: the smaller), all
-    components finite, not all zero.  Of rows that repeat an id the smallest vector counts."""
+    """(row, id, x array<double>) of the vectors that take part: of the commonest dimension (ties: the smaller), all components
+    finite, not all zero.  ``row`` tells rows apart: the id, or a number where ids repeat or are null."""
     x = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).where(
-        F.col("id").isNotNull() & F.col("x").isNotNull() & F.expr("forall(x, v -> v is not null and not isnan(v) and abs(v) < double('Infinity')) and exists(x, v -> v <> 0)")
+        F.col("x").isNotNull() & F.expr("forall(x, v -> v is not null and not isnan(v) and abs(v) < double('Infinity')) and exists(x, v -> v <> 0)")
     )
     sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("u")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
-        return rows
+        return rows.select(F.col("id").alias("row"), "id", "x")
     rows = rows.where(F.size("x") == sizes["d"])
-    if sizes["u"] != sizes["n"]:
-        rows = rows.groupBy("id").agg(F.min("x").alias("x"))
-    return rows
+    if sizes["u"] == sizes["n"]:
+        return rows.select(F.col("id").alias("row"), "id", "x")
+    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "id", "x"))
 
 
 def _matrix(col: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -77,7 +77,9 @@ class PermutationIndex:
 
 def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each vector with ``is_query`` (a condition on column ``id``) its ``k`` nearest
-    of all other vectors found, largest inner product first, ties to the smaller id; all of them if there are fewer."""
+    of all other rows found, largest inner product first, ties to the smaller id (null before all), then by row; all of them
+    if there are fewer.  Rows that repeat an id are vectors of their own: each is found, and each that asks has its own
+    ranks.  Other columns are not looked at; an empty table gives none."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, key, vector)
@@ -86,7 +88,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
         return spark.createDataFrame([], schema)
     queries = rows.where(is_query)
     nq = queries.count()
-    sample = sorted(bounded_sample(rows, "id", pivots * 2, n).collect(), key=lambda r: hash((r["id"] * 2654435761) % (1 << 32)))[:pivots]
+    sample = sorted(bounded_sample(rows, "row", pivots * 2, n).collect(), key=lambda r: r["row"] * 2654435761 % (1 << 32))[:pivots]
     base = np.array([r["x"] for r in sample])
 
     def lifted(x: np.ndarray) -> np.ndarray:
@@ -97,31 +99,31 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
 
     def one(table: pa.Table) -> pa.Table:
         asked = table["q"].to_numpy().astype(bool)
-        ids, x = table["id"].to_numpy(), _matrix(table["x"], table.num_rows)
-        order = np.argsort(ids, kind="stable")
+        ids, row, x = table["id"].fill_null(NULL_ID).to_numpy(), table["row"].to_numpy(), _matrix(table["x"], table.num_rows)
+        order = np.lexsort((row, ids))
         c = order[~asked[order]]
         q = order[asked[order]]
-        out: list = [[], [], []]
+        out: list = [[], [], [], [], []]
         if len(c) and len(q):
             here = PermutationIndex(index.pivots, index.prefix).add(lifted(x[c]))
             want = min(len(c), max(int(np.ceil(share * len(c))), 8 * k) + 1)
             orders = here.orders(np.column_stack([x[q] / np.sqrt((x[q] ** 2).sum(1, keepdims=True)), np.zeros(len(q))]))
             for i, o in zip(q, orders):
                 near = np.sort(here.nearest(o, want))
-                near = near[ids[c[near]] != ids[i]]
+                near = near[row[c[near]] != row[i]]
                 score = x[c[near]] @ x[i]
                 best = np.lexsort((near, -score))[:k]
-                out[0].append(np.full(len(best), ids[i]))
-                out[1].append(ids[c[near[best]]])
-                out[2].append(score[best])
-        return pa.table({"query_id": pa.array(np.concatenate(out[0]) if out[0] else [], pa.int64()), "vec_id": pa.array(np.concatenate(out[1]) if out[1] else [], pa.int64()), "score": pa.array(np.concatenate(out[2]) if out[2] else [], pa.float64())})
+                for column, v in zip(out, (np.full(len(best), row[i]), np.full(len(best), ids[i]), row[c[near[best]]], ids[c[near[best]]], score[best])):
+                    column.append(v)
+        longs, score = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in out[:4]), np.concatenate(out[4]) if out[4] else np.zeros(0)
+        return pa.table([*map(ids_back, longs), pa.array(score, pa.float64())], ["query", "query_id", "row", "vec_id", "score"])
 
     all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    part = lambda m: F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(m)).cast("int")
-    dealt = rows.select("id", "x", F.lit(False).alias("q"), part(shards).alias("shard"), all_of(blocks).alias("block"))
-    dealt = dealt.union(queries.select("id", "x", F.lit(True).alias("q"), all_of(shards).alias("shard"), part(blocks).alias("block")))
-    found = dealt.groupBy("shard", "block").applyInArrow(one, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    part = lambda m: F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(m)).cast("int")
+    dealt = rows.select("row", "id", "x", F.lit(False).alias("q"), part(shards).alias("shard"), all_of(blocks).alias("block"))
+    dealt = dealt.union(queries.select("row", "id", "x", F.lit(True).alias("q"), all_of(shards).alias("shard"), part(blocks).alias("block")))
+    found = dealt.groupBy("shard", "block").applyInArrow(one, "query long, query_id long, row long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

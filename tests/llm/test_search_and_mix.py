@@ -17,11 +17,12 @@ def test_search_recall_ties_and_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
     got = collections.defaultdict(list)
     for r in ann.search(df, F.col("id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        got[r["query_id"]].append((1500 if r["vec_id"] is None else r["vec_id"], r["score"]))
     hit = 0
+    x = np.vstack([x, np.ones(24)])  # the row without an id is a candidate too
     for i in range(0, 1500, 20):
         s = x @ x[i]
-        best = [j for j in np.lexsort((np.arange(1500), -np.round(s, 12))) if j != i][:20]
+        best = [j for j in np.lexsort((np.arange(1501), -np.round(s, 12))) if j != i][:20]
         assert len(got[i]) == 20 and all(abs(v - s[j]) < 1e-9 for j, v in got[i])
         assert got[i] == sorted(got[i], key=lambda t: (-t[1], t[0]))
         hit += len(set(best) & {j for j, _ in got[i]})
@@ -31,6 +32,22 @@ def test_search_recall_ties_and_odd_vectors(spark):
     assert len(few) == 2
 
 
+def test_search_over_repeated_and_null_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (None, [5.0, 1.0]), (2, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("clash")).withColumn("query", F.lit("clash"))
+    got = collections.defaultdict(list)
+    for r in ann.search(df, F.col("id") % 20 == 0, 20).orderBy("query_id", "rank", "score").collect():
+        got[r["query_id"], r["rank"]].append((r["vec_id"], r["score"]))
+    # both rows of id 0 ask, and find each other, both rows of id 1, and the row without an id
+    assert got == {
+        (0, 1): [(None, 5.0), (None, 10.0)],
+        (0, 2): [(1, 3.0), (1, 6.0)],
+        (0, 3): [(1, 3.0), (1, 6.0)],
+        (0, 4): [(0, 2.0), (0, 2.0)],
+        (0, 5): [(2, -2.0), (2, -1.0)],
+    }
+
+
 def test_url_rules_and_aliases(spark):
     page = lambda i, u, h=None: (i, u, h)
     rows = [
