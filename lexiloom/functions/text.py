@@ -229,5 +229,66 @@ def normal_id(col: Column | str) -> Column:
     return F.when(c.isNull() | F.isnan(x), "").when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.trim(c))
 
 
+def age_years(col: Column | str) -> Column:
+    """``Y;MM.DD`` in years, months as twelfths; 0.0 where there is no age."""
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(col, r"^(\d+);(\d*)", i), F.lit("")).try_cast("double"), F.lit(0.0))
+    return part(1) + part(2) / 12
+
+
+def age_year(col: Column | str) -> Column:
+    """Whole years of ``Y;MM.DD`` (what comes before the semicolon), NULL where that is no number."""
+    return F.split_part(F.col(col) if isinstance(col, str) else col, F.lit(";"), F.lit(1)).try_cast("int")
+
+
+# Words that an unfinished line ends in, and what marks a line as annotated.
+HANGING = ["and", "the", "a", "an", "but", "or", "so", "in", "on", "at"]
+MARKED = r"\[\*|\[/+\]|\b0\w+|[<>]|xxx|\(\.+\)"
+
+
+def is_fragment(col: Column | str) -> Column:
+    """Two words or fewer, or a last word that leaves the line open."""
+    words = F.filter(F.split(col, r"\s+"), lambda w: w != "")
+    last = F.regexp_replace(F.lower(F.element_at(words, -1)), r"^[.,?!]+|[.,?!]+$", "")
+    return F.when(F.size(words) <= 2, True).otherwise(last.isin(HANGING))
+
+
+def is_marked(col: Column | str) -> Column:
+    """Whether a line has codes, retracings, omitted words, scope marks or pauses."""
+    return (F.col(col) if isinstance(col, str) else col).rlike(MARKED)
+
+
+def transcript_sentences(col: Column | str) -> Column:
+    """Sentences as speaker lines: a trailing ellipsis is ``+...``, one inside is a pause, and the end mark stands apart."""
+
+    def line(s: Column) -> Column:
+        inner = F.regexp_replace(s, r"\.\.\.", " (...) ")
+        body = F.when(s.endswith("..."), F.concat(F.trim(F.substr(s, F.lit(1), F.length(s) - 3)), F.lit(" +..."))).when(s.contains("..."), inner).otherwise(s)
+        ended = (
+            F.when(body.endswith("+..."), body)
+            .when(body.endswith("?"), F.concat(F.trim(F.regexp_replace(body, r"\?$", "")), F.lit(" ?")))
+            .when(body.endswith("!"), F.concat(F.trim(F.regexp_replace(body, "!$", "")), F.lit(" !")))
+            .otherwise(F.concat(F.trim(F.regexp_replace(body, r"\.+$", "")), F.lit(" .")))
+        )
+        return F.trim(F.regexp_replace(ended, r"\s+", " "))
+
+    return F.transform(F.filter(F.split(F.trim(col), r"(?<=[.!?])\s+"), lambda x: F.trim(x) != ""), line)
+
+
+def numbered(items: Column | str) -> Column:
+    """An array as a numbered list, one item a line."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+
 def ascii_json(col: Column | str) -> Column:
-    return F.to_json(F.col(col) if isinstance(col, str) else col)
+    """JSON with every character beyond ASCII as ``\\uXXXX`` (two of them beyond the basic plane)."""
+    text = F.to_json(F.col(col) if isinstance(col, str) else col)
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n.cast("long")), 4, "0")))
+
+    def char(c: Column) -> Column:
+        # the code point from UTF-32, as ``ascii`` ends at the basic plane
+        n = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+        high, low = F.lit(0xD800) + F.shiftright(n - 0x10000, 10), F.lit(0xDC00) + ((n - 0x10000) % 1024)
+        return F.when(n < 128, c).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high), unit(low)))
+
+    chars = F.regexp_extract_all(text, F.lit(r"(?s)[\x{10000}-\x{10FFFF}]|."), F.lit(0))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(chars, char), "")).otherwise(text)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..checks import number, safe_corr
+from .stats import running_counts
 
 
 def _stacked(df: DataFrame, parts: list) -> DataFrame:
@@ -52,20 +53,47 @@ def pair_correlations(df: DataFrame, columns: list[str], least: int = 3) -> Data
     return _stacked(df, out).where(f"n >= {least}")
 
 
-def average_rank(value: str, partition: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*partition).orderBy(value)
-    t = Window.partitionBy(*partition, value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(t) - 1) / 2
+def spearman_pairs(df: DataFrame, columns: list[str], row_id: str, least: int = 3) -> DataFrame:
+    """(column_a, column_b, n, spearman): Pearson on average ranks over the rows both columns have.  Ranks come from running
+    counts over the distinct values of a pair, not from sorting a pair's rows."""
+    pairs = F.array(*[F.struct(F.lit(f"{i}").alias("pair"), F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), number(a).alias("x"), number(b).alias("y")) for i, (a, b) in enumerate(combinations(columns, 2))])
+    long = df.select(F.explode(pairs).alias("p")).select("p.*").where("x is not null and y is not null")
 
+    def rank(side: str) -> DataFrame:
+        per = long.groupBy("pair", F.col(side).alias("v")).agg(F.count("*").alias("c"))
+        return running_counts(per, "v", ["c"], ["pair"]).select("pair", F.col("v").alias(side), (F.col("run_c") - (F.col("c") - 1) / 2).alias(f"r{side}"))
 
-def spearman_pairs(df: DataFrame, columns: list[str], row_id: str, least: int = 3) -> DataFrame:
-    """(column_a, column_b, n, spearman): Pearson on average ranks over the rows both columns have."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), number(a).alias("x"), number(b).alias("y")) for a, b in combinations(columns, 2)])
-    long = df.select(row_id, F.explode(pairs).alias("p")).select("p.*").where("x is not null and y is not null")
-    by = ["column_a", "column_b"]
-    r = long.withColumn("rx", average_rank("x", by)).withColumn("ry", average_rank("y", by))
-    return r.groupBy(*by).agg(F.count("*").alias("n"), safe_corr("rx", "ry").alias("spearman")).where(f"n >= {least}")
+    r = long.join(rank("x"), ["pair", "x"]).join(rank("y"), ["pair", "y"])
+    return r.groupBy("column_a", "column_b").agg(F.count("*").alias("n"), safe_corr("rx", "ry").alias("spearman")).where(f"n >= {least}")
+
+
+def strongest_pairs(pairs: DataFrame, threshold: float = 0.0, by: str = "pearson") -> DataFrame:
+    """Pairs that correlate at least so much, the strongest first, then by names (a report: one row a pair of columns)."""
+    return pairs.where(F.abs(by) >= threshold).orderBy(F.desc(F.abs(by)), "column_a", "column_b")
+
+
+def most_common(counts: DataFrame, count: str, *names: str) -> DataFrame:
+    """Rows with the largest counts first, equal ones by name."""
+    return counts.orderBy(F.desc(count), *names)
+
+
+def shared_columns(a: DataFrame, b: DataFrame, order: list[str] | None = None) -> list[str]:
+    """Columns that both tables have, in the stated order or that of the first."""
+    return [c for c in (order or a.columns) if c in a.columns and c in b.columns]
+
+
+def usable_features(real: DataFrame, generated: DataFrame, order: list[str], ids: tuple[str, ...] = ()) -> list[str]:
+    """Shared columns that hold at least one number on either side (one aggregate a side); raises if there are none."""
+    both = [c for c in shared_columns(real, generated, order) if c not in ids]
+    some = [df.agg(*[F.max(number(F.col(_quoted(c))).isNotNull()).alias(c) for c in both]).first().asDict() if both else {} for df in (real, generated)]
+    out = [c for c in both if all(x[c] for x in some)]
+    if not out:
+        raise ValueError("No shared numeric features")
+    return out
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def correlation_clusters(pairs: DataFrame, threshold: float = 0.98) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import numbered
+
 # Fixed value: the stories in their order.
 STORIES = ["A1", "A2", "A3", "B1", "B2", "B3"]
 
@@ -187,4 +189,4 @@ def with_exemplar(df: DataFrame, narratives: DataFrame, keys: list[str], text: s
 
 def prompt_text(items: str, lead: str) -> Column:
     """A lead and a numbered list of an array column."""
-    return F.concat(F.lit(lead + "\n"), F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n"))
+    return F.concat(F.lit(lead + "\n"), numbered(items))

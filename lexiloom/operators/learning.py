@@ -67,21 +67,24 @@ def detectability(df: DataFrame, key: str, grams: str, label: str, folds: int =
         idf = IDF(inputCol="tf", outputCol="w", minDocFreq=2).fit(train)
         norm = Normalizer(inputCol="w", outputCol="x")
         share = train.agg(F.avg("y")).first()[0]
-        ready = norm.transform(idf.transform(train)).withColumn("weight", F.when(F.col("y") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
+        ready = norm.transform(idf.transform(train)).withColumn("weight", balanced_weight(F.col("y"), min(max(share or 0.0, 1e-9), 1 - 1e-9)))
         model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1e-3, maxIter=100).fit(ready)
         p = model.transform(norm.transform(idf.transform(test))).select("y", vector_to_array("probability")[1].alias("p"), F.lit(f).alias("fold"))
         got = mann_whitney(p, "p", F.col("y") == 1, ["fold"]).select("fold", "auc").join(p.groupBy("fold").agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("accuracy")), "fold")
         out = got if out is None else out.union(got)
-    return out
+    result = df.sparkSession.createDataFrame(out.collect(), out.schema)  # one row a fold
+    d.unpersist()
+    return result
 
 
-def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 64, sample: int = 256, seed: int = 0) -> DataFrame:
-    """(key, score): outlier score of an isolation forest on standardised columns, gaps at the median.  Trees grow on a bounded
-    sample on the driver; every row is scored where it is."""
+def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 64, sample: int = 256, pool: int = 4096, seed: int = 0) -> DataFrame:
+    """(key, score): outlier score of an isolation forest on standardised columns, gaps at the median.  Each tree grows on
+    ``sample`` rows of a ``pool`` that a hash of the key draws from all rows (a forest is defined on such samples); every row
+    is scored where it is."""
     d = df.select(key, *[number(c).alias(c) for c in columns])
     r = d.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     d = d.select(key, *[((F.coalesce(F.col(c), F.lit(r[f"m{i}"])) - F.lit(r[f"m{i}"])) / F.lit(float(r[f"s{i}"] or 1) or 1.0)).alias(c) for i, c in enumerate(columns)])
-    base = np.array([[row[c] for c in columns] for row in d.orderBy(F.xxhash64(key)).limit(trees * 16).collect()], dtype=float)
+    base = np.array([[row[c] for c in columns] for row in d.orderBy(F.xxhash64(key)).limit(pool).collect()], dtype=float)
     g = np.random.default_rng(seed)
     size = min(sample, len(base))
     depth = int(np.ceil(np.log2(max(size, 2))))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import number, row_mean
-from .stats import running_counts
+from .stats import quantiles, running_counts
 
 # Measures where more is better (their z is turned round) and where more is worse, and the scores they make up.
 ABILITY = ["MLU_Morphemes", "VOCD_D_optimum_average", "IPSyn_Total", "DSS_tbl_score", "DSS_tbl_IP", "DSS_tbl_PP", "DSS_tbl_MV", "DSS_tbl_SV", "DSS_tbl_NG", "DSS_tbl_CNJ", "DSS_tbl_IR", "DSS_tbl_WHQ"]
@@ -95,10 +95,15 @@ def profile_label(cols: dict[str, str], margin: float = 0.35) -> Column:
 
 def tertile_bands(df: DataFrame, score: str, reference: Column, names: tuple[str, str, str] = ("mild", "moderate", "severe")) -> DataFrame:
     """Bands by the tertiles of the reference rows, for all rows (``band``) and for those of the reference (``band_reference``)."""
-    cut = df.agg(F.percentile(F.when(reference, F.col(score)), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cut"))
+    cut = quantiles(df.where(reference), score, {"_cut1": 1 / 3, "_cut2": 2 / 3}).drop("n")
     s = F.col(score)
-    band = F.when(s <= F.col("_cut")[0], names[0]).when(s <= F.col("_cut")[1], names[1]).when(s.isNotNull(), names[2])
-    return df.crossJoin(F.broadcast(cut)).withColumn("band", band).withColumn("band_reference", F.when(reference, F.col("band"))).drop("_cut")  # one row
+    band = F.when(s <= F.col("_cut1"), names[0]).when(s <= F.col("_cut2"), names[1]).when(s.isNotNull() & F.col("_cut1").isNotNull(), names[2])
+    return df.join(F.broadcast(cut), how="left").withColumn("band", band).withColumn("band_reference", F.when(reference, F.col("band"))).drop("_cut1", "_cut2")  # one row
+
+
+def band_counts(banded: DataFrame, band: str = "band_reference") -> DataFrame:
+    """Rows in each band; rows without one are left out."""
+    return banded.where(F.col(band).isNotNull()).groupBy(band).agg(F.count("*").alias("n"))
 
 
 def reference_percentile(df: DataFrame, score: str, reference: Column, name: str = "percentile") -> DataFrame:
@@ -109,10 +114,28 @@ def reference_percentile(df: DataFrame, score: str, reference: Column, name: str
     return df.join(share, df[score] == share["_v"], "left").drop("_v")
 
 
+# Numbers as words in the names of cohorts.
+NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+
+
 def cohort(age: Column | str) -> Column:
+    """``4-year-old`` for an age of 48 to 59 months."""
     return F.concat(F.floor(number(age) / 12).cast("string"), F.lit("-year-old"))
 
 
+def cohort_label(low: int, high: int) -> str:
+    """Name of the inclusive bin of ages in months: ``4-year-old`` if it is one year, else ``50to59_months``."""
+    return f"{low // 12}-year-old" if low // 12 == high // 12 and low % 12 == 0 and high % 12 == 11 else f"{low}to{high}_months"
+
+
+def cohort_slug(label: Column | str) -> Column:
+    """``four_year_old`` for ``4-year-old`` (up to twelve); other labels in lower case with underscores, ``cohort`` if empty."""
+    c = F.lower(F.trim(F.col(label) if isinstance(label, str) else label))
+    word = F.get(F.array(*[F.lit(w) for w in NUMBER_WORDS]), F.regexp_extract(c, r"^(\d{1,4})-year-old$", 1).try_cast("int"))
+    plain = F.regexp_replace(F.regexp_replace(c, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(word.isNotNull(), F.concat(word, F.lit("_year_old"))).when(plain != "", plain).otherwise("cohort")
+
+
 def reference_z(df: DataFrame, group: str, features: list[str]) -> DataFrame:
     """(group, feature, n, mean, sd, safe sd): population standard deviation, 1 where it is 0 or n is 1."""
     long = df.select(group, *[number(f).alias(f) for f in features]).unpivot([group], features, "feature", "value")

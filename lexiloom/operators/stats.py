@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -10,31 +11,84 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Count, mean, sd, min, quartiles (linear interpolation) and max."""
-    v = F.col(value)
-    q = lambda p: F.percentile(v, F.lit(p))
-    cols = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max(v).alias("max")]
-    return (df.groupBy(*by) if by else df).agg(*cols)
+def join_on(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns in which null equals null; the columns of ``a``, then the others of ``b``."""
+    if not on:
+        return a.join(F.broadcast(b), F.lit(True), how)  # one row
+    b = b.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    cond = reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[f"_on_{c}"]) for c in on))
+    return a.join(b, cond, how).drop(*[f"_on_{c}" for c in on])
 
 
-def running_counts(per: DataFrame, value: str, counts: list[str], by: list[str] | None = None, parts: int = 64) -> DataFrame:
-    """``per`` (one row a distinct value) with ``run_<c>``, the count up to the value, and ``all_<c>``, that of the group.
+def cut_points(df: DataFrame, value: str, parts: int = 64) -> list:
+    """Values that part ``df`` into about equal ranges (one job)."""
+    return sorted(set(df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000)).first()[0] or []))
 
-    Values are dealt to ranges at approximate quantiles, so that no group is sorted in one task; a range's start is the sum
-    of the ranges before it (at most ``parts`` rows a group)."""
-    by = by or []
-    cuts = per.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    part = sum(((F.col(value) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    p = per.withColumn("_part", part)
+
+def _ranges(per: DataFrame, value: str, counts: list[str], by: list[str], cuts: list) -> tuple[DataFrame, DataFrame]:
+    """``per`` (one row a distinct value) with ``_part``, the range of values it falls in, and ``_r_<c>``, the count up to it within
+    the range; and a row a range with its total ``_t_<c>``, the count ``_b_<c>`` before it, and that of the group ``all_<c>``."""
+    p = per.withColumn("_part", sum(((F.col(value) > c).cast("int") for c in cuts), F.lit(0)))
     within = Window.partitionBy(*by, "_part").orderBy(value)
     ahead, group = Window.partitionBy(*by).orderBy("_part"), Window.partitionBy(*by)
     total = p.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
-    total = total.select(*by, "_part", *[(F.sum(f"_t_{c}").over(ahead) - F.col(f"_t_{c}")).alias(f"_b_{c}") for c in counts], *[F.sum(f"_t_{c}").over(group).alias(f"all_{c}") for c in counts])
-    j = p.withColumns({f"_r_{c}": F.sum(c).over(within) for c in counts}).join(total, [*by, "_part"])
+    total = total.select(*by, "_part", *[f"_t_{c}" for c in counts], *[(F.sum(f"_t_{c}").over(ahead) - F.col(f"_t_{c}")).alias(f"_b_{c}") for c in counts], *[F.sum(f"_t_{c}").over(group).alias(f"all_{c}") for c in counts])
+    return p.withColumns({f"_r_{c}": F.sum(c).over(within) for c in counts}), total
+
+
+def running_counts(per: DataFrame, value: str, counts: list[str], by: list[str] | None = None) -> DataFrame:
+    """``per`` (one row a distinct value) with ``run_<c>``, the count up to the value, and ``all_<c>``, that of the group.
+
+    Values are dealt to ranges at approximate quantiles, so that no group is sorted in one task; a range's start is the sum
+    of the ranges before it (at most 64 rows a group)."""
+    by = by or []
+    p, total = _ranges(per, value, counts, by, cut_points(per, value))
+    j = join_on(p, total.drop(*[f"_t_{c}" for c in counts]), [*by, "_part"])
     return j.select(*per.columns, *[(F.col(f"_r_{c}") + F.col(f"_b_{c}")).alias(f"run_{c}") for c in counts], *[f"all_{c}" for c in counts])
 
 
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, kind: str = "linear", cuts: list | None = None) -> DataFrame:
+    """(by, n, one column for each named probability): exact quantiles by linear interpolation, or of type 8 (position
+    (n + 1/3) p + 1/3 between order statistics).  Null and NaN values are left out, and so are groups without others.
+
+    Ranks are looked up in counts per distinct value, in the one range of values that holds them: no group's values are
+    gathered or sorted in one place."""
+    by = by or []
+    v = F.col(value).cast("double")
+    per = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("v")).agg(F.count("*").alias("c"))
+    p, total = _ranges(per, "v", ["c"], by, cut_points(per, "v") if cuts is None else cuts)
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(x)).alias("p")) for n, x in probs.items()]))
+    n = F.col("n")
+    at = 1 + (n - 1) * F.col("p") if kind == "linear" else F.greatest(F.least((n + 1 / 3) * F.col("p") + 1 / 3, n.cast("double")), F.lit(1.0))
+    ask = total.select(*by, F.col("all_c").alias("n")).distinct().select(*by, "n", asked.alias("a")).select(*by, "n", "a.name", "a.p").withColumn("h", at).withColumn("k", F.floor("h").cast("long"))
+    ask = ask.withColumn("rank", F.explode(F.array("k", F.least(F.col("k") + 1, "n"))))
+    ask = join_on(ask, total, by).where("rank > _b_c and rank <= _b_c + _t_c").select(*by, "_part", "n", "name", "h", "k", (F.col("rank") - F.col("_b_c")).alias("rank"))
+    got = join_on(ask, p, [*by, "_part"]).where("rank > _r_c - c and rank <= _r_c").groupBy(*by, "n", "name", "h", "k").agg(F.min("v").alias("x"), F.max("v").alias("y"))
+    return got.groupBy(*by, "n").agg(*[F.max(F.when(F.col("name") == x, F.col("x") + (F.col("h") - F.col("k")) * (F.col("y") - F.col("x")))).alias(x) for x in probs])
+
+
+def quantiles_of(df: DataFrame, columns: list[str], probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by, ``<column>_<name>`` for each column and probability): the quantiles of several columns in one plan."""
+    by = by or []
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*by, F.col("x.m").alias("_m"), F.col("x.v").alias("_x"))
+    q = quantiles(long, "_x", probs, [*by, "_m"])
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("_m") == c, F.col(n))).alias(f"{c}_{n}") for c in columns for n in probs])
+
+
+def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Count, mean, sd, min, quartiles (linear interpolation) and max."""
+    by = by or []
+    v = F.col(value)
+    plain = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(df, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}, by).drop("n")
+    return join_on(plain, q, by, "left").select(*by, "n", "mean", "sd", "min", "q25", "median", "q75", "max")
+
+
+def describe_distinct(df: DataFrame, item: str, by: list[str]) -> DataFrame:
+    """Summary, over the groups, of how many different items each has."""
+    return describe(df.groupBy(*by).agg(F.countDistinct(item).alias("items")), "items")
+
+
 def _runs(df: DataFrame, value: str, side: Column, by: list[str]) -> DataFrame:
     """Counts of each side at each distinct value, with running counts and totals."""
     g = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
@@ -91,17 +145,9 @@ def bh_adjust(df: DataFrame, p: str, by: list[str] | None = None, name: str = "p
 
 
 def type8_quantiles(df: DataFrame, value: str, probs: int, by: list[str]) -> DataFrame:
-    """(by, i, q): quantiles at i / (probs - 1), of type 8: position (n + 1/3) p + 1/3 between order statistics."""
-    v = df.where(F.col(value).isNotNull())
-    per = v.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    per = running_counts(per, "v", ["c"], by).withColumnsRenamed({"run_c": "hi", "all_c": "n"}).withColumn("lo", F.col("hi") - F.col("c") + 1)
-    ask = per.select(*by, "n").distinct().select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(probs - 1))).alias("i"))
-    h = F.greatest(F.least((F.col("n") + 1 / 3) * (F.col("i") / F.lit(float(probs - 1))) + 1 / 3, F.col("n").cast("double")), F.lit(1.0))
-    ask = ask.withColumn("h", h).withColumn("k", F.floor("h"))
-    a = per.select(*by, "v", "lo", "hi")
-    both = ask.join(a, by).where("(k between lo and hi) or (least(k + 1, n) between lo and hi)") if by else ask.crossJoin(a).where("(k between lo and hi) or (least(k + 1, n) between lo and hi)")
-    g = both.groupBy(*by, "i", "h", "k").agg(F.min("v").alias("x"), F.max("v").alias("y"))
-    return g.select(*by, "i", (F.col("x") + (F.col("h") - F.col("k")) * (F.col("y") - F.col("x"))).alias("q"))
+    """(by, i, q): quantiles at i / (probs - 1), of type 8."""
+    q = quantiles(df, value, {str(i): i / (probs - 1) for i in range(probs)}, by, "type8")
+    return q.select(*by, F.posexplode(F.array(*[F.col(str(i)) for i in range(probs)])).alias("i", "q"))
 
 
 def wasserstein(df: DataFrame, value: str, side: Column, by: list[str] | None = None, probs: int = 200, standardise: bool = False) -> DataFrame:
@@ -109,12 +155,11 @@ def wasserstein(df: DataFrame, value: str, side: Column, by: list[str] | None =
     by = by or []
     d = df.withColumn("_side", side)
     if standardise:
-        t = Window.partitionBy(*by)
-        m, s = (f(F.when(F.col("_side"), F.col(value))).over(t) for f in (F.avg, F.stddev_samp))
-        d = d.withColumn(value, F.when(s > 0, (F.col(value) - m) / s))
+        own = d.where("_side").groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+        d = join_on(d, own, by).withColumn(value, F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")))
     q = type8_quantiles(d, value, probs, [*by, "_side"])
     a, b = q.where("_side").select(*by, "i", F.col("q").alias("qa")), q.where("not _side").select(*by, "i", F.col("q").alias("qb"))
-    return a.join(b, [*by, "i"]).groupBy(*by).agg(F.avg(F.abs(F.col("qa") - F.col("qb"))).alias("wasserstein"))
+    return join_on(a, b, [*by, "i"]).groupBy(*by).agg(F.avg(F.abs(F.col("qa") - F.col("qb"))).alias("wasserstein"))
 
 
 def _median_ranks(g: np.random.Generator, n: int, reps: int) -> np.ndarray:
@@ -205,14 +250,9 @@ def random_intercept(df: DataFrame, outcome: str, predictors: list[str], cluster
 
 
 def likelihood_ratio(a: DataFrame, b: DataFrame, extra: int) -> float:
-    """p of the likelihood-ratio test between nested models that differ by ``extra`` terms (chi-square tail)."""
+    """p of the likelihood-ratio test between nested models that differ by ``extra`` terms."""
     ll = [d.where("term = 'log_likelihood'").first()["estimate"] for d in (a, b)]
-    x, k = max(0.0, 2 * (ll[1] - ll[0])), extra / 2
-    term = total = 1 / math.gamma(k + 1)
-    for i in range(1, 400):
-        term *= x / 2 / (k + i)
-        total += term
-    return max(0.0, 1 - math.exp(-x / 2) * (x / 2) ** k * total) if x < 300 else 0.0
+    return chi_square_tail(max(0.0, 2 * (ll[1] - ll[0])), extra)
 
 
 def marginal_means(model: DataFrame, at: dict[str, dict[str, float]]) -> DataFrame:
@@ -225,10 +265,39 @@ def marginal_means(model: DataFrame, at: dict[str, dict[str, float]]) -> DataFra
 
 
 def slice_summary(real: DataFrame, synthetic: DataFrame, group: str, story: str, value: str) -> DataFrame:
-    """By (group, story), group and overall: medians of both sides, their ratio, and the share of synthetic values within the
-    real quartiles."""
-    sets = lambda d: d.select(F.explode(F.array(F.struct(F.col(group).alias("g"), F.col(story).alias("s")), F.struct(F.col(group).alias("g"), F.lit("*").alias("s")), F.struct(F.lit("*").alias("g"), F.lit("*").alias("s")))).alias("k"), F.col(value).alias("v")).select("k.g", "k.s", "v")
-    q = lambda p: F.percentile("v", F.lit(p))
-    ref = sets(real).groupBy("g", "s").agg(F.count("v").alias("n_real"), q(0.5).alias("real_median"), q(0.25).alias("lo"), q(0.75).alias("hi"))
-    got = sets(synthetic).join(F.broadcast(ref), ["g", "s"], "left")  # one row a slice
-    return got.groupBy("g", "s", "n_real", "real_median").agg(F.count("v").alias("n_synthetic"), q(0.5).alias("synthetic_median"), F.avg(F.col("v").between(F.col("lo"), F.col("hi")).cast("int")).alias("share_in_iqr")).withColumn("median_ratio", F.when(F.col("real_median") != 0, F.col("synthetic_median") / F.col("real_median")))
+    """By (group, story), group and overall (``*``): medians of both sides, their ratio, and the share of synthetic values within
+    the real quartiles."""
+    out, cuts = None, cut_points(real.select(F.col(value).cast("double").alias("v")), "v")
+    for by in ([group, story], [group], []):
+        ref = quantiles(real, value, {"real_median": 0.5, "lo": 0.25, "hi": 0.75}, by, cuts=cuts).withColumnRenamed("n", "n_real")
+        within = join_on(synthetic.select(*by, F.col(value).alias("v")), ref, by, "left").withColumn("in", F.col("v").between(F.col("lo"), F.col("hi")).cast("int"))
+        share = within.groupBy(*by, "n_real", "real_median").agg(F.count("v").alias("n_synthetic"), F.avg("in").alias("share_in_iqr"))
+        got = join_on(share, quantiles(synthetic, value, {"synthetic_median": 0.5}, by, cuts=cuts).drop("n"), by, "left")
+        names = [(F.col(c) if c in by else F.lit("*")).alias(x) for c, x in ((group, "g"), (story, "s"))]
+        part = got.select(*names, "n_real", "real_median", "n_synthetic", "synthetic_median", "share_in_iqr", F.when(F.col("real_median") != 0, F.col("synthetic_median") / F.col("real_median")).alias("median_ratio"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def chi_square_tail(x: float, degrees: int) -> float:
+    """Upper tail of the chi-square distribution."""
+    k = degrees / 2
+    term = total = 1 / math.gamma(k + 1)
+    for i in range(1, 400):
+        term *= x / 2 / (k + i)
+        total += term
+    return max(0.0, 1 - math.exp(-x / 2) * (x / 2) ** k * total) if x < 300 else 0.0
+
+
+def nested_models(df: DataFrame, outcome: str, steps: list[list[str]], cluster: str) -> DataFrame:
+    """(model, terms, log_likelihood, chi_square, degrees, p): random-intercept models that add the predictors of each step,
+    and the likelihood-ratio test of each against the one before."""
+    rows, last, seen = [], None, []
+    for i, step in enumerate([[], *steps]):
+        seen = [*seen, *step]
+        fit = random_intercept(df, outcome, seen, cluster)
+        ll = fit.where("term = 'log_likelihood'").first()["estimate"]
+        x = None if last is None else max(0.0, 2 * (ll - last))
+        rows.append((f"m{i}", len(seen), ll, x, len(step) if i else None, None if x is None else chi_square_tail(x, len(step))))
+        last = ll
+    return df.sparkSession.createDataFrame(rows, "model string, terms int, log_likelihood double, chi_square double, degrees int, p double")

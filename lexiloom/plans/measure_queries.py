@@ -56,12 +56,12 @@ def _suppliers(spark, d):
 _NN = f"""WITH {_SUPP}, u AS (SELECT l_suppkey, grp, unnest(['f1','f2','f3','f4']) AS feature, unnest([f1, f2, f3, f4]) AS v FROM s),
 r AS (SELECT grp, feature, avg(v) AS m, CASE WHEN count(v) <= 1 OR stddev_pop(v) <= 0 THEN 1.0 ELSE stddev_pop(v) END AS sd FROM u GROUP BY 1, 2),
 z AS (SELECT l_suppkey, u.grp, u.feature, (v - m) / sd AS z FROM u JOIN r ON u.grp = r.grp AND u.feature = r.feature WHERE v IS NOT NULL),
-p AS (SELECT a.l_suppkey AS query_id, b.l_suppkey AS candidate_id, count(*) AS n_features, sqrt(avg((a.z - b.z) ** 2)) AS rms, max(abs(a.z - b.z)) AS mx FROM z a JOIN z b ON a.grp = b.grp AND a.feature = b.feature AND a.l_suppkey <> b.l_suppkey WHERE a.l_suppkey % 5 = 0 GROUP BY 1, 2)"""
+p AS (SELECT a.l_suppkey AS query_id, b.l_suppkey AS candidate_id, count(*) AS n_features, sqrt(avg((a.z - b.z) ** 2)) AS rms, max(abs(a.z - b.z)) AS mx FROM z a JOIN z b ON a.grp = b.grp AND a.feature = b.feature AND a.l_suppkey <> b.l_suppkey WHERE a.l_suppkey % 100 = 0 GROUP BY 1, 2)"""
 
 
 def _pairs(spark, d):
     s = _suppliers(spark, d)
-    return R.zscore_neighbours(s.where("l_suppkey % 5 = 0"), s, "grp", "l_suppkey", "l_suppkey", ["f1", "f2", "f3", "f4"], F.col("query_id") == F.col("candidate_id"))
+    return R.zscore_neighbours(s.where("l_suppkey % 100 = 0"), s, "grp", "l_suppkey", "l_suppkey", ["f1", "f2", "f3", "f4"], F.col("query_id") == F.col("candidate_id"))
 
 
 @query(_NN + " SELECT query_id, candidate_id, CAST(n_features AS BIGINT) AS n_features, round(rms, 6) AS rms_z, round(mx, 6) AS max_abs_z FROM p")
@@ -183,12 +183,12 @@ def checked_left_join_chain(spark, d):
     return checked_join(x, t(spark, d, "region"), ["r_regionkey"], validate="many_to_one").select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-_SUFFIX = """m AS (SELECT page_id, page_id % 50 AS k, CAST(page_id % 10 AS VARCHAR) AS suffix FROM pages), r AS (SELECT doc_id, doc_id % 50 AS k, source AS path, n_chars FROM documents WHERE doc_id < 300)"""
+_SUFFIX = """m AS (SELECT page_id, page_id // 5 AS k, CAST(page_id % 10 AS VARCHAR) AS suffix FROM pages), r AS (SELECT doc_id, doc_id // 5 AS k, source AS path, n_chars FROM documents)"""
 
 
 def _suffix(spark, d, mode):
-    m = t(spark, d, "pages").select("page_id", (F.col("page_id") % 50).alias("k"), (F.col("page_id") % 10).cast("string").alias("suffix"))
-    r = t(spark, d, "documents").where("doc_id < 300").select("doc_id", (F.col("doc_id") % 50).alias("k"), F.col("source").alias("path"), "n_chars")
+    m = t(spark, d, "pages").select("page_id", F.floor(F.col("page_id") / 5).alias("k"), (F.col("page_id") % 10).cast("string").alias("suffix"))
+    r = t(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 5).alias("k"), F.col("source").alias("path"), "n_chars")
     return J.suffix_join(m, r, "k", "path", "suffix", ["n_chars"], "doc_id", "page_id", long_prefix="src1", on_ambiguous=mode).select("page_id", "n_chars")
 
 
@@ -231,22 +231,50 @@ def _wide(spark, d):
     return t(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_quantity", F.col("l_quantity").alias("same"), (F.col("l_quantity") * 2 + 1).alias("twice"), "l_tax", (F.col("l_tax") * -3).alias("minus"), "l_discount")
 
 
-@query("SELECT unnest(['l_quantity', 'same', 'twice', 'l_tax', 'minus']) AS column_name, unnest(['l_quantity', 'l_quantity', 'l_quantity', 'l_tax', 'l_tax']) AS cluster")
+_WIDE = ["l_quantity", "same", "twice", "l_tax", "minus", "l_discount"]
+_WIDESQL = "w AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_quantity, l_quantity AS same, l_quantity * 2 + 1 AS twice, l_tax, l_tax * -3 AS minus, l_discount FROM lineitem)"
+_WIDEPAIRS = [(a, b) for i, a in enumerate(_WIDE) for b in _WIDE[i + 1 :]]
+_STRONG = "c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM w" for a, b in _WIDEPAIRS) + "), e AS (SELECT a, b FROM c WHERE abs(r) >= 0.98 UNION SELECT b, a FROM c WHERE abs(r) >= 0.98)"
+
+
+@query(f"WITH RECURSIVE {_WIDESQL}, {_STRONG}, reach(a, b) AS (SELECT a, a FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS column_name, min(b) AS cluster FROM reach GROUP BY a")
 def corr_clusters(spark, d):
-    return A.correlation_clusters(A.pair_correlations(_wide(spark, d), ["l_quantity", "same", "twice", "l_tax", "minus", "l_discount"]))
+    return A.correlation_clusters(A.pair_correlations(_wide(spark, d), _WIDE))
+
+
+_SAME = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS DISTINCT FROM {b}) AS differ FROM w" for i, a in enumerate(_WIDE[:4]) for j, b in enumerate(_WIDE[:4]) if i < j)
 
 
-@query("SELECT 'l_quantity' AS first_column, 'same' AS column_name")
+@query(f"WITH {_WIDESQL}, p AS ({_SAME}) SELECT first(a ORDER BY i) AS first_column, b AS column_name FROM p WHERE differ = 0 GROUP BY b")
 def duplicate_columns(spark, d):
-    return A.duplicate_columns(_wide(spark, d), "id", ["l_quantity", "same", "twice", "l_tax"])
+    return A.duplicate_columns(_wide(spark, d), "id", _WIDE[:4])
 
 
-@query("SELECT unnest(['o_orderkey']) AS column_name")
+@query("""WITH i AS (SELECT 'o_orderkey' AS c, count(DISTINCT o_orderkey) AS d, count(o_orderkey) AS n, count(*) AS a FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), count(o_custkey), count(*) FROM orders UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus), count(o_orderstatus), count(*) FROM orders)
+SELECT c AS column_name FROM i WHERE d + CASE WHEN a > n THEN 1 ELSE 0 END <= 1 OR (d = a AND n = a) UNION SELECT 'o_custkey' FROM orders HAVING count(*) FILTER (o_orderkey IS DISTINCT FROM o_custkey) = 0""")
 def recommended_exclusions(spark, d):
     o = t(spark, d, "orders")
     return A.recommended_exclusions(A.column_inventory(o, ["o_orderkey", "o_custkey", "o_orderstatus"]), A.duplicate_columns(o, "o_orderkey", ["o_orderkey", "o_custkey"]))
 
 
+@query(f"WITH {_WIDESQL}, {_STRONG}, k AS (SELECT *, row_number() OVER (ORDER BY abs(round(r, 9)) DESC, a, b) AS place FROM c WHERE abs(r) >= 0.5) SELECT CAST(place AS INTEGER) AS place, a AS column_a, b AS column_b, round(r, 6) AS pearson FROM k")
+def strongest_pairs(spark, d):
+    from pyspark.sql.window import Window
+
+    p = A.pair_correlations(_wide(spark, d), _WIDE).withColumn("pearson", F.round("pearson", 9))
+    rows = A.strongest_pairs(p, 0.5).withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("pearson")), "column_a", "column_b")))  # one row a pair of columns
+    return rows.select("place", "column_a", "column_b", F.round("pearson", 6).alias("pearson"))
+
+
+@query(f"WITH RECURSIVE {_WIDESQL}, {_STRONG}, s AS (" + " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c, count({c}) / count(*) AS share, stddev_pop({c}) AS sd FROM w" for i, c in enumerate(_WIDE)) + """),
+live AS (SELECT i, c, row_number() OVER (ORDER BY i) AS k FROM s WHERE share >= 0.8 AND sd > 1e-8),
+g(k, kept) AS (SELECT 0, CAST([] AS VARCHAR[]) UNION ALL SELECT g.k + 1, CASE WHEN EXISTS (SELECT 1 FROM c WHERE abs(c.r) >= 0.9 AND ((c.b = live.c AND list_contains(g.kept, c.a)) OR (c.a = live.c AND list_contains(g.kept, c.b)))) THEN g.kept ELSE list_append(g.kept, live.c) END FROM g JOIN live ON live.k = g.k + 1)
+SELECT unnest(kept) AS column_name FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1)""")
+def feature_screen(spark, d):
+    kept = screen_features(_wide(spark, d), _WIDE)
+    return spark.createDataFrame([(c,) for c in kept], "column_name string")
+
+
 _CS = " UNION ALL ".join(f"SELECT corr({a}, {b}) FILTER (l_returnflag = 'A') AS ra, corr({a}, {b}) FILTER (l_returnflag <> 'A') AS rb FROM lineitem" for a, b in _PAIRCOLS)
 
 
@@ -268,7 +296,15 @@ def mann_whitney_u(spark, d):
     return S.mann_whitney(_labelled(spark, d), "n_chars", F.col("quality") == 1).select("n_a", "n_b", F.round("u", 3).alias("u"), F.round("auc", 6).alias("auc"))
 
 
-@query()
+_UL = "x AS (SELECT lang, n_chars AS v, quality = 1 AS a FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY v) + (count(*) OVER (PARTITION BY lang, v) - 1) / 2 AS rk FROM x), tie AS (SELECT lang, sum(CAST(n AS DOUBLE) * n * n - n) AS ties FROM (SELECT lang, v, count(*) AS n FROM x GROUP BY 1, 2) GROUP BY 1), g AS (SELECT lang, CAST(count(*) FILTER (a) AS DOUBLE) AS na, CAST(count(*) FILTER (NOT a) AS DOUBLE) AS nb, sum(rk) FILTER (a) AS s FROM r GROUP BY 1)"
+_ERFC = "CASE WHEN z >= 2 THEN exp(-z * z / 2) / sqrt(2 * pi()) / ({frac}) ELSE 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * ({series}) END"
+_FRAC = "z"
+for _k in range(40, 0, -1):
+    _FRAC = f"(z + {_k} / {_FRAC})"
+_SERIES = "z * (1" + "".join(f" + z * z / {2 * k + 1} * (1" for k in range(1, 30)) + ")" * 30
+
+
+@query(f"WITH {_UL}, z AS (SELECT g.lang, greatest((abs(s - na * (na + 1) / 2 - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))), 0) AS z FROM g JOIN tie ON g.lang IS NOT DISTINCT FROM tie.lang) SELECT lang, round(z, 6) AS z, round(2 * ({_ERFC.format(frac=_FRAC, series=_SERIES)}), 6) AS p FROM z")
 def mann_whitney_p(spark, d):
     return S.mann_whitney(_labelled(spark, d), "n_chars", F.col("quality") == 1, ["lang"]).select("lang", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
@@ -278,9 +314,12 @@ def ks_statistic(spark, d):
     return S.ks_two_sample(_labelled(spark, d), "n_chars", F.col("quality") == 1).select(F.round("d", 6).alias("d"))
 
 
-@query()
+_KS = "x AS (SELECT source, n_chars AS v, toxic = 1 AS a FROM documents JOIN labels USING (doc_id)), g AS (SELECT source, v, count(*) FILTER (a) AS a, count(*) FILTER (NOT a) AS b FROM x GROUP BY 1, 2), c AS (SELECT source, sum(a) OVER w / nullif(sum(a) OVER p, 0) AS fa, sum(b) OVER w / nullif(sum(b) OVER p, 0) AS fb, sum(a) OVER p AS na, sum(b) OVER p AS nb FROM g WINDOW w AS (PARTITION BY source ORDER BY v), p AS (PARTITION BY source)), ks AS (SELECT source, max(abs(fa - fb)) AS d, CAST(max(na) AS DOUBLE) AS na, CAST(max(nb) AS DOUBLE) AS nb FROM c GROUP BY 1), l AS (SELECT source, d, d * sqrt(na * nb / (na + nb)) AS lam FROM ks)"
+
+
+@query(f"WITH {_KS}, p AS (SELECT source, d, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(least((SELECT sum(2 * CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * lam * lam)) FROM (SELECT unnest(range(1, 60)) AS k)), 1.0), 0.0) END AS p FROM l), r AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(p) OVER () AS m FROM p WHERE d IS NOT NULL) SELECT source, round(d, 6) AS d, round(p, 6) AS p, round(least(min(p * m / i) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 6) AS p_adjusted FROM r")
 def bh_adjusted_tests(spark, d):
-    p = S.ks_two_sample(_labelled(spark, d), "n_chars", F.col("toxic") == 1, ["source"])
+    p = S.ks_two_sample(_labelled(spark, d), "n_chars", F.col("toxic") == 1, ["source"]).where("d is not null")
     return S.bh_adjust(p, "p").select("source", F.round("d", 6).alias("d"), F.round("p", 6).alias("p"), F.round("p_adjusted", 6).alias("p_adjusted"))
 
 
@@ -299,6 +338,15 @@ def wasserstein_type8(spark, d):
     return S.wasserstein(x, "v", F.col("quality") == 1).select(F.round("wasserstein", 4).alias("wasserstein"))
 
 
+@query("""WITH y AS (SELECT CAST(n_chars AS DOUBLE) AS v, quality FROM documents JOIN labels USING (doc_id)), m AS (SELECT avg(v) AS m, stddev_samp(v) AS s FROM y WHERE quality = 1), x AS (SELECT quality, (y.v - m) / s AS v FROM y CROSS JOIN m), o AS (SELECT quality, v, row_number() OVER (PARTITION BY quality ORDER BY v) AS k, count(*) OVER (PARTITION BY quality) AS n FROM x),
+i AS (SELECT unnest(range(200)) AS i), h AS (SELECT DISTINCT quality, n, i, greatest(least((n + 1/3) * (i / 199.0) + 1/3, n), 1) AS h FROM o CROSS JOIN i),
+q AS (SELECT h.quality, i, a.v + (h - floor(h)) * (b.v - a.v) AS q FROM h JOIN o a ON a.quality = h.quality AND a.k = floor(h) JOIN o b ON b.quality = h.quality AND b.k = least(floor(h) + 1, h.n))
+SELECT round(avg(abs(a.q - b.q)), 6) AS wasserstein FROM q a JOIN q b ON a.i = b.i AND a.quality = 1 AND b.quality = 0""")
+def wasserstein_standardised(spark, d):
+    x = _labelled(spark, d).withColumn("v", F.col("n_chars").cast("double"))
+    return S.wasserstein(x, "v", F.col("quality") == 1, standardise=True).select(F.round("wasserstein", 6).alias("wasserstein"))
+
+
 @query()
 def bootstrap_interval(spark, d):
     b = S.bootstrap(_labelled(spark, d), "n_chars", F.col("quality") == 1)
@@ -343,12 +391,6 @@ def pca_scores(spark, d):
     return s.select("l_suppkey", *[F.round(c, 4).alias(c) for c in ("pc1", "pc2")])
 
 
-@query()
-def feature_screen(spark, d):
-    kept = screen_features(_wide(spark, d), ["l_quantity", "same", "twice", "l_tax", "minus", "l_discount"])
-    return spark.createDataFrame([(c,) for c in kept], "column_name string")
-
-
 @query()
 def isolation_qc(spark, d):
     return isolation_scores(_suppliers(spark, d), "l_suppkey", ["f1", "f2", "f3", "f4"]).select("l_suppkey", F.round("score", 4).alias("score"))

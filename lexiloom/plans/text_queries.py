@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import language_model as LM
 from ..operators import lines as L
 from ..operators import retrieval as R
+from ..operators.evaluation import additive_perplexity, slice_report, text_metrics, words_and_pairs
 from ..operators.learning import centroid_distance, detectability
 from ..operators.quotes import utterances as quote_lines
 from ..operators.stats import describe, slice_summary
@@ -125,9 +126,30 @@ def surface_clean(spark, d):
     return t(spark, d, "documents").select("doc_id", T.clean("text", "surface").alias("cleaned"))
 
 
-@query()
+def _sql_chain(col: str, cleaner: str) -> str:
+    """A cleaner as nested ``regexp_replace`` calls; its patterns have no look-around, so that both engines read them alike."""
+    out = col
+    for pattern, to in T.CLEANERS[cleaner]:
+        out = f"regexp_replace({out}, '" + pattern.replace("'", "''") + "', '" + to.replace("$", chr(92)).replace("'", "''") + "', 'g')"
+    return f"trim({out})"
+
+
+_CLEAN = ("spoken", "plain", "training", "for_transcript", "natural", "child", "embedding", "raw_pair", "annotated_pair")
+# text with the marks of the transcription format, put on top of the documents
+_MARKED = "translate(text, 'áàâäãåéèêëíìîïóòôöõúùûüñçßÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'aaaaaaeeeeiiiiooooouuuuncsAAAAAAEEEEIIIIOOOOOUUUUNC')"
+
+
+def _ascii(spark, d):
+    plain = F.translate("text", "áàâäãåéèêëíìîïóòôöõúùûüñçßÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaaeeeeiiiiooooouuuuncsAAAAAAEEEEIIIIOOOOOUUUUNC")
+    return t(spark, d, "documents").select("doc_id", F.concat(F.lit("*CHI:\t<oh> [/] &-um "), F.regexp_replace(plain, r"[^\x20-\x7E]", " "), F.lit(" (be)cause [: went] [* m:+ed] 0det go:ed +... \x151_20\x15 [+ gram]")).alias("text"))
+
+
+_ASCIISQL = f"a AS (SELECT doc_id, '*CHI:' || chr(9) || '<oh> [/] &-um ' || regexp_replace({_MARKED}, '[^\\x20-\\x7E]', ' ', 'g') || ' (be)cause [: went] [* m:+ed] 0det go:ed +... ' || chr(21) || '1_20' || chr(21) || ' [+ gram]' AS text FROM documents)"
+
+
+@query(f"WITH {_ASCIISQL} SELECT doc_id, {', '.join(_sql_chain('text', c) + ' AS ' + c for c in _CLEAN)} FROM a")
 def chat_normalize(spark, d):
-    return t(spark, d, "documents").select("doc_id", *[T.clean("text", c).alias(c) for c in ("spoken", "plain", "training", "for_transcript", "natural", "child", "embedding", "raw_pair", "annotated_pair")])
+    return _ascii(spark, d).select("doc_id", *[T.clean("text", c).alias(c) for c in _CLEAN])
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?]+\\s')) + 1 AS BIGINT) AS sentences FROM documents")
@@ -135,11 +157,20 @@ def sentence_count(spark, d):
     return t(spark, d, "documents").select("doc_id", T.sentence_marks("text").cast("long").alias("sentences"))
 
 
-@query()
+_SQUEEZED = "trim(regexp_replace(translate(text, '\u201c\u201d\u2018\u2019', '\"\"' || chr(39) || chr(39)), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, list_transform(list_filter(list_transform(string_split(regexp_replace({_SQUEEZED}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END) AS sentences FROM documents")
 def sentence_split(spark, d):
     return t(spark, d, "documents").select("doc_id", T.sentences("text").alias("sentences"))
 
 
+@query(f"SELECT doc_id, {_SQUEEZED} AS squeezed, trim(regexp_replace({_SQUEEZED}, '[\\s,.;:!?]+$', '')) AS bare, trim(regexp_replace(regexp_replace({_SQUEEZED}, '\\s*([.!?,])', ' \\1', 'g'), '\\s+', ' ', 'g')) AS spaced FROM documents")
+def surface_helpers(spark, d):
+    x = t(spark, d, "documents").select("doc_id", T.normal_surface("text").alias("squeezed"))
+    return x.select("doc_id", "squeezed", T.strip_clause_edges("squeezed").alias("bare"), T.space_punctuation("squeezed").alias("spaced"))
+
+
 @query()
 def repeat_marking(spark, d):
     return t(spark, d, "documents").select("doc_id", T.mark_repeats("text").alias("marked"))
@@ -207,12 +238,12 @@ def share_within_iqr(spark, d):
     return j.groupBy("source").agg(F.round(F.avg(F.col("n_chars").between(F.col("lo"), F.col("hi")).cast("int")), 6).alias("share"), F.round(p(0.5) / F.first("m"), 6).alias("median_ratio"))
 
 
-@query("""SELECT q.vec_id AS query_id, round(max(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[]))), 6) AS nearest, round(avg(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[]))), 6) AS mean
-FROM embeddings q JOIN embeddings p ON q.label = p.label AND q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1""")
+@query("""WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings p ON q.label = p.label AND q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, first(id ORDER BY round(s, 12) DESC, id) AS nearest_id, round(max(s), 6) AS nearest, round(avg(s), 6) AS mean, round(avg(s) FILTER (s >= 0), 6) AS mean_nonnegative FROM s GROUP BY 1""")
 def embedding_nn(spark, d):
     e = t(spark, d, "embeddings")
     n = R.embedding_neighbours(e.where("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding", "label")
-    return n.select("query_id", F.round("nearest", 6).alias("nearest"), F.round("mean", 6).alias("mean"))
+    return n.select("query_id", "nearest_id", *[F.round(c, 6).alias(c) for c in ("nearest", "mean", "mean_nonnegative")])
 
 
 @query("""WITH x AS (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY 1, 2)
@@ -223,14 +254,17 @@ def centroid_similarity(spark, d):
     return e.join(F.broadcast(c), "label").select("vec_id", F.round(R.cosine(F.col("embedding"), F.col("centroid")), 6).alias("similarity"))  # one row a label
 
 
-@query("""WITH k AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM k GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM benchmark),
-w AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n), u AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w),
+_TERMS = "WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM benchmark), k AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w)"
+
+
+@query(_TERMS + """, tf AS (SELECT item_id, term, count(*) AS tf FROM k GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM benchmark),
+x AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n), u AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM x),
 s AS (SELECT a.item_id AS query_id, b.item_id AS id, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.term = b.term AND a.item_id <> b.item_id GROUP BY 1, 2)
-SELECT query_id, round(max(s), 6) AS nearest, round(sum(s), 6) AS total FROM s GROUP BY 1""")
+SELECT query_id, first(id ORDER BY round(s, 9) DESC, id) AS nearest_id, round(max(s), 6) AS nearest, round(sum(s), 6) AS total FROM s GROUP BY 1""")
 def tfidf_nn(spark, d):
-    b = t(spark, d, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)).alias("terms"))
+    b = t(spark, d, "benchmark").select("item_id", words_and_pairs("text").alias("terms"))
     w = R.tfidf(b, "item_id", "terms")
-    return R.tfidf_neighbours(w, w, "item_id").select("query_id", F.round("nearest", 6).alias("nearest"), F.round("total", 6).alias("total"))
+    return R.tfidf_neighbours(w, w, "item_id").select("query_id", "nearest_id", F.round("nearest", 6).alias("nearest"), F.round("total", 6).alias("total"))
 
 
 @query()
@@ -260,17 +294,25 @@ def story_forward_fill(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(w).alias("story"))
 
 
-def _as_files(spark, d):
+def _as_files(spark, d, code=None):
     """Conversations as transcripts: user turns by the child, assistant turns by an investigator, every third turn a story mark."""
     c = t(spark, d, "conversations")
-    line = F.concat(F.when(F.col("role") == "user", "*CHI:\t").otherwise("*INV:\t"), F.regexp_replace("text", r"\s+", " "), F.lit(" ."))
+    mark = F.lit("") if code is None else F.coalesce(code, F.lit(""))
+    line = F.concat(F.when(F.col("role") == "user", "*CHI:\t").otherwise("*INV:\t"), F.regexp_replace("text", r"\s+", " "), mark, F.lit(" ."))
     tier = F.concat(F.lit("\n%umor:\t"), F.array_join(F.transform(T.tokens("text"), lambda w: F.concat(F.when(F.length(w) % 3 == 0, "verb|").otherwise("noun|"), w, F.when(F.length(w) % 2 == 0, "-Fin-Ind-Past-S3").otherwise(""))), " "))
     gra = F.concat(F.lit("\n%ugra:\t"), F.array_join(F.transform(T.tokens("text"), lambda w, i: F.concat((i + 1).cast("string"), F.lit("|"), i.cast("string"), F.when(i == 0, "|ROOT").when(F.length(w) % 4 == 0, "|NSUBJ").otherwise("|OBJ"))), " "))
     cells = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.when(F.col("turn") % 3 == 0, F.concat(F.lit("@G:\tA"), (F.col("turn") / 3 + 1).cast("int").cast("string"), F.lit("\n"))).otherwise(""), line, tier, gra).alias("l"))))
     return c.groupBy("conv_id").agg(F.concat(F.lit("@UTF8\n@Begin\n@ID:\teng|X|CHI|4;06.15|male|TD||Target_Child|||\n"), F.array_join(F.transform(cells, lambda x: x["l"]), "\n"), F.lit("\n@End\n")).alias("content")).select(F.concat(F.lit("/TD/"), F.col("conv_id").cast("string"), F.lit(".cha")).alias("path"), "content")
 
 
-@query()
+_TURNS = f"u AS (SELECT conv_id, turn, text, {_TOK.format(c='text')} AS k FROM conversations WHERE role = 'user')"
+
+
+@query(f"""WITH {_TURNS}, a AS (SELECT conv_id, len(k) AS n, len(list_filter(k[2:], lambda w: len(w) % 4 = 0)) AS subj, len(list_filter(k[2:], lambda w: len(w) % 4 <> 0)) AS obj, len(list_filter(k, lambda w: len(w) % 6 = 0)) AS fin FROM u),
+g AS (SELECT conv_id, count(*) AS total, count(*) FILTER (n > 0) AS ok, coalesce(sum(n), 0) AS toks, coalesce(sum(n - 1) FILTER (n > 0), 0) AS arcs, coalesce(sum(n * (n - 1) / 2) FILTER (n > 0), 0) AS depth, max(n) AS longest, count(*) FILTER (subj > 0) AS subj, count(*) FILTER (obj > 0) AS obj, coalesce(sum(fin), 0) AS fin FROM a GROUP BY conv_id)
+SELECT '/TD/' || conv_id || '.cha' AS path, CAST(ok AS DOUBLE) AS Syntax_Utts_Analyzed, CAST(toks AS DOUBLE) AS Syntax_Tokens_Analyzed, CAST(CASE WHEN arcs > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS Syntax_Mean_DepLen, CAST(CASE WHEN arcs > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS Syntax_Max_DepLen, CASE WHEN toks > 0 THEN depth / toks ELSE 0.0 END AS Syntax_Mean_TreeDepth, CAST(greatest(longest - 1, 0) AS DOUBLE) AS Syntax_Max_TreeDepth,
+0.0::DOUBLE AS Syntax_Subordination_Utt_Prop, 0.0::DOUBLE AS Syntax_Coordination_Utt_Prop, CASE WHEN ok > 0 THEN subj / ok ELSE 0.0 END AS Syntax_Subject_Utt_Prop, CASE WHEN ok > 0 THEN obj / ok ELSE 0.0 END AS Syntax_Object_Utt_Prop, 0.0::DOUBLE AS Syntax_AuxCop_Utt_Prop, 0.0::DOUBLE AS Syntax_Oblique_Utt_Prop, 0.0::DOUBLE AS Syntax_ComplexNP_Utt_Prop, CASE WHEN ok > 0 THEN fin / ok ELSE 0.0 END AS Syntax_FiniteVerb_Tokens_per_Utt,
+total AS chi_blocks_total, ok AS chi_blocks_analyzed, total - ok AS chi_blocks_skipped_missing_tiers, CAST(0 AS BIGINT) AS chi_blocks_skipped_parse_errors, CAST(0 AS BIGINT) AS chi_blocks_skipped_token_mismatch FROM g""")
 def syntax_features(spark, d):
     return A.syntax_table(chat.utterances(chat.lines_of(_as_files(spark, d))))
 
@@ -281,9 +323,16 @@ def speaker_blocks(spark, d):
     return u.groupBy("path").agg(F.count_if(F.col("speaker") == "CHI").alias("child"), F.count_if(F.col("speaker") != "CHI").alias("others"))
 
 
-@query()
+_STORY_SQL = "m AS (SELECT conv_id, turn, text, role, 'A' || last_value(CASE WHEN turn % 3 = 0 THEN CAST(floor(turn / 3) + 1 AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS story_id FROM conversations)"
+_UNIT = _sql_chain("regexp_replace(text, '\\s+', ' ', 'g') || ' .'", "surface")
+
+
+@query(f"""WITH {_STORY_SQL}, s AS (SELECT conv_id, story_id, turn, {_UNIT} AS u FROM m WHERE role = 'user' AND story_id IS NOT NULL), g AS (SELECT conv_id, story_id, count(*) AS n, string_agg(u, ' ' ORDER BY turn) AS story_text FROM s WHERE u <> '' GROUP BY 1, 2),
+k AS (SELECT *, list_filter(list_transform(regexp_extract_all(story_text, '[A-Za-z0-9'']+'), lambda x: lower(x)), lambda x: x NOT IN ('xxx', 'xx', 'yyy', 'yy', 'www') AND NOT regexp_matches(x, '^[0-9]+$')) AS k FROM g)
+SELECT '/TD/' || conv_id || '.cha' AS path, story_id, CAST(n AS INTEGER) AS story_unit_count, story_text, CAST(len(k) AS BIGINT) AS n_tokens FROM k""")
 def story_narratives(spark, d):
-    return chat.narratives(_as_files(spark, d)).select("path", "story_id", "story_unit_count", "story_text", "story_units_json")
+    n = chat.narratives(_as_files(spark, d))
+    return n.select("path", "story_id", "story_unit_count", "story_text", F.size("tokens").cast("long").alias("n_tokens"))
 
 
 @query()
@@ -292,11 +341,53 @@ def tier_repairs(spark, d):
     return L.insert_missing_tiers(L.normalise_quote_ends(L.normalise_pauses(lines)))
 
 
-@query()
+@query(f"""WITH {_TURNS}, g AS (SELECT conv_id, sum(len(list_filter(k, lambda w: len(w) % 6 = 0))) AS fin, count(*) FILTER (turn % 4 = 0) AS over, count(*) FILTER (turn % 4 = 2) AS bare FROM u GROUP BY conv_id)
+SELECT '/TD/' || conv_id || '.cha' AS path, CAST(fin AS BIGINT) AS overt_past_finite_verbs, CAST(bare AS BIGINT) AS bare_past_error_tokens, CAST(over AS BIGINT) AS past_overgeneralization_errors, CAST(fin + bare AS BIGINT) AS past_verb_opportunities, round(CASE WHEN fin + bare > 0 THEN over / (fin + bare) ELSE 0.0 END, 6) AS past_overgeneralization_rate FROM g""")
 def past_verb_rates(spark, d):
-    files = _as_files(spark, d)
-    lines = chat.lines_of(files)
-    return A.past_verbs(chat.utterances(lines), A.code_counts(lines, "path", "line"))
+    """Every fourth turn of the child over-applies the past, every other even one lacks it."""
+    code = F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 0, " [* m:=ed]").when(F.col("turn") % 4 == 2, " [* m:0ed]")).otherwise(F.lit(None))
+    lines = chat.lines_of(_as_files(spark, d, code))
+    out = A.past_verbs(chat.utterances(lines), A.code_counts(lines.where(F.col("line").startswith("*CHI:")), "path", "line"))
+    return out.withColumn("past_overgeneralization_rate", F.round("past_overgeneralization_rate", 6))
+
+
+_CODES = ["m:+ed", "m:=ed", "m:0ed", "s:r:gc:pro", "s:r:gc:det", "p:w", "d:x"]
+
+
+def _coded(spark, d):
+    """Customers as speakers, their orders as annotated lines."""
+    code = F.get(F.array(*[F.lit(c) for c in _CODES]), (F.col("o_orderkey") % 9).cast("int"))
+    line = F.concat(F.lit("*CHI:\tit goed"), F.when(code.isNotNull(), F.concat(F.lit(" [* "), code, F.lit("]"))).otherwise(""), F.lit(" ."))
+    return t(spark, d, "orders").select(F.col("o_custkey").alias("path"), line.alias("line"))
+
+
+_CODED = "c AS (SELECT o_custkey AS path, CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CODES)) + " END AS code FROM orders)"
+
+
+@query(f"WITH {_CODED} SELECT path, CAST(count(*) AS BIGINT) AS chi_utterances, CAST(count(code) AS BIGINT) AS chi_utterances_with_error_code, CAST(count(code) AS BIGINT) AS error_total_annotations, CAST(count(*) FILTER (code LIKE 'm:%') AS BIGINT) AS error_morphology_total, CAST(count(*) FILTER (code LIKE 's:%') AS BIGINT) AS error_syntax_total, CAST(count(*) FILTER (code LIKE 'p:%') AS BIGINT) AS error_phonology_total, CAST(count(*) FILTER (code LIKE 'd:%') AS BIGINT) AS error_other_total FROM c GROUP BY path")
+def error_code_table(spark, d):
+    return A.error_table(_coded(spark, d))
+
+
+@query(f"WITH {_CODED}, g AS (SELECT path, count(*) AS n, count(*) FILTER (code = 'm:0ed') AS b, count(*) FILTER (code = 's:r:gc:det') AS de, count(*) FILTER (code = 's:r:gc:pro') AS pr, count(*) FILTER (code IN ('m:+ed', 'm:=ed')) AS ru FROM c GROUP BY path) SELECT path, CAST(n AS BIGINT) AS utterances, CAST(b AS BIGINT) AS bare_marking_errors, CAST(de AS BIGINT) AS determiner_errors, CAST(pr AS BIGINT) AS pronoun_errors, CAST(ru AS BIGINT) AS rule_generalization_errors, round(b / n, 6) AS bare_marking_errors_per_utt, round(de / n, 6) AS determiner_errors_per_utt, round(pr / n, 6) AS pronoun_errors_per_utt, round(ru / n, 6) AS rule_generalization_errors_per_utt FROM g")
+def grouped_error_table(spark, d):
+    x = _coded(spark, d)
+    return A.grouped_errors(A.code_counts(x, "path", "line"), x.groupBy("path").agg(F.count("*").alias("utterances")), "path", "utterances")
+
+
+@query(f"WITH {_CODED} SELECT path, " + ", ".join(f"CAST(count(*) FILTER (code = '{c}') AS BIGINT) AS {n}" for c, n in (("m:+ed", "err_m_c_plus_ed"), ("m:=ed", "err_m_c_eq_ed"), ("p:w", "err_p_c_w"))) + " FROM c WHERE code IS NOT NULL GROUP BY path")
+def wide_error_codes(spark, d):
+    return A.wide_codes(A.code_counts(_coded(spark, d), "path", "line"), "path", ["err_m_c_plus_ed", "err_m_c_eq_ed", "err_p_c_w"])
+
+
+@query(f"WITH {_CODED}, n AS (SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1) SELECT code, n, CAST(row_number() OVER (ORDER BY n DESC, code) AS INTEGER) AS place FROM n")
+def most_common_codes(spark, d):
+    from pyspark.sql.window import Window
+
+    from ..operators.audit import most_common
+
+    n = A.code_counts(_coded(spark, d), "path", "line").groupBy("code").agg(F.sum("n").alias("n"))
+    return most_common(n, "n", "code").withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "code")))  # one row a code
 
 
 @query()
@@ -337,3 +428,69 @@ def safe_names(spark, d):
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY CASE WHEN n_chars > 2000 THEN 0 ELSE 1 END, doc_id DESC) AS k FROM documents) SELECT source, lang, doc_id FROM r WHERE k = 1")
 def dedupe_prefer_split(spark, d):
     return J.prefer(t(spark, d, "documents"), ["source", "lang"], F.col("n_chars") > 2000, "doc_id").select("source", "lang", "doc_id")
+
+
+def _short(spark, d):
+    """Conversations as told stories: what the user says, in six slices, four in five of them real."""
+    c = t(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("x"))
+    text = F.array_join("x", " ")
+    return c.select("conv_id", (F.col("conv_id") % 2).alias("grp"), (F.col("conv_id") % 3).alias("story_id"), text.alias("text"), T.tokens(text).alias("tokens"), (F.col("conv_id") % 5 != 1).alias("real"))
+
+
+_SHORT = f"s AS (SELECT conv_id, conv_id % 2 AS grp, conv_id % 3 AS story_id, string_agg(text, ' ' ORDER BY turn) AS text, conv_id % 5 <> 1 AS real FROM conversations WHERE role = 'user' GROUP BY conv_id), k AS (SELECT *, {_TOK.format(c='text')} AS k FROM s)"
+# additive bigrams of the slice; own counts are taken off where ``own``
+_BIGRAMS = "p AS (SELECT conv_id, grp, story_id, real, unnest(list_concat(['<s>'], k)) AS a, unnest(list_concat(k, ['</s>'])) AS b FROM k), m AS (SELECT conv_id, grp, story_id, real, a, b, count(*) AS m FROM p GROUP BY ALL), c AS (SELECT grp, story_id, a, b, sum(m) AS c FROM m WHERE real GROUP BY ALL), h AS (SELECT grp, story_id, a, sum(c) AS n FROM c GROUP BY ALL), oh AS (SELECT conv_id, a, sum(m) AS hm FROM m GROUP BY ALL), ty AS (SELECT DISTINCT conv_id, grp, story_id, b AS w FROM p WHERE real AND b <> '</s>'), tw AS (SELECT grp, story_id, w, count(*) AS texts FROM ty GROUP BY ALL), v AS (SELECT grp, story_id, count(*) AS types FROM tw GROUP BY ALL), gone AS (SELECT conv_id, count(*) AS gone FROM ty JOIN tw USING (grp, story_id, w) WHERE texts = 1 GROUP BY 1)"
+
+
+@query(f"WITH {_SHORT}, {_BIGRAMS} SELECT m.conv_id, round(exp(-sum(m * ln((coalesce(c, 0) - m + 0.5) / (coalesce(n, 0) - hm + 0.5 * (types - coalesce(gone, 0) + 2)))) / sum(m)), 5) AS perplexity FROM m LEFT JOIN c USING (grp, story_id, a, b) LEFT JOIN h USING (grp, story_id, a) JOIN oh ON oh.conv_id = m.conv_id AND oh.a = m.a JOIN v USING (grp, story_id) LEFT JOIN gone ON gone.conv_id = m.conv_id WHERE real GROUP BY m.conv_id")
+def loo_bigram_perplexity(spark, d):
+    real = _short(spark, d).where("real")
+    return additive_perplexity(real, real, ["grp", "story_id"], "conv_id", "tokens", 2, True).select("conv_id", F.round("perplexity", 5).alias("perplexity"))
+
+
+@query(f"WITH {_SHORT}, {_BIGRAMS} SELECT m.conv_id, round(exp(-sum(m * ln((coalesce(c, 0) + 0.5) / (coalesce(n, 0) + 0.5 * (types + 2)))) / sum(m)), 5) AS perplexity FROM m LEFT JOIN c USING (grp, story_id, a, b) LEFT JOIN h USING (grp, story_id, a) JOIN v USING (grp, story_id) WHERE NOT real GROUP BY m.conv_id")
+def slice_bigram_perplexity(spark, d):
+    x = _short(spark, d)
+    return additive_perplexity(x.where("real"), x.where("not real"), ["grp", "story_id"], "conv_id", "tokens", 2, False).select("conv_id", F.round("perplexity", 5).alias("perplexity"))
+
+
+_WEIGHTS = "x AS (SELECT conv_id, grp, story_id, real, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM k), e AS (SELECT conv_id, grp, story_id, real, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM x), tf AS (SELECT conv_id, grp, story_id, real, term, count(*) AS tf FROM e GROUP BY ALL), df AS (SELECT grp, story_id, term, count(*) AS df FROM tf WHERE real GROUP BY ALL), nn AS (SELECT grp, story_id, count(*) AS n, min(conv_id) AS low, max(conv_id) AS high FROM k WHERE real GROUP BY ALL), w0 AS (SELECT conv_id, grp, story_id, real, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (grp, story_id, term) JOIN nn USING (grp, story_id)), w1 AS (SELECT conv_id, grp, story_id, real, term, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id)) AS w FROM w0), sim AS (SELECT a.conv_id, b.conv_id AS other, round(sum(a.w * b.w), 12) AS s FROM w1 a JOIN w1 b ON a.grp = b.grp AND a.story_id = b.story_id AND a.term = b.term AND b.real AND a.conv_id <> b.conv_id GROUP BY ALL), best AS (SELECT conv_id, first(other ORDER BY s DESC, other) AS best, max(s) AS top, sum(s) AS total FROM sim GROUP BY 1), near AS (SELECT k.conv_id, k.grp, k.story_id, k.real, len(k) AS token_count, CASE WHEN len(k) > 0 THEN len(list_distinct(k)) / len(k) ELSE 0.0 END AS ttr, n - CASE WHEN k.real THEN 1 ELSE 0 END AS n_ref, coalesce(best, CASE WHEN k.real AND low = k.conv_id THEN high ELSE low END) AS nearest_id, coalesce(top, 0.0) AS nearest, coalesce(total, 0.0) / (n - CASE WHEN k.real THEN 1 ELSE 0 END) AS mean FROM k JOIN nn USING (grp, story_id) LEFT JOIN best ON best.conv_id = k.conv_id)"
+_PPL = "ppl AS (SELECT m.conv_id, exp(-sum(m * ln((coalesce(c, 0) - CASE WHEN m.real THEN m ELSE 0 END + 0.5) / (coalesce(n, 0) - CASE WHEN m.real THEN hm ELSE 0 END + 0.5 * (types - CASE WHEN m.real THEN coalesce(gone, 0) ELSE 0 END + 2)))) / sum(m)) AS bigram FROM m LEFT JOIN c USING (grp, story_id, a, b) LEFT JOIN h USING (grp, story_id, a) JOIN oh ON oh.conv_id = m.conv_id AND oh.a = m.a JOIN v USING (grp, story_id) LEFT JOIN gone ON gone.conv_id = m.conv_id GROUP BY m.conv_id), t AS (SELECT near.*, bigram FROM near JOIN ppl USING (conv_id) JOIN (SELECT grp, story_id FROM k GROUP BY ALL HAVING bool_or(real) AND bool_or(NOT real)) USING (grp, story_id))"
+
+
+@query(f"WITH {_SHORT}, {_BIGRAMS}, {_WEIGHTS}, {_PPL}, base AS (SELECT grp, story_id, quantile_cont(nearest, 0.5) AS near_mid, quantile_cont(bigram, 0.5) AS ppl_mid, avg(token_count) AS n_mid, avg(ttr) AS ttr_mid FROM t WHERE real GROUP BY ALL) SELECT conv_id, CAST(n_ref AS BIGINT) AS n_reference_real_texts, nearest_id AS nearest_real_id, round(nearest, 6) AS nearest_tfidf_cosine, round(mean, 6) AS mean_tfidf_cosine_to_real, round(bigram, 5) AS bigram_perplexity_vs_real, round(nearest - near_mid, 6) AS nearest_tfidf_minus_real_baseline_median, round(bigram / ppl_mid, 5) AS bigram_perplexity_over_real_baseline_median, round(token_count / n_mid, 6) AS token_count_over_real_mean, round(ttr / ttr_mid, 6) AS type_token_ratio_over_real_mean FROM t JOIN base USING (grp, story_id) WHERE NOT real")
+def generated_text_metrics(spark, d):
+    x = _short(spark, d)
+    got, _ = text_metrics(x.where("real"), x.where("not real"), ["grp", "story_id"], "conv_id", "text", "tokens")
+    six = ("nearest_tfidf_cosine", "mean_tfidf_cosine_to_real", "nearest_tfidf_minus_real_baseline_median", "token_count_over_real_mean", "type_token_ratio_over_real_mean")
+    return got.select("conv_id", "n_reference_real_texts", "nearest_real_id", *[F.round(c, 6).alias(c) for c in six], *[F.round(c, 5).alias(c) for c in ("bigram_perplexity_vs_real", "bigram_perplexity_over_real_baseline_median")])
+
+
+_LEVELS = " UNION ALL ".join(
+    f"SELECT '{level}' AS summary_level, {g} AS grp, {s} AS story_id, count(*) FILTER (NOT real) AS n_synthetic, count(*) FILTER (real) AS n_real_baseline, "
+    + ", ".join(f"round(quantile_cont({c}, 0.5) FILTER ({'NOT ' * (side == 'synthetic')}real), 5) AS {side}_{n}_median" for n, c in (("token_count", "token_count"), ("type_token_ratio", "ttr"), ("nearest_tfidf", "nearest"), ("bigram_perplexity", "bigram")) for side in ("synthetic", "real"))
+    + ", round(quantile_cont(bigram, 0.5) FILTER (NOT real) / quantile_cont(bigram, 0.5) FILTER (real), 5) AS ratio, quantile_cont(nearest, 0.25) FILTER (real) AS nlo, quantile_cont(nearest, 0.75) FILTER (real) AS nhi, quantile_cont(bigram, 0.25) FILTER (real) AS blo, quantile_cont(bigram, 0.75) FILTER (real) AS bhi "
+    + f"FROM t {by}"
+    for level, g, s, by in (("story", "CAST(grp AS VARCHAR)", "CAST(story_id AS VARCHAR)", "GROUP BY t.grp, t.story_id"), ("group", "CAST(grp AS VARCHAR)", "'ALL'", "GROUP BY t.grp"), ("overall", "'ALL'", "'ALL'", ""))
+)
+
+
+@query(f"WITH {_SHORT}, {_BIGRAMS}, {_WEIGHTS}, {_PPL}, l AS ({_LEVELS}) SELECT l.* EXCLUDE (ratio, nlo, nhi, blo, bhi), ratio AS synthetic_bigram_perplexity_over_real_median, round((SELECT avg(CASE WHEN nearest BETWEEN nlo AND nhi THEN 1.0 ELSE 0.0 END) FROM t WHERE NOT real AND (l.grp = 'ALL' OR CAST(t.grp AS VARCHAR) = l.grp) AND (l.story_id = 'ALL' OR CAST(t.story_id AS VARCHAR) = l.story_id)), 6) AS synthetic_nearest_tfidf_within_real_iqr_share, round((SELECT avg(CASE WHEN bigram BETWEEN blo AND bhi THEN 1.0 ELSE 0.0 END) FROM t WHERE NOT real AND (l.grp = 'ALL' OR CAST(t.grp AS VARCHAR) = l.grp) AND (l.story_id = 'ALL' OR CAST(t.story_id AS VARCHAR) = l.story_id)), 6) AS synthetic_bigram_perplexity_within_real_iqr_share FROM l")
+def generated_text_report(spark, d):
+    x = _short(spark, d)
+    got, base = text_metrics(x.where("real"), x.where("not real"), ["grp", "story_id"], "conv_id", "text", "tokens")
+    out = slice_report(got, base)
+    out = out.select(*[c for c in out.columns if "rouge" not in c])
+    return out.select(*[F.round(c, 5).alias(c) if c.endswith("median") else F.round(c, 6).alias(c) if c.endswith("share") else F.col(c) for c in out.columns])
+
+
+@query(_TRIGRAM_SQL.replace("WHERE role = 'user'),", "WHERE role = 'user' AND conv_id % 7 <> 3),", 1).split("SELECT tri.fold AS fold")[0] + f""", other AS (SELECT conv_id, turn, {_TOK.format(c="text")} AS toks FROM conversations WHERE role = 'user' AND conv_id % 7 = 3),
+ot AS (SELECT conv_id, turn, unnest(list_concat(list_concat(['<s>', '<s>'], toks), ['</s>'])) AS w, generate_subscripts(list_concat(list_concat(['<s>', '<s>'], toks), ['</s>']), 1) AS i FROM other),
+otri AS (SELECT f.fold, a.conv_id, a.w AS a, b.w AS b, c.w AS c FROM folds f CROSS JOIN ot a JOIN ot b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.i = a.i + 1 JOIN ot c ON a.conv_id = c.conv_id AND a.turn = c.turn AND c.i = a.i + 2)
+SELECT otri.fold AS fold, conv_id, CAST(count(*) AS BIGINT) AS token_count, round(exp(-sum(ln((coalesce(n, 0) + 0.5) / (coalesce(m, 0) + 0.5 * v))) / count(*)), 5) AS perplexity
+FROM otri LEFT JOIN model ON model.k = otri.fold AND model.a = otri.a AND model.b = otri.b AND model.c = otri.c LEFT JOIN ctx ON ctx.k = otri.fold AND ctx.a = otri.a AND ctx.b = otri.b JOIN v ON v.k = otri.fold GROUP BY 1, 2""")
+def synthetic_fold_perplexity(spark, d):
+    said = _said(spark, d).groupBy("conv_id").agg(F.collect_list("tokens").alias("utterance_tokens")).withColumn("fold", F.col("conv_id") % 5)
+    other = F.col("conv_id") % 7 == 3
+    out = LM.fold_perplexity(said, "conv_id", "fold", 3, every_fold=other).where(other)
+    return out.select("fold", "conv_id", F.col("token_count").cast("long").alias("token_count"), F.round("perplexity", 5).alias("perplexity"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,6 +32,42 @@ def session(app: str = "lexiloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that are written and read again: under ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratched.append((spark, path))
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch folder and read back: cuts a long lineage, and survives lost executors."""
+    path = scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_scratched: list = []
+
+
+def _forget() -> None:
+    for spark, path in _scratched:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone
+            pass
+
+
+atexit.register(_forget)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Gives this package to the executors once per application, so that Python workers can import it."""
     app = spark.sparkContext.applicationId

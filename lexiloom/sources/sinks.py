@@ -53,6 +53,72 @@ def markdown(df: DataFrame, most: int = 12) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)])
 
 
+# The columns that tell where a transcript comes from.
+MANIFEST = ["round_id", "bundle_id", "pair_id", "replicate_id", "target_story", "stage", "group", "source_child_id", "age", "output_path"]
+
+
+def transcript_manifest(transcripts: DataFrame, folder: str) -> DataFrame:
+    """One row a transcript: where it comes from (empty where a column is missing) and the file it goes to."""
+    name = F.concat_ws("_", "bundle_id", "target_story", F.concat(F.col("grp"), F.lit(".cha")))
+    stage = F.when(F.col("grp") == "TD", "stage1_td").otherwise("stage2_sli")
+    out = transcripts.withColumn("stage", stage).withColumn("group", F.col("grp")).withColumn("output_path", F.concat_ws("/", F.lit(folder), stage, name))
+    return out.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in out.columns else F.lit("")).alias(c) for c in MANIFEST])
+
+
+def write_files(df: DataFrame, path: str = "path", content: str = "content") -> None:
+    """One text file a row, at the row's path, written by the tasks that hold the rows.  Paths name a folder that all executors
+    share; a task that runs again writes the same files again."""
+
+    def write(rows) -> None:
+        from pathlib import Path
+
+        for name, text in rows:
+            at = Path(name.removeprefix("file://"))
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(text or "", encoding="utf-8", newline="")
+
+    df.select(path, content).foreachPartition(write)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines; columns without a value are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def text_lines(df: DataFrame, column: str) -> DataFrame:
+    """(text): a column's trimmed texts, as rows for JSON lines."""
+    return df.select(F.trim(F.coalesce(F.col(column), F.lit(""))).alias("text"))
+
+
+def audit_report(inventory: DataFrame, duplicates: DataFrame, pairs: DataFrame, clusters: DataFrame, excluded: DataFrame, threshold: float = 0.95, most: int = 12) -> str:
+    """A Markdown report on redundant columns: counts, the strongest pairs (at most ``most``), clusters and recommendations.  All
+    its tables have one row a column of the schema, or a pair of them."""
+    from ..operators.audit import strongest_pairs
+
+    n, numbers, constant, ids = inventory.agg(F.count("*"), F.count_if(~F.col("dtype").isin("string", "boolean")), F.sum("is_constant"), F.sum("is_id_like")).first()
+    strong = strongest_pairs(pairs, threshold)
+    grouped = clusters.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("column_name")), ", ").alias("columns")).orderBy("cluster")
+    parts = [
+        "# Feature redundancy",
+        f"- Columns: {n}, of numbers: {numbers}\n- Constant: {constant or 0}\n- Like an id: {ids or 0}\n- Duplicates: {duplicates.count()}\n- Pairs with |r| >= {threshold}: {strong.count()}\n- Clusters: {grouped.count()}",
+        "## Duplicate columns",
+        markdown(duplicates.orderBy("first_column", "column_name"), most),
+        "## Strongest pairs",
+        markdown(strong.select("column_a", "column_b", "n", "pearson"), most),
+        "## Clusters",
+        markdown(grouped, most),
+        "## Recommended exclusions",
+        markdown(excluded.orderBy("column_name"), most),
+    ]
+    return "\n\n".join(parts) + "\n"
+
+
+def route_files(files: DataFrame, tier: str = "%mor:") -> tuple[DataFrame, DataFrame]:
+    """(files that have a line of the tier, files that lack it): what stays and what is moved aside."""
+    pattern = r"(?m)^" + "".join("\\" + c if not c.isalnum() else c for c in tier)
+    return split_by(files, F.col("content").rlike(pattern))
+
+
 def stories_to_transcripts(stories: DataFrame, keys: list[str], text_columns: dict[str, str], age: str, sex: str) -> DataFrame:
     """(keys, grp, content): one transcript for each text column of a row, e.g. a control and a target story; ``text_columns``
     maps a group to its column.  Texts without words give no transcript."""
