@@ -100,4 +100,4 @@ def replace_columns(master: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def contingency(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
     """Counts of ``rows`` by the stated values of ``columns``, 0 where there are none."""
-    return df.groupBy(rows).pivot(columns, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(rows).pivot(columns, values).agg(F.count(F.lit(1))).na.fill(0)

@@ -15,13 +15,21 @@ def normalise_pauses(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.regexp_replace("line", r"^(\*[^:\n]+:\s*)\(\s*(\.{1,3})\s*\)", "$1($2)"))
 
 
+# Quotation and break marks before a full stop, as (pattern, replacement), in order of precedence.
+QUOTE_ENDS = [
+    (r'(^\*[^:\n]+:.*)\+\"\/\s+(\.)', r'$1+"/$2'),
+    (r'(^\*[^:\n]+:.*)\+\"\s+(\.)', r'$1+"$2'),
+    (r'(^\*[^:\n]+:.*)\+\/\/\s+(\.)', r'$1+//$2'),
+    (r'(^\*[^:\n]+:.*)\+\/\s+(\.)', r'$1+/$2'),
+]
+
+
 def normalise_quote_ends(lines: DataFrame) -> DataFrame:
     """No space between a quotation or break mark and its full stop; the last of the marks in a line, and one kind only."""
-    out = F.col("line")
-    for mark in ('+/', '+//', '+"', '+"/'):  # the last that fits wins, so the first of the list of kinds comes last
-        pat = r"(^\*[^:\n]+:.*)" + "".join("\\" + c if c in '+"/' else c for c in mark) + r"\s+(\.)"
-        out = F.when(F.col("line").rlike(pat), F.regexp_replace("line", pat, "$1" + mark.replace("\\", "") + "$2")).otherwise(out)
-    return lines.withColumn("line", out)
+    out = F.lit(None).cast("string")
+    for pattern, to in reversed(QUOTE_ENDS):
+        out = F.when(F.col("line").rlike(pattern), F.regexp_replace("line", pattern, to)).otherwise(out)
+    return lines.withColumn("line", F.coalesce(out, F.col("line")))
 
 
 def promote_tiers(lines: DataFrame) -> DataFrame:
@@ -44,9 +52,16 @@ def fallback_gra(mor: Column) -> Column:
     """A flat parse: the first verb or auxiliary is root, else the first word; the rest hangs on it."""
     toks = F.filter(F.split(F.trim(tier_body(mor)), r"\s+"), lambda t: t != "")
     punct = lambda t: t.isin(".", "!", "?")
-    root = F.coalesce(F.try_element_at(F.filter(F.transform(toks, lambda t, i: F.when(t.rlike(r"^(?:verb|aux)\|"), i + 1)), lambda i: i.isNotNull()), F.lit(1)), F.try_element_at(F.filter(F.transform(toks, lambda t, i: F.when(~punct(t), i + 1)), lambda i: i.isNotNull()), F.lit(1)))
-    body = F.transform(toks, lambda t, i: F.concat_ws("|", (i + 1).cast("string"), F.when(punct(t), root).when(i + 1 == root, F.lit(0)).otherwise(root).cast("string"), F.when(punct(t), "PUNCT").when(i + 1 == root, "ROOT").when(t.startswith("intj|"), "DISCOURSE").otherwise("DEP")))
-    return F.concat(F.when(mor.contains("\t"), F.lit("%gra:\t")).otherwise(F.lit("%gra:")), F.when(root.isNull(), "").otherwise(F.array_join(body, " ")))
+    # tokens and their kinds are made once: 2 for a verb or auxiliary, 1 for another word, 0 for an end mark
+    known = F.struct(toks.alias("t"), F.transform(toks, lambda t: F.when(t.rlike(r"^(?:verb|aux)\|"), 2).when(~punct(t), 1).otherwise(0)).alias("k"))
+    place = lambda k, n: F.nullif(F.array_position(k, n), F.lit(0))
+    rooted = F.transform(F.array(known), lambda s: F.struct(s["t"].alias("t"), F.coalesce(place(s["k"], 2), place(s["k"], 1)).cast("string").alias("r")))
+
+    def parse(s: Column) -> Column:
+        arc = lambda t, i: F.concat_ws("|", (i + 1).cast("string"), F.when(punct(t), s["r"]).when((i + 1).cast("string") == s["r"], "0").otherwise(s["r"]), F.when(punct(t), "PUNCT").when((i + 1).cast("string") == s["r"], "ROOT").when(t.startswith("intj|"), "DISCOURSE").otherwise("DEP"))
+        return F.when(s["r"].isNull(), "").otherwise(F.array_join(F.transform(s["t"], arc), " "))
+
+    return F.concat(F.when(mor.contains("\t"), F.lit("%gra:\t")).otherwise(F.lit("%gra:")), F.element_at(F.transform(rooted, parse), 1))
 
 
 def _tier_of(line: Column) -> Column:

@@ -89,6 +89,16 @@ def describe_distinct(df: DataFrame, item: str, by: list[str]) -> DataFrame:
     return describe(df.groupBy(*by).agg(F.countDistinct(item).alias("items")), "items")
 
 
+def with_group_max(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Rows with the largest value of their group, by a join on pre-aggregated maxima."""
+    return join_on(df, df.groupBy(*by).agg(F.max(value).alias(name)), by)
+
+
+def ranked_in_group(df: DataFrame, by: list[str], value: str, ties: list[str], name: str) -> DataFrame:
+    """Rows numbered from the largest value down, ties in the order of other columns (reports and folds: small groups)."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), *ties)))
+
+
 def _runs(df: DataFrame, value: str, side: Column, by: list[str]) -> DataFrame:
     """Counts of each side at each distinct value, with running counts and totals."""
     g = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))

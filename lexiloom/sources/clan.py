@@ -15,7 +15,7 @@ def score_cells(files: DataFrame) -> DataFrame:
     """(path, content) of ``.tbl.cex`` files -> one row a file: id, source transcript, command, score, whether the score is
     missing (``NA``), whether it comes of fewer than fifty sentences, and the totals as a map from category."""
     pick = lambda p: F.nullif(F.trim(F.regexp_extract("content", p, 1)), F.lit(""))
-    cells = lambda p: F.transform(F.split(F.coalesce(F.regexp_replace(pick(p), r"\|\s*$", ""), F.lit("")), r"\|"), F.trim)
+    cells = lambda p: F.transform(F.split(F.coalesce(F.regexp_replace(pick(p), r"\|\s*$", ""), F.lit("")), r"\|"), lambda x: F.trim(x))
     names, values = cells(r"(?m)^\s+Sentence\s+\|(.*)$"), cells(r"(?m)^TOTAL\s+\|(.*)$")
     source, score = pick(r"(?m)^From file <(.+)>\s*$"), pick(r"(?m)^Developmental sentence score:\s+(.+?)\s*$")
     pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda p: F.coalesce(p["k"], F.lit("")) != "")

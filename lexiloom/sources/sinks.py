@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").option("escape", '"').csv(path, header=True)
 
 
 def summary_json(df: DataFrame) -> DataFrame:
@@ -46,6 +46,11 @@ def changed_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["path", "line_no"], "full").where("not (old <=> new)").groupBy("path").agg(F.count("*").alias("changed"))
 
 
+def cell(value: Column) -> Column:
+    """A number as a report shows it: four places, ``NA`` for none."""
+    return F.when(value.isNotNull(), F.format_string("%.4f", value)).otherwise("NA")
+
+
 def markdown(df: DataFrame, most: int = 12) -> str:
     """The first rows of an ordered result as a table (a report of at most ``most`` rows)."""
     rows = df.limit(most).collect()
@@ -119,13 +124,14 @@ def route_files(files: DataFrame, tier: str = "%mor:") -> tuple[DataFrame, DataF
     return split_by(files, F.col("content").rlike(pattern))
 
 
-def stories_to_transcripts(stories: DataFrame, keys: list[str], text_columns: dict[str, str], age: str, sex: str) -> DataFrame:
+def stories_to_transcripts(stories: DataFrame, keys: list[str], text_columns: dict[str, str], age: str | dict[str, str], sex: str) -> DataFrame:
     """(keys, grp, content): one transcript for each text column of a row, e.g. a control and a target story; ``text_columns``
-    maps a group to its column.  Texts without words give no transcript."""
+    maps a group to its column, and so may ``age``.  Texts without words give no transcript."""
     from ..operators.quotes import utterances
 
-    each = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(c).alias("text")) for g, c in text_columns.items()]))
-    rows = stories.select(*keys, F.col(age).alias("_age"), F.col(sex).alias("_sex"), each.alias("e")).select(*keys, "_age", "_sex", "e.grp", utterances("e.text").alias("u")).where(F.size("u") > 0)
+    ages = age if isinstance(age, dict) else dict.fromkeys(text_columns, age)
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(c).alias("text"), F.col(ages[g]).alias("_age")) for g, c in text_columns.items()]))
+    rows = stories.select(*keys, F.col(sex).alias("_sex"), each.alias("e")).select(*keys, "e._age", "_sex", "e.grp", utterances("e.text").alias("u")).where(F.size("u") > 0)
     who = F.concat(F.lit("@ID:\teng|Generated|CHI|"), F.coalesce("_age", F.lit("")), F.lit("|"), F.coalesce("_sex", F.lit("")), F.lit("|"), F.col("grp"), F.lit("||Target_Child|||"))
     said = F.transform("u", lambda x: F.concat(F.lit("*CHI:\t"), x))
     head = F.array(F.lit("@UTF8"), F.lit("@Begin"), F.lit("@Languages:\teng"), F.lit("@Participants:\tCHI Target_Child"), who)
