@@ -96,6 +96,12 @@ def bounded_sample(df: DataFrame, key: str, target: int, total: int) -> DataFram
     return df.limit(2 * target)
 
 
+def at_most(df: DataFrame, key: str, target: int) -> DataFrame:
+    """All rows if there are ``2 * target`` at most, else about ``target`` by a hash of ``key``: what a classifier is fitted on."""
+    total = df.count()
+    return bounded_sample(df, key, target, total) if total > 2 * target else df
+
+
 # ---------------------------------------------------------------- Arrow side
 def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow column; nulls are empty."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .base import bounded_sample, ids_back, longs, remainder, text_bytes
 
 WINDOW = 128
+CALIBRATE = 500  # labelled texts that set the level below which a language cannot be told
 WIDTHS = (2, 3, 4)
 
 
@@ -29,6 +30,7 @@ class ByteCNN:
         self.p = {"E": g.normal(0, 0.5, (256, embed))} | {f"W{w}": g.normal(0, 1 / np.sqrt(w * embed), (w, embed, filters)) for w in WIDTHS}
         self.p |= {"O": g.normal(0, 0.3, (filters * len(WIDTHS), k)), "b": np.zeros(k)}
         self.tables: list | None = None
+        self.least = 0.0  # the score below which a language cannot be told
 
     def _forward(self, x: np.ndarray):
         e = self.p["E"][x]
@@ -146,19 +148,9 @@ class ByteCNN:
         return best, prob[np.arange(n), best]
 
 
-_LETTER = None
-
-
-def has_letter(texts: list) -> np.ndarray:
+def _letters(text: str):
     """Whether a text holds a letter of any script."""
-    ascii_letters = np.zeros(256, bool)
-    ascii_letters[[*range(65, 91), *range(97, 123)]] = True
-    out = np.zeros(len(texts), bool)
-    for i, t in enumerate(texts):
-        if t:
-            head = t[:64]
-            out[i] = any(map(str.isalpha, head)) or any(map(str.isalpha, t))
-    return out
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
 def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = 4000, windows_each: int = 6) -> ByteCNN:
@@ -182,20 +174,27 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", key: s
     model = ByteCNN(langs)
     if xs:
         model.fit(np.stack(xs), np.array(ys))
-    return model.compile()
+    out = model.compile()
+    # half way from chance to what the least sure of labelled texts reaches: below it a language cannot be told
+    known = [t for t in got["t"][:CALIBRATE] if t]
+    out.least = 1 / max(1, len(langs))
+    if known:
+        data, offs = text_bytes(pa.array(known))
+        out.least += max(0.0, float(out.predict(data, offs)[1].min()) - out.least) / 2
+    return out
 
 
 def identify(docs: DataFrame, model: ByteCNN, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds nothing to ``docs`` but maps each row to (key, lang_pred string, score double); null, empty and letterless
-    texts give ``und`` and 0."""
+    texts give ``und`` and 0.  Repeated rows are told each, ties between languages go to the first by name, and other columns
+    are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred kB of tables, whatever the input
 
     def run(batches):
         net = shared.value
         for b in batches:
-            texts = b.column(1)
-            data, offs = text_bytes(texts)
-            known = has_letter(texts.to_pylist())
+            data, offs = text_bytes(b.column(1))
+            known = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             names = ["und"] * len(offs[1:])
             score = np.zeros(len(names))
             if net.langs and len(names):
@@ -204,27 +203,30 @@ def identify(docs: DataFrame, model: ByteCNN, key: str = "doc_id", text: str = "
                 names = [net.langs[c] if k else "und" for c, k in zip(best, known)]
             yield pa.RecordBatch.from_arrays([ids_back(longs(b.column(0))), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), _letters(text).alias("l")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: ByteCNN, text: str = "text", least: float = 0.3) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told: null, empty or letterless texts, or a score under ``least``."""
+def keep_identified(docs: DataFrame, model: ByteCNN, text: str = "text", least: float | None = None) -> DataFrame:
+    """``docs`` without the rows whose language cannot be told: null, empty or letterless texts, or a score under ``least`` (the
+    model's own level, if not given, which is relative to the number of languages and to what labelled texts score).
+    Columns keep names, order and values, and repeated rows stay or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    column = docs.columns.index(text)
+    column, width = docs.columns.index(text), len(docs.columns)
+    least = model.least if least is None else least
 
     def run(batches):
         net = shared.value
         for b in batches:
-            texts = b.column(column)
-            data, offs = text_bytes(texts)
-            keep = has_letter(texts.to_pylist())
+            data, offs = text_bytes(b.column(column))
+            keep = b.column(width).to_numpy(zero_copy_only=False).astype(bool)
             if net.langs and len(keep):
-                keep &= net.predict(data, offs)[1] >= least
+                keep &= net.predict(data, offs)[1] >= least - 1e-9
             else:
-                keep[:] = False
-            yield b.filter(pa.array(keep))
+                keep = np.zeros(len(keep), bool)
+            yield pa.RecordBatch.from_arrays(b.columns[:width], docs_names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    docs_names = docs.columns
+    return docs.select("*", _letters(text).alias("letters of " + text)).mapInArrow(run, docs.schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import LOWER, NOT_TERM, U64, Words, bounded_sample, distinct_sorted, ids_back, longs, remainder, text_bytes  # noqa: F401
+from .base import LOWER, NOT_TERM, U64, Words, at_most, bounded_sample, distinct_sorted, ids_back, longs, remainder, text_bytes  # noqa: F401
 
 BITS = 18
 PREFIXES = (4, 5)
@@ -47,11 +47,31 @@ def terms(data: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) ->
     return (x >> U64(BITS)).astype(np.int64), (x & U64((1 << BITS) - 1)).astype(np.int64)
 
 
+def _in_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seen: np.ndarray, hits: np.ndarray, chi2: float, most: int = 1024) -> np.ndarray:
+    """Terms, of the ``most`` frequent ones, that occur in a pair whose label count strays from what its two terms add up to."""
+    n = len(y)
+    often = np.flatnonzero(seen >= max(4, n // 500))
+    often = often[np.argsort(-seen[often], kind="stable")[:most]]
+    if not n or len(often) < 2 or not 0 < y.mean() < 1:
+        return often[:0]
+    column = np.full(len(seen), -1)
+    column[often] = np.arange(len(often))
+    here = column[term] >= 0
+    x = np.zeros((n, len(often)), np.float32)
+    x[doc[here], column[term[here]]] = 1
+    both, toxic = x.T @ x, (x * y[:, None].astype(np.float32)).T @ x
+    rate, own = y.mean(), hits[often] / seen[often]
+    expect = np.clip(own[:, None] + own[None] - rate, 0.02, 0.98)
+    strays = (both >= 8) & ((toxic - both * expect) ** 2 > chi2 * both * expect * (1 - expect))
+    np.fill_diagonal(strays, False)
+    return often[strays.any(1)]
+
+
 class FactorizationMachine:
     def __init__(self, factors: int = 4, seed: int = 11):
         g = np.random.default_rng(seed)
         self.b, self.w = 0.0, np.zeros(1 << BITS, np.float32)
-        self.v = g.normal(0, 0.003, (1 << BITS, factors)).astype(np.float32)
+        self.v = g.normal(0, 0.05, (1 << BITS, factors)).astype(np.float32)
         self.keep = np.zeros(1 << BITS, bool)
 
     def logits(self, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
@@ -61,18 +81,19 @@ class FactorizationMachine:
             out += 0.5 * (np.bincount(doc, x, n) ** 2 - np.bincount(doc, x * x, n))
         return out
 
-    def fit(self, doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, lr: float = 0.5, decay: float = 1e-3, chi2: float = 30.0, seed: int = 3) -> FactorizationMachine:
+    def fit(self, doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, lr: float = 0.5, decay: float = 1e-3, chi2: float = 30.0, seed: int = 3) -> FactorizationMachine:
         n = len(y)
         begin = np.searchsorted(doc, np.arange(n + 1))
         seen = np.bincount(term, minlength=1 << BITS)
-        # only terms whose label counts stray from chance take part (chi-square with one degree of freedom)
+        # only terms whose label counts stray from chance take part (chi-square with one degree of freedom), alone or in a pair
         hits = np.bincount(term, y[doc] if len(doc) else None, 1 << BITS)
         expect = seen * (y.mean() if n else 0)
         self.keep = (seen >= 4) & ((hits - expect) ** 2 > chi2 * np.maximum(expect * (1 - (y.mean() if n else 0)), 1e-9))
+        self.keep[_in_pairs(doc, term, y, seen, hits, 2 * chi2)] = True
         g = np.random.default_rng(seed)
         rate = min(max(y.mean(), 1e-3), 1 - 1e-3) if n else 0.5
         self.b = float(np.log(rate / (1 - rate)))
-        gw, gv, gb = np.full(len(self.w), 1e-3, np.float32), np.full(self.v.shape, 1e-3, np.float32), 1.0
+        gw, gv, gb = np.full(len(self.w), 1e-3, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1.0
         for _ in range(epochs if n and 0 < y.mean() < 1 else 0):
             order = g.permutation(n)
             for at in range(0, n, batch):
@@ -104,16 +125,18 @@ class FactorizationMachine:
 
 
 def fit_toxicity(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000) -> FactorizationMachine:
-    """Trains on a bounded sample (about ``sample`` rows) of ``labelled`` (key, text, 0/1 label); rows without label are left out."""
+    """Trains on a bounded sample (all rows up to twice ``sample``, else about ``sample`` by a hash of the key) of ``labelled`` (key,
+    text, 0/1 label); rows without label are left out, null texts have no terms, repeated rows count each."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    got = rows.orderBy("k", F.xxhash64("t"), "y").toArrow()
+    got = at_most(rows, "k", sample).orderBy("k", F.xxhash64("t"), "y").toArrow()
     data, offs = text_bytes(got["t"])
     doc, term = terms(data, offs)
     return FactorizationMachine().fit(doc, term, got["y"].to_numpy().astype(np.float64))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(doc_id, score 0 to 1, predicted) for each row; null and empty texts have no terms and get the bias alone."""
+    """(doc_id, score 0 to 1, predicted) for each row; null and empty texts have no terms and get the bias alone.  Repeated rows
+    are scored each, a score at the threshold is predicted, other columns are not looked at, an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights, whatever the input
 
     def run(batches):

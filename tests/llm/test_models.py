@@ -91,6 +91,68 @@ def test_factorization_gradient():
     assert math.isclose(z[1], m.b + v[3] @ v[4] + v[3] @ v[9] + v[4] @ v[9], abs_tol=1e-9)
 
 
+def test_pairs_tell_what_single_terms_cannot():
+    """Toxic where an insult meets its own target, harmless where it meets the other: every single term is as frequent on both
+    sides.  The pairwise part tells them apart, the linear part alone does not."""
+    g = np.random.default_rng(0)
+    rows, y = [], []
+    for i in range(1200):
+        a, b = g.integers(0, 2, 2)
+        rows.append(" ".join([*g.choice(EN, 6), ["scum", "vermin"][a], *g.choice(EN, 3), ["northers", "southers"][b]]))
+        y.append(int(a == b))
+    data, offs = text_bytes(__import__("pyarrow").array(rows))
+    doc, term = toxicity.terms(data, offs)
+    cut = doc < 900
+    m = toxicity.FactorizationMachine()
+    m.fit(doc[cut], term[cut], np.array(y[:900], float))
+    right = lambda: np.mean((m.logits(doc[~cut] - 900, term[~cut], 300) > 0) == (np.array(y[900:]) > 0))
+    whole = right()
+    m.v = np.zeros_like(m.v)
+    assert whole > 0.95 and right() < 0.65
+
+
+def test_models_over_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame(texts() + texts(3) * 2, SCHEMA).withColumns({c: F.lit(c) for c in ("t", "y", "l", "score", "predicted", "lang_pred")})
+    vec = quality.corpus_vectors(df)
+    model = language.fit_language(df)
+    for got in (
+        toxicity.score_toxicity(df, toxicity.fit_toxicity(df)),
+        quality.score_quality(df, quality.fit_quality(df, vec), vec),
+        language.identify(df, model),
+    ):
+        rows = got.where("doc_id < 3").collect()
+        assert got.count() == 166 and len(rows) == 9 and len(set(rows)) == 3
+    assert language.keep_identified(df, model).columns == df.columns
+
+
+def test_unknown_languages_go(spark):
+    df = spark.createDataFrame(texts(400), SCHEMA)
+    model = language.fit_language(df)
+    junk = [(i, t, "x", 0, 0, "x") for i, t in enumerate(["%$ 1#2 a ~~ ^^ 00" * 9, "\u0436" * 300, "12 34 56"])]
+    kept = language.keep_identified(spark.createDataFrame(junk, SCHEMA), model).count()
+    assert kept < len(junk) and language.keep_identified(df, model).count() == 400
+    one = language.fit_language(df.where("lang = 'en'"))
+    assert language.keep_identified(df, one).count() == 400
+
+
+def test_bounded_samples(spark):
+    from lexiloom.llm.base import at_most
+
+    df = spark.range(10_000)
+    assert at_most(df, "id", 5000).count() == 10_000 and 300 < at_most(df, "id", 500).count() <= 1000
+
+
+def test_quality_needs_its_vectors(spark):
+    """Two classes of one shape that differ in words alone: the random-indexing vectors carry them."""
+    g = np.random.default_rng(3)
+    good, bad = "river stone cloud meadow".split(), "bargain coupon casino jackpot".split()
+    rows = [(i, " ".join(g.choice(good if i % 2 else bad, 30)), "en", i % 2, 0, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    vec = quality.corpus_vectors(df)
+    right = lambda v: np.mean([r["predicted"] == r["doc_id"] % 2 for r in quality.score_quality(df.where("doc_id >= 200"), quality.fit_quality(df.where("doc_id < 200"), v), v, threshold=0.5).collect()])
+    assert right(vec) > 0.95 and right(np.zeros_like(vec)) < right(vec)
+
+
 def test_quality(spark):
     df = spark.createDataFrame(texts() + ODD, SCHEMA)
     vec = quality.corpus_vectors(df)

@@ -82,6 +82,54 @@ def test_url_rules_and_aliases(spark):
     assert url_filters.filter_urls(df.where("false")).count() == 0
 
 
+def test_a_large_redirect_table(spark):
+    """Chains, hubs, cycles and alias pages over 30,000 redirects, against a union-find; rules of equal length."""
+    g = random.Random(12)
+    tld = ["net", "org", "com", "example.org"]
+    url = lambda i: f"http://h{i}.{tld[i % 4]}/{['es', 'fr', 'de', 'x'][i // 4 * 7 % 4]}/{i}"
+    n = 6000
+    moved = [(url(i), url(i + 1)) for i in range(0, 2000) if i % 50]  # chains of fifty
+    moved += [(url(2000), url(i)) for i in range(2001, 3000)]  # a hub
+    moved += [(url(3000 + i), url(3000 + (i + 1) % 40)) for i in range(40)]  # a cycle
+    moved += [(url(g.randrange(4000, 5500)), url(g.randrange(4000, 5500))) for _ in range(500)] + [(url(5), url(5))] * 20
+    moved = moved * 8  # seen again and again
+    pages = spark.createDataFrame([(i, url(i), "x") for i in range(n)], "page_id long, url string, html string")
+    rules = [*url_filters.RULES, ("net", "/xx/", "block"), ("net", "/es/", "block")]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    number = {url(i): i for i in range(n)}
+    for a, b in moved:
+        p, q = find(number[a]), find(number[b])
+        root[max(p, q)] = min(p, q)
+
+    def rule(i):
+        host, path = url(i).split("/")[2], "/" + "/".join(url(i).split("/")[3:])
+        fit = [(len(h + p), len(h), v == "allow", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[3:] if fit else (None, None)
+
+    told = [rule(i) for i in range(n)]
+    said = collections.defaultdict(set)
+    for i in range(n):
+        said[find(i)].add(told[i][1])
+    want = {i: (told[i][0], told[i][1] or ("block" if "block" in said[find(i)] and "allow" not in said[find(i)] else "allow")) for i in range(n)}
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.filter_urls(pages, rules, spark.createDataFrame(moved, "a string, b string").repartition(8)).collect()}
+    assert got == want and {v for r, v in got.values() if r is None} == {"allow", "block"}
+
+
+def test_url_rules_of_equal_length_and_repeated_pages(spark):
+    long = "http://a.b/" + "x" * 200_000
+    df = spark.createDataFrame([(1, "http://a.bc/d/", None), (1, "http://a.bc/d/", None), (2, long, ""), (3, "http://", ""), (4, "", "")], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) if r["page_id"] < 4 else (4, None, "x") for r in url_filters.filter_urls(df, [("bc", "/d/", "block"), ("a.bc", "/", "allow")]).collect())
+    # both are five characters: the longer host counts
+    assert got[:2] == [(1, "a.bc/", "allow")] * 2 and (2, None, "allow") in got and (3, None, "allow") in got
+
+
 def brute_edits(item: bytes, text: bytes) -> int:
     row = np.arange(len(item) + 1)
     best = row[-1]
