@@ -94,7 +94,12 @@ def past_verbs(utterances: DataFrame, counts: DataFrame, key: str = "path", spea
     return out.withColumn("past_overgeneralization_rate", safe_rate("past_overgeneralization_errors", "past_verb_opportunities", 0.0))
 
 
-def _depth(idx: Column, arcs: Column) -> Column:
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, also where it is read inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _walked(idx: Column, arcs: Column) -> Column:
     """Steps from a token to its root; arcs is a map token -> head (0: root).  A token whose way runs into a cycle counts the
     steps up to where it comes back to one it has passed."""
     start = F.struct(idx.alias("at"), F.lit(0).alias("d"), F.array(idx).alias("seen"), F.lit(False).alias("end"))
@@ -108,34 +113,64 @@ def _depth(idx: Column, arcs: Column) -> Column:
     return F.aggregate(F.map_keys(arcs), start, step, lambda a: a["d"])
 
 
+def _jumped(heads: Column) -> Column:
+    """(p, d) arrays: where each token's pointer is after doubling its steps a dozen times, and how many steps that was; a root
+    and a head that no token has are 0."""
+    start = F.struct(heads.alias("p"), F.transform(heads, lambda h: F.when(h == 0, 0).otherwise(1)).alias("d"))
+
+    def double(s: Column, _: Column) -> Column:
+        at = lambda xs, x: F.coalesce(F.get(xs, x - 1), F.lit(0))
+        return F.struct(
+            F.transform(s["p"], lambda x: F.when(x <= 0, 0).otherwise(at(s["p"], x))).alias("p"),
+            F.zip_with(s["d"], s["p"], lambda d, x: F.when(x <= 0, d).otherwise(d + at(s["d"], x))).alias("d"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, double)
+
+
+def _depths(dep: Column, kept: Column) -> Column:
+    """Depths of the kept tokens.  Tokens numbered 1, 2, ... without cycles, as nearly all are, go by pointer doubling; others are
+    walked one by one."""
+    root = lambda d: (d["r"] == "ROOT") | (d["h"] == d["i"]) | (d["h"] == 0)
+    heads = F.transform(dep, lambda d: F.when(root(d), F.lit(0)).otherwise(d["h"]))
+    plain = (F.transform(dep, lambda d: d["i"]) == F.sequence(F.lit(1), F.size(dep))) & (F.size(dep) <= 4096) & ~F.exists(dep, lambda d: d["h"] < 0)
+
+    def by_jumps(j: Column) -> Column:
+        return F.when(~F.exists(j["p"], lambda x: x != 0), F.transform(kept, lambda t: F.get(j["d"], t["dep"]["i"] - 1)))
+
+    # the last of equal indices counts, as in a dictionary
+    entries = F.aggregate(dep, F.array().cast("array<struct<i:int,h:int>>"), lambda a, d: F.array_append(F.filter(a, lambda x: x["i"] != d["i"]), F.struct(d["i"].alias("i"), F.when(root(d), F.lit(0)).otherwise(d["h"]).alias("h"))))
+    walked = _once(F.map_from_entries(entries), lambda arcs: F.transform(kept, lambda t: _walked(t["dep"]["i"], arcs)))
+    return F.coalesce(F.when(plain, _once(_jumped(heads), by_jumps)), walked)
+
+
 def syntax_utterances(utterances: DataFrame, speaker: str = "CHI") -> DataFrame:
     """Per utterance: status (missing, parse, mismatch, empty, ok) and, if ok, token depths, dependency lengths, relations and
     finite verbs."""
     u = utterances.where(F.col("speaker") == speaker)
     words = lambda t: F.filter(F.split(F.trim(F.coalesce(F.col("tiers")[t], F.lit(""))), r"\s+"), lambda x: x != "")
-    u = u.select("path", "block_id", words("%umor").alias("mor"), words("%ugra").alias("raw"))
-    dep = F.transform("raw", lambda t: F.when(t.rlike(r"^[+-]?\d+\|[+-]?\d+\|[^|]*$"), F.struct(F.split(t, r"\|")[0].try_cast("int").alias("i"), F.split(t, r"\|")[1].try_cast("int").alias("h"), F.upper(F.split(t, r"\|")[2]).alias("r"))))
-    u = u.withColumn("dep", dep)
-    bad = F.exists("dep", lambda d: d.isNull())
-    u = u.withColumn("status", F.when((F.size("mor") == 0) | (F.size("raw") == 0), "missing").when(bad, "parse").when(F.size("mor") != F.size("dep"), "mismatch").otherwise("ok"))
-    ok = F.col("status") == "ok"
-    pairs = F.when(ok, F.arrays_zip("dep", "mor"))
-    kept = F.filter(pairs, lambda p: ~((p["dep"]["r"] == "PUNCT") | ~p["mor"].contains("|") | (F.lower(F.substring_index(p["mor"], "|", 1)) == "cm")))
+    arc = lambda t: F.when(t.rlike(r"^[+-]?\d+\|[+-]?\d+\|[^|]*$"), F.struct(F.split(t, r"\|")[0].try_cast("int").alias("i"), F.split(t, r"\|")[1].try_cast("int").alias("h"), F.upper(F.split(t, r"\|")[2]).alias("r")))
+    skipped = lambda p: (p["dep"]["r"] == "PUNCT") | ~p["mor"].contains("|") | (F.lower(F.substring_index(p["mor"], "|", 1)) == "cm")
     root = lambda d: (d["r"] == "ROOT") | (d["h"] == d["i"]) | (d["h"] == 0)
-    # the last of equal indices counts, as in a dictionary
-    arcs = F.when(ok, F.map_from_entries(F.aggregate("dep", F.array().cast("array<struct<i:int,h:int>>"), lambda a, d: F.array_append(F.filter(a, lambda x: x["i"] != d["i"]), F.struct(d["i"].alias("i"), F.when(root(d), F.lit(0)).otherwise(d["h"]).alias("h"))))))
-    u = u.withColumn("kept", kept).withColumn("arcs", arcs).withColumn("status", F.when(ok & (F.size("kept") == 0), "empty").otherwise(F.col("status")))
-    verbs = F.filter(F.flatten(F.transform("mor", lambda t: F.split(t, "~"))), lambda s: F.lower(F.substring_index(s, "|", 1)).isin("verb", "aux") & s.contains("|") & F.regexp_replace(s, r"^[^|]*\|", "").contains("-Fin-"))
-    live = F.col("status") == "ok"
-    return u.select(
-        "path",
-        "block_id",
-        "status",
-        F.when(live, F.transform("kept", lambda p: _depth(p["dep"]["i"], F.col("arcs")))).alias("depths"),
-        F.when(live, F.transform(F.filter("kept", lambda p: ~root(p["dep"])), lambda p: F.abs(p["dep"]["i"] - p["dep"]["h"]))).alias("lengths"),
-        F.when(live, F.array_distinct(F.transform("kept", lambda p: p["dep"]["r"]))).alias("relations"),
-        F.when(live, F.size(verbs)).alias("finite_verbs"),
-    )
+    finite = lambda s: F.lower(F.substring_index(s, "|", 1)).isin("verb", "aux") & s.contains("|") & F.regexp_replace(s, r"^[^|]*\|", "").contains("-Fin-")
+
+    def read(s: Column) -> Column:
+        state = F.when((F.size(s["mor"]) == 0) | (F.size(s["dep"]) == 0), "missing").when(F.exists(s["dep"], lambda d: d.isNull()), "parse").when(F.size(s["mor"]) != F.size(s["dep"]), "mismatch").otherwise("ok")
+        kept = F.filter(F.arrays_zip(s["dep"].alias("dep"), s["mor"].alias("mor")), lambda p: ~skipped(p))
+        return F.struct(state.alias("status"), s["mor"].alias("mor"), s["dep"].alias("dep"), F.when(state == "ok", kept).alias("kept"))
+
+    def measured(s: Column) -> Column:
+        live = (s["status"] == "ok") & (F.size(s["kept"]) > 0)
+        return F.struct(
+            F.when((s["status"] == "ok") & ~live, "empty").otherwise(s["status"]).alias("status"),
+            F.when(live, _depths(s["dep"], s["kept"])).alias("depths"),
+            F.when(live, F.transform(F.filter(s["kept"], lambda p: ~root(p["dep"])), lambda p: F.abs(p["dep"]["i"] - p["dep"]["h"]))).alias("lengths"),
+            F.when(live, F.array_distinct(F.transform(s["kept"], lambda p: p["dep"]["r"]))).alias("relations"),
+            F.when(live, F.size(F.filter(F.flatten(F.transform(s["mor"], lambda t: F.split(t, "~"))), finite))).alias("finite_verbs"),
+        )
+
+    tokens = F.struct(words("%umor").alias("mor"), F.transform(words("%ugra"), arc).alias("dep"))
+    return u.select("path", "block_id", _once(_once(tokens, read), measured).alias("m")).select("path", "block_id", "m.*")
 
 
 def syntax_table(utterances: DataFrame, speaker: str = "CHI") -> DataFrame:

@@ -368,12 +368,23 @@ def optimal_match(spark, d):
     return D.optimal_match(_children(spark, d), "cohort", "id", "age", "target")
 
 
-@query()
+_CHILDREN = "c AS (SELECT c_nationkey % 5 AS cohort, c_custkey AS id, c_acctbal / 100 AS age, c_custkey % 4 = 0 AS target FROM customer), tg AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY age, id) AS k FROM c WHERE target)"
+
+
+@query(f"""WITH RECURSIVE {_CHILDREN}, g(cohort, k, taken, target_id, control_id, gap) AS (SELECT DISTINCT cohort, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM c
+UNION ALL SELECT n.cohort, n.k, list_append(n.taken, n.pick.id), n.id, n.pick.id, n.pick.gap FROM (SELECT g.cohort, tg.k, g.taken, tg.id, (SELECT first({{'id': x.id, 'gap': abs(tg.age - x.age)}} ORDER BY abs(x.age - tg.age), x.age, x.id) FROM c x WHERE NOT x.target AND x.cohort = g.cohort AND NOT list_contains(g.taken, x.id)) AS pick FROM g JOIN tg ON tg.cohort = g.cohort AND tg.k = g.k + 1) n)
+SELECT cohort, target_id, control_id, gap FROM g WHERE k > 0""")
 def greedy_match(spark, d):
     return D.greedy_match(_children(spark, d), "cohort", "id", "age", "target")
 
 
-@query()
+_AVAILABLE = "[" + ", ".join(f"CASE WHEN c_custkey % {i + 2} <> 0 THEN true ELSE false END" for i in range(6)) + "]"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_nationkey % 5 AS cohort, c_custkey AS id, {_AVAILABLE} AS has, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey) AS k FROM customer),
+g(cohort, k, used, id, pick) AS (SELECT DISTINCT cohort, CAST(0 AS BIGINT), [0, 0, 0, 0, 0, 0], CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM c
+UNION ALL SELECT n.cohort, n.k, CASE WHEN n.pick IS NULL THEN n.used ELSE list_transform(n.used, lambda x, i: CASE WHEN i = n.pick THEN x + 1 ELSE x END) END, n.id, n.pick FROM (SELECT g.cohort, c.k, g.used, c.id, CAST(list_min(list_transform(list_filter([1, 2, 3, 4, 5, 6], lambda i: c.has[i]), lambda i: g.used[i] * 10 + i)) % 10 AS BIGINT) AS pick FROM g JOIN c ON c.cohort = g.cohort AND c.k = g.k + 1) n)
+SELECT cohort, id, ['A1', 'A2', 'A3', 'B1', 'B2', 'B3'][pick] AS story FROM g WHERE pick IS NOT NULL""")
 def balanced_story_assignment(spark, d):
     c = _children(spark, d).select("cohort", "id", F.array(*[F.when(F.col("id") % (i + 2) != 0, F.lit(s)) for i, s in enumerate(D.STORIES)]).alias("has"))
     return D.balanced_stories(c, "cohort", "id", "has")

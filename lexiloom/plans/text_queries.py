@@ -335,10 +335,12 @@ def story_narratives(spark, d):
     return n.select("path", "story_id", "story_unit_count", "story_text", F.size("tokens").cast("long").alias("n_tokens"))
 
 
-@query()
+@query("SELECT '/TD/' || conv_id || '.cha' AS path, CAST(4 + 5 * count(*) + count(*) FILTER (turn % 3 = 0) AS BIGINT) AS n, CAST(4 + 5 * count(*) + count(*) FILTER (turn % 3 = 0) - 1 AS INTEGER) AS last FROM conversations GROUP BY conv_id")
 def tier_repairs(spark, d):
+    """Every block gets two tiers, and lines are numbered anew."""
     lines = chat.lines_of(_as_files(spark, d))
-    return L.insert_missing_tiers(L.normalise_quote_ends(L.normalise_pauses(lines)))
+    out = L.insert_missing_tiers(L.normalise_quote_ends(L.normalise_pauses(lines)))
+    return out.groupBy("path").agg(F.count("*").alias("n"), F.max("line_no").cast("int").alias("last"))
 
 
 @query(f"""WITH {_TURNS}, g AS (SELECT conv_id, sum(len(list_filter(k, lambda w: len(w) % 6 = 0))) AS fin, count(*) FILTER (turn % 4 = 0) AS over, count(*) FILTER (turn % 4 = 2) AS bare FROM u GROUP BY conv_id)
@@ -390,7 +392,10 @@ def most_common_codes(spark, d):
     return most_common(n, "n", "code").withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "code")))  # one row a code
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+hot AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id WHERE list_cosine_similarity(a.v, b.v) > 0.3),
+g(label, k, kept) AS (SELECT DISTINCT label, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM e UNION ALL SELECT g.label, e.k, CASE WHEN EXISTS (SELECT 1 FROM hot WHERE hot.a = e.vec_id AND list_contains(g.kept, hot.b)) THEN g.kept ELSE list_append(g.kept, e.vec_id) END FROM g JOIN e ON e.label = g.label AND e.k = g.k + 1)
+SELECT label, unnest(kept) AS vec_id FROM (SELECT label, kept, row_number() OVER (PARTITION BY label ORDER BY k DESC) AS last FROM g) WHERE last = 1""")
 def near_duplicate_greedy(spark, d):
     return R.greedy_distinct(t(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.3)
 
