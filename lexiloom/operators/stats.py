@@ -47,15 +47,16 @@ def running_counts(per: DataFrame, value: str, counts: list[str], by: list[str]
     return j.select(*per.columns, *[(F.col(f"_r_{c}") + F.col(f"_b_{c}")).alias(f"run_{c}") for c in counts], *[f"all_{c}" for c in counts])
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, kind: str = "linear", cuts: list | None = None) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, kind: str = "linear", cuts: list | None = None, weight: str | None = None) -> DataFrame:
     """(by, n, one column for each named probability): exact quantiles by linear interpolation, or of type 8 (position
-    (n + 1/3) p + 1/3 between order statistics).  Null and NaN values are left out, and so are groups without others.
+    (n + 1/3) p + 1/3 between order statistics).  Null and NaN values are left out, and so are groups without others.  A row
+    stands for ``weight`` equal ones, if given.
 
     Ranks are looked up in counts per distinct value, in the one range of values that holds them: no group's values are
     gathered or sorted in one place."""
     by = by or []
     v = F.col(value).cast("double")
-    per = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("v")).agg(F.count("*").alias("c"))
+    per = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("v")).agg((F.sum(weight) if weight else F.count("*")).alias("c"))
     p, total = _ranges(per, "v", ["c"], by, cut_points(per, "v") if cuts is None else cuts)
     asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(x)).alias("p")) for n, x in probs.items()]))
     n = F.col("n")
@@ -276,17 +277,21 @@ def marginal_means(model: DataFrame, at: dict[str, dict[str, float]]) -> DataFra
 
 def slice_summary(real: DataFrame, synthetic: DataFrame, group: str, story: str, value: str) -> DataFrame:
     """By (group, story), group and overall (``*``): medians of both sides, their ratio, and the share of synthetic values within
-    the real quartiles."""
-    out, cuts = None, cut_points(real.select(F.col(value).cast("double").alias("v")), "v")
-    for by in ([group, story], [group], []):
-        ref = quantiles(real, value, {"real_median": 0.5, "lo": 0.25, "hi": 0.75}, by, cuts=cuts).withColumnRenamed("n", "n_real")
-        within = join_on(synthetic.select(*by, F.col(value).alias("v")), ref, by, "left").withColumn("in", F.col("v").between(F.col("lo"), F.col("hi")).cast("int"))
-        share = within.groupBy(*by, "n_real", "real_median").agg(F.count("v").alias("n_synthetic"), F.avg("in").alias("share_in_iqr"))
-        got = join_on(share, quantiles(synthetic, value, {"synthetic_median": 0.5}, by, cuts=cuts).drop("n"), by, "left")
-        names = [(F.col(c) if c in by else F.lit("*")).alias(x) for c, x in ((group, "g"), (story, "s"))]
-        part = got.select(*names, "n_real", "real_median", "n_synthetic", "synthetic_median", "share_in_iqr", F.when(F.col("real_median") != 0, F.col("synthetic_median") / F.col("real_median")).alias("median_ratio"))
-        out = part if out is None else out.union(part)
-    return out
+    the real quartiles.  Rows are counted by slice and value first, and only those counts go to the three levels."""
+    star = F.lit("*")
+
+    def levels(df: DataFrame) -> DataFrame:
+        per = df.where(F.col(value).isNotNull()).groupBy(F.col(group).cast("string").alias("a"), F.col(story).cast("string").alias("b"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+        names = F.explode(F.array(*[F.struct(g.alias("g"), t.alias("s")) for g, t in ((F.col("a"), F.col("b")), (F.col("a"), star), (star, star))]))
+        return per.select(names.alias("k"), "v", "c").groupBy("k.g", "k.s", "v").agg(F.sum("c").alias("c"))
+
+    by, a, b = ["g", "s"], levels(real), levels(synthetic)
+    cuts = cut_points(a, "v")
+    ref = quantiles(a, "v", {"real_median": 0.5, "lo": 0.25, "hi": 0.75}, by, cuts=cuts, weight="c").withColumnRenamed("n", "n_real")
+    inside = F.col("v").between(F.col("lo"), F.col("hi")).cast("int")
+    share = join_on(b, ref, by, "left").groupBy(*by, "n_real", "real_median").agg(F.sum("c").alias("n_synthetic"), (F.sum(F.col("c") * inside) / F.sum(F.when(inside.isNotNull(), F.col("c")))).alias("share_in_iqr"))
+    got = join_on(share, quantiles(b, "v", {"synthetic_median": 0.5}, by, cuts=cuts, weight="c").drop("n"), by, "left")
+    return got.select(*by, "n_real", "real_median", "n_synthetic", "synthetic_median", "share_in_iqr", F.when(F.col("real_median") != 0, F.col("synthetic_median") / F.col("real_median")).alias("median_ratio"))
 
 
 def chi_square_tail(x: float, degrees: int) -> float:

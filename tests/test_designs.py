@@ -173,3 +173,20 @@ def test_generated_transcripts_and_manifest(spark, tmp_path):
 def test_audit_cells(spark):
     df = spark.createDataFrame([(1.5,), (None,)], "v double")
     assert [r[0] for r in df.select(sinks.cell(F.col("v"))).collect()] == ["1.5000", "NA"]
+
+
+def test_longest_common_subsequence(spark):
+    g = np.random.default_rng(2)
+    pairs = [([str(x) for x in g.integers(0, 5, g.integers(0, 90))], [str(x) for x in g.integers(0, 5, g.integers(0, 90))]) for _ in range(60)] + [([], []), (["a"], [])]
+
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return 2 * row[-1] / (len(a) + len(b)) if row[-1] else 0.0
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["s"] for r in df.select("i", retrieval.rouge_l("a", "b").alias("s")).collect()}
+    assert all(abs(got[i] - brute(a, b)) < 1e-12 for i, (a, b) in enumerate(pairs))
