@@ -141,7 +141,7 @@ def generation_cells(spark, d):
 def _plan(spark, d):
     k = F.col("File_ID")
     kids = P.roster_frame(_dev(spark, d), _severity(spark, d), 48, 59).select(k.alias("id"), F.col("Group").alias("grp"), F.col("age_months_approx").alias("age"), F.coalesce(F.col(P.BAND), F.lit("typical")).alias("band"), F.col("profile_label").alias("label"))
-    kids = kids.withColumn("stories", F.filter(F.array(*[F.when(F.col("id") % (i + 7) != 0, F.lit(s)) for i, s in enumerate(D.STORIES)]), lambda x: x.isNotNull()))
+    kids = kids.withColumn("stories", F.filter(F.array(*[F.when(F.col("id") % (i + 211) != 0, F.lit(s)) for i, s in enumerate(D.STORIES)]), lambda x: x.isNotNull()))
     refs = spark.createDataFrame([(s, D.STORIES[(i + 1) % 6], D.STORIES[(i + 2) % 6], 50.0 + i, 51.0 + i, "mild", "balanced") for i, s in enumerate(D.STORIES)], "target_story string, e1_story string, e2_story string, td_age double, sli_age double, sli_band string, sli_label string")
     return P.loocv_plan(kids, refs)
 

@@ -304,7 +304,7 @@ for _k in range(40, 0, -1):
 _SERIES = "z * (1" + "".join(f" + z * z / {2 * k + 1} * (1" for k in range(1, 30)) + ")" * 30
 
 
-@query(f"WITH {_UL}, z AS (SELECT g.lang, greatest((abs(s - na * (na + 1) / 2 - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))), 0) AS z FROM g JOIN tie ON g.lang IS NOT DISTINCT FROM tie.lang) SELECT lang, round(z, 6) AS z, round(2 * ({_ERFC.format(frac=_FRAC, series=_SERIES)}), 6) AS p FROM z")
+@query(f"WITH {_UL}, m AS (SELECT g.lang, abs(s - na * (na + 1) / 2 - na * nb / 2) - 0.5 AS off, na * nb / 12 * (na + nb + 1 - ties / nullif((na + nb) * (na + nb - 1), 0)) AS var FROM g JOIN tie ON g.lang IS NOT DISTINCT FROM tie.lang), z AS (SELECT lang, CASE WHEN var > 0 THEN greatest(off / sqrt(var), 0) END AS z FROM m) SELECT lang, round(z, 6) AS z, round(2 * ({_ERFC.format(frac=_FRAC, series=_SERIES)}), 6) AS p FROM z")
 def mann_whitney_p(spark, d):
     return S.mann_whitney(_labelled(spark, d), "n_chars", F.col("quality") == 1, ["lang"]).select("lang", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
