@@ -318,7 +318,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Two documents link when 100 * intersection >= ``percent`` * union of their distinct ``size``-word shingles;
     component_id is the smallest doc_id reachable by links.  Null texts and texts without words have an empty set and
-    link with nothing, not even each other.
+    link with nothing, not even each other.  Rows that repeat an id are documents of their own; a null id is smaller than
+    all others.  Other columns are not looked at, and an empty table gives none.
     """
     buckets = buckets_for(docs)
     spark = docs.sparkSession

@@ -63,8 +63,10 @@ def markup_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
 def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict), one row for each row of ``pages``.
 
-    ``redirects`` may hold (source url, target url) rows seen by a crawler.  A null url, or one without ``://``, has empty
-    host and path and no alias; null markup has no links.
+    ``redirects`` may hold (source url, target url) rows seen by a crawler, any of them several times.  A null url, or one
+    without ``://``, has empty host and path and no alias; null markup has no links.  Of rules of equal length the one with
+    the longer host fits, then an allow.  Repeated pages are judged each, other columns are not looked at, and an empty
+    table gives none.
     """
     edges = markup_edges(pages, url, html)
     if redirects is not None:
