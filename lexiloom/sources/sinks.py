@@ -78,6 +78,8 @@ def write_files(df: DataFrame, path: str = "path", content: str = "content") ->
         from pathlib import Path
 
         for name, text in rows:
+            if "://" in name and not name.startswith("file://"):
+                raise ValueError(f"single files are written to mounted folders only: {name}")
             at = Path(name.removeprefix("file://"))
             at.parent.mkdir(parents=True, exist_ok=True)
             at.write_text(text or "", encoding="utf-8", newline="")
