@@ -41,4 +41,42 @@ c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(c.c, n.doc_id) AS component_id FROM n LEFT JOIN c ON n.doc_id = c.a
 """
 
-ORACLE_SQL = {"op2_url_filters": OP2, "op9_ngram_join": OP9}
+#: The cube is not used here: every document walks through every order.
+OP13 = """
+WITH RECURSIVE o(s) AS (SELECT '' UNION ALL SELECT s || c FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) f(c) WHERE NOT contains(s, c)),
+w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS k FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+  (CASE WHEN len(k) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(k)) < 50 * len(k) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+  || (CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM d GROUP BY 1, 2),
+x AS (SELECT g.*, s, step, s[step] AS f, contains(fails, s[step]) AS failing, step = 1 OR NOT regexp_matches(fails, '[' || s[1:step - 1] || ' ]') AS here FROM g, (SELECT s FROM o WHERE length(s) = 5), range(1, 6) r(step)),
+y AS (SELECT part, s, step, f, coalesce(sum(n) FILTER (here AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (here AND failing), 0) AS removed, coalesce(sum(n) FILTER (failing AND NOT here), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails, coalesce(sum(good) FILTER (here AND failing), 0) AS good_lost, coalesce(sum(bad) FILTER (here AND failing), 0) AS toxic_lost FROM x GROUP BY 1, 2, 3, 4)
+SELECT part, s AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM y
+"""
+
+def _kmeans(k: int = 40, rounds: int = 5, size: int = 64, seed: str = "2") -> str:
+    """Plain k-means: every vector against every centroid, in every round."""
+    steps = [
+        f"v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})",
+        f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v) ORDER BY c LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, x, min(struct_pack(d := d, c := c)) AS n FROM (SELECT vec_id, v.x AS x, c, list_sum(list_transform(list_zip(v.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r}) GROUP BY vec_id, x)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT c, list(m ORDER BY i) AS x FROM (SELECT c, i, CAST(floor(sum(CAST(t AS DOUBLE)) / count(*)) AS BIGINT) AS m FROM (SELECT n.c AS c, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c)")
+            steps.append(f"c{r + 1} AS (SELECT c{r}.c AS c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)")
+    return (
+        "WITH " + ",\n".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps) + f"""
+SELECT vec_id, n.c AS cluster, CAST(n.d AS BIGINT) AS distance, CAST(sum(n.d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia, CAST(sum(n.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON n.c = c{rounds}.c
+"""
+    )
+
+
+OP12 = _kmeans()
+
+ORACLE_SQL = {"op2_url_filters": OP2, "op9_ngram_join": OP9, "op12_ball_kmeans": OP12, "op13_filter_audit": OP13}

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from .ann import op3
+from .ball_kmeans import op12
 from .decontaminate import op8
+from .filter_audit import op13
 from .language import op6
 from .lm_scoring import op1
 from .mixing import op5
@@ -37,5 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op8_decontamination": op8,
         "op9_ngram_join": op9,
         "op10_quality": op10,
+        "op12_ball_kmeans": op12,
+        "op13_filter_audit": op13,
     }.items()
 }
