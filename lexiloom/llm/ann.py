@@ -88,7 +88,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
         return spark.createDataFrame([], schema)
     queries = rows.where(is_query)
     nq = queries.count()
-    sample = sorted(bounded_sample(rows, "row", pivots * 2, n).collect(), key=lambda r: r["row"] * 2654435761 % (1 << 32))[:pivots]
+    sample = bounded_sample(rows, pivots, "row").orderBy("row").collect()
     base = np.array([r["x"] for r in sample])
 
     def lifted(x: np.ndarray) -> np.ndarray:

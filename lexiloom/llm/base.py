@@ -89,17 +89,19 @@ def remainder(col, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def bounded_sample(df: DataFrame, key: str, target: int, total: int) -> DataFrame:
-    """About ``target`` rows (never over twice that) of ``df``, chosen by a hash of ``key``; all rows where there are fewer."""
-    if total > target:
-        df = df.where(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * target / total))
-    return df.limit(2 * target)
-
-
-def at_most(df: DataFrame, key: str, target: int) -> DataFrame:
-    """All rows if there are ``2 * target`` at most, else about ``target`` by a hash of ``key``: what a classifier is fitted on."""
-    total = df.count()
-    return bounded_sample(df, key, target, total) if total > 2 * target else df
+def bounded_sample(df: DataFrame, target: int, *on: str) -> DataFrame:
+    """Exactly ``target`` rows of ``df`` (all rows, if there are fewer): those of the smallest hash of the columns ``on`` (all
+    columns, if none are named).  The hash is of the row, not of an id, so that rows which share an id, or have none, are drawn
+    one by one; only where rows are equal in all those columns does it not matter which are taken.  The driver gets
+    ``target`` hashes; the choice does not depend on the order of rows or files."""
+    h = F.xxhash64(F.lit(17), *[F.col(c) for c in on or df.columns])
+    least = [r[0] for r in df.select(h.alias("h")).orderBy("h").limit(target + 1).collect()]
+    if len(least) <= target:
+        return df
+    cut, chosen = least[target - 1], df.where(h < least[target - 1])
+    if least[target] > cut:
+        return df.where(h <= cut)
+    return chosen.unionByName(df.where(h == cut).limit(sum(x == cut for x in least[:target])))
 
 
 # ---------------------------------------------------------------- Arrow side

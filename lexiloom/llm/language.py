@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .base import bounded_sample, ids_back, longs, remainder, text_bytes
 
 WINDOW = 128
-CALIBRATE = 500  # labelled texts that set the level below which a language cannot be told
+STEPS = 1000  # of training, each on windows drawn from all windows of the sample
 WIDTHS = (2, 3, 4)
 
 
@@ -48,13 +48,13 @@ class ByteCNN:
         prob /= prob.sum(1, keepdims=True)
         return e, args, h, prob
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 128, lr: float = 0.01, seed: int = 5) -> ByteCNN:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 128, lr: float = 0.01, seed: int = 5) -> ByteCNN:
         g = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         t = 0
-        for _ in range(epochs if len(self.langs) > 1 else 0):
-            for at in range(0, len(x), batch):
+        for _ in range(steps if len(self.langs) > 1 else 0):
+            if len(x):
                 rows = g.integers(0, len(x), min(batch, len(x)))
                 xb, yb = x[rows], y[rows]
                 e, args, h, prob = self._forward(xb)
@@ -148,37 +148,39 @@ class ByteCNN:
         return best, prob[np.arange(n), best]
 
 
+def cut_windows(data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of texts, the last of each padded with spaces, and the class of each."""
+    count = -(-np.diff(offs) // WINDOW)
+    doc = np.repeat(np.arange(len(count)), count)
+    start = offs[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+    pos = start[:, None] + np.arange(WINDOW)
+    inside = pos < offs[doc + 1][:, None]
+    return np.where(inside, data[np.where(inside, pos, 0)], 32).astype(np.uint8), np.asarray(y)[doc]
+
+
 def _letters(text: str):
     """Whether a text holds a letter of any script."""
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = 4000, windows_each: int = 6) -> ByteCNN:
-    """Trains on at most about ``sample`` labelled texts (a bounded sample by hash of the key; ``windows_each`` windows
-    spread over each text).  Without any labelled text the model knows no language and every text is ``und``."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    total = rows.select("k").count()
-    got = bounded_sample(rows, "k", sample, total).orderBy("k", F.xxhash64("t", "l")).toPandas()
+def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = 4000) -> ByteCNN:
+    """Trains on at most ``sample`` labelled texts, chosen by a hash of text and language: every window of four in five of them
+    can be drawn; on the others the level is set below which a language cannot be told.  Null and empty texts teach nothing,
+    repeated rows are drawn one by one, ids are not looked at.  Without any labelled text the model knows no language and
+    every text is ``und``."""
+    rows = docs.where((F.length(text) > 0) & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    got = bounded_sample(rows, sample).select("*", F.xxhash64(F.lit(5), "t", "l").alias("h")).orderBy("h", "l", "t").toPandas()
     langs = sorted(set(got["l"]))
-    xs, ys = [], []
-    for t, lang_of in zip(got["t"], got["l"]):
-        b = t.encode()
-        if not b:
-            continue
-        n = max(1, min(windows_each, len(b) // WINDOW))
-        for i in range(n):
-            s = (len(b) - WINDOW) * i // max(1, n - 1) if len(b) > WINDOW else 0
-            w = b[s : s + WINDOW]
-            xs.append(np.frombuffer(w + b" " * (WINDOW - len(w)), np.uint8))
-            ys.append(langs.index(lang_of))
+    held = got.index % 5 == 4
     model = ByteCNN(langs)
-    if xs:
-        model.fit(np.stack(xs), np.array(ys))
+    if len(got):
+        data, offs = text_bytes(pa.array(got["t"][~held]))
+        model.fit(*cut_windows(data, offs, np.searchsorted(langs, got["l"][~held])))
     out = model.compile()
     # half way from chance to what the least sure of labelled texts reaches: below it a language cannot be told
-    known = [t for t in got["t"][:CALIBRATE] if t]
     out.least = 1 / max(1, len(langs))
-    if known:
+    known = got["t"][held] if held.any() else got["t"]
+    if len(known):
         data, offs = text_bytes(pa.array(known))
         out.least += max(0.0, float(out.predict(data, offs)[1].min()) - out.least) / 2
     return out

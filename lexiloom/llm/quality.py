@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACE, U64, Words, at_most, ids_back, longs, mix, remainder, text_bytes
+from .base import SPACE, U64, Words, bounded_sample, ids_back, longs, mix, remainder, text_bytes
 from .toxicity import labelled_sample
 
 BUCKETS, DIM, ONES, SLICES = 1 << 13, 32, 4, 16
@@ -163,10 +163,10 @@ class TwoLayer:
 
 
 def fit_quality(labelled: DataFrame, vectors: np.ndarray, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 6000) -> TwoLayer:
-    """Trains on a bounded sample (all rows up to twice ``sample``, else about ``sample`` by a hash of the key) of ``labelled`` (key,
-    text, 0/1 label); rows without label are left out, null texts pool to zeros, repeated rows count each."""
+    """Trains on at most ``sample`` rows, chosen by a hash of the row, of ``labelled`` (key, text, 0/1 label); rows without label
+    are left out, null texts pool to zeros, repeated rows count each and are drawn one by one."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    got = at_most(rows, "k", sample).orderBy(F.xxhash64("k"), F.xxhash64("t"), "y").toArrow()
+    got = bounded_sample(rows, sample).orderBy(F.xxhash64("k"), F.xxhash64("t"), "y").toArrow()
     data, offs = text_bytes(got["t"])
     return TwoLayer(2 * DIM + 1).fit(pooled(data, offs, vectors), got["y"].to_numpy().astype(np.float64))
 

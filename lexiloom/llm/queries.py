@@ -16,6 +16,7 @@ from .lm_scoring import op1
 from .mixing import op5
 from .ngram_join import op9
 from .oracle import ORACLE_SQL  # noqa: F401
+from .pii import op11
 from .quality import op10
 from .suffix_dedup import op4
 from .toxicity import op7
@@ -39,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op8_decontamination": op8,
         "op9_ngram_join": op9,
         "op10_quality": op10,
+        "op11_pii": op11,
         "op12_ball_kmeans": op12,
         "op13_filter_audit": op13,
     }.items()

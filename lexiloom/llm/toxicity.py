@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import LOWER, NOT_TERM, U64, Words, at_most, bounded_sample, distinct_sorted, ids_back, longs, remainder, text_bytes  # noqa: F401
+from .base import NOT_TERM, U64, Words, bounded_sample, distinct_sorted, ids_back, longs, remainder, text_bytes
 
 BITS = 18
 PREFIXES = (4, 5)
@@ -47,24 +47,41 @@ def terms(data: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) ->
     return (x >> U64(BITS)).astype(np.int64), (x & U64((1 << BITS) - 1)).astype(np.int64)
 
 
-def _in_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seen: np.ndarray, hits: np.ndarray, chi2: float, most: int = 1024) -> np.ndarray:
-    """Terms, of the ``most`` frequent ones, that occur in a pair whose label count strays from what its two terms add up to."""
+def _in_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seen: np.ndarray, hits: np.ndarray, chi2: float, least: int = 8, blocks: int = 1 << 22) -> np.ndarray:
+    """Terms that occur in a pair whose label count strays from what its two terms add up to.
+
+    Every pair that ``least`` texts share is looked at: terms in fewer texts cannot form one.  Pairs are counted as they occur,
+    for one range of first terms at a time, so that about ``blocks`` of them are held at once."""
     n = len(y)
-    often = np.flatnonzero(seen >= max(4, n // 500))
-    often = often[np.argsort(-seen[often], kind="stable")[:most]]
+    often = np.flatnonzero(seen >= least)
     if not n or len(often) < 2 or not 0 < y.mean() < 1:
         return often[:0]
     column = np.full(len(seen), -1)
     column[often] = np.arange(len(often))
     here = column[term] >= 0
-    x = np.zeros((n, len(often)), np.float32)
-    x[doc[here], column[term[here]]] = 1
-    both, toxic = x.T @ x, (x * y[:, None].astype(np.float32)).T @ x
+    d, t = doc[here], column[term[here]]  # sorted by text, then term
+    end = np.searchsorted(d, d, "right")
+    after = end - np.arange(len(d)) - 1  # partners of each entry: the terms that follow in its text
     rate, own = y.mean(), hits[often] / seen[often]
-    expect = np.clip(own[:, None] + own[None] - rate, 0.02, 0.98)
-    strays = (both >= 8) & ((toxic - both * expect) ** 2 > chi2 * both * expect * (1 - expect))
-    np.fill_diagonal(strays, False)
-    return often[strays.any(1)]
+    by_first = np.argsort(t, kind="stable")
+    load = np.cumsum(after[by_first])
+    found, at = np.zeros(len(often), bool), 0
+    while at < len(by_first):
+        stop = int(np.searchsorted(load, (load[at - 1] if at else 0) + blocks, "right"))
+        stop = max(stop, at + 1)
+        stop = int(np.searchsorted(t[by_first], t[by_first[stop - 1]], "right"))  # all texts of a first term together
+        rows = by_first[at:stop]
+        second = np.repeat(rows + 1, after[rows]) + np.arange(int(after[rows].sum())) - np.repeat(np.cumsum(after[rows]) - after[rows], after[rows])
+        pair = np.repeat(t[rows], after[rows]).astype(np.int64) * len(often) + t[second]
+        label = y[d[second]]
+        pair, which = np.unique(pair, return_inverse=True)
+        both, toxic = np.bincount(which, minlength=len(pair)), np.bincount(which, label, len(pair))
+        a, b = pair // len(often), pair % len(often)
+        expect = np.clip(own[a] + own[b] - rate, 0.02, 0.98)
+        strays = (both >= least) & ((toxic - both * expect) ** 2 > chi2 * both * expect * (1 - expect))
+        found[a[strays]] = found[b[strays]] = True
+        at = stop
+    return often[found]
 
 
 class FactorizationMachine:
@@ -125,10 +142,10 @@ class FactorizationMachine:
 
 
 def fit_toxicity(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 6000) -> FactorizationMachine:
-    """Trains on a bounded sample (all rows up to twice ``sample``, else about ``sample`` by a hash of the key) of ``labelled`` (key,
-    text, 0/1 label); rows without label are left out, null texts have no terms, repeated rows count each."""
+    """Trains on at most ``sample`` rows, chosen by a hash of the row, of ``labelled`` (key, text, 0/1 label); rows without label
+    are left out, null texts have no terms, repeated rows count each and are drawn one by one."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    got = at_most(rows, "k", sample).orderBy("k", F.xxhash64("t"), "y").toArrow()
+    got = bounded_sample(rows, sample).orderBy("k", F.xxhash64("t"), "y").toArrow()
     data, offs = text_bytes(got["t"])
     doc, term = terms(data, offs)
     return FactorizationMachine().fit(doc, term, got["y"].to_numpy().astype(np.float64))
@@ -152,14 +169,15 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, key: str = "doc
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """About ``sample`` labelled documents that may be learned from (remainder 5 is not 0), joined after both sides are cut."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", 5) != 0)).select("doc_id", label)
-    total = marks.count()
-    marks = bounded_sample(marks, "doc_id", sample, total)
-    texts = docs.select("doc_id", "text").where(remainder("doc_id", 5) != 0)
-    if total > sample:
-        texts = texts.where(F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)) < int((1 << 30) * sample / total))
-    return texts.join(marks, "doc_id")
+    """At most ``sample`` labelled documents that may be learned from (remainder 5 is not 0; null ids have no label).
+
+    Label rows that have a document are drawn first, by id and label alone, so that only chosen texts are moved; where ids
+    repeat, their texts are then drawn by content."""
+    may = F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)
+    marks = labels.where(may & F.col(label).isNotNull()).select("doc_id", label)
+    marks = bounded_sample(marks.join(docs.where(may).select("doc_id"), "doc_id", "left_semi"), sample)
+    texts = docs.where(may).select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # ``sample`` rows of id and label
+    return bounded_sample(texts, sample)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

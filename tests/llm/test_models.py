@@ -136,10 +136,33 @@ def test_unknown_languages_go(spark):
 
 
 def test_bounded_samples(spark):
-    from lexiloom.llm.base import at_most
+    from lexiloom.llm.base import bounded_sample
 
     df = spark.range(10_000)
-    assert at_most(df, "id", 5000).count() == 10_000 and 300 < at_most(df, "id", 500).count() <= 1000
+    got = {r[0] for r in bounded_sample(df, 500).collect()}
+    assert len(got) == 500 and got == {r[0] for r in bounded_sample(df.repartition(7), 500).collect()}
+    assert bounded_sample(df, 10_000).count() == bounded_sample(df, 20_000).count() == 10_000
+    none = spark.range(20_000).select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("t"), F.col("id")).alias("t"))
+    assert bounded_sample(none, 300).distinct().count() == 300  # no ids, different texts
+    equal = spark.range(20_000).select(F.lit(7).alias("id"), F.lit("t").alias("t"))
+    assert bounded_sample(equal, 300).count() == 300
+    assert bounded_sample(df.where("false"), 300).count() == 0
+
+
+@pytest.mark.parametrize("same", [None, 5])
+def test_models_learn_where_ids_are_missing_or_equal(spark, same):
+    """Every row without an id, or with one and the same: languages are known, nothing is dropped, both labels are learned."""
+    base = spark.createDataFrame(texts(200), SCHEMA).withColumn("doc_id", F.lit(same).cast("long"))
+    docs = base.crossJoin(spark.range(40).select(F.col("id").alias("copy"))).withColumn("text", F.concat("text", F.lit(" "), F.col("copy").cast("string"))).drop("copy").repartition(8)
+    model = language.fit_language(docs, sample=400)
+    assert model.langs == ["de", "en"] and language.keep_identified(docs, model).count() == 8000
+    fm = toxicity.fit_toxicity(docs, sample=400)
+    assert toxicity.score_toxicity(docs, fm).where("predicted = 1").count() == 1600
+    net = quality.fit_quality(docs, quality.corpus_vectors(docs), sample=400)
+    good = quality.score_quality(docs, net, quality.corpus_vectors(docs)).where("predicted = 1").count()
+    assert 5200 < good < 5500
+    labels = spark.createDataFrame([(same, 1, 0), (same, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled_sample(docs, labels, "toxic", 400).count() == (400 if same else 0)
 
 
 def test_quality_needs_its_vectors(spark):
