@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..checks import number, safe_corr
 from .stats import mann_whitney
@@ -34,6 +35,35 @@ def pca(df: DataFrame, key: str, columns: list[str], k: int) -> tuple[DataFrame,
     return scores, df.sparkSession.createDataFrame(rows, "column_name string, component int, loading double, variance double, cumulative double")
 
 
+def parallel_analysis(df: DataFrame, columns: list[str], draws: int = 500, quantile: float = 0.95, seed: int = 0) -> DataFrame:
+    """(component, eigenvalue, chance_mean, chance, kept): eigenvalues of the correlations against those of independent columns.
+
+    Correlations of n independent normal rows are drawn as such (a triangular root of a Wishart matrix), not as n rows, each draw
+    in a task of its own; ``chance`` is the quantile of each component, and components are kept up to the first that does not
+    exceed it.  Rows with gaps are left out."""
+    d = df.select(*[number(c).alias(c) for c in columns]).na.drop()
+    p, spark = len(columns), df.sparkSession
+    r = d.agg(F.count("*").alias("n"), *[safe_corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in combinations(range(p), 2)]).first()
+    c, n = np.eye(p), r["n"]
+    for i, j in combinations(range(p), 2):
+        c[i, j] = c[j, i] = r[f"c{i}_{j}"] or 0.0
+    own = spark.createDataFrame([(k + 1, float(w)) for k, w in enumerate(np.sort(np.linalg.eigvalsh(c))[::-1])], "component int, eigenvalue double")
+    if n <= p:
+        return own.select("component", "eigenvalue", F.lit(None).cast("double").alias("chance_mean"), F.lit(None).cast("double").alias("chance"), F.lit(False).alias("kept"))
+
+    def draw(batches):
+        for pdf in batches:
+            for i in pdf["id"]:
+                g = np.random.default_rng([seed, int(i)])
+                root = np.tril(g.normal(size=(p, p)), -1) + np.diag(np.sqrt(g.chisquare(n - 1 - np.arange(p))))
+                root /= np.linalg.norm(root, axis=1, keepdims=True)
+                yield pd.DataFrame({"component": np.arange(1, p + 1), "w": np.sort(np.linalg.eigvalsh(root @ root.T))[::-1]})
+
+    null = spark.range(draws).mapInPandas(draw, "component int, w double").groupBy("component").agg(F.avg("w").alias("chance_mean"), F.percentile("w", F.lit(quantile)).alias("chance"))
+    first = F.min(F.when(F.col("eigenvalue") <= F.col("chance"), F.col("component"))).over(Window.partitionBy())  # one row a component
+    return own.join(null, "component").select("component", "eigenvalue", "chance_mean", "chance", F.coalesce(F.col("component") < first, F.lit(True)).alias("kept"))
+
+
 def screen_features(df: DataFrame, columns: list[str], missing: float = 0.2, limit: float = 0.9) -> list[str]:
     """Columns with few gaps and some variance, dropped greedily (in order) where they correlate with one that stays."""
     d = df.select(*[number(c).alias(c) for c in columns])
@@ -54,7 +84,6 @@ def detectability(df: DataFrame, key: str, grams: str, label: str, folds: int =
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import SparseVector, VectorUDT
-    from pyspark.sql.window import Window
 
     d = df.select(F.col(key).alias("k"), F.col(grams).alias("g"), F.col(label).cast("double").alias("y"))
     d = d.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("y", F.pmod(F.xxhash64("k"), F.lit(64))).orderBy(F.xxhash64("k"))) + F.pmod(F.xxhash64("k"), F.lit(64)), F.lit(folds)).cast("int"))

@@ -221,42 +221,13 @@ def bootstrap(df: DataFrame, value: str, side: Column, reps: int = 10_000, seed:
 
 
 def random_intercept(df: DataFrame, outcome: str, predictors: list[str], cluster: str) -> DataFrame:
-    """Linear model with a random intercept, by maximum likelihood: (term, estimate, se), then sigma, tau and log likelihood.
-
-    What the likelihood needs of a cluster is n, X'X, X'y, y'y and the column sums; for a given ratio of variances the clusters
-    of one size add up alike, so Spark sums them by size and the driver only sees one row a cluster size."""
-    x = ["_one", *predictors]
-    d = df.select(cluster, F.col(outcome).cast("double").alias("_y"), F.lit(1.0).alias("_one"), *[F.col(p).cast("double").alias(p) for p in predictors]).na.drop()
-    cols = [*x, "_y"]
-    prods = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    per = d.groupBy(cluster).agg(F.count("*").alias("n"), *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in prods], *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
-    by = per.groupBy("n").agg(F.count("*").alias("k"), *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in prods], *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"q{i}_{j}") for i, j in prods]).orderBy("n").collect()
-    m = len(cols)
-    total = sum(r["n"] * r["k"] for r in by)
-
-    def solve(theta: float):
-        a, logdet = np.zeros((m, m)), 0.0
-        for r in by:
-            c = theta / (1 + theta * r["n"])
-            for i, j in prods:
-                a[i, j] += r[f"p{i}_{j}"] - c * r[f"q{i}_{j}"]
-            logdet += r["k"] * math.log1p(theta * r["n"])
-        a = a + np.triu(a, 1).T
-        beta = np.linalg.lstsq(a[:-1, :-1], a[:-1, -1], rcond=None)[0]
-        rss = max(a[-1, -1] - beta @ a[:-1, -1], 1e-300)
-        return -0.5 * (total * math.log(2 * math.pi * rss / total) + logdet + total), beta, rss / total, a[:-1, :-1]
-
-    grid = [0.0, *np.geomspace(1e-6, 1e4, 120)]
-    k = max(range(len(grid)), key=lambda i: solve(grid[i])[0])
-    lo, hi = grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]
-    for _ in range(80):
-        a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
-        lo, hi = (lo, b) if solve(a)[0] >= solve(b)[0] else (a, hi)
-    theta = max((0.0, (lo + hi) / 2), key=lambda t: solve(t)[0])
-    ll, beta, s2, xx = solve(theta)
-    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(xx)) * s2, 0))
-    rows = [("intercept" if n == "_one" else n, float(b), float(e)) for n, b, e in zip(x, beta, se)]
-    rows += [("sigma", math.sqrt(s2), None), ("tau", math.sqrt(theta * s2), None), ("log_likelihood", float(ll), None)]
+    """One linear model with a random intercept: (term, estimate, se), then sigma, tau and log likelihood (``mixed`` fits many)."""
+    from .mixed import linear_models
+
+    rows = []
+    for f in linear_models(df, [outcome], {"m": predictors}, cluster).collect():  # one row
+        rows += [(n, b, math.sqrt(max(f["covariance"][i][i], 0.0))) for i, (n, b) in enumerate(zip(f["terms"], f["estimate"]))]
+        rows += [(n, f[n], None) for n in ("sigma", "tau", "log_likelihood")]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double")
 
 
@@ -307,12 +278,8 @@ def chi_square_tail(x: float, degrees: int) -> float:
 def nested_models(df: DataFrame, outcome: str, steps: list[list[str]], cluster: str) -> DataFrame:
     """(model, terms, log_likelihood, chi_square, degrees, p): random-intercept models that add the predictors of each step,
     and the likelihood-ratio test of each against the one before."""
-    rows, last, seen = [], None, []
-    for i, step in enumerate([[], *steps]):
-        seen = [*seen, *step]
-        fit = random_intercept(df, outcome, seen, cluster)
-        ll = fit.where("term = 'log_likelihood'").first()["estimate"]
-        x = None if last is None else max(0.0, 2 * (ll - last))
-        rows.append((f"m{i}", len(seen), ll, x, len(step) if i else None, None if x is None else chi_square_tail(x, len(step))))
-        last = ll
-    return df.sparkSession.createDataFrame(rows, "model string, terms int, log_likelihood double, chi_square double, degrees int, p double")
+    from .mixed import likelihood_ratios, linear_models
+
+    models = {f"m{i}": [c for s in steps[:i] for c in s] for i in range(len(steps) + 1)}
+    d = likelihood_ratios(linear_models(df, [outcome], models, cluster))
+    return d.select("model", (F.col("parameters") - 3).alias("terms"), "log_likelihood", "chi_square", "degrees", "p")

@@ -50,14 +50,27 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` written to a scratch folder and read back: cuts a long lineage, and survives lost executors."""
     path = scratch(df.sparkSession, "kept")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lexiloom_path = path
+    return out
+
+
+def drop_kept(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` returned, once nothing that is still to be computed reads them (an iteration's earlier states)."""
+    paths = {getattr(t, "_lexiloom_path", None) for t in tables}
+    _delete([x for x in _scratched if x[1] in paths])
+    _scratched[:] = [x for x in _scratched if x[1] not in paths]
 
 
 _scratched: list = []
 
 
 def _forget() -> None:
-    for spark, path in _scratched:
+    _delete(_scratched)
+
+
+def _delete(found: list) -> None:
+    for spark, path in found:
         try:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
