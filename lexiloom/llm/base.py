@@ -95,13 +95,19 @@ def bounded_sample(df: DataFrame, target: int, *on: str) -> DataFrame:
     one by one; only where rows are equal in all those columns does it not matter which are taken.  The driver gets
     ``target`` hashes; the choice does not depend on the order of rows or files."""
     h = F.xxhash64(F.lit(17), *[F.col(c) for c in on or df.columns])
-    least = [r[0] for r in df.select(h.alias("h")).orderBy("h").limit(target + 1).collect()]
-    if len(least) <= target:
+    total = df.count()
+    if total <= target:
         return df
-    cut, chosen = least[target - 1], df.where(h < least[target - 1])
+    hashed, share, least = df.select(h.alias("h")), 4 * target / total, []
+    if share < 1:  # few hashes leave a task
+        least = [r[0] for r in hashed.where(F.col("h") < int(share * 2**64) - 2**63).orderBy("h").limit(target + 1).collect()]
+    if len(least) <= target:  # a small table, or one of many equal rows
+        some = hashed.groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(target + 1).collect()
+        least = [r["h"] for r in some for _ in range(min(r["n"], target + 1))][: target + 1]
+    cut = least[target - 1]
     if least[target] > cut:
         return df.where(h <= cut)
-    return chosen.unionByName(df.where(h == cut).limit(sum(x == cut for x in least[:target])))
+    return df.where(h < cut).unionByName(df.where(h == cut).limit(sum(x == cut for x in least[:target])))
 
 
 # ---------------------------------------------------------------- Arrow side
