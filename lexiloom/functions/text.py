@@ -144,7 +144,7 @@ def padded(toks: Column, n: int) -> Column:
 
 def sentences(col: Column | str) -> Column:
     """Sentences split after . ! ? and white space; a last one without a mark gets a full stop."""
-    parts = F.filter(F.transform(F.split(normal_surface(col), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(normal_surface(col), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
     return F.transform(parts, lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
 
 

@@ -176,7 +176,35 @@ def repeat_marking(spark, d):
     return t(spark, d, "documents").select("doc_id", T.mark_repeats("text").alias("marked"))
 
 
-@query()
+def _sql_parts(x: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace(trim({x}), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: p <> '')"
+
+
+def _sql_spaced(p: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(CASE WHEN regexp_matches({p}, '[.!?]$') THEN {p} ELSE {p} || '.' END, '\\s*([,.;:!?])', ' \\1', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _sql_sentences(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '[A-Za-z0-9]') THEN list_transform({_sql_parts(x)}, lambda p: {_sql_spaced('p')}) ELSE [] END"
+
+
+_CLAUSE_END, _CLAUSE_START = "'[,:;.!?]+$'", "'^[,.;:!?]+\\s*'"
+
+#: One quotation after the other is taken off the front of the text; the engine folds over its pieces instead.
+QUOTED = f"""WITH RECURSIVE n AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), '“”' || chr(1), '"" '), '\\s+', ' ', 'g')) AS t FROM documents),
+r(doc_id, rest, lines, more) AS (SELECT doc_id, t, CAST([] AS VARCHAR[]), true FROM n
+UNION ALL SELECT doc_id, CASE WHEN NOT closed THEN '' WHEN opened THEN regexp_replace(trim(after), {_CLAUSE_START}, '') ELSE trim(regexp_replace(trim(substr(ahead, length(first) + 1)), {_CLAUSE_START}, '')) END,
+  list_concat(lines, CASE WHEN NOT closed THEN {_sql_sentences("plain")} ELSE list_concat(list_concat(list_filter(parts, lambda p: regexp_matches(p, '[.!?]$')),
+    CASE WHEN opened AND regexp_matches(announced, '[A-Za-z0-9]') THEN [announced || ' +"/.'] ELSE [] END), list_concat(list_transform(list_filter({_sql_parts("said")}, lambda p: regexp_matches(p, '[A-Za-z0-9]')), lambda p: '+" ' || {_sql_spaced("p")}),
+    CASE WHEN NOT opened AND regexp_matches(closing, '[A-Za-z0-9]') THEN [closing || ' +".'] ELSE [] END)) END), closed
+FROM (SELECT *, trim(regexp_replace(trim(coalesce(parts[-1], '')), {_CLAUSE_END}, '')) AS announced, replace(trim(regexp_replace(trim(first), {_CLAUSE_END}, '')), '"', '') AS closing
+  FROM (SELECT *, {_sql_parts("before")} AS parts, trim(before) <> '' AND NOT regexp_matches(trim(before), '[.!?]$') AS opened, trim(regexp_replace(trim(after), {_CLAUSE_START}, '')) AS ahead,
+      CASE WHEN regexp_matches(trim(regexp_replace(trim(after), {_CLAUSE_START}, '')), '[.!?]\\s') THEN regexp_extract(trim(regexp_replace(trim(after), {_CLAUSE_START}, '')), '^(.*?[.!?])\\s', 1) ELSE trim(regexp_replace(trim(after), {_CLAUSE_START}, '')) END AS first
+    FROM (SELECT *, split_part(rest, '"', 1) AS before, split_part(rest, '"', 2) AS said, substr(rest, length(split_part(rest, '"', 1)) + length(split_part(rest, '"', 2)) + 3) AS after, length(rest) - length(replace(rest, '"', '')) >= 2 AS closed, trim(replace(rest, '"', ' ')) AS plain FROM r WHERE more))))
+SELECT doc_id, list_filter(lines, lambda x: x <> '') AS lines FROM r WHERE NOT more"""
+
+
+@query(QUOTED)
 def quoted_utterances(spark, d):
     return t(spark, d, "documents").select("doc_id", quote_lines("text").alias("lines"))
 

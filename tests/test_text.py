@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
@@ -37,13 +38,39 @@ def test_names_lemmas_ages(spark):
 
 def test_sentences_and_repeats(spark):
     assert one(spark, "One. Two!  three", T.sentences("x")) == ["One.", "Two!", "three."]
+    assert one(spark, "In 10. 11 or 1", T.sentences("x")) == ["In 10.", "11 or 1."]
     assert one(spark, "the the dog", T.mark_repeats("x")) == "the [/] the dog"
 
 
-def test_quotes():
-    from lexiloom.operators.quotes import utterance_lines
+def test_quotes(spark):
+    from lexiloom.operators.quotes import utterances
 
-    assert utterance_lines('He said, "Go home. Now!" and left.') == ['He said +"/.', '+" Go home .', '+" Now !', "and left ."]
-    assert utterance_lines('"Stop" said the dog. It ran.') == ['+" Stop .', 'said the dog +".', "It ran ."]
-    assert utterance_lines('an "open end') == ["an open end ."]
-    assert utterance_lines(None) == []
+    lines = lambda x: one(spark, x, utterances("x"))
+    assert lines('He said, "Go home. Now!" and left.') == ['He said +"/.', '+" Go home .', '+" Now !', "and left ."]
+    assert lines('"Stop" said the dog. It ran.') == ['+" Stop .', 'said the dog +".', "It ran ."]
+    assert lines('an "open end') == ["an open end ."]
+    assert lines("") == [] and spark.range(1).select(utterances(F.lit(None).cast("string")).alias("u")).first()["u"] == []
+    assert lines('"Why?" asked Tim "now. ok" bye.') == ['+" Why ?', 'asked Tim now +".', "ok bye ."]
+    assert lines("One; two: three. ") == ["One ; two : three ."]
+
+
+def test_quotations_of_random_texts_equal_sql(spark):
+    """The fold against quotations taken off one by one, in SQL."""
+    import random
+
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+
+    from lexiloom.operators.quotes import utterances
+    from lexiloom.plans.text_queries import QUOTED
+
+    g = random.Random(5)
+    alphabet = ['"', '"', " ", " ", ". ", ".", "!", "?", ",", ", ", ";", "a", "He ran", "\u201c", "\u201d", "x1", "\n"]
+    documents = pd.DataFrame({"doc_id": range(1500), "text": ["".join(g.choices(alphabet, k=g.randint(0, 30))) for _ in range(1500)]})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = dict(con.execute(QUOTED).fetchall())
+    got = {r["doc_id"]: r["u"] for r in spark.createDataFrame(documents).select("doc_id", utterances("text").alias("u")).collect()}
+    wrong = [(documents.text[i], got[i], want[i]) for i in got if got[i] != want[i]]
+    assert not wrong, wrong[:3]
+    assert sum(any('+"' in x for x in v) for v in got.values()) > 500
