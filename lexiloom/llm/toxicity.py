@@ -47,43 +47,71 @@ def terms(data: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) ->
     return (x >> U64(BITS)).astype(np.int64), (x & U64((1 << BITS) - 1)).astype(np.int64)
 
 
-def _in_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seen: np.ndarray, hits: np.ndarray, chi2: float, least: int = 8, blocks: int = 1 << 22) -> np.ndarray:
-    """Terms that occur in a pair whose label count strays from what its two terms add up to.
+def _in_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seen: np.ndarray, hits: np.ndarray, chi2: float, least: int = 8, block: int = 1 << 22) -> np.ndarray:
+    """Terms that occur in a pair whose label count strays from what its two terms add up to, among all pairs that ``least`` texts
+    share (terms in fewer texts form none).
 
-    Every pair that ``least`` texts share is looked at: terms in fewer texts cannot form one.  Pairs are counted as they occur,
-    for one range of first terms at a time, so that about ``blocks`` of them are held at once."""
+    For a pair that ``both`` texts hold, ``t`` of them toxic, with ``e`` expected: it strays if (t - both e)^2 > chi2 both e (1 - e).
+    Too many toxic ones take t > chi2 e / (1 - e), so only pairs of toxic texts are counted for that.  Too few take both >
+    chi2 (1 - e) / e, so that either a term is often toxic by itself or both are frequent."""
     n = len(y)
     often = np.flatnonzero(seen >= least)
     if not n or len(often) < 2 or not 0 < y.mean() < 1:
         return often[:0]
+    m, rate, own = len(often), y.mean(), hits[often] / seen[often]
     column = np.full(len(seen), -1)
-    column[often] = np.arange(len(often))
+    column[often] = np.arange(m)
     here = column[term] >= 0
     d, t = doc[here], column[term[here]]  # sorted by text, then term
-    end = np.searchsorted(d, d, "right")
-    after = end - np.arange(len(d)) - 1  # partners of each entry: the terms that follow in its text
-    rate, own = y.mean(), hits[often] / seen[often]
-    by_first = np.argsort(t, kind="stable")
-    load = np.cumsum(after[by_first])
-    found, at = np.zeros(len(often), bool), 0
-    while at < len(by_first):
-        stop = int(np.searchsorted(load, (load[at - 1] if at else 0) + blocks, "right"))
-        stop = max(stop, at + 1)
-        stop = int(np.searchsorted(t[by_first], t[by_first[stop - 1]], "right"))  # all texts of a first term together
-        rows = by_first[at:stop]
-        second = np.repeat(rows + 1, after[rows]) + np.arange(int(after[rows].sum())) - np.repeat(np.cumsum(after[rows]) - after[rows], after[rows])
-        pair = np.repeat(t[rows], after[rows]).astype(np.int64) * len(often) + t[second]
-        label = y[d[second]]
-        pair, which = np.unique(pair, return_inverse=True)
-        both, toxic = np.bincount(which, minlength=len(pair)), np.bincount(which, label, len(pair))
-        a, b = pair // len(often), pair % len(often)
-        expect = np.clip(own[a] + own[b] - rate, 0.02, 0.98)
-        strays = (both >= least) & ((toxic - both * expect) ** 2 > chi2 * both * expect * (1 - expect))
-        found[a[strays]] = found[b[strays]] = True
-        at = stop
+    begin, by_term = np.searchsorted(d, np.arange(n + 1)), np.argsort(t, kind="stable")
+    post = np.searchsorted(t[by_term], np.arange(m + 1))
+    found, asked = np.zeros(m, bool), own > 2 * rate
+
+    def expected(a, b):
+        return np.clip(own[a] + own[b] - rate, 0.02, 0.98)
+
+    # pairs of toxic texts, for a range of first terms at a time
+    td, tt = d[y[d] > 0], t[y[d] > 0]
+    after = np.searchsorted(td, td, "right") - np.arange(len(td)) - 1  # the terms that follow in the text
+    first = np.argsort(tt, kind="stable")
+    width = max(1, block // m)
+    for low in range(0, m, width):
+        rows = first[np.searchsorted(tt[first], low) : np.searchsorted(tt[first], low + width)]
+        second = np.repeat(rows + 1 - np.cumsum(after[rows]) + after[rows], after[rows]) + np.arange(int(after[rows].sum()))
+        toxic = np.bincount(np.repeat((tt[rows] - low) * m, after[rows]) + tt[second], minlength=1)
+        pair = np.flatnonzero(toxic > 1)
+        a, b = pair // m + low, pair % m
+        e = expected(a, b)
+        asked[a[toxic[pair] > chi2 * e / (1 - e)]] = True
+
+    for a in np.flatnonzero(asked):  # all pairs of one term
+        texts = d[by_term[post[a] : post[a + 1]]]
+        size = begin[texts + 1] - begin[texts]
+        at = np.repeat(begin[texts] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        both, toxic = np.bincount(t[at], minlength=m), np.bincount(t[at], np.repeat(y[texts], size), m)
+        strays = _strays(both, toxic, expected(a, np.arange(m)), chi2, least, np.arange(m) != a)
+        found |= strays
+        found[a] |= strays.any()
+
+    top = min(0.98, max(3 * rate, 0.02))  # what two terms that are not often toxic add up to at most
+    frequent = np.flatnonzero(~asked & (seen[often] > chi2 * (1 - top) / top))
+    x = np.zeros((n, len(frequent)), np.float32)
+    at = np.full(m, -1)
+    at[frequent] = np.arange(len(frequent))
+    x[d[at[t] >= 0], at[t[at[t] >= 0]]] = 1
+    for low in range(0, len(frequent), 1024):
+        some = x[:, low : low + 1024]
+        both, toxic = some.T @ x, some[y > 0].T @ x[y > 0]
+        e = expected(frequent[low : low + 1024][:, None], frequent[None])
+        strays = _strays(both, toxic, e, chi2, least, frequent[low : low + 1024][:, None] != frequent[None])
+        found[frequent[strays.any(0)]] = True
     return often[found]
 
 
+def _strays(both, toxic, e, chi2: float, least: int, other) -> np.ndarray:
+    return other & (both >= least) & ((toxic - both * e) ** 2 > chi2 * both * e * (1 - e))
+
+
 class FactorizationMachine:
     def __init__(self, factors: int = 4, seed: int = 11):
         g = np.random.default_rng(seed)
