@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .base import NULL_ID, materialise, size_of
 
 BLOCK = 16
-MOST_BLOCKS = 1 << 22
+MOST_SLOTS = 1 << 22
 BROADCAST_SLOTS = 1 << 16  # a longer slot table is joined by exchange
 
 
@@ -41,7 +41,7 @@ def exact_quotas(weights: Mapping[str, float]) -> dict[str, int]:
     live = {s: fraction(w) for s, w in weights.items() if w > 0}
     total = sum(live.values())
     share = {s: w / total for s, w in live.items()}
-    period = lcm(*[x.denominator for x in share.values()])
+    period = lcm(*[x.denominator for x in share.values()]) if share else 0
     return {s: int(x * period) for s, x in share.items()}
 
 
@@ -102,6 +102,14 @@ def _within(slots: Iterator[str], left: Mapping[str, int]) -> Iterator[str]:
         yield s
 
 
+def block_size(documents: Mapping[str, int], weights: Mapping[str, float], block: int = BLOCK) -> int:
+    """``block``, doubled while neither the period of the weights nor the mix itself fits a table of ``MOST_SLOTS``."""
+    period = sum(exact_quotas({s: w for s, w in weights.items() if s in documents}).values())
+    while min(period, sum(-(-n // block) for n in documents.values())) > MOST_SLOTS:
+        block *= 2
+    return block
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """``docs`` with ``mix_block`` (number of the document's block within its source), ``mix_slot`` (the block's place in
     the mix, from 0) and ``mix_place`` (the document's place within its block); columns of these names that ``docs`` has
@@ -112,9 +120,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     the hash of all columns, so that repeated rows are placed one after the other; texts are not looked at but for that.
     An empty table gives none.
 
-    The driver holds one number per source and the slots of one period per phase: with weights that have no small common
-    denominator, one slot a block.  So that this stays bounded, ``block`` is doubled until the mix has ``MOST_BLOCKS`` blocks
-    at most.  Numbers within a source come from counts per hash range, never from one task per source.
+    The driver holds one number per source and the slots of one period per phase, or of the phase where that is shorter.  The
+    size of the input does not matter to that: only where the weights have no common denominator up to ``MOST_SLOTS``, and
+    the mix has more blocks than that, is ``block`` doubled until it has not.  Numbers within a source come from counts per
+    hash range, never from one task per source.
     """
     cols = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_place")]
     target = {("\x00null" if k is None else k): v for k, v in weights.items()} if weights is not None else None
@@ -127,12 +136,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     marked = docs.select(F.struct(*[F.col(_quoted(c)) for c in cols]).alias("row"), F.coalesce(F.col(source).cast("string"), F.lit("\x00null")).alias("s"), h.alias("h"), F.xxhash64(*told).alias("t"), F.col(key).alias("id"))
     marked = marked.withColumn("r", F.pmod(F.shiftrightunsigned("h", 20), F.lit(ranges_n)).cast("int"))
     counts = materialise(marked.groupBy("s", "r").agg(F.count("*").alias("n")))
-    before = counts.select("s", "r", (F.sum("n").over(Window.partitionBy("s").orderBy("r")) - F.col("n")).alias("before"))  # one row a range
+    before = counts.select("s", "r", "n", (F.sum("n").over(Window.partitionBy("s").orderBy("r")) - F.col("n")).alias("before"))  # one row a range
     totals = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # one row a source
     if target is None:
         target = dict.fromkeys(totals, 1.0)
-    while sum(-(-n // block) for n in totals.values()) > max(MOST_BLOCKS, len(totals)):
-        block *= 2
+    block = block_size(totals, target, block)
     plan = phases({s: -(-n // block) for s, n in totals.items()}, target)
     names: list = []
     numbers: list = [[] for _ in range(5)]
@@ -151,12 +159,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     spark = docs.sparkSession
     sent = lambda df, n: F.broadcast(df) if n <= BROADCAST_SLOTS else df
     table = sent(spark.createDataFrame(pa.table([pa.array(names, pa.string()), *[pa.array(c, pa.int64()) for c in numbers]], names=["s", "q", "k", "first", "slot", "len"])), len(names))
-    # a phase ends a source, and a span is a source with a slot in a phase: there are fewer than blocks
-    spans = sent(spark.createDataFrame(pa.table([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(zip(*spans) if spans else [()] * 4)], names=["s", "q", "first", "end"])), len(spans))
+    # a span is a source in a phase; each range of a source is given the spans that its blocks touch, so that documents meet
+    # their spans where they are numbered, by source and range
+    spans = spark.createDataFrame(pa.table([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(zip(*spans) if spans else [()] * 4)], names=["s", "q", "first", "end"]))
+    touched = (F.col("end") * block > F.col("before")) & (F.col("first") * block < F.col("before") + F.col("n"))
+    before = before.join(spans, "s").where(touched).drop("n")  # sources, ranges and phases: no documents
     order = Window.partitionBy("s", "r").orderBy("h", "id", "t")
     placed = marked.withColumn("i", F.row_number().over(order) - 1).join(before, ["s", "r"]).withColumn("i", F.col("i") + F.col("before"))
     placed = placed.withColumn("b", F.floor(F.col("i") / block).cast("long")).withColumn("place", (F.col("i") % block).cast("int"))
-    placed = placed.join(spans, "s").where("b >= first and b < end").withColumn("k", F.pmod(F.col("b") - F.col("first"), F.col("q")))
+    placed = placed.where("b >= first and b < end").withColumn("k", F.pmod(F.col("b") - F.col("first"), F.col("q")))
     placed = placed.join(table, ["s", "q", "first", "k"])
     slot = (F.col("slot") + F.floor((F.col("b") - F.col("first")) / F.col("q")) * F.col("len")).cast("long")
     return placed.select("row.*", F.col("b").alias("mix_block"), slot.alias("mix_slot"), F.col("place").alias("mix_place"))

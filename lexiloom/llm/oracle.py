@@ -10,13 +10,26 @@ _QUERY = "regexp_extract({u}, '(?s)^.*?://[^/?#]*[^?#]*(\\??[^#]*)', 1)"
 _NODE = f"({_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || {_QUERY})"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
+_ATTRIBUTE = "regexp_replace(regexp_extract({t}, '(?is)\\b{n}\\s*=\\s*[\"'']?\\s*([^\"''\\s>]+)', 1), '&(?:amp|#38|#x26);', '&', 'g')"
+
+
+def _resolved(base: str, link: str) -> str:
+    folder = f"regexp_extract(CASE WHEN {_PATH.format(u=base)} = '' THEN '/' ELSE {_PATH.format(u=base)} END, '(?s)^(.*/)', 1)"
+    bare, rest = f"regexp_extract({link}, '(?s)^([^?#]*)', 1)", f"regexp_extract({link}, '(?s)^[^?#]*(.*)$', 1)"
+    origin = f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)"
+    parts = f"string_split(substr(CASE WHEN starts_with({bare}, '/') THEN {bare} ELSE {folder} || {bare} END, 2), '/')"
+    walked = f"list_reduce(list_prepend('', {parts}), lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END) || CASE WHEN {parts}[-1] IN ('.', '..') THEN '/' ELSE '' END"
+    return f"CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link} WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with({link}, '//') THEN 'http:' || {link} WHEN {bare} = '' THEN {origin} || {_PATH.format(u=base)} || {rest} ELSE {origin} || {walked} || {rest} END"
+
+
 OP2 = f"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES {_RULES}),
 parts AS (SELECT page_id, url, html, coalesce({_HOST.format(u="url")}, '') AS host, coalesce({_PATH.format(u="url")}, '') AS path FROM pages),
-tags AS (SELECT url, host, unnest(list_filter(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\\brel\\s*=\\s*["'']?\\s*canonical\\b|http-equiv\\s*=\\s*["'']?\\s*refresh\\b'))) AS t FROM parts WHERE contains(url, '://')),
-hrefs AS (SELECT url, host, CASE WHEN regexp_matches(t, '(?i)http-equiv') THEN regexp_extract(t, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) ELSE regexp_extract(t, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) END AS r FROM tags),
-links AS (SELECT url AS a, CASE WHEN contains(r, '://') THEN r WHEN starts_with(r, '//') THEN 'http:' || r WHEN starts_with(r, '/') THEN 'http://' || host || r END AS b FROM hrefs WHERE r <> ''),
-nodes AS (SELECT {_NODE.format(u="a")} AS a, {_NODE.format(u="b")} AS b FROM links WHERE b IS NOT NULL),
+tags AS (SELECT url, {_ATTRIBUTE.format(t="regexp_extract(html, '(?is)<base\\b[^>]*>')", n="href")} AS base, unnest(list_filter(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\\brel\\s*=\\s*["'']?\\s*canonical\\b|http-equiv\\s*=\\s*["'']?\\s*refresh\\b'))) AS t FROM parts WHERE contains(url, '://')),
+hrefs AS (SELECT url, base, CASE WHEN regexp_matches(t, '(?i)http-equiv') THEN {_ATTRIBUTE.format(t="t", n="url")} ELSE {_ATTRIBUTE.format(t="t", n="href")} END AS r FROM tags),
+based AS (SELECT url, r, CASE WHEN base = '' THEN url ELSE coalesce({_resolved("url", "base")}, url) END AS base FROM hrefs WHERE r <> ''),
+links AS (SELECT url AS a, {_resolved("base", "r")} AS b FROM based),
+nodes AS (SELECT {_NODE.format(u="a")} AS a, {_NODE.format(u="b")} AS b FROM links WHERE contains(b, '://')),
 edges AS (SELECT a, b FROM nodes WHERE a <> b UNION SELECT b, a FROM nodes WHERE a <> b),
 reach(a, b) AS (SELECT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 told AS (SELECT n, v FROM (SELECT n, v, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC, v) AS k FROM (SELECT DISTINCT a AS n FROM edges) JOIN rules ON (split_part(n, '/', 1) = h OR ends_with(split_part(n, '/', 1), '.' || h)) AND starts_with(substr(split_part(n, '?', 1), length(split_part(n, '/', 1)) + 1), p)) WHERE k = 1),

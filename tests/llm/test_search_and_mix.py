@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.llm import ann, decontaminate, mixing, url_filters
@@ -299,7 +300,7 @@ def test_mix_columns_that_clash_and_bounded_slots(spark, monkeypatch):
     assert out.columns == ["doc_id", "source", *[c for c in names if not c.startswith("mix")], "mix_block", "mix_slot", "mix_place"]
     got = out.toPandas()
     assert all((got[c] == c + got.doc_id.astype(str)).all() for c in ("s", "row", "k", "a.b")) and got.mix_slot.nunique() == 50
-    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 10)
     few = mixing.mix_sources(df, {"a": 0.30000000000000007, "b": 0.7}, block=4).toPandas()
     assert few.mix_slot.max() < 10 and len(few) == 200 and not few.duplicated(["mix_slot", "mix_place"]).any()
 
@@ -333,3 +334,67 @@ def test_mix_places_every_row_once(spark):
     head = out[out.mix_slot < 40].drop_duplicates("mix_slot")
     assert abs((head.source == "b").sum() - 12) <= 1
     assert mixing.mix_sources(df.where("false"), {"a": 1.0}).count() == 0
+
+
+def test_blocks_stay_small_however_large_the_mix(spark):
+    """The production weights have a period of 76 slots: 2 x 10^10 documents are mixed in blocks of 16."""
+    names = [f"src{i}" for i in range(20)]
+    w = mixing.targets(names)
+    totals = {s: 10**9 + 1000 * i for i, s in enumerate(names)}
+    assert mixing.block_size(totals, w) == 16 and mixing.block_size(totals, {s: 0.1 + i * 2.0**-50 for i, s in enumerate(names)}) > 16
+    blocks = {s: -(-n // 16) for s, n in totals.items()}
+    plan = mixing.phases(blocks, w)
+    assert max(len(slots) for _, _, slots, _ in plan) <= 76 and sum(n for *_, n in plan) == sum(blocks.values())
+    at, first, slots, n = plan[0]
+    assert slots.count("src0") == 19 and n // 76 == min(blocks["src0"] // 19, blocks["src1"] // 3)
+
+
+def test_a_hot_source_is_numbered_in_many_tasks(spark):
+    """Spans meet the ranges of a source, not its documents: no exchange by source alone."""
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"s{i % 30}") for i in range(3000)], "doc_id long, source string")
+    out = mixing.mix_sources(df, None, block=4)
+    rows = out.collect()
+    assert len({(r["mix_slot"], r["mix_place"]) for r in rows}) == 3000 and len({r["doc_id"] for r in rows}) == 3000
+    assert {r["mix_slot"] for r in rows} == set(range(1 + max(r["mix_slot"] for r in rows)))
+
+
+def test_aliases_do_not_depend_on_spelling(spark):
+    """A rule for ``org/`` allows the node of a bare host, whichever way the redirects spell it."""
+    pages = spark.createDataFrame([(1, "http://other.net/a", None), (2, "http://site.org", None), (3, "http://site.org/", None), (4, "http://lone.net/b", None)], "page_id long, url string, html string")
+    for one, two in (("http://site.org", "http://site.org/"), ("http://site.org/", "http://site.org"), ("http://site.org", "https://SITE.org#x"), ("http://site.org/", "http://site.org/")):
+        moved = spark.createDataFrame([(one, "http://bad.com/de/x"), ("http://other.net/a", two)], "a string, b string")
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.filter_urls(pages, redirects=moved).collect()}
+        assert got == {1: (None, "allow"), 2: (None, "allow"), 3: ("org/", "allow"), 4: (None, "allow")}
+    without = spark.createDataFrame([("http://site.net", "http://bad.com/de/x"), ("http://other.net/a", "http://site.net/")], "a string, b string")
+    assert {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(pages, redirects=without).collect()}[1] == "block"
+
+
+def test_links_are_resolved_as_in_sql(spark):
+    """Relative links, folders, bases, entities, other schemes: against the SQL, with expected targets of their own."""
+    from urllib.parse import urljoin
+
+    import pandas as pd
+
+    duckdb = pytest.importorskip("duckdb")
+    from lexiloom.llm.oracle import ORACLE_SQL
+
+    base = "http://a.net/d/e/page.html?x=1"
+    links = ["b.html", "../b.html", "../../../b", "./", "..", "/r/./s/../t", "//h.net/z", "?q=2", "#f", "http://bad.com/de/k", "g/?u=http://h.net", "/go?to=http://h.net/", "c/../../f.html", "mailto:x@y.z", "b&amp;c.html"]
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate(links)], "i int, x string").select("i", url_filters.resolved(F.lit(base), F.col("x")).alias("r"))
+    for r in asked.collect():
+        want = urljoin(base, links[r["i"]])
+        if links[r["i"]].startswith("#"):
+            want = "http://a.net/d/e/page.html#f"
+        assert r["r"] == (None if want.startswith("mailto") else want), links[r["i"]]
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    pages = [(0, "http://bad.com/de/x.html", None), (1, "http://bad.com/de/y/z.html", canonical.format("../x.html")), (2, "http://n.net/1", canonical.format("2")), (3, "http://n.net/2", refresh.format("http://bad.com/de/x.html?a=1&amp;b=2")), (4, "http://n.net/3", refresh.format("http://bad.com/de/x.html?a=1&b=2"))]
+    pages += [(5, "http://n.net/c/5", '<base href="/b/">' + canonical.format("6")), (6, "http://n.net/b/6", refresh.format("http://bad.com/de/w")), (7, "http://n.net/b/7", canonical.format("mailto:a@b.c")), (8, "http://n.net", canonical.format("b/6")), (9, None, canonical.format("b")), (10, "http://ok.org/p", canonical.format("http://n.net/9")), (11, "http://n.net/9", canonical.format("/b/../8#t")), (12, "http://n.net/8", refresh.format("http://bad.com/de/v"))]
+    frame = pd.DataFrame(pages, columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", frame)
+    answer = con.execute(ORACLE_SQL["op2_url_filters"])
+    at = [c[0] for c in answer.description]
+    want = {r[at.index("page_id")]: tuple(r[at.index(c)] for c in ("host", "path", "rule", "verdict")) for r in answer.fetchall()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert [got[i][3] for i in (2, 3, 4, 5, 6, 7, 8, 10, 11, 12)] == ["block", "block", "block", "block", "block", "allow", "block", "allow", "allow", "allow"]
