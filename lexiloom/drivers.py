@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .checks import number, safe_rate
 from .functions.text import age_months, tokens
 from .operators import annotation, audit, columns, design, language_model, learning, lines, norms, packages, retrieval, stats
+from .operators.detectability import detectability_summary, told_apart
 from .operators.evaluation import slice_report, text_metrics
 from .operators.joins import prefer, suffix_join
 from .sources import chat, clan, sinks
@@ -275,9 +276,10 @@ def text_evaluation(spark, synthetic: str, real: str, out: str, years: int = 4)
     """Metrics of every generated and real story, the report by slice, and how well the two can be told apart."""
     s, r = _told(spark, synthetic), _told(spark, real, None, years)
     got, base = text_metrics(r, s, ["grp", "story_id"], "id", "text", "tokens")
-    both = r.select("id", "text", F.lit(0).alias("y")).unionByName(s.select("id", "text", F.lit(1).alias("y"))).withColumn("grams", retrieval.word_char_ngrams(F.col("text")))
-    folds = learning.detectability(both, "id", "grams", "y")
-    _write(out, synthetic=got, real=base, report=slice_report(got, base), detectability=folds)
+    both = r.select("id", "grp", "story_id", "text", F.lit(0).alias("y")).unionByName(s.select("id", "grp", "story_id", "text", F.lit(1).alias("y"))).withColumn("grams", retrieval.word_char_ngrams(F.col("text")))
+    p = told_apart(both, "id", "grams", "y", strata=["grp", "story_id"])
+    tables = {} if p is None else {"detectability_predictions": p}
+    _write(out, synthetic=got, real=base, report=slice_report(got, base), detectability=detectability_summary(p, "y", spark), **tables)
 
 
 def _bundles(spark, root: str, grp: str, years: int | None, names: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Learned operators: principal components, feature screening, detectability, outlier forests, user models."""
+"""Learned operators: principal components, feature screening, outlier forests, user models."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..checks import number, safe_corr
-from .stats import mann_whitney
 
 
 def pca(df: DataFrame, key: str, columns: list[str], k: int) -> tuple[DataFrame, DataFrame]:
@@ -77,35 +76,6 @@ def screen_features(df: DataFrame, columns: list[str], missing: float = 0.2, lim
     return kept
 
 
-def detectability(df: DataFrame, key: str, grams: str, label: str, folds: int = 5, dims: int = 1 << 14) -> DataFrame:
-    """(fold, auc, accuracy) of a balanced logistic regression on hashed character n-grams (1 + ln of their count, idf-weighted),
-    stratified by label."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    d = df.select(F.col(key).alias("k"), F.col(grams).alias("g"), F.col(label).cast("double").alias("y"))
-    d = d.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("y", F.pmod(F.xxhash64("k"), F.lit(64))).orderBy(F.xxhash64("k"))) + F.pmod(F.xxhash64("k"), F.lit(64)), F.lit(folds)).cast("int"))
-    d = HashingTF(inputCol="g", outputCol="tf", numFeatures=dims).transform(d)
-    sublinear = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
-    d = d.select("k", "y", "fold", sublinear("tf").alias("tf")).cache()
-    out = None
-    for f in range(folds):
-        train, test = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
-        idf = IDF(inputCol="tf", outputCol="w", minDocFreq=2).fit(train)
-        norm = Normalizer(inputCol="w", outputCol="x")
-        share = train.agg(F.avg("y")).first()[0]
-        ready = norm.transform(idf.transform(train)).withColumn("weight", balanced_weight(F.col("y"), min(max(share or 0.0, 1e-9), 1 - 1e-9)))
-        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1e-3, maxIter=100).fit(ready)
-        p = model.transform(norm.transform(idf.transform(test))).select("y", vector_to_array("probability")[1].alias("p"), F.lit(f).alias("fold"))
-        got = mann_whitney(p, "p", F.col("y") == 1, ["fold"]).select("fold", "auc").join(p.groupBy("fold").agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("accuracy")), "fold")
-        out = got if out is None else out.union(got)
-    result = df.sparkSession.createDataFrame(out.collect(), out.schema)  # one row a fold
-    d.unpersist()
-    return result
-
-
 def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 64, sample: int = 256, pool: int = 4096, seed: int = 0) -> DataFrame:
     """(key, score): outlier score of an isolation forest on standardised columns, gaps at the median.  Each tree grows on
     ``sample`` rows of a ``pool`` that a hash of the key draws from all rows (a forest is defined on such samples); every row
@@ -189,7 +159,3 @@ def centroid_distance(df: DataFrame, group: str, target: str, columns: list[str]
     means = df.groupBy(group).agg(*[F.avg(number(c)).alias(c) for c in columns]).unpivot([group], columns, "feature", "m")
     to = means.where(F.col(group) == target).select("feature", F.col("m").alias("t"))
     return means.join(F.broadcast(to), "feature").groupBy(group).agg(F.sqrt(F.sum((F.col("m") - F.col("t")) ** 2)).alias("distance"))  # one row a feature
-
-
-def balanced_weight(label: Column, share: float) -> Column:
-    return F.when(label == 1, 0.5 / share).otherwise(0.5 / (1 - share))

@@ -12,7 +12,9 @@ from ..operators import language_model as LM
 from ..operators import lines as L
 from ..operators import retrieval as R
 from ..operators.evaluation import additive_perplexity, slice_report, text_metrics, words_and_pairs
-from ..operators.learning import centroid_distance, detectability
+from ..operators import detectability as X
+from ..operators.detectability import detectability
+from ..operators.learning import centroid_distance
 from ..operators.quotes import utterances as quote_lines
 from ..operators.stats import describe, slice_summary
 from ..sources import chat
@@ -428,10 +430,39 @@ def near_duplicate_greedy(spark, d):
     return R.greedy_distinct(t(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.3)
 
 
+_FOLDS = "l AS (SELECT doc_id, quality, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents JOIN labels USING (doc_id)), o AS (SELECT *, (strpos('0123456789abcdef', h[1]) - 1) * 16 + strpos('0123456789abcdef', h[2]) - 1 AS part FROM l), f AS (SELECT doc_id, CAST((row_number() OVER (PARTITION BY quality, part ORDER BY h) + part) % 5 AS INTEGER) AS fold FROM o)"
+_CHAR_GRAMS = "w AS (SELECT doc_id, fold, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM documents JOIN f USING (doc_id)), g AS (SELECT DISTINCT doc_id, fold, unnest(CASE WHEN length(w) >= n THEN list_transform(range(1, CAST(length(w) - n + 2 AS BIGINT)), lambda i: substr(w, i, n)) ELSE [] END) AS term FROM w, (VALUES (3), (4), (5)) k(n))"
+
+
+@query(f"""WITH {_FOLDS}, {_CHAR_GRAMS}, n AS (SELECT fold, count(*) AS held, sum(count(*)) OVER () - count(*) AS n FROM f GROUP BY 1), c AS (SELECT term, fold, count(*) AS d FROM g GROUP BY 1, 2), a AS (SELECT term, sum(d) AS d FROM c GROUP BY 1),
+v AS (SELECT n.fold, n.n, a.term, a.d - coalesce(c.d, 0) AS df FROM a CROSS JOIN n LEFT JOIN c ON c.term = a.term AND c.fold = n.fold)
+SELECT fold, length(term) AS size, CAST(df AS BIGINT) AS df, round(ln((1 + n) / (1 + df)) + 1, 9) AS idf, CAST(count(*) AS BIGINT) AS terms FROM v WHERE df >= 2 GROUP BY 1, 2, 3, 4""")
+def detectability_vocabulary(spark, d):
+    """The vocabulary of each fold, by length of term and document frequency."""
+    rows = X.stratified_folds(_gram_rows(spark, d), "doc_id", ["quality"], 5)
+    sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}  # a row a fold
+    if not sizes:
+        return spark.createDataFrame([], "fold int, size long, df long, idf double, terms long")
+    index = X.gram_index(X.gram_counts(rows, "doc_id", "grams"), sizes)
+    per = F.inline(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"df{f}").alias("df"), F.round(f"idf{f}", 9).alias("idf")) for f in sorted(sizes)]))
+    return index.select(F.length("term").cast("long").alias("size"), per).where("idf IS NOT NULL").groupBy("fold", "size", "df", "idf").agg(F.count("*").alias("terms"))
+
+
+def _gram_rows(spark, d):
+    return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").withColumn("grams", R.word_char_ngrams(F.col("text")))
+
+
+@query()
+def detectability_report(spark, d):
+    """All texts judged by models of the other folds, in one row."""
+    p = X.told_apart(_gram_rows(spark, d), "doc_id", "grams", "quality")
+    r = X.detectability_summary(p, "quality", spark)
+    return r.select("ran", "n_rows", "n_splits", *[F.round(c, 3).alias(c) for c in r.columns[3:]])
+
+
 @query()
 def detectability_auc(spark, d):
-    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").withColumn("grams", R.word_char_ngrams(F.col("text")))
-    out = detectability(x, "doc_id", "grams", "quality")
+    out = detectability(_gram_rows(spark, d), "doc_id", "grams", "quality")
     return out.select("fold", F.round("auc", 3).alias("auc"), F.round("accuracy", 3).alias("accuracy"))
 
 
