@@ -5,8 +5,8 @@ vocabulary; an end id closes each text.  The model embeds ids, attends causally
 distance, and predicts the next id as two digits (row, then column given the row).
 
 Everything it learns comes from all training texts.  One pass over them counts the id bigrams, from which the output layer
-starts, and draws a share of the windows of every text (``SHARE``; all of them in a small corpus).  The windows, which
-grow with the corpus, are dealt at random to shards of bounded size; the attention part is trained in numpy on all
+starts, and lays out every window of every text.  The windows, which grow with the corpus, are dealt by a hash of id and
+place to shards of bounded size; the attention part is trained in numpy on all
 shards at once, in rounds, after each of which the shards' weights are averaged.
 
 To score, windows of ``CONTEXT + STRIDE`` slots overlap by ``CONTEXT``: each id is scored once, with the ids of its
@@ -37,8 +37,7 @@ END = VOCAB - 1
 CONTEXT, STRIDE = 8, 16
 HEADS = 2
 SLOTS = CONTEXT + STRIDE
-SHARE, LEAST = 1 / 32, 1 << 18  # the share of all windows to train on, and about how many there are to be at least
-SHARD, ROUNDS, BATCH, STEPS = 1 << 20, 4, 320, 1000  # windows of a shard; a shard has one epoch, or STEPS if that is more (four epochs at most)
+SHARD, ROUNDS, BATCH = 1 << 17, 4, 32  # windows of a shard; each window is trained on once, in one of the rounds
 
 
 class Subwords:
@@ -272,7 +271,7 @@ class CausalModel:
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         order, at = g.permutation(len(windows)), 0
         for t in range(1, steps + 1):
-            if at + batch > len(windows):
+            if at >= len(windows):
                 order, at = g.permutation(len(windows)), 0
             w = windows[order[at : at + batch]]
             at += batch
@@ -355,18 +354,20 @@ def _learned(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(kind, pa.int32()), pa.array(nth, pa.int32()), pa.array(weight, pa.float64()), pa.array(load, pa.binary())], ["g", "kind", "round", "weight", "load"])
 
 
-def gather(train: DataFrame, ranks: dict, share: float, shards: int, text: str = "text") -> DataFrame:
-    """One pass over all texts: id bigram counts of each task by slices of the previous id, and the drawn windows by shard
-    and round.  A window is drawn by a hash of its place, so that copies and repeated ids are drawn like other texts."""
+def gather(train: DataFrame, ranks: dict, share: float, shards: int, text: str = "text", key: str | None = None) -> DataFrame:
+    """One pass over all texts: id bigram counts of each task by slices of the previous id, and the windows (or a ``share`` of
+    them) by shard and round.  A window goes by a hash of its document's id, its place and its ids, however rows and files lie."""
+    g = np.random.default_rng(99)
+    weigh = g.integers(1, 1 << 62, SLOTS + 3, dtype=np.uint64) | U64(1)
     shared = train.sparkSession.sparkContext.broadcast(ranks)  # PIECES entries
 
     def run(batches):
         code, words = Subwords(shared.value), Words(SPACE, limit=1 << 18)
         total = np.zeros(VOCAB * VOCAB, np.int64)
-        nth = 0
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 data, offs = text_bytes(b.column(0).slice(i, 4096))
+                owner = mix(b.column(1).slice(i, 4096).to_numpy().astype(np.int64).view(U64) + U64(1))
                 _, _, ids, at = texts_as_ids(data, offs, code, words)
                 prev = np.empty(len(ids), np.int64)
                 prev[1:] = ids[:-1]
@@ -375,20 +376,21 @@ def gather(train: DataFrame, ranks: dict, share: float, shards: int, text: str =
                 prev += ids
                 total += np.bincount(prev, minlength=VOCAB * VOCAB)
                 lay = Layout(ids, at)
-                name = mix(U64(block_id(nth) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) + mix(np.arange(1, len(lay.doc) + 1, dtype=U64)))
-                nth += 1
+                every = lay.pack(np.arange(len(lay.doc)))
+                name = mix(owner[lay.doc] + mix(lay.nth.astype(U64)) + (every.astype(U64) * weigh).sum(1, dtype=U64))
                 drawn = np.flatnonzero((name >> U64(11)).astype(np.float64) < share * (1 << 53))
                 to = name[drawn] & U64(0x7FF)
                 shard, turn = mix(name[drawn]) % U64(shards), to % U64(ROUNDS)
                 order = np.lexsort((turn, shard))
                 s, size = runs((shard * U64(ROUNDS) + turn)[order])
-                rows = lay.pack(drawn[order])
+                rows = every[drawn[order]]
                 yield _learned([(int(shard[order[a]]), _WINDOWS, int(turn[order[a]]), float(n), rows[a : a + n].tobytes()) for a, n in zip(s, size)])
         used = np.flatnonzero(total)
         cut = np.searchsorted(used, np.arange(SLICES + 1) * (VOCAB * VOCAB // SLICES))
         yield _learned([(g, _PAIRS, 0, 0.0, pack(used[a:b].astype(np.uint32), narrow(total[used[a:b]]))) for g, (a, b) in enumerate(zip(cut, cut[1:])) if b > a])
 
-    return materialise(train.select(text).mapInArrow(run, _LEARN))
+    owner = F.lit(0).cast("long") if key is None else F.xxhash64(key)
+    return materialise(train.select(F.col(text).alias("t"), owner.alias("o")).mapInArrow(run, _LEARN))
 
 
 def bigram_counts(gathered: DataFrame) -> np.ndarray:
@@ -419,14 +421,16 @@ def train_round(model: CausalModel, gathered: DataFrame, nth: int) -> CausalMode
         by: dict = {}
         for g, load in rows_of(batches):
             by.setdefault(g, []).append(np.frombuffer(load, np.uint16).reshape(-1, SLOTS + 3))
+        total, seen = 0.0, 0
         for g in sorted(by):
             parts = by.pop(g)
-            windows = np.concatenate(sorted(parts, key=lambda x: x.tobytes()[:256]))
+            windows = np.ascontiguousarray(np.concatenate(parts))
+            windows = windows[np.argsort(windows.view(f"S{2 * (SLOTS + 3)}").ravel(), kind="stable")]  # in the order of their bytes
             net = shared.value.copy()
-            epoch = len(windows) / BATCH
-            net.fit(windows, int(np.ceil(max(epoch, min(STEPS / ROUNDS, 4 * epoch)))), seed=nth * 1000 + g, share=(nth, ROUNDS))
-            cut = np.array_split(net.weights(), SLICES)
-            yield _learned([(i, 0, 0, float(len(windows)), (x.astype(np.float64) * len(windows)).tobytes()) for i, x in enumerate(cut)])
+            net.fit(windows, -(-len(windows) // BATCH), seed=nth * 1000 + g, share=(nth, ROUNDS))
+            total, seen = total + net.weights().astype(np.float64) * len(windows), seen + len(windows)
+        if seen:  # the sum over the shards of a task
+            yield _learned([(i, 0, 0, float(seen), x.tobytes()) for i, x in enumerate(np.array_split(total, SLICES))])
 
     def mean(batches):
         sums: dict = {}
@@ -441,13 +445,12 @@ def train_round(model: CausalModel, gathered: DataFrame, nth: int) -> CausalMode
     return model.with_weights(np.concatenate([np.frombuffer(load, np.float32) for _, load in sorted((r[0], r[1]) for r in got)])) if got else model
 
 
-def fit_model(train: DataFrame, ranks: dict, text: str = "text", share: float = SHARE, least: int = LEAST, shard: int = SHARD) -> CausalModel:
-    """A model of all texts of ``train``; no row is left out, and of every text the same share of windows is drawn."""
-    texts = train.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    most = (texts.agg(F.sum(F.octet_length("t")), F.count("*")).first() or (0, 0))
-    windows = ((most[0] or 0) / 2 + most[1]) / STRIDE + 1  # about: two bytes an id
-    share = min(1.0, max(share, least / windows))
-    gathered = gather(texts, ranks, share, max(1, round(share * windows / shard)), "t")
+def fit_model(train: DataFrame, ranks: dict, text: str = "text", key: str | None = None, shard: int = SHARD) -> CausalModel:
+    """A model of all texts of ``train``: every window of every text is trained on once, whatever the size of the corpus."""
+    texts = train.select(F.coalesce(F.col(text), F.lit("")).alias("t"), *([F.col(key).alias("k")] if key else []))
+    size, rows = texts.agg(F.sum(F.octet_length("t")), F.count("*")).first()
+    windows = ((size or 0) / 2 + rows) / STRIDE + 1  # about: two bytes an id
+    gathered = gather(texts, ranks, 1.0, max(1, round(windows / shard)), "t", "k" if key else None)
     model = CausalModel().start_from(bigram_counts(gathered))
     for nth in range(ROUNDS):
         model = train_round(model, gathered, nth)
@@ -467,7 +470,8 @@ def _batch(rows: list) -> pa.RecordBatch:
 def score_texts(docs: DataFrame, model: CausalModel, ranks: dict, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``; ``held_out`` is a
     boolean column: its rows do not count as training text.  A null text is empty: its one token is the end.  Repeated rows
-    are scored each and counted each; other columns, whatever their names, are not looked at; an empty table gives none."""
+    are scored each and counted each; other columns, whatever their names, are not looked at; an empty table gives none.
+    Scores have four decimals, beyond which single precision says nothing."""
     buckets = buckets_for(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model, ranks))  # fixed size
 
@@ -484,7 +488,7 @@ def score_texts(docs: DataFrame, model: CausalModel, ranks: dict, held_out, key:
                 data, offs = text_bytes(b.column(2))
                 doc, h, ids, at = texts_as_ids(data, offs, code, words)
                 n = len(held)
-                rows = [(block % buckets, block, _TABLE, pack(longs(b.column(0)), held.astype(np.uint8), np.bincount(doc, minlength=n), score_ids(net, ids, at)))]
+                rows = [(block % buckets, block, _TABLE, pack(longs(b.column(0)), held.astype(np.uint8), np.bincount(doc, minlength=n), np.round(score_ids(net, ids, at), 4)))]
                 order = np.argsort(h, kind="stable")
                 h, doc = h[order], doc[order]
                 new = np.ones(len(h), bool)
@@ -582,5 +586,5 @@ def score_texts(docs: DataFrame, model: CausalModel, ranks: dict, held_out, key:
 def op1(spark, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ranks = load_pieces(tokenizer)
-    model = fit_model(docs.where(remainder("doc_id", 7) != 2), ranks)
+    model = fit_model(docs.where(remainder("doc_id", 7) != 2), ranks, key="doc_id")
     return score_texts(docs, model, ranks, remainder("doc_id", 7) == 2)
