@@ -15,6 +15,7 @@ from .operators.detectability import detectability_summary, told_apart
 from .operators.evaluation import slice_report, text_metrics
 from .operators.joins import prefer, suffix_join
 from .sources import chat, clan, sinks
+from .sources.files import write_files
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame:
@@ -52,26 +53,34 @@ EDITORS = {
 }
 
 
-def edit(spark, editor: str, root: str, out: str, dry_run: bool = False) -> None:
+#: These return every line at its place, some of them changed.
+IN_PLACE = {"normalize-initial-pauses", "normalize-quote-terminators", "promote-tiers", "add-gram-mark", "remove-code"}
+
+
+def edit(spark, editor: str, root: str, out: str, dry_run: bool = False) -> dict:
     """Runs a line editor over all transcripts: writes the changed files below ``out``, or with ``dry_run`` the number of lines
-    that would change by file."""
+    that would change by file.  Editors that work in place return how many lines the rewrite has read and changed, which is
+    counted as the files are written."""
     before = chat.lines_of(_files(spark, root))
-    after = EDITORS[editor](before)
+    in_place = editor in IN_PLACE
+    after = sinks.edited(before, EDITORS[editor]) if in_place else EDITORS[editor](before)
     if dry_run:
-        _write(out, changed=sinks.changed_counts(before, after))
-        return
+        _write(out, changed=sinks.changed_in_place(after) if in_place else sinks.changed_counts(before, after))
+        return {}
+    after, seen = sinks.watched(after) if in_place else (after, None)
     cells = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     text = after.groupBy("path").agg(F.concat(F.array_join(F.transform(cells, lambda c: c["line"]), "\n"), F.lit("\n")).alias("content"))
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath()
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + "".join("\\" + c if not c.isalnum() else c for c in base) + "/*", "")
-    sinks.write_files(text.select(F.concat(F.lit(out.rstrip("/") + "/"), relative).alias("path"), "content"))
+    write_files(text.select(F.concat(F.lit(out.rstrip("/") + "/"), relative).alias("path"), "content"))
+    return seen.get if seen else {}
 
 
 def route(spark, root: str, out: str, tier: str = "%mor:") -> None:
     """Copies the transcripts that have a tier, and those that lack it, to two folders."""
     for name, df in zip(("with", "without"), sinks.route_files(_files(spark, root), tier)):
-        sinks.write_files(df.select(F.concat(F.lit(f"{out}/{name}/"), chat.file_name("path")).alias("path"), "content"))
+        write_files(df.select(F.concat(F.lit(f"{out}/{name}/"), chat.file_name("path")).alias("path"), "content"))
 
 
 def narratives(spark, root: str, out: str) -> None:
@@ -99,7 +108,7 @@ def stories_to_transcripts(spark, table: str, out: str) -> None:
     ages = {g: c if c in rows.columns else "_none" for g, c in (("TD", "td_age"), ("SLI", "sli_age"))}
     made = sinks.stories_to_transcripts(rows, keys, {"TD": "stage1_td_story", "SLI": "stage2_sli_story"}, ages, "_none")
     manifest = sinks.transcript_manifest(made, out)
-    sinks.write_files(made.join(manifest.withColumnRenamed("group", "grp").select("bundle_id", "target_story", "grp", "output_path"), ["bundle_id", "target_story", "grp"]).select(F.col("output_path").alias("path"), "content"))
+    write_files(made.join(manifest.withColumnRenamed("group", "grp").select("bundle_id", "target_story", "grp", "output_path"), ["bundle_id", "target_story", "grp"]).select(F.col("output_path").alias("path"), "content"))
     _write(out, manifest=manifest)
 
 

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import lines as L
 from ..session import scratch
 from ..sources import chat, clan, sinks
+from ..sources.files import read_files, write_files
 from .text_queries import _TOK, _as_files, t
 
 QUERIES: dict = {}
@@ -30,11 +31,20 @@ def transcript_scan(spark, d):
     """Transcripts written as files in two folders, found again at any depth."""
     root = scratch(spark, "transcripts")
     files = _as_files(spark, d)
-    sinks.write_files(files.select(F.concat(F.lit(root), F.when(F.col("path").rlike(r"[02468]\.cha$"), "/TD/A").otherwise("/TD"), F.lit("/"), chat.file_name("path")).alias("path"), "content"))
+    write_files(files.select(F.concat(F.lit(root), F.when(F.col("path").rlike(r"[02468]\.cha$"), "/TD/A").otherwise("/TD"), F.lit("/"), chat.file_name("path")).alias("path"), "content"))
     lines = chat.lines_of(chat.read_transcripts(spark, root))
     return lines.groupBy(chat.file_name("path").alias("name")).agg(F.count("*").alias("lines"), F.count_if(F.col("line").startswith("*CHI:")).alias("child_lines"))
 
 
+@query("SELECT conv_id || '.cha' AS name, CAST(4 + 3 * count(*) + count(*) FILTER (turn % 3 = 0) AS BIGINT) AS lines FROM conversations WHERE conv_id % 10 = 7 GROUP BY conv_id")
+def files_round_trip(spark, d):
+    """Files written with a commit and read back, those with a certain end of their names only."""
+    root = scratch(spark, "files").removeprefix("file://")
+    write_files(_as_files(spark, d).select(F.concat(F.lit(f"{root}/"), chat.file_name("path")).alias("path"), "content"))
+    lines = chat.lines_of(read_files(spark, root, "*.cha").where(F.col("path").endswith("7.cha")))
+    return lines.groupBy(chat.file_name("path").alias("name")).agg(F.count("*").alias("lines"))
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
 def typed_csv(spark, d):
     path = scratch(spark, "csv")
@@ -98,7 +108,7 @@ def _workbook(spark, d):
 
 def _workbook_table(spark, d):
     path = scratch(spark, "workbook")
-    sinks.write_files(_workbook(spark, d).select(F.lit(f"{path}/k.xml").alias("path"), "content"))
+    write_files(_workbook(spark, d).select(F.lit(f"{path}/k.xml").alias("path"), "content"))
     return clan.with_header(clan.workbook_rows(spark, f"{path}/k.xml"))
 
 
@@ -125,7 +135,7 @@ def json_reference(spark, d):
     path = scratch(spark, "json")
     ref = F.struct(F.col("r_regionkey").alias("rank"), F.array(F.concat("r_name", F.lit("1")), F.concat("r_name", F.lit("2"))).alias("units"))
     one = t(spark, d, "region").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", ref.alias("v"))))).alias("content"))
-    sinks.write_files(one.select(F.lit(f"{path}/r.json").alias("path"), "content"))
+    write_files(one.select(F.lit(f"{path}/r.json").alias("path"), "content"))
     return clan.read_reference(spark, f"{path}/r.json", "struct<rank:int,units:array<string>>")
 
 
@@ -275,7 +285,7 @@ def dry_run_counts(spark, d):
     c = t(spark, d, "conversations").select(F.concat(F.lit("/TD/"), "conv_id", F.lit(".cha")).alias("path"), (F.row_number().over(_by("conv_id", "turn")) - 1).alias("nth"), "role", "turn")
     numbered = first.withColumn("nth", F.row_number().over(_by("path", "line_no")) - 1).join(c, ["path", "nth"])
     lines = numbered.select("path", "line_no", F.when((F.col("role") == "user") & (F.col("turn") % 4 == 0), F.regexp_replace("line", r"^\*CHI:\t", "*CHI:\t( .. ) ")).otherwise(F.col("line")).alias("line"))
-    return sinks.changed_counts(lines, L.normalise_pauses(lines))
+    return sinks.changed_in_place(sinks.edited(lines, L.normalise_pauses))
 
 
 def _by(key: str, order: str):

@@ -297,6 +297,13 @@ def tfidf_nn(spark, d):
     return R.tfidf_neighbours(w, w, "item_id").select("query_id", "nearest_id", F.round("nearest", 6).alias("nearest"), F.round("total", 6).alias("total"))
 
 
+@query()
+def rouge_l_nearest(spark, d):
+    """The nearest benchmark item of each by ROUGE-L, through bounds; how many pairs were bounded and compared."""
+    b = t(spark, d, "benchmark").select("item_id", T.tokens("text").alias("tokens"))
+    return R.nearest_rouge(b, b, "item_id", "tokens")
+
+
 @query()
 def rouge_l_nn(spark, d):
     b = t(spark, d, "benchmark").select("item_id", T.tokens("text").alias("tokens"))

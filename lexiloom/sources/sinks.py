@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -41,11 +41,33 @@ def transcript_text(df: DataFrame, header: list[str], utterances: str = "lines",
 
 
 def changed_counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What a rewrite would change, by file: lines that differ (the dry run of the line editors)."""
+    """What a rewrite would change, by file: lines that differ (the dry run of an editor that adds or drops lines)."""
     a, b = before.select("path", "line_no", F.col("line").alias("old")), after.select("path", "line_no", F.col("line").alias("new"))
     return a.join(b, ["path", "line_no"], "full").where("not (old <=> new)").groupBy("path").agg(F.count("*").alias("changed"))
 
 
+#: The line as it was, which goes along with the line that an editor returns.
+WAS = "_was"
+
+
+def edited(lines: DataFrame, editor) -> DataFrame:
+    """The lines that an editor returns, each with the line it was: for editors that change lines where they are."""
+    return editor(lines.withColumn(WAS, F.col("line")))
+
+
+def changed_in_place(after: DataFrame) -> DataFrame:
+    """By file, how many of the ``edited`` lines have changed: one pass, no join."""
+    return after.where(~F.col("line").eqNullSafe(F.col(WAS))).groupBy("path").agg(F.count("*").alias("changed"))
+
+
+def watched(after: DataFrame, name: str = "edit") -> tuple[DataFrame, Observation]:
+    """``edited`` lines without the lines they were, and an observation that counts (lines, changed) as whatever reads them runs:
+    a rewrite and its counts are one scan."""
+    seen = Observation(name)
+    out = after.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("line").eqNullSafe(F.col(WAS))).alias("changed"))
+    return out.drop(WAS), seen
+
+
 def cell(value: Column) -> Column:
     """A number as a report shows it: four places, ``NA`` for none."""
     return F.when(value.isNotNull(), F.format_string("%.4f", value)).otherwise("NA")
@@ -70,23 +92,6 @@ def transcript_manifest(transcripts: DataFrame, folder: str) -> DataFrame:
     return out.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in out.columns else F.lit("")).alias(c) for c in MANIFEST])
 
 
-def write_files(df: DataFrame, path: str = "path", content: str = "content") -> None:
-    """One text file a row, at the row's path, written by the tasks that hold the rows.  Paths name a folder that all executors
-    share; a task that runs again writes the same files again."""
-
-    def write(rows) -> None:
-        from pathlib import Path
-
-        for name, text in rows:
-            if "://" in name and not name.startswith("file://"):
-                raise ValueError(f"single files are written to mounted folders only: {name}")
-            at = Path(name.removeprefix("file://"))
-            at.parent.mkdir(parents=True, exist_ok=True)
-            at.write_text(text or "", encoding="utf-8", newline="")
-
-    df.select(path, content).foreachPartition(write)
-
-
 def write_json_lines(df: DataFrame, path: str) -> None:
     """Rows as JSON lines; columns without a value are left out."""
     df.write.mode("overwrite").json(path)
