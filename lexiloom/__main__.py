@@ -43,6 +43,10 @@ COMMANDS: dict = {
     "evaluate-semantics": (drivers.text_semantics, {}),
     "choose-preferred": (drivers.preferred, {}),
     "count-tokens": (drivers.token_table, {}),
+    "score-stories": (drivers.score_stories, {}),
+    "show-counterbalance": (drivers.show, {}),
+    "show-manifest": (drivers.show, {}),
+    "validate-layout": (drivers.validate_layout, {}),
 }
 
 

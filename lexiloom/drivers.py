@@ -337,14 +337,29 @@ def text_semantics(spark, synthetic: str, real: str, out: str, encoder: str, gro
     _compare(both.withColumnRenamed("query_id", "path"), "nearest", out, reps)
 
 
-def score_stories(spark, table: str, references: str, out: str, scorer) -> None:
-    """Scores of narratives against their story's reference by a callable on two arrays of units."""
+def score_stories(spark, table: str, references: str, out: str, scorer: str = "unit-r-precision") -> None:
+    """Scores of narratives against their story's reference by a scorer's name, ``module:function`` or ``file.py:function``, on two
+    arrays of units; a narrative without units, or whose story has none, has no score."""
     rows = _table(spark, table).withColumn("units", F.from_json("story_units_json", "array<string>"))
     refs = clan.read_reference(spark, references, "struct<units:array<string>>").select(F.col("story").alias("story_id"), F.col("units").alias("wanted"))
-    keyed = rows.join(refs, "story_id").withColumn("_key", F.concat_ws("#", "path", "story_id"))
+    keyed = rows.join(refs, "story_id", "left").withColumn("_key", F.concat_ws("#", "path", "story_id"))
     _write(out, scores=learning.score_with(keyed, "_key", ["units", "wanted"], scorer))
 
 
+def show(spark, table: str, limit: int = 100) -> None:
+    """Prints the first rows of a table (a roster, a manifest, a counterbalance)."""
+    print(sinks.markdown(_table(spark, table), limit))
+
+
+def validate_layout(spark, root: str, folders: str) -> list[str]:
+    """Prints which of the folders or files (comma-separated, below ``root``) are there, and returns those that are missing."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {name: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base, name)) for name in folders.split(",")}
+    print("\n".join(f"{'ok' if found else 'missing'}\t{name}" for name, found in there.items()))
+    return [name for name, found in there.items() if not found]
+
+
 def preferred(spark, table: str, out: str, keys: str, column: str) -> None:
     """One row per key (comma-separated columns): rows with the column first, then the largest."""
     df = _table(spark, table)

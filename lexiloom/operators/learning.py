@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -144,14 +144,88 @@ def encode(df: DataFrame, key: str, text: str, name: str, batch: int = 16) -> Da
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
 
 
-def score_with(df: DataFrame, key: str, columns: list[str], scorer: Callable[..., float]) -> DataFrame:
-    """(key, score) by a user's callable on columns (the plug-in of a semantic scorer)."""
+_SCORERS: dict[str, Callable[[], Callable]] = {}
 
-    @F.pandas_udf("double")
-    def run(*cols: pd.Series) -> pd.Series:
-        return pd.Series([float(scorer(*r)) for r in zip(*cols)])
 
-    return df.select(key, run(*columns).alias("score"))
+def register_scorer(name: str, load: Callable[[], Callable]) -> None:
+    """Names a loader of ``score(*columns of a batch) -> numbers``; it is called once per task."""
+    _SCORERS[name] = load
+
+
+def scorer_loader(spark, scorer: str | Callable) -> Callable[[], Callable]:
+    """What a task calls to get its scorer: a registered name, ``module:function``, or ``folder/module.py:function``, whose file is
+    sent to the executors.  A callable, or a function found by name, scores one row."""
+    if isinstance(scorer, str) and scorer in _SCORERS:
+        return _SCORERS[scorer]
+    if isinstance(scorer, str):
+        module, colon, name = scorer.rpartition(":")
+        if not colon or not module:
+            raise ValueError(f"No scorer is registered as {scorer!r}, and it is not module:function")
+        if module.endswith(".py"):
+            spark.sparkContext.addPyFile(module)
+            module = module.replace("\\", "/").rsplit("/", 1)[-1].removesuffix(".py")
+
+        def load():
+            import importlib
+
+            found = getattr(importlib.import_module(module), name)
+            return lambda *columns: [found(*row) for row in zip(*columns)]
+
+        return load
+    return lambda: lambda *columns: [scorer(*row) for row in zip(*columns)]
+
+
+def score_with(df: DataFrame, key: str, columns: list[str], scorer: str | Callable) -> DataFrame:
+    """(key, score) by a plug-in on columns, which may hold arrays; a row with a null or an empty array among them has no score and
+    is not shown to it.  The scorer is loaded once a task and gets whole batches."""
+    load = scorer_loader(df.sparkSession, scorer)
+
+    def plain(v):
+        return [plain(x) for x in v] if isinstance(v, np.ndarray) else v
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        score = load()
+        for part in parts:
+            cols = part if isinstance(part, tuple) else (part,)  # one column comes by itself
+            there = np.array([all(v is not None and (not hasattr(v, "__len__") or len(v) > 0) for v in row) for row in zip(*cols)], bool)
+            out = np.full(len(there), np.nan)
+            if there.any():
+                out[there] = np.asarray(list(score(*[[plain(v) for v in c[there]] for c in cols])), dtype=np.float64)
+            yield pd.Series(out).where(there)
+
+    return df.select(key, number(run(*columns)).alias("score"))
+
+
+def unit_r_precision(width: int = 256, least: float = 0.5) -> Callable:
+    """A scorer of predicted against wanted units: the share of the wanted ones that the best R predictions match one to one, where
+    R is their number; units are vectors of hashed words and match from a cosine of ``least`` on, the closest first."""
+    import zlib
+
+    def vectors(units) -> np.ndarray:
+        out = np.zeros((len(units), width))
+        for i, u in enumerate(units):
+            for w in str(u).lower().split():
+                out[i, zlib.crc32(w.encode()) % width] += 1
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(size > 0, size, 1)
+
+    def one(predicted, wanted) -> float:
+        sims = vectors(predicted) @ vectors(wanted).T
+        best = np.argsort(-sims.max(1), kind="stable")[: len(wanted)]
+        sims, hits = sims[best], 0
+        for _ in range(min(sims.shape)):
+            i, j = np.unravel_index(sims.argmax(), sims.shape)
+            if sims[i, j] < least:
+                break
+            hits += 1
+            sims[i], sims[:, j] = -1, -1
+        return hits / len(wanted)
+
+    return lambda predicted, wanted: [one(p, w) for p, w in zip(predicted, wanted)]
+
+
+register_scorer("unit-r-precision", unit_r_precision)
 
 
 def centroid_distance(df: DataFrame, group: str, target: str, columns: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..operators.evaluation import additive_perplexity, slice_report, text_metrics, words_and_pairs
 from ..operators import detectability as X
 from ..operators.detectability import detectability
-from ..operators.learning import centroid_distance
+from ..operators.learning import centroid_distance, score_with
 from ..operators.quotes import utterances as quote_lines
 from ..operators.stats import describe, slice_summary
 from ..sources import chat
@@ -297,6 +297,14 @@ def tfidf_nn(spark, d):
     return R.tfidf_neighbours(w, w, "item_id").select("query_id", "nearest_id", F.round("nearest", 6).alias("nearest"), F.round("total", 6).alias("total"))
 
 
+@query()
+def unit_scores(spark, d):
+    """What the assistant says of each conversation against what the user says, by a registered scorer."""
+    said = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text"))))
+    units = t(spark, d, "conversations").groupBy("conv_id").agg(*[F.transform(said(r), lambda u: u["text"]).alias(r) for r in ("user", "assistant")])
+    return score_with(units, "conv_id", ["assistant", "user"], "unit-r-precision").select("conv_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def rouge_l_nearest(spark, d):
     """The nearest benchmark item of each by ROUGE-L, through bounds; how many pairs were bounded and compared."""

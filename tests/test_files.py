@@ -85,3 +85,30 @@ def test_nearest_sequences_through_bounds_equal_all_pairs(spark):
             assert abs(got[i]["nearest"] - r["nearest"]) < 1e-12 and (got[i]["nearest_id"] == r["nearest_id"] or r["nearest"] == 0), i
         assert got[84]["nearest"] == 0 and got[84]["nearest_id"] is None
         assert sum(r["compared"] for r in got.values()) < 0.5 * sum(1 for a in rows for b in rows if a[0] != b[0] and (group is None or a[1] == b[1]))
+
+
+def test_scorers_by_name_module_and_file(spark, tmp_path, capsys):
+    from lexiloom.__main__ import parser
+    from lexiloom.operators import learning
+
+    schema = "k long, a array<string>, b array<string>"
+    df = spark.createDataFrame([(1, ["the dog ran", "it hid"], ["dog ran", "cat sat"]), (2, ["x"], ["x"]), (3, [], ["x"]), (4, None, ["x"]), (5, ["q"], ["r", "s"])], schema).repartition(2)
+    score = lambda s: {r["k"]: r["score"] for r in learning.score_with(df, "k", ["a", "b"], s).collect()}
+    assert score("unit-r-precision") == {1: 0.5, 2: 1.0, 3: None, 4: None, 5: 0.0}
+    (tmp_path / "my_scorer.py").write_text("def count(a, b):\n    return len(a) + 10 * len(b)\n")
+    assert score(f"{tmp_path}/my_scorer.py:count") == {1: 22.0, 2: 11.0, 3: None, 4: None, 5: 21.0}
+    assert score("operator:eq") == {1: 0.0, 2: 1.0, 3: None, 4: None, 5: 0.0}
+    assert score(lambda a, b: len(a)) == {1: 2.0, 2: 1.0, 3: None, 4: None, 5: 1.0}
+    with pytest.raises(ValueError, match="No scorer"):
+        score("nothing")
+    args = parser().parse_args(["score-stories", "t", "r", "o", "--scorer", "m:f"])
+    assert args.scorer == "m:f"
+    (tmp_path / "m.csv").write_text("a,b\n1,x\n2,y\n")
+    drivers.show(spark, str(tmp_path / "m.csv"), 1)
+    assert "| 1 | x |" in capsys.readouterr().out
+    assert drivers.validate_layout(spark, str(tmp_path), "m.csv,data") == ["data"]
+    (tmp_path / "refs.json").write_text('{"S1": {"units": ["dog ran"]}}')
+    (tmp_path / "n.csv").write_text('path,story_id,story_units_json\np,S1,"[""dog ran""]"\np,S2,"[""dog ran""]"\n')
+    drivers.score_stories(spark, str(tmp_path / "n.csv"), str(tmp_path / "refs.json"), str(tmp_path / "out"))
+    got = {r["_key"]: r["score"] for r in spark.read.csv(str(tmp_path / "out/scores"), header=True).collect()}
+    assert float(got["p#S1"]) == 1.0 and got["p#S2"] is None
