@@ -47,7 +47,7 @@ def terms(data: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) ->
     return (x >> U64(BITS)).astype(np.int64), (x & U64((1 << BITS) - 1)).astype(np.int64)
 
 
-def _in_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seen: np.ndarray, hits: np.ndarray, chi2: float, least: int = 8, block: int = 1 << 22) -> np.ndarray:
+def _in_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seen: np.ndarray, hits: np.ndarray, chi2: float, least: int = 8, block: int = 1 << 21) -> np.ndarray:
     """Terms that occur in a pair whose label count strays from what its two terms add up to, among all pairs that ``least`` texts
     share (terms in fewer texts form none).
 
@@ -74,15 +74,18 @@ def _in_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seen: np.ndarray
     td, tt = d[y[d] > 0], t[y[d] > 0]
     after = np.searchsorted(td, td, "right") - np.arange(len(td)) - 1  # the terms that follow in the text
     first = np.argsort(tt, kind="stable")
-    width = max(1, block // m)
-    for low in range(0, m, width):
-        rows = first[np.searchsorted(tt[first], low) : np.searchsorted(tt[first], low + width)]
+    load = np.cumsum(np.bincount(tt, after, m))  # pairs up to each first term
+    low = 0
+    while low < m:
+        high = min(m, low + max(1, block // m), max(low + 1, int(np.searchsorted(load, (load[low - 1] if low else 0) + block // 2, "right"))))
+        rows = first[np.searchsorted(tt[first], low) : np.searchsorted(tt[first], high)]
         second = np.repeat(rows + 1 - np.cumsum(after[rows]) + after[rows], after[rows]) + np.arange(int(after[rows].sum()))
         toxic = np.bincount(np.repeat((tt[rows] - low) * m, after[rows]) + tt[second], minlength=1)
         pair = np.flatnonzero(toxic > 1)
         a, b = pair // m + low, pair % m
         e = expected(a, b)
         asked[a[toxic[pair] > chi2 * e / (1 - e)]] = True
+        low = high
 
     for a in np.flatnonzero(asked):  # all pairs of one term
         texts = d[by_term[post[a] : post[a + 1]]]
@@ -95,16 +98,22 @@ def _in_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seen: np.ndarray
 
     top = min(0.98, max(3 * rate, 0.02))  # what two terms that are not often toxic add up to at most
     frequent = np.flatnonzero(~asked & (seen[often] > chi2 * (1 - top) / top))
-    x = np.zeros((n, len(frequent)), np.float32)
     at = np.full(m, -1)
     at[frequent] = np.arange(len(frequent))
-    x[d[at[t] >= 0], at[t[at[t] >= 0]]] = 1
+    fd, ft = d[at[t] >= 0], at[t[at[t] >= 0]]
+
+    def columns(low: int) -> np.ndarray:
+        x = np.zeros((n, min(1024, len(frequent) - low)), np.float32)
+        own = (ft >= low) & (ft < low + 1024)
+        x[fd[own], ft[own] - low] = 1
+        return x
+
     for low in range(0, len(frequent), 1024):
-        some = x[:, low : low + 1024]
-        both, toxic = some.T @ x, some[y > 0].T @ x[y > 0]
-        e = expected(frequent[low : low + 1024][:, None], frequent[None])
-        strays = _strays(both, toxic, e, chi2, least, frequent[low : low + 1024][:, None] != frequent[None])
-        found[frequent[strays.any(0)]] = True
+        x, a = columns(low), frequent[low : low + 1024]
+        for other in range(low, len(frequent), 1024):
+            z, b = columns(other), frequent[other : other + 1024]
+            strays = _strays(x.T @ z, x[y > 0].T @ z[y > 0], expected(a[:, None], b[None]), chi2, least, a[:, None] != b[None])
+            found[a[strays.any(1)]] = found[b[strays.any(0)]] = True
     return often[found]
 
 

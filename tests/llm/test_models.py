@@ -135,6 +135,27 @@ def test_unknown_languages_go(spark):
     assert language.keep_identified(df, one).count() == 400
 
 
+def test_pairs_of_all_frequent_terms_are_looked_at():
+    """The bounded search for pairs against every pair, for rare and common labels and blocks of any size."""
+    g = np.random.default_rng(0)
+    for k in range(12):
+        n, terms = int(g.integers(20, 200)), 60
+        x = g.random((n, terms)) < g.random(terms) * 0.6
+        y = ((x[:, 0] & x[:, 1]) | (g.random(n) < g.random() * 0.5)).astype(float)
+        doc, term = np.nonzero(x)
+        size = 1 << toxicity.BITS
+        seen, hits = np.bincount(term, minlength=size), np.bincount(term, y[doc], size)
+        f = x.astype(float)
+        both, toxic, own = f.T @ f, (f * y[:, None]).T @ f, f.T @ y / np.maximum(f.sum(0), 1)
+        e = np.clip(own[:, None] + own[None] - y.mean(), 0.02, 0.98)
+        for chi2 in (4.0, 15.0):
+            strays = (both >= 8) & ((toxic - both * e) ** 2 > chi2 * both * e * (1 - e)) & (seen[:terms] >= 8)[:, None] & (seen[:terms] >= 8)[None]
+            np.fill_diagonal(strays, False)
+            want = np.flatnonzero(strays.any(1)) if 0 < y.mean() < 1 else []
+            for block in (1 << 21, 256):
+                assert list(toxicity._in_pairs(doc, term, y, seen, hits, chi2, block=block)) == list(want)
+
+
 def test_bounded_samples(spark):
     from lexiloom.llm.base import bounded_sample
 
