@@ -583,7 +583,9 @@ def score_texts(docs: DataFrame, model: CausalModel, ranks: dict, held_out, key:
     return told.where(F.col("kind").isin(_PART, _TABLE)).repartition("block").mapInArrow(finished, schema)
 
 
-def op1(spark, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def op1(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """The digest query; the vocabulary is at ``tokenizer``, or where ``spark.lexiloom.tokenizer`` says, or at ``TOKENIZER``."""
+    tokenizer = tokenizer or spark.conf.get("spark.lexiloom.tokenizer", TOKENIZER)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ranks = load_pieces(tokenizer)
     model = fit_model(docs.where(remainder("doc_id", 7) != 2), ranks, key="doc_id")
