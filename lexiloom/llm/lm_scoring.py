@@ -377,7 +377,10 @@ def gather(train: DataFrame, ranks: dict, share: float, shards: int, text: str =
                 total += np.bincount(prev, minlength=VOCAB * VOCAB)
                 lay = Layout(ids, at)
                 every = lay.pack(np.arange(len(lay.doc)))
-                name = mix(owner[lay.doc] + mix(lay.nth.astype(U64)) + (every.astype(U64) * weigh).sum(1, dtype=U64))
+                name = owner[lay.doc] + mix(lay.nth.astype(U64))
+                for c, w in zip(every.T, weigh):
+                    name += c.astype(U64) * w
+                name = mix(name)
                 drawn = np.flatnonzero((name >> U64(11)).astype(np.float64) < share * (1 << 53))
                 to = name[drawn] & U64(0x7FF)
                 shard, turn = mix(name[drawn]) % U64(shards), to % U64(ROUNDS)
