@@ -6,7 +6,9 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier.
    that depends on the string alone, so that equal strings meet under one key at one distance from it.  Neighbouring
    strings share their anchor; together they form a context of at most 2 * length bytes.
 2. Contexts are dealt by key.  Equal contexts (by digest) are held once, with their first occurrence: the others are
-   removed whole.  A key with one context has nothing more to compare.
+   removed whole.  A key with one context has nothing more to compare.  Of the bytes around the anchor, a string that two
+   contexts share covers the nearest half on one side at least; a context that shares neither half with another one of its
+   key (by 32 bits of their hashes, which can only let too many through) is compared no further.
 3. Where a key has several contexts, their bytes are fetched and a suffix order of depth over ``length`` and its
    Burrows-Wheeler transform are built for each bucket of keys.  Intervals are extended backwards, breadth first: level
    L visits the interval of every string of L bytes that still parts suffixes and thereby sets the common prefix values
@@ -33,6 +35,7 @@ from .base import NULL_ID, U64, _powers, _table, block_id, buckets_for, longs, m
 GRAM, PIECE = 16, 1 << 18
 SHARD = (1 << 21) - 2  # bytes of contexts whose suffixes are ordered at once
 HOT = 4096
+HELD = 1 << 20  # spans, requests, or bytes of contexts / 16 that a task holds before it deals them out
 _ROWS = "dest int, kind int, load binary"
 _TEXT, _SPANS, _ASKED, _SEEN, _CONTEXT = range(5)
 
@@ -59,11 +62,12 @@ def _by_dest(dest: np.ndarray, kind: int, arrays: list[np.ndarray], first_sorted
 
 def anchors(data: np.ndarray, lo: int, hi: int, offs: np.ndarray, length: int):
     """Of the strings of ``length`` bytes that start in data[lo:hi] and end within their text: runs that share an anchor,
-    as (first start, last start, anchor position, key, digest of the context)."""
+    as (first start, last start, anchor position, key, digest of the context, hashes of the anchor with the half before it and with
+    the half behind it; 0 where the context does not hold that half)."""
     stop = min(len(data), hi + length - 1)
     b = data[lo:stop]
     n = len(b) - length + 1
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
+    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2 + (np.zeros(0, np.uint32),) * 2
     if n <= 0:
         return empty
     v = np.lib.stride_tricks.as_strided(b, (len(b) - 7, 8), (1, 1)).copy().view(U64)[:, 0]
@@ -99,7 +103,14 @@ def anchors(data: np.ndarray, lo: int, hi: int, offs: np.ndarray, length: int):
     np.cumsum(_table(False)[b] * p[: len(b)], out=cum[1:])
     digest = (cum[last + length] - cum[first]) * q[first]
     digest = mix(digest + (last - first).astype(U64) * U64(0xA0761D6478BD642F) + (at - first).astype(U64) * U64(0xE7037ED1A0B428DB))
-    return first + lo, last + lo, at + lo, mix(g[at] + U64(1)), digest
+    half = width // 2  # of the length - GRAM bytes beside the anchor, rounded up
+    sides = []
+    for begin, end in ((at - half, at + GRAM), (at, at + GRAM + half)):
+        held = (begin >= first) & (end <= last + length)
+        begin, end = np.where(held, begin, 0), np.where(held, end, 0)
+        name = mix((cum[end] - cum[begin]) * q[begin]) >> U64(32)
+        sides.append(np.where(held, np.maximum(name, U64(1)), U64(0)).astype(np.uint32))
+    return first + lo, last + lo, at + lo, mix(g[at] + U64(1)), digest, *sides
 
 
 def _occurrences(length: int, buckets: int, homes: int):
@@ -115,8 +126,7 @@ def _occurrences(length: int, buckets: int, homes: int):
                 got = [anchors(data, lo, min(lo + PIECE, int(offs[-1])), offs, length) for lo in range(int(offs[0]), int(offs[-1]), PIECE)]
                 if not got:
                     continue
-                first, last, _, key, digest = (np.concatenate(x) for x in zip(*got))
-                at = np.concatenate([x[2] for x in got])
+                first, last, at, key, digest, left, right = (np.concatenate(x) for x in zip(*got))
                 doc = np.searchsorted(offs, first, "right") - 1
                 start = (first - offs[doc]).astype(np.uint32)
                 rank = np.empty(len(ids), np.int64)
@@ -134,12 +144,23 @@ def _occurrences(length: int, buckets: int, homes: int):
                     rows += _spans(ids[doc[rest]], sub[doc[rest]], start[rest], start[rest] + (last - first)[rest].astype(np.uint32) + np.uint32(length), homes)
                 if len(keep):
                     dest = (key[keep] >> shift).astype(np.int32) if buckets > 1 else np.zeros(len(keep), np.int32)
-                    rows += _by_dest(dest, _SEEN, [key[keep], digest[keep], ids[doc[keep]], narrow(sub[doc[keep]]), start[keep], (last - first)[keep].astype(np.uint16), (at - first)[keep].astype(np.uint16)], True)
+                    rows += _by_dest(dest, _SEEN, [key[keep], digest[keep], ids[doc[keep]], narrow(sub[doc[keep]]), start[keep], (last - first)[keep].astype(np.uint16), left[keep], right[keep]], True)
                 yield _batch(rows)
 
     return run
 
 
+def _shared(key: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether another row has the same key and name; a name of 0 is none."""
+    order = np.lexsort((name, key))
+    k, x = key[order], name[order]
+    same = (k[1:] == k[:-1]) & (x[1:] == x[:-1]) & (x[1:] > 0)
+    out = np.zeros(len(key), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
 def _spans(ids, sub, start, end, homes: int) -> list:
     """Rows for the homes of documents that tell removed spans; overlapping ones are united first."""
     order = np.lexsort((start, sub, ids))
@@ -154,12 +175,24 @@ def _spans(ids, sub, start, end, homes: int) -> list:
     return _by_dest(_home(ids, sub, homes), _SPANS, [ids, narrow(sub), start, end])
 
 
+def _told(held: list, deal) -> list:
+    """What ``deal`` makes of held tuples of arrays, put together; they are held no longer.  A task that deals out what several
+    of its destinations gave makes few rows for each other destination, however many destinations there are."""
+    rows = deal(*(np.concatenate(x) for x in zip(*held))) if held else []
+    held.clear()
+    return rows
+
+
 def _compare_digests(length: int, homes: int, hot: int):
     """One partition of keys -> spans of contexts that are not the first of their kind; requests for the bytes of the first
     ones where a key has several kinds."""
 
+    def ask(ids, sub, start, more, key, many):
+        return _by_dest(_home(ids, sub, homes), _ASKED, [ids, narrow(sub), start, more, key, many])
+
     def run(batches):
         by: dict = {}
+        gone, wanted, count = [], [], 0
         for dest, kind, load in rows_of(batches):
             if kind == _SPANS:
                 yield _batch([(dest, kind, load.to_pybytes())])
@@ -169,7 +202,7 @@ def _compare_digests(length: int, homes: int, hot: int):
             key = np.concatenate([unpack_sorted(x[0]) for x in loads])
             digest, ids = (np.concatenate([x[i] for x in loads]) for i in (1, 2))
             sub = np.concatenate([x[3].astype(U64) for x in loads])
-            start, more, off = (np.concatenate([x[i].astype(np.uint32) for x in loads]) for i in (4, 5, 6))
+            start, more, left, right = (np.concatenate([x[i].astype(np.uint32) for x in loads]) for i in (4, 5, 6, 7))
             order = np.argsort(key, kind="stable")
             _, n = runs(key[order])
             order = order[np.repeat(n > 1, n)]  # a key that is alone cannot repeat
@@ -181,19 +214,24 @@ def _compare_digests(length: int, homes: int, hot: int):
             new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             rest = ~new & ~((i == i[lead]) & (u == u[lead]) & (t == t[lead]))
-            rows = []
             if rest.any():
                 o = order[rest]
-                rows += _spans(ids[o], sub[o], start[o], start[o] + more[o] + np.uint32(length), homes)
+                gone.append((ids[o], sub[o], start[o], start[o] + more[o] + np.uint32(length)))
+                count += len(o)
             o = order[new]
+            o = o[_shared(key[o], left[o]) | _shared(key[o], right[o])]
             _, n = runs(key[o])
             kinds = np.repeat(n, n)
             m = kinds > 1
             if m.any():
                 o, kinds = o[m], kinds[m]
-                rows += _by_dest(_home(ids[o], sub[o], homes), _ASKED, [ids[o], narrow(sub[o]), start[o], more[o].astype(np.uint16), key[o], (kinds > hot).astype(np.uint8)])
-            if rows:
-                yield _batch(rows)
+                wanted.append((ids[o], sub[o], start[o], more[o].astype(np.uint16), key[o], (kinds > hot).astype(np.uint8)))
+                count += len(o)
+            if count > HELD:
+                yield _batch(_told(gone, lambda *x: _spans(*x, homes)) + _told(wanted, ask))
+                count = 0
+        if count:
+            yield _batch(_told(gone, lambda *x: _spans(*x, homes)) + _told(wanted, ask))
 
     return run
 
@@ -247,12 +285,39 @@ def _find(ids: np.ndarray, sub: np.ndarray, want: np.ndarray, want_sub: np.ndarr
     return order[at]
 
 
+def _names(data: np.ndarray, at: np.ndarray, more: np.ndarray, length: int, block: int = 1 << 12) -> np.ndarray:
+    """Hashes of the more + 1 strings of ``length`` bytes from each place on, by prefix sums over blocks of places."""
+    out = []
+    for i in range(0, len(at), block):
+        size = more[i : i + block] + length
+        body = data[ranges(at[i : i + block], size)]
+        p, q = _powers(len(body) + 1)
+        cum = np.zeros(len(body) + 1, U64)
+        np.cumsum(_table(False)[body] * p[: len(body)], out=cum[1:])
+        first = ranges(np.cumsum(size) - size, more[i : i + block] + 1)
+        out.append(mix((cum[first + length] - cum[first]) * q[first]))
+    return np.concatenate(out)
+
+
 def _fetch(length: int, buckets: int):
     """One partition of homes: texts and requests -> the bytes of the contexts asked for, by bucket of their key; contexts
     of hot keys as single strings, by their own hash."""
 
+    shift = U64(64 - (buckets.bit_length() - 1))
+
+    def deal(key, ids, sub, start, more, body):
+        begin = np.cumsum(more + length) - more - length
+        dest = (key >> shift).astype(np.int32) if buckets > 1 else np.zeros(len(key), np.int32)
+        order = np.argsort(dest, kind="stable")
+        s, count = runs(dest[order])
+        rows = []
+        for a, n in zip(s, count):
+            i = order[a : a + n]
+            rows.append((int(dest[i[0]]), _CONTEXT, pack(key[i], ids[i], narrow(sub[i].astype(U64)), start[i].astype(np.uint32), narrow(more[i].astype(np.uint32)), body[ranges(begin[i], more[i] + length)])))
+        return rows
+
     def run(batches):
-        shift = U64(64 - (buckets.bit_length() - 1))
+        held, count = [], 0
         for kinds in _gather(batches).values():
             if _ASKED not in kinds or _TEXT not in kinds:
                 continue
@@ -266,22 +331,20 @@ def _fetch(length: int, buckets: int):
                 h = np.flatnonzero(hot)
                 one = ranges(np.zeros(len(h), np.int64), more[h] + 1)
                 j = np.repeat(h, more[h] + 1)
-                text = data[(at[j] + one)[:, None] + np.arange(length)]
-                p, _ = _powers(length)
-                name = mix((_table(False)[text] * p[:length]).sum(1, dtype=U64))
+                name = _names(data, at[h], more[h], length)
                 c = np.flatnonzero(hot == 0)
                 wid, wsub, start, at = (np.concatenate([wid[c], wid[j]]), np.concatenate([wsub[c], wsub[j]]), np.concatenate([start[c], start[j] + one]), np.concatenate([at[c], at[j] + one]))
                 more, key = np.concatenate([more[c], np.zeros(len(j), np.int64)]), np.concatenate([key[c], name])
-            dest = (key >> shift).astype(np.int32) if buckets > 1 else np.zeros(len(key), np.int32)
-            order = np.argsort(dest, kind="stable")
-            s, count = runs(dest[order])
-            rows = []
-            for a, n in zip(s, count):
-                i = order[a : a + n]
-                body = data[ranges(at[i], more[i] + length)]
-                rows.append((int(dest[i[0]]), _CONTEXT, pack(key[i], wid[i], narrow(wsub[i].astype(U64)), start[i].astype(np.uint32), narrow(more[i].astype(np.uint32)), body)))
-            if rows:
-                yield _batch(rows)
+            step = HELD * 16 // (2 * length) + 1
+            for i in range(0, len(key), step):
+                c = slice(i, i + step)
+                held.append((key[c], wid[c], wsub[c], start[c], more[c], data[ranges(at[c], more[c] + length)]))
+                count += len(held[-1][-1])
+                if count > HELD * 16:
+                    yield _batch(_told(held, deal))
+                    count = 0
+        if count:
+            yield _batch(_told(held, deal))
 
     return run
 
@@ -380,6 +443,7 @@ def _expand(length: int, homes: int):
     """One partition of contexts -> spans of the strings that an earlier place also has."""
 
     def run(batches):
+        held, count = [], 0
         for kinds in _gather(batches).values():
             parts = [unpack(x) for x in kinds[_CONTEXT]]
             key, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
@@ -397,14 +461,21 @@ def _expand(length: int, homes: int):
                     j = back if back > i else int(np.searchsorted(key[by], key[by[j]], "right"))
                 c = by[i:j]
                 i = j
-                rows = _shard(c, ids, sub, start, more, size, begin, body, length, homes)
-                if rows:
-                    yield _batch(rows)
+                found = _shard(c, ids, sub, start, more, size, begin, body, length)
+                if found:
+                    held.append(found)
+                    count += len(found[0])
+                if count > HELD:
+                    yield _batch(_told(held, lambda *x: _spans(*x, homes)))
+                    count = 0
+        if count:
+            yield _batch(_told(held, lambda *x: _spans(*x, homes)))
 
     return run
 
 
-def _shard(c, ids, sub, start, more, size, begin, body, length, homes) -> list:
+def _shard(c, ids, sub, start, more, size, begin, body, length) -> tuple | None:
+    """(ids, subs, starts, ends) of the strings of contexts ``c`` that an earlier place also has."""
     at = np.cumsum(size[c] + 1) - size[c] - 1  # where each context begins in the shard; 0xFF parts them
     text = np.full(int((size[c] + 1).sum()), 255, np.uint8)
     text[ranges(at, size[c])] = body[ranges(begin[c], size[c])]
@@ -429,14 +500,14 @@ def _shard(c, ids, sub, start, more, size, begin, body, length, homes) -> list:
     place, group, pos = place[real], group[real], order[real]
     s, _ = runs(group)
     if not len(s):
-        return []
+        return None
     low = np.repeat(np.minimum.reduceat(place, s), np.diff(np.append(s, len(group))))
     gone = place > low
     if not gone.any():
-        return []
+        return None
     o = mine[pos[gone]]
     first = (place[gone] & ((1 << 33) - 1)).astype(np.uint32)
-    return _spans(ids[c][o], sub[c][o].astype(U64), first, first + np.uint32(length), homes)
+    return ids[c][o], sub[c][o].astype(U64), first, first + np.uint32(length)
 
 
 def _finish(length: int, with_text: bool):

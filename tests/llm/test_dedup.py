@@ -171,3 +171,34 @@ def test_near_threshold_passages_over_many_blocks(spark):
     rows = [(i, " ".join(passage + [f"u{i}_{j}" for j in range(g.randint(0, 8))]), "x", "y") for i in range(70)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), block=4).collect()}
     assert got == brute_components(rows)
+
+
+def test_repeats_are_compared_where_a_half_is_shared_and_dealt_by_task():
+    import pyarrow as pa
+
+    S = suffix_dedup
+    g = np.random.default_rng(5)
+    mark = b"@" + bytes(range(33, 63))  # an anchor that many texts share, in surroundings of their own
+    text = lambda n: bytes(g.integers(97, 123, n, np.uint8))
+    same = text(60) + mark + text(60)
+    docs = [text(90) + mark + text(90) for _ in range(300)] + [text(40) + same + text(40) for _ in range(3)]
+    batch = pa.record_batch([pa.array(range(len(docs)), pa.int64()), pa.array([0] * len(docs), pa.int64()), pa.array([d.decode() for d in docs])], ["k", "s", "t"])
+    asked = {}
+    for buckets in (64, 4096):
+        seen = list(S._occurrences(100, buckets, buckets)(iter([batch])))
+        told = [r for b in S._compare_digests(100, buckets, 4096)(iter(seen)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        want = [S.unpack(pa.scalar(x, pa.binary()).as_buffer()) for _, k, x in told if k == S._ASKED]
+        asked[buckets] = sorted(int(i) for x in want for i in x[0])
+        # a destination gets one row of a task, however many destinations the task had itself
+        assert len({(d, k) for d, k, _ in told}) == len(told)
+    assert asked[64] == asked[4096] and set(asked[64]) == {300, 301, 302}
+
+
+def test_hot_strings_are_hashed_alike_in_blocks():
+    S = suffix_dedup
+    data = np.random.default_rng(6).integers(0, 256, 5000, np.uint8)
+    at, more = np.array([0, 700, 1500, 3000]), np.array([84, 0, 30, 84])
+    p, _ = S._powers(100)
+    want = [S.mix((S._table(False)[data[a + i : a + i + 100]] * p[:100]).sum(keepdims=True, dtype=S.U64))[0] for a, m in zip(at, more) for i in range(m + 1)]
+    for block in (1, 3, 4096):
+        assert S._names(data, at, more, 100, block).tolist() == want
