@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,54 +95,107 @@ def _pairs_schema(df: DataFrame, cohort: str, key: str) -> str:
 def optimal_match(df: DataFrame, cohort: str, key: str, age: str, is_target: str) -> DataFrame:
     """Each target with one control, none twice, so that the sum of absolute age gaps is least (per cohort).
 
-    With both sides in age order some best matching does not cross, so D[i][j] = min(D[i][j-1], D[i-1][j-1] + gap) finds it; of
-    equal sums (in units of 1e-9) the one with the smaller sum of control ids is kept.  A cohort is one task; a row of D is two
-vector operations, and of each cell one bit stays."""
+    Of equal sums the one with the smaller sum of control ids is kept; sums are exact, of ages in units of 1 / 30,000,000,000 (of
+    decimals and of thirtieths, days of a month).  With the controls that are used known, both sides pair in age order.  A cohort
+    is one task, whose memory and time grow with its children, and not with their pairs."""
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf[pdf[is_target]].sort_values([age, key])
         c = pdf[~pdf[is_target]].sort_values([age, key])
-        n, m = len(t), len(c)
-        if n > m:
+        if len(t) > len(c):
             raise ValueError("fewer controls than targets")
-        ta, ca, ids = t[age].to_numpy(dtype=float), c[age].to_numpy(dtype=float), c[key].to_numpy(dtype=float)
-        # complex numbers compare by gap, then by ids; both parts are whole numbers, so that sums are exact
-        best, skips = np.zeros(m + 1, complex), []
-        for i in range(1, n + 1):
-            cost = best[i - 1 : m] + np.rint(np.abs(ta[i - 1] - ca[i - 1 :]) * 1e9) + 1j * ids[i - 1 :]
-            best[i:] = np.minimum.accumulate(cost)
-            skips.append(np.packbits(best[i + 1 :] == best[i:-1]))  # D[i][j] = D[i][j-1] for j from i + 1
-        rows, i, j = [], n, m
-        while i:
-            at = j - i - 1
-            if at >= 0 and skips[i - 1][at >> 3] >> (7 - (at & 7)) & 1:
-                j -= 1
-                continue
-            rows.append((t[cohort].iat[i - 1], t[key].iat[i - 1], c[key].iat[j - 1], abs(float(ta[i - 1]) - float(ca[j - 1]))))
-            i, j = i - 1, j - 1
-        return pd.DataFrame(rows[::-1], columns=[cohort, "target_id", "control_id", "gap"])
+        whole = lambda d: [int(v) for v in np.rint(d[age].to_numpy(dtype=float) * 3e10)]
+        c = c.iloc[best_controls(whole(t), whole(c), c[key].astype(int).tolist())]
+        gap = np.abs(t[age].to_numpy(dtype=float) - c[age].to_numpy(dtype=float))
+        return pd.DataFrame({cohort: t[cohort].to_numpy(), "target_id": t[key].to_numpy(), "control_id": c[key].to_numpy(), "gap": gap})
 
     return df.select(cohort, key, age, is_target).groupBy(cohort).applyInPandas(match, _pairs_schema(df, cohort, key))
 
 
+def best_controls(targets: list[int], controls: list[int], weights: list[int]) -> list[int]:
+    """Places of the controls, one for each target, whose sum of distances is least, and of those whose sum of weights is.
+
+    Both sides are in order.  Points are met from left to right; each may be undone by a later one at the price of the change: a
+    target takes the cheapest control so far, free or made free by a chain of changes, and a control takes over a target where
+    that lowers the sum.  Two heaps hold these offers, one or two a point.  A cost is one integer, distance times more than all
+    weights together, plus weight."""
+    low = min(weights, default=0)
+    weights = [w - low for w in weights]  # each target takes one: a shift changes nothing
+    unit = sum(weights) + 1
+    n, m = len(targets), len(controls)
+    span = max(targets + controls, default=0) - min(targets + controls, default=0) + 1
+    never = (2 * (n + 1) * span + 1) * unit  # over any sum of costs; a control that does not exist
+    used = bytearray(m + 1)  # the last one: none
+    free: list = []  # (price less place, control that it takes into use)
+    held: list = []  # (change less place, control that it gives up)
+    i = j = 0
+    while i < n or j < m:
+        if i < n and (j == m or targets[i] <= controls[j]):
+            x = targets[i] * unit
+            i += 1
+            price, k = heappop(free) if free and free[0][0] + x < never else (never - x, m)
+            used[k] = 1
+            heappush(held, (-2 * x - price, k))
+        else:
+            y, w = controls[j] * unit, weights[j]
+            if held and held[0][0] + y + w < 0:
+                change, k = heappop(held)
+                used[k] = 0
+                used[j] = 1
+                heappush(free, (-2 * y - change, k))
+                heappush(held, (-y - w, j))
+            else:
+                heappush(free, (w - y, j))
+            j += 1
+    return [k for k in range(m) if used[k]]
+
+
 def greedy_match(df: DataFrame, cohort: str, key: str, age: str, is_target: str) -> DataFrame:
     """Targets in age and id order take the nearest control that is left (ties: younger, then smaller id)."""
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf[~pdf[is_target]].sort_values([age, key])
-        ages, ids = c[age].to_numpy(dtype=float), c[key].to_numpy()
-        taken, rows = np.zeros(len(c), bool), []
-        for _, a in pdf[pdf[is_target]].sort_values([age, key]).iterrows():
-            if len(rows) == len(c):
-                break
-            j = int(np.where(taken, np.inf, np.abs(ages - a[age])).argmin())
-            rows.append((a[cohort], a[key], ids[j], abs(float(a[age]) - float(ages[j]))))
-            taken[j] = True
-        return pd.DataFrame(rows, columns=[cohort, "target_id", "control_id", "gap"])
+        t, c = pdf[pdf[is_target]].sort_values([age, key]), pdf[~pdf[is_target]].sort_values([age, key])
+        ta, ca = t[age].to_numpy(dtype=float), c[age].to_numpy(dtype=float)
+        at = nearest_left(ta, ca)
+        t = t.iloc[: len(at)]
+        return pd.DataFrame({cohort: t[cohort].to_numpy(), "target_id": t[key].to_numpy(), "control_id": c[key].to_numpy()[at], "gap": np.abs(ta[: len(at)] - ca[at])})
 
     return df.select(cohort, key, age, is_target).groupBy(cohort).applyInPandas(match, _pairs_schema(df, cohort, key))
 
 
+def nearest_left(targets: np.ndarray, controls: np.ndarray) -> list[int]:
+    """For each target in turn the place of the nearest control that is left, of equally near ones the first; controls are in
+    order, those without a value last and taken last.  The next place that is left is found along shortened paths, so that no
+    target looks at all controls."""
+    m = len(controls)
+    known = int(np.count_nonzero(~np.isnan(controls)))
+    up, down = list(range(m + 1)), list(range(m + 1))  # next place that is left from here on; one more than the last one before it
+    run = np.searchsorted(controls, controls, "left").tolist()  # where the run of a value begins
+    value = controls.tolist()
+
+    def root(path: list, i: int) -> int:
+        while path[i] != i:
+            path[i] = path[path[i]]
+            i = path[i]
+        return i
+
+    out = []
+    for a, place in zip(targets.tolist(), np.searchsorted(controls[:known], targets, "left").tolist()):
+        if len(out) == m:
+            break
+        right, left = (root(up, 0), 0) if a != a else (root(up, place), root(down, place))
+        if left:
+            gap = a - value[left - 1]
+            if right >= known or gap <= value[right] - a:
+                first = run[left - 1]
+                while first and a - value[first - 1] == gap:  # other values that are as near in floating point
+                    first = run[first - 1]
+                right = root(up, first)
+        out.append(right)
+        up[right], down[right + 1] = right + 1, right
+    return out
+
+
 def balanced_stories(df: DataFrame, stratum: str, key: str, available: str) -> DataFrame:
     """In key order each row of a stratum gets, of the stories it has, the one given least so far (ties in story order)."""
 

@@ -190,3 +190,42 @@ def test_longest_common_subsequence(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
     got = {r["i"]: r["s"] for r in df.select("i", retrieval.rouge_l("a", "b").alias("s")).collect()}
     assert all(abs(got[i] - brute(a, b)) < 1e-12 for i, (a, b) in enumerate(pairs))
+
+
+def test_loocv_prompts_equal_a_full_search(spark):
+    g = np.random.default_rng(3)
+    stories = ["A1", "A2", "A3", "B1", "B2", "B3"]
+    kids = [(i, "SLI" if g.random() < 0.4 else "TD", float(g.integers(0, 8)), "ab"[g.integers(2)], "xy"[g.integers(2)], [s for s in stories if g.random() < 0.8]) for i in range(60)]
+    refs = [(s, stories[(i + 1) % 6], stories[(i + 2) % 6], float(g.integers(0, 8)), float(g.integers(0, 8)), "ab"[i % 2], "xy"[i % 3 % 2]) for i, s in enumerate(stories)]
+    plan = packages.loocv_plan(spark.createDataFrame(kids, "id long, grp string, age double, band string, label string, stories array<string>"), spark.createDataFrame(refs, "target_story string, e1_story string, e2_story string, td_age double, sli_age double, sli_band string, sli_label string"))
+    got = {(r["fold_id"], r["target_story"]): (r["target_td_child_id"], r["prompt_sli_child_id"]) for r in plan["prompts"].collect()}
+    folds = plan["folds"].collect()
+    assert len(got) == 6 * len(folds) > 60
+    for f in folds:
+        used = {}
+        for story, e1, e2, td_age, sli_age, band, label in refs:
+            td = [k for k in kids if k[1] == "TD" and k[0] != f["heldout_td_child_id"] and {story, e1} <= set(k[5])]
+            sl = [k for k in kids if k[1] == "SLI" and k[0] != f["heldout_sli_child_id"] and e2 in k[5]]
+            t = min(td, key=lambda k: (used.get(k[0], 0), abs(k[2] - td_age), k[0]))
+            s = min(sl, key=lambda k: (k[4] != label, k[3] != band, used.get(k[0], 0), abs(k[2] - sli_age), k[0]))
+            for k in (t, s):
+                used[k[0]] = used.get(k[0], 0) + 1
+            assert got[f["fold_id"], story] == (t[0], s[0])
+
+
+def test_matching_grows_with_children_not_pairs():
+    import time
+    import tracemalloc
+
+    from lexiloom.operators.design import best_controls, nearest_left
+
+    g = np.random.default_rng(4)
+    t, c = np.sort(g.integers(0, 10**9, 20_000)), np.sort(g.integers(0, 10**9, 60_000))
+    tracemalloc.start()
+    begin = time.process_time()
+    best = best_controls(t.tolist(), c.tolist(), g.permutation(60_000).tolist())
+    near = nearest_left(t / 1.0, c / 1.0)
+    assert len(best) == len(set(near)) == 20_000 and abs(t - c[best]).sum() <= abs(t - c[near]).sum()
+    # a bit for each pair took 150 MB
+    assert tracemalloc.get_traced_memory()[1] < 60e6 and time.process_time() - begin < 60
+    tracemalloc.stop()
