@@ -205,12 +205,35 @@ def first_existing(rows: DataFrame, candidates: list[Column], files: DataFrame)
     return out.withColumn("path", F.coalesce(*[F.col(f"_p{i}") for i in n], F.col("_c0"))).drop(*[f"_{x}{i}" for i in n for x in "cp"])
 
 
+def _short_lists(children: DataFrame, wanted: list[dict]) -> dict[tuple[int, str], list[dict]]:
+    """By number of the reference and group: the children that tell its stories, by ``kind`` (SLI: whether label and band differ)
+    and ``place`` (by age gap, then id), those of each kind down to the place that follows the number of references."""
+    if not wanted:
+        return {}
+    columns = "n int, target_story string, e1_story string, e2_story string, td_age double, sli_age double, sli_band string, sli_label string"
+    names = [c.split()[0] for c in columns.split(", ")][1:]
+    refs = children.sparkSession.createDataFrame([(i, *(r[c] for c in names)) for i, r in enumerate(wanted)], columns)
+    td, differs = F.col("grp") == "TD", lambda a, b: (~F.col(a).eqNullSafe(F.col(b))).cast("int")
+    tells = lambda c: F.array_contains("stories", F.col(c))
+    fits = (td & tells("target_story") & tells("e1_story")) | ((F.col("grp") == "SLI") & tells("e2_story"))
+    c = children.crossJoin(F.broadcast(refs)).where(fits)  # one row a story
+    c = c.withColumn("kind", F.when(td, 0).otherwise(2 * differs("label", "sli_label") + differs("band", "sli_band")))
+    gap = F.abs(F.col("age") - F.when(td, F.col("td_age")).otherwise(F.col("sli_age")))
+    place = F.row_number().over(Window.partitionBy("n", "grp", "kind").orderBy(gap.asc_nulls_last(), "id"))
+    out: dict = {}
+    for r in c.withColumn("place", place).where(F.col("place") <= len(wanted) + 1).select("n", "grp", "kind", "place", "id").collect():
+        out.setdefault((r["n"], r["grp"]), []).append(r.asDict())
+    return out
+
+
 def loocv_plan(children: DataFrame, references: DataFrame) -> dict[str, DataFrame]:
     """Leave-one-out folds: every SLI child is held out once, with the nearest TD child that is left; each fold's prompts go, for
     each reference row in story order, to the TD and SLI children that fit best and were used least.
 
     ``children`` (id, grp, age, band, label, stories array); ``references`` (target_story, e1_story, e2_story, td_age, sli_age,
-    sli_band, sli_label).  A fold is one task: choosing is sequential, over the children of a cohort."""
+    sli_band, sli_label).  A fold leaves out one child of each group and has used fewer than it has references, so the first
+    children in a reference's order, one more than there are references, hold its choice (of SLI children, the first of each kind
+    of label and band): the folds look at these short lists alone."""
     import pandas as pd
 
     pool = children.select(F.lit(0).alias("_all"), "id", "age", (F.col("grp") == "SLI").alias("target"))
@@ -220,20 +243,19 @@ def loocv_plan(children: DataFrame, references: DataFrame) -> dict[str, DataFram
     folds = sli.withColumn("fold", F.row_number().over(order)).join(held.select(F.col("target_id").alias("id"), F.col("control_id").alias("heldout_td_child_id"), F.bround("gap", 3).alias("heldout_td_age_gap_months")), "id")
     folds = folds.select(F.format_string("fold_%02d_sli_%d", "fold", "id").alias("fold_id"), F.col("id").alias("heldout_sli_child_id"), F.col("band").alias("heldout_sli_severity_band"), F.col("label").alias("heldout_sli_profile_label"), "heldout_td_child_id", "heldout_td_age_gap_months")
     wanted = references.orderBy(story_rank("target_story")).toPandas().to_dict("records")  # one row a story
-    known = children.toPandas().sort_values("id").to_dict("records")  # one row a child of a cohort: the design's own size
+    short = _short_lists(children, wanted)
 
     def choose(batches):
         for pdf in batches:
             rows = []
             for fold, out_sli, out_td in zip(pdf.fold_id, pdf.heldout_sli_child_id, pdf.heldout_td_child_id):
                 used: dict = {}
-                for r in wanted:
-                    td = [c for c in known if c["grp"] == "TD" and c["id"] != out_td and {r["target_story"], r["e1_story"]} <= set(c["stories"])]
-                    sl = [c for c in known if c["grp"] == "SLI" and c["id"] != out_sli and r["e2_story"] in set(c["stories"])]
+                for i, r in enumerate(wanted):
+                    td = [c for c in short.get((i, "TD"), ()) if c["id"] != out_td]
+                    sl = [c for c in short.get((i, "SLI"), ()) if c["id"] != out_sli]
                     if not td or not sl:
                         raise ValueError(f"no prompt candidate for {r['target_story']} in {fold}")
-                    t = min(td, key=lambda c: (used.get(("TD", c["id"]), 0), abs(c["age"] - r["td_age"]), c["id"]))
-                    s = min(sl, key=lambda c: (c["label"] != r["sli_label"], c["band"] != r["sli_band"], used.get(("SLI", c["id"]), 0), abs(c["age"] - r["sli_age"]), c["id"]))
+                    t, s = (min(x, key=lambda c: (c["kind"], used.get((c["grp"], c["id"]), 0), c["place"])) for x in (td, sl))
                     for c in (t, s):
                         used[c["grp"], c["id"]] = used.get((c["grp"], c["id"]), 0) + 1
                     rows.append((fold, r["target_story"], r["e1_story"], r["e2_story"], t["id"], s["id"]))
