@@ -286,7 +286,7 @@ def text_evaluation(spark, synthetic: str, real: str, out: str, years: int = 4)
     s, r = _told(spark, synthetic), _told(spark, real, None, years)
     got, base = text_metrics(r, s, ["grp", "story_id"], "id", "text", "tokens")
     both = r.select("id", "grp", "story_id", "text", F.lit(0).alias("y")).unionByName(s.select("id", "grp", "story_id", "text", F.lit(1).alias("y"))).withColumn("grams", retrieval.word_char_ngrams(F.col("text")))
-    p = told_apart(both, "id", "grams", "y", strata=["grp", "story_id"])
+    p = told_apart(both, "id", "grams", "y", strata=["grp", "story_id"], text="text")
     tables = {} if p is None else {"detectability_predictions": p}
     _write(out, synthetic=got, real=base, report=slice_report(got, base), detectability=detectability_summary(p, "y", spark), **tables)
 

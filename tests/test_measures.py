@@ -197,3 +197,17 @@ def test_detectability_runs_the_whole_operator(spark, tmp_path, monkeypatch):
     out = Q.detectability_auc(spark, str(tmp_path)).toPandas()
     assert sorted(out.fold) == [0, 1, 2, 3, 4] and (out.auc == 1).all()
     assert {len(g) for g in seen[0].first()["grams"]} == {3, 4, 5}
+
+
+def test_vocabulary_shuffles_texts_and_terms_once(spark):
+    from lexiloom.operators import detectability as X
+
+    rows = [(i % 7, i % 2, "ab ab cde" if i % 3 else "abcd xyz") for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, fold int, text string")
+    grams = retrieval.word_char_ngrams
+    got = X.gram_holders(df, "k", "text", grams)
+    want = X.gram_counts(df, "k", grams(F.col("text"))).select("fold", "term")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # the n-grams of a text are worked out after the last exchange
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode") < plan.index("Aggregate") and plan.count("Aggregate") == 1
