@@ -211,3 +211,16 @@ def test_vocabulary_shuffles_texts_and_terms_once(spark):
     # the n-grams of a text are worked out after the last exchange
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode") < plan.index("Aggregate") and plan.count("Aggregate") == 1
+
+
+def test_neighbours_in_parts_of_the_pool(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    rows = [(i, "ab"[i % 2], float(g.integers(0, 9)), None if i % 5 == 0 else float(g.integers(0, 9))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, grp string, x double, y double")
+    queries = df.where("id % 4 = 0").union(df.where("id = 4"))  # one of them twice
+    run = lambda **k: sorted(map(tuple, retrieval.zscore_neighbours(queries, df, "grp", "id", "id", ["x", "y"], F.col("query_id") == F.col("candidate_id"), **k).drop("margin").collect()))
+    whole, best = run(), run(best=2)
+    assert len(whole) == 10 * 19 and {r[3] for r in whole if r[1] == 4} == {1, 2}
+    monkeypatch.setattr(retrieval, "POOL_ROWS", 3)
+    assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in run()] == [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in whole]
+    assert best == [r for r in whole if r[-1] <= 2]
