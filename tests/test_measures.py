@@ -224,3 +224,12 @@ def test_neighbours_in_parts_of_the_pool(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "POOL_ROWS", 3)
     assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in run()] == [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in whole]
     assert best == [r for r in whole if r[-1] <= 2]
+
+
+def test_vectors_of_texts_whose_key_is_named_id(spark):
+    from lexiloom.operators import detectability as X
+
+    df = spark.createDataFrame([(i, i % 2, "ab abc" if i % 3 else "abc xyz") for i in range(12)], "id long, fold int, text string")
+    counts = X.gram_counts(df, "id", retrieval.word_char_ngrams(F.col("text")))
+    vectors, width = X.gram_vectors(df.drop("text"), counts, X.gram_index(counts, {0: 6, 1: 6}), "id", [0, 1])
+    assert width > 0 and sorted(r["id"] for r in vectors.collect()) == list(range(12))
