@@ -38,6 +38,7 @@ CONTEXT, STRIDE = 8, 16
 HEADS = 2
 SLOTS = CONTEXT + STRIDE
 SHARD, ROUNDS, BATCH = 1 << 17, 4, 32  # windows of a shard; each window is trained on once, in one of the rounds
+AT_ONCE = 1 << 20  # bytes of text cut into windows at once
 
 
 class Subwords:
@@ -122,11 +123,16 @@ class CausalModel:
 
     def with_weights(self, flat: np.ndarray) -> CausalModel:
         """A model of the same counts with other weights."""
-        out, at = copy(self), 0
-        out.p = {}
+        out = copy(self)
+        out.p = self._views(flat.copy())
+        return out
+
+    def _views(self, flat: np.ndarray) -> dict:
+        """The weights as parts of one vector."""
+        out, at = {}, 0
         for k in sorted(self.p):
             n = self.p[k].size
-            out.p[k] = flat[at : at + n].reshape(self.p[k].shape).copy()
+            out[k] = flat[at : at + n].reshape(self.p[k].shape)
             at += n
         return out
 
@@ -139,19 +145,6 @@ class CausalModel:
         self.rows, self.cols = np.log(row).astype(np.float32), np.log(p / row[:, :, None]).astype(np.float32).reshape(VOCAB * SIDE, SIDE)
         return self
 
-    def _attend(self, ids: np.ndarray, first: np.ndarray):
-        p = self.p
-        x = p["E"][ids]
-        q = self._split(x[:, CONTEXT:] @ p["Q"])
-        k, v = (self._split(x @ p[w]) for w in "KV")
-        s = (q * np.float32(np.sqrt(HEADS / self.dim))) @ k.transpose(0, 1, 3, 2)
-        s += p["R"][:, _BACK] + _CAUSAL
-        s = np.exp(np.minimum(s, np.float32(40), out=s), out=s)
-        s[first, :, :, :CONTEXT] = 0
-        s /= s.sum(3, keepdims=True)
-        o = self._join(s @ v)
-        return x, q, k, v, s, o, x[:, CONTEXT:] + o @ p["O"]
-
     def _split(self, m: np.ndarray) -> np.ndarray:
         return m.reshape(len(m), m.shape[1], HEADS, -1).transpose(0, 2, 1, 3)
 
@@ -219,46 +212,73 @@ class CausalModel:
 
     def step(self, ids, first, target, weight):
         """Mean loss and gradients over a batch of windows."""
-        p, d = self.p, self.dim
-        x, q, k, v, a, o, h = self._attend(ids, first)
-        hs = h.reshape(-1, d)
+        p, d, n = self.p, self.dim, len(ids)
+        split = lambda m, w: self._split(m.reshape(n, w, d))
         y, w = target.ravel(), (weight / max(weight.sum(), 1)).ravel().astype(np.float32)
-        row, col, i, prev = y // SIDE, y % SIDE, np.arange(len(y)), ids[:, CONTEXT:].ravel()
+        row, i, prev = y // SIDE, np.arange(len(y)), ids[:, CONTEXT:].ravel()
+        col = y - row * SIDE
+        # all slots give keys and values, those after the context ask
+        x, xq = np.take(p["E"], ids.ravel(), 0), np.take(p["E"], prev, 0)
+        both, scaled = np.concatenate([p["K"], p["V"]], 1), p["Q"] * np.float32(np.sqrt(HEADS / d))
+        kv, q = x @ both, split(xq @ scaled, STRIDE)
+        k, v = split(kv[:, :d], SLOTS), split(kv[:, d:], SLOTS)
+        a = q @ k.transpose(0, 1, 3, 2)
+        a += p["R"][:, _BACK] + _CAUSAL
+        np.exp(np.minimum(a, np.float32(40), out=a), out=a)
+        a[first, :, :, :CONTEXT] = 0
+        a /= (a.reshape(-1, SLOTS) @ _ONES[:SLOTS]).reshape(n, HEADS, STRIDE, 1)
+        o = np.empty_like(xq)
+        np.matmul(a, v, out=split(o, STRIDE))
+        hs = o @ p["O"]
+        hs += xq
 
         def soft(z, c):
-            z = z - z.max(1, keepdims=True)
-            e = np.exp(z)
-            e /= e.sum(1, keepdims=True)
+            e = np.exp(np.minimum(z, np.float32(60), out=z), out=z)
+            e *= (1 / (e @ _ONES[:SIDE]))[:, None]
             loss = -(np.log(e[i, c] + 1e-20) * w).sum()
             e[i, c] -= 1
-            return loss, e * w[:, None]
-
-        l1, d1 = soft(hs @ p["U1"] + self.rows[prev], row)
-        t = np.tanh(hs + p["C"][row])
-        l2, d2 = soft(t @ p["U2"] + self.cols[prev * SIDE + row], col)
+            e *= w[:, None]
+            return loss, e
+
+        z = hs @ p["U1"]
+        z += np.take(self.rows, prev, 0)
+        l1, d1 = soft(z, row)
+        t = np.take(p["C"], row, 0)
+        t += hs
+        np.tanh(t, out=t)
+        z = t @ p["U2"]
+        z += np.take(self.cols, prev * SIDE + row, 0)
+        l2, d2 = soft(z, col)
         pick = np.zeros((len(y), SIDE), np.float32)
         pick[i, row] = 1
-        dt = (d2 @ p["U2"].T) * (1 - t * t)
-        g = {"U1": hs.T @ d1, "U2": t.T @ d2, "C": pick.T @ dt}
-        dh = (d1 @ p["U1"].T + dt).reshape(len(ids), STRIDE, d)
-        flat = lambda m: m.reshape(-1, d)
-        g["O"] = flat(o).T @ flat(dh)
-        do = self._split(dh @ p["O"].T)
-        dv = self._join(a.transpose(0, 1, 3, 2) @ do)
-        da = do @ v.transpose(0, 1, 3, 2)
-        ds = a * (da - (da * a).sum(3, keepdims=True))
-        g["R"] = np.stack([np.bincount(_BACK.ravel(), (m * (_CAUSAL == 0)).ravel(), SLOTS) for m in ds.sum(0)]).astype(np.float32)
-        ds *= np.float32(np.sqrt(HEADS / d))
-        dq, dk = self._join(ds @ k), self._join(ds.transpose(0, 1, 3, 2) @ q)
-        g["Q"], g["K"], g["V"] = flat(x[:, CONTEXT:]).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, CONTEXT:] += dh + dq @ p["Q"].T
+        g = {"U1": hs.T @ d1, "U2": t.T @ d2}
+        dt = d2 @ p["U2"].T
+        dt *= 1 - t * t
+        g["C"] = pick.T @ dt
+        dh = d1 @ p["U1"].T
+        dh += dt
+        g["O"] = o.T @ dh
+        do = split(dh @ p["O"].T, STRIDE)
+        dkv, dq = np.empty_like(kv), np.empty_like(xq)
+        np.matmul(a.transpose(0, 1, 3, 2), do, out=split(dkv[:, d:], SLOTS))
+        ds = do @ v.transpose(0, 1, 3, 2)
+        ds *= a
+        a *= (ds.reshape(-1, SLOTS) @ _ONES[:SLOTS]).reshape(n, HEADS, STRIDE, 1)
+        ds -= a
+        g["R"] = ds.sum(0).reshape(HEADS, -1) @ _AWAY
+        np.matmul(ds, k, out=split(dq, STRIDE))
+        np.matmul(ds.transpose(0, 1, 3, 2), q, out=split(dkv[:, :d], SLOTS))
+        g["Q"], gkv = xq.T @ dq * np.float32(np.sqrt(HEADS / d)), x.T @ dkv
+        g["K"], g["V"] = gkv[:, :d], gkv[:, d:]
+        dx = dkv @ both.T
+        dh += dq @ scaled.T
+        dx.reshape(n, SLOTS, d)[:, CONTEXT:] += dh.reshape(n, STRIDE, d)
         order = np.argsort(ids.ravel(), kind="stable")
-        s, _ = runs(ids.ravel()[order])
-        ge = np.zeros_like(p["E"])
+        at = ids.ravel()[order]
+        s, _ = runs(at)
+        g["E"] = np.zeros_like(p["E"])
         if len(s):
-            ge[ids.ravel()[order][s]] = np.add.reduceat(flat(dx)[order], s, axis=0)
-        g["E"] = ge
+            g["E"][at[s]] = np.add.reduceat(np.take(dx, order, 0), s, axis=0)
         return l1 + l2, g
 
     def fit(self, windows: np.ndarray, steps: int, batch: int = BATCH, rate: float = 8e-3, seed: int = 0, share: tuple = (0, 1)) -> CausalModel:
@@ -267,27 +287,37 @@ class CausalModel:
         if not len(windows):
             return self
         g = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        flat, names = self.weights(), sorted(self.p)
+        self.p = self._views(flat)
+        m, s, x, far = (np.zeros_like(flat) for _ in range(4))
         order, at = g.permutation(len(windows)), 0
         for t in range(1, steps + 1):
             if at >= len(windows):
                 order, at = g.permutation(len(windows)), 0
             w = windows[order[at : at + batch]]
             at += batch
-            x, left = w[:, 2:].astype(np.int32), w[:, 1]
-            _, grad = self.step(x[:, :-1], np.flatnonzero(w[:, 0] == 0), x[:, CONTEXT + 1 :], np.arange(STRIDE) < left[:, None])
-            lr = np.float32(rate * (1 - 0.9 * (share[0] + t / steps) / share[1]))
-            for k, v in grad.items():
-                m[k] += np.float32(0.1) * (v - m[k])
-                s[k] += np.float32(0.01) * (v * v - s[k])
-                self.p[k] -= lr * (m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(s[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+            ids, left = w[:, 2:].astype(np.int64), w[:, 1]
+            _, grad = self.step(ids[:, :-1], np.flatnonzero(w[:, 0] == 0), ids[:, CONTEXT + 1 :], np.arange(STRIDE) < left[:, None])
+            lr = rate * (1 - 0.9 * (share[0] + t / steps) / share[1])
+            np.concatenate([grad[k].ravel() for k in names], out=x)
+            np.multiply(x, x, out=far)
+            for mean, new, new_share in ((m, x, 0.1), (s, far, 0.01)):
+                new *= np.float32(new_share)
+                mean *= np.float32(1 - new_share)
+                mean += new
+            np.sqrt(s, out=far)
+            far *= np.float32(1 / np.sqrt(1 - 0.99**t))
+            far += np.float32(1e-8)
+            np.divide(m, far, out=x)
+            x *= np.float32(lr / (1 - 0.9**t))
+            flat -= x
         return self
 
 
 _BACK = np.maximum(np.arange(CONTEXT, SLOTS)[:, None] - np.arange(SLOTS), 0)
 _ONES = np.ones(max(SIDE, SLOTS), np.float32)
 _CAUSAL = np.where(np.arange(CONTEXT, SLOTS)[:, None] >= np.arange(SLOTS), 0, -1e4).astype(np.float32)
+_AWAY = ((_BACK.ravel()[:, None] == np.arange(SLOTS)) & (_CAUSAL.ravel()[:, None] == 0)).astype(np.float32)  # the distance of each pair
 
 
 class Layout:
@@ -354,6 +384,21 @@ def _learned(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(kind, pa.int32()), pa.array(nth, pa.int32()), pa.array(weight, pa.float64()), pa.array(load, pa.binary())], ["g", "kind", "round", "weight", "load"])
 
 
+def stretches(offs: np.ndarray, limit: int):
+    """Ranges of texts of about ``limit`` bytes, one text at least, so that memory does not follow the size of Arrow batches."""
+    lo = 0
+    while lo < len(offs) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _add(total: np.ndarray, pairs: list) -> np.ndarray:
+    if pairs:
+        total += np.bincount(np.concatenate(pairs), minlength=len(total))
+    return total
+
+
 def gather(train: DataFrame, ranks: dict, share: float, shards: int, text: str = "text", key: str | None = None) -> DataFrame:
     """One pass over all texts: id bigram counts of each task by slices of the previous id, and the windows (or a ``share`` of
     them) by shard and round.  A window goes by a hash of its document's id, its place and its ids, however rows and files lie."""
@@ -361,33 +406,44 @@ def gather(train: DataFrame, ranks: dict, share: float, shards: int, text: str =
     weigh = g.integers(1, 1 << 62, SLOTS + 3, dtype=np.uint64) | U64(1)
     shared = train.sparkSession.sparkContext.broadcast(ranks)  # PIECES entries
 
+    def dealt(made):
+        name, every = (np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, U64), np.zeros((0, SLOTS + 3), np.uint16))
+        shard, turn = mix(name) % U64(shards), (name & U64(0x7FF)) % U64(ROUNDS)
+        order = np.argsort(shard * U64(ROUNDS) + turn, kind="stable")
+        s, size = runs((shard * U64(ROUNDS) + turn)[order])
+        rows = every[order]
+        return _learned([(int(shard[order[a]]), _WINDOWS, int(turn[order[a]]), float(n), rows[a : a + n].tobytes()) for a, n in zip(s, size)])
+
     def run(batches):
         code, words = Subwords(shared.value), Words(SPACE, limit=1 << 18)
         total = np.zeros(VOCAB * VOCAB, np.int64)
+        pairs, made = [], []
         for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                data, offs = text_bytes(b.column(0).slice(i, 4096))
-                owner = mix(b.column(1).slice(i, 4096).to_numpy().astype(np.int64).view(U64) + U64(1))
-                _, _, ids, at = texts_as_ids(data, offs, code, words)
-                prev = np.empty(len(ids), np.int64)
+            data, offs = text_bytes(b.column(0))
+            owner = mix(b.column(1).to_numpy().astype(np.int64).view(U64) + U64(1))
+            for lo, hi in stretches(offs, AT_ONCE):
+                _, _, ids, at = texts_as_ids(data, offs[lo : hi + 1], code, words)
+                prev = np.empty(len(ids), np.uint32)
                 prev[1:] = ids[:-1]
                 prev[at[:-1]] = END
                 prev *= VOCAB
                 prev += ids
-                total += np.bincount(prev, minlength=VOCAB * VOCAB)
+                pairs.append(prev)
                 lay = Layout(ids, at)
                 every = lay.pack(np.arange(len(lay.doc)))
-                name = owner[lay.doc] + mix(lay.nth.astype(U64))
+                name = owner[lo:hi][lay.doc] + mix(lay.nth.astype(U64))
                 for c, w in zip(every.T, weigh):
                     name += c.astype(U64) * w
                 name = mix(name)
-                drawn = np.flatnonzero((name >> U64(11)).astype(np.float64) < share * (1 << 53))
-                to = name[drawn] & U64(0x7FF)
-                shard, turn = mix(name[drawn]) % U64(shards), to % U64(ROUNDS)
-                order = np.lexsort((turn, shard))
-                s, size = runs((shard * U64(ROUNDS) + turn)[order])
-                rows = every[drawn[order]]
-                yield _learned([(int(shard[order[a]]), _WINDOWS, int(turn[order[a]]), float(n), rows[a : a + n].tobytes()) for a, n in zip(s, size)])
+                drawn = (name >> U64(11)).astype(np.float64) < share * (1 << 53)
+                made.append((name[drawn], every[drawn]))
+                if sum(map(len, pairs)) > 1 << 22:
+                    total, pairs = _add(total, pairs), []
+                if sum(len(x) for x, _ in made) > 1 << 18:
+                    yield dealt(made)
+                    made = []
+        yield dealt(made)
+        total = _add(total, pairs)
         used = np.flatnonzero(total)
         cut = np.searchsorted(used, np.arange(SLICES + 1) * (VOCAB * VOCAB // SLICES))
         yield _learned([(g, _PAIRS, 0, 0.0, pack(used[a:b].astype(np.uint32), narrow(total[used[a:b]]))) for g, (a, b) in enumerate(zip(cut, cut[1:])) if b > a])
@@ -415,10 +471,11 @@ def bigram_counts(gathered: DataFrame) -> np.ndarray:
     return out.reshape(VOCAB, VOCAB)
 
 
-def train_round(model: CausalModel, gathered: DataFrame, nth: int) -> CausalModel:
+def train_round(model: CausalModel, gathered: DataFrame, nth: int, shared=None) -> CausalModel:
     """Trains on every shard's windows of this round from the same weights, and takes the mean of what comes out, weighted
-    by windows.  Shards are trained where they lie; the weights are averaged in slices, by key."""
-    shared = gathered.sparkSession.sparkContext.broadcast(model)  # fixed size
+    by windows.  Shards are trained where they lie; the weights are averaged in slices, by key.  ``shared`` is a broadcast of
+    a model with the same counts, so that a round sends its weights alone."""
+    shared, start = shared or gathered.sparkSession.sparkContext.broadcast(model), model.weights()  # fixed size
 
     def run(batches):
         by: dict = {}
@@ -429,7 +486,7 @@ def train_round(model: CausalModel, gathered: DataFrame, nth: int) -> CausalMode
             parts = by.pop(g)
             windows = np.ascontiguousarray(np.concatenate(parts))
             windows = windows[np.argsort(windows.view(f"S{2 * (SLOTS + 3)}").ravel(), kind="stable")]  # in the order of their bytes
-            net = shared.value.copy()
+            net = shared.value.with_weights(start)
             net.fit(windows, -(-len(windows) // BATCH), seed=nth * 1000 + g, share=(nth, ROUNDS))
             total, seen = total + net.weights().astype(np.float64) * len(windows), seen + len(windows)
         if seen:  # the sum over the shards of a task
@@ -455,8 +512,10 @@ def fit_model(train: DataFrame, ranks: dict, text: str = "text", key: str | None
     windows = ((size or 0) / 2 + rows) / STRIDE + 1  # about: two bytes an id
     gathered = gather(texts, ranks, 1.0, max(1, round(windows / shard)), "t", "k" if key else None)
     model = CausalModel().start_from(bigram_counts(gathered))
+    shared = train.sparkSession.sparkContext.broadcast(model)  # the counts, many times the size of the weights, go out once
     for nth in range(ROUNDS):
-        model = train_round(model, gathered, nth)
+        model = train_round(model, gathered, nth, shared)
+    shared.destroy()
     drop(gathered)
     return model.ready()
 

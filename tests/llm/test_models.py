@@ -292,6 +292,29 @@ def test_training_helps(spark):
     assert held[0] > held[1]
 
 
+def test_texts_are_cut_into_windows_by_bytes():
+    """4,096 texts at once, whatever their size, took an executor over 3,000 MB on 0.5 GB."""
+    offs = np.cumsum([0, 5, 5, 0, 0, 30, 1, 2, 3, 0])
+    got = list(lm_scoring.stretches(offs, 10))
+    assert [a for a, _ in got] == [0, *(b for _, b in got[:-1])] and got[-1][1] == 9
+    assert all(offs[b] - offs[a] <= 10 or b == a + 1 for a, b in got) and len(got) == 3
+    assert list(lm_scoring.stretches(np.zeros(1, np.int64), 10)) == []
+    assert list(lm_scoring.stretches(np.arange(0, 4096 * 4096 + 1, 4096), lm_scoring.AT_ONCE))[0] == (0, 256)
+
+
+@TOK
+def test_a_round_sends_its_weights_alone(spark):
+    """The counts go out once: with them in every round's broadcast, rounds took most of op1's disk."""
+    df = spark.createDataFrame(texts(60), SCHEMA)
+    sent, real = [], type(spark.sparkContext).broadcast
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or real(self, x))
+        model = lm_scoring.fit_model(df, lm_scoring.load_pieces())
+    assert sum(isinstance(x, lm_scoring.CausalModel) for x in sent) == 1
+    again = lm_scoring.fit_model(df, lm_scoring.load_pieces())
+    assert (model.weights() == again.weights()).all()
+
+
 @TOK
 def test_scores_and_word_counts(spark):
     rows = texts(60) + ODD
