@@ -1,3 +1,4 @@
+import collections
 import math
 
 import numpy as np
@@ -233,3 +234,73 @@ def test_vectors_of_texts_whose_key_is_named_id(spark):
     counts = X.gram_counts(df, "id", retrieval.word_char_ngrams(F.col("text")))
     vectors, width = X.gram_vectors(df.drop("text"), counts, X.gram_index(counts, {0: 6, 1: 6}), "id", [0, 1])
     assert width > 0 and sorted(r["id"] for r in vectors.collect()) == list(range(12))
+
+
+def test_nearest_by_terms_in_blocks_equals_brute_force(spark):
+    """Pairs were written a row for each term they share; now blocks meet blocks (here of four texts), also at slices without a name."""
+    from lexiloom.operators.evaluation import nearest_by_terms
+
+    g = np.random.default_rng(5)
+    texts = [(i, [None, "a", "b"][int(g.integers(3))], [str(w) for w in g.choice(list("uvwxyz"), int(g.integers(1, 6)))]) for i in range(40)]
+    texts += [(40, "a", ["none"]), (41, "c", ["u"]), (42, "a", texts[0][2]), (43, "a", texts[0][2]), (44, "a", [])]
+    real = spark.createDataFrame(texts, "id long, s string, terms array<string>")
+    others = [(i + 100, s, w) for i, s, w in texts]
+    rows = spark.createDataFrame(others, "id long, s string, terms array<string>")
+
+    def want(asked, leave_out):
+        out = {}
+        for i, s, terms in asked:
+            pool = [(j, w) for j, z, w in texts if z == s]
+            df = collections.Counter(t for _, w in pool for t in set(w))
+
+            def unit(w):
+                x = {t: (1 + math.log(n)) * (math.log((1 + len(pool)) / (1 + df[t])) + 1) for t, n in collections.Counter(w).items() if t in df}
+                size = math.sqrt(sum(v * v for v in x.values()))
+                return {t: v / size for t, v in x.items()}
+
+            x = unit(terms)
+            near = [(round(sum(v * x.get(t, 0) for t, v in unit(w).items()), 12), j) for j, w in pool if not (leave_out and i == j)]
+            best = min(near, key=lambda p: (-p[0], p[1]), default=(None, None))
+            out[i] = (len(near), best[1], best[0], sum(p[0] for p in near) / len(near) if near else None)
+        return out
+
+    for asked, table, leave_out in ((texts, real, True), (others, rows, False)):
+        truth = want(asked, leave_out)
+        for block in (4, 1000):
+            got = {r[1]: tuple(r[2:]) for r in nearest_by_terms(real, table, ["s"], "id", "terms", leave_out, block).collect()}
+            assert len(got) == len(asked)
+            for i, (n, best, top, mean) in truth.items():
+                low = [j for j, z, _ in texts if z == dict((a, b) for a, b, _ in asked)[i] and not (leave_out and j == i)]
+                assert got[i][0] == n and (n == 0 or abs(got[i][2] - top) < 1e-9 and abs(got[i][3] - mean) < 1e-9), i
+                if n and top > 0:
+                    assert got[i][1] == best, i
+                elif n:  # shares nothing: the first one, the last if it is the first itself
+                    assert got[i][1] in (min(low), max(low)), i
+
+
+def test_cosines_of_frequent_and_rare_columns():
+    from lexiloom.operators.evaluation import _cosines
+
+    g = np.random.default_rng(2)
+    a, b = (g.random((n, 50)) * (g.random((n, 50)) < np.linspace(0.01, 0.9, 50)) for n in (23, 31))
+    table = lambda m: (*(x.astype(np.int64) for x in np.nonzero(m)), m[np.nonzero(m)])
+    for often in (0.0, 0.3, 2.0):
+        out = np.zeros((23, 31))
+        for lo, s in _cosines(table(a), table(b), 31, often, 7, 40):
+            out[lo : lo + len(s)] += s
+        assert np.allclose(out, a @ b.T)
+
+
+def test_measures_that_are_not_asked_for_are_not_made(spark):
+    from lexiloom.operators.evaluation import slice_report, text_metrics
+
+    rows = [(i, i % 2, 0, f"the dog {'ran' if i % 3 else 'sat'} {i}", ["the", "dog", "ran" if i % 3 else "sat"]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, grp int, story_id int, text string, tokens array<string>")
+    sides = df.where("id < 8"), df.where("id >= 8")
+    whole, base = text_metrics(*sides, ["grp", "story_id"], "id", "text", "tokens")
+    got, less = text_metrics(*sides, ["grp", "story_id"], "id", "text", "tokens", ("terms", "bigram"))
+    assert not [c for c in got.columns + less.columns if "rouge" in c or "unigram" in c] and "nearest_rouge_l_f1" in base.columns
+    order = lambda d, c: sorted(map(repr, d.select(*c).collect()))
+    assert order(whole, got.columns) == order(got, got.columns)
+    report = slice_report(got, less)
+    assert order(slice_report(whole, base), report.columns) == order(report, report.columns)
