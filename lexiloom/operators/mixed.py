@@ -196,19 +196,30 @@ class _Binomial:
         return g, a + np.eye(p + 1) * 1e-6 * max(1.0, np.trace(a))
 
 
-def binomial_model(df: DataFrame, successes: str, trials: str, terms: list[str], cluster: str, model: str = "m", most: int = 40, close: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+def _binomial_rows(df: DataFrame, successes: str, trials: str, terms: list[str], cluster: str) -> DataFrame:
+    """(cluster, x:<term>, rows, y, m, choose): the usable rows, those of a cluster that agree in all terms added up."""
+    d = df.select(F.col(cluster), *[term(c).alias(f"x:{c}") for c in terms], F.col(successes).cast("double").alias("y"), F.col(trials).cast("double").alias("m"))
+    d = d.where(_usable(*[F.col(f"`x:{c}`") for c in terms], F.col("y"), F.col("m")) & (F.col("m") > 0))
+    d = d.withColumn("choose", _ln_factorial(F.col("m")) - _ln_factorial(F.col("y")) - _ln_factorial(F.col("m") - F.col("y")))
+    return d.groupBy(cluster, *[f"`x:{c}`" for c in terms]).agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in ("y", "m", "choose")])
+
+
+def _added(rows: DataFrame, terms: list[str], cluster: str) -> DataFrame:
+    """Of these rows the columns x0, ... of a model with fewer terms, added up again."""
+    x = [F.lit(1.0), *[F.col(f"`x:{c}`") for c in terms]]
+    d = rows.select(F.col(cluster), *[c.alias(f"x{j}") for j, c in enumerate(x)], "rows", "y", "m", "choose")
+    return d.groupBy(cluster, *[f"x{j}" for j in range(len(x))]).agg(*[F.sum(c).alias(c) for c in ("rows", "y", "m", "choose")])
+
+
+def binomial_model(df: DataFrame, successes: str, trials: str, terms: list[str], cluster: str, model: str = "m", most: int = 40, close: float = 1e-6, added: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(fit, modes) of successes out of trials on the logit scale, with a random intercept per cluster, by Laplace's approximation.
 
     ``modes`` has (cluster, mode, se): the intercept of each cluster, in units of eta.  Rows with a gap or without trials are
     left out; rows of a cluster that agree in all terms are added up first.  Newton steps with halving maximise the
-    likelihood; ``sigma`` of the fit is null, ``tau`` the spread of the intercepts.  No usable row: no fit and no modes."""
-    x = [F.lit(1.0), *map(term, terms)]
-    p = len(x)
-    named = [c.alias(f"x{j}") for j, c in enumerate(x)]
-    d = df.select(F.col(cluster), *named, F.col(successes).cast("double").alias("y"), F.col(trials).cast("double").alias("m"))
-    d = d.where(_usable(*map(F.col, [*(f"x{j}" for j in range(p)), "y", "m"])) & (F.col("m") > 0))
-    d = d.withColumn("choose", _ln_factorial(F.col("m")) - _ln_factorial(F.col("y")) - _ln_factorial(F.col("m") - F.col("y")))
-    rows = kept(d.groupBy(cluster, *[f"x{j}" for j in range(p)]).agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in ("y", "m", "choose")]))
+    likelihood; ``sigma`` of the fit is null, ``tau`` the spread of the intercepts.  No usable row: no fit and no modes.
+    ``added``: rows that are added up already, by these terms and perhaps others."""
+    p = len(terms) + 1
+    rows = kept(_added(_binomial_rows(df, successes, trials, terms, cluster) if added is None else added, terms, cluster))
     n, y, m = rows.agg(F.sum("rows"), F.sum("y"), F.sum("m")).first()
     spark = df.sparkSession
     if not n:
@@ -241,8 +252,8 @@ def binomial_model(df: DataFrame, successes: str, trials: str, terms: list[str],
 def binomial_models(df: DataFrame, successes: str, trials: str, models: dict[str, list[str]], cluster: str) -> DataFrame:
     """Fits of several models of one outcome, over the rows that all of them can use."""
     terms = list(dict.fromkeys(c for m in models.values() for c in m))
-    same = df.where(_usable(*[term(c) for c in terms])) if terms else df
-    return reduce(DataFrame.unionByName, [binomial_model(same, successes, trials, own, cluster, name)[0] for name, own in models.items()])
+    rows = kept(_binomial_rows(df, successes, trials, terms, cluster))  # the table is read once, for all models
+    return reduce(DataFrame.unionByName, [binomial_model(df, successes, trials, own, cluster, name, added=rows)[0] for name, own in models.items()])
 
 
 # ---------------------------------------------------------------- tails

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.operators import mixed
 
@@ -224,3 +225,31 @@ def test_parallel_analysis_on_noise_and_on_planted_factors(spark):
     assert [r["kept"] for r in parallel_analysis(frame_of(planted), names, draws=200).orderBy("component").collect()] == [True, True, False, False, False, False]
     few = parallel_analysis(frame_of(noise[:4]), names).collect()
     assert len(few) == 6 and not any(r["kept"] for r in few)
+
+
+def test_binomial_models_read_their_rows_once(spark):
+    """Every model used to read the table, and with it the texts it is measured from."""
+    g = np.random.default_rng(3)
+    rows = [(int(i % 6), float(i % 2), float(g.normal()), int(g.integers(0, 5)), 5) for i in range(60)] + [(1, None, 1.0, 1, 2), (2, 1.0, 1.0, 0, 0)]
+    df = frame(spark, rows, "c int, a double, z double, y int, m int")
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda x: seen.add(1) or x, "int").asNondeterministic()
+    models = {"m0": ["a"], "m1": ["a", "z"]}
+    parts = []
+
+    def fitted(table, successes, trials, own, cluster, name, added=None):
+        table = table if added is None else mixed._added(added, own, cluster)
+        parts.append(table.collect())
+        return table.limit(0).select("c"), None
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mixed, "binomial_model", fitted)
+        mixed.binomial_models(df.withColumn("y", told("y")), "y", "m", models, "c")
+    assert seen.value == len(rows)
+    for got, wide in zip(parts, (2, 3)):
+        want = {}
+        for c, a, z, y, m in rows[:60]:
+            at = (c, 1.0, a, z)[: wide + 1]
+            n, u, v = want.get(at, (0, 0, 0))
+            want[at] = n + 1, u + y, v + m
+        assert {tuple(r[: wide + 1]): (r["rows"], r["y"], r["m"]) for r in got} == want
