@@ -39,6 +39,7 @@ HEADS = 2
 SLOTS = CONTEXT + STRIDE
 SHARD, ROUNDS, BATCH = 1 << 17, 4, 32  # windows of a shard; each window is trained on once, in one of the rounds
 AT_ONCE = 1 << 20  # bytes of text cut into windows at once
+BLOCK, BLOCK_ROWS = 8 << 20, 4096  # bytes and texts of which word counts go out together
 
 
 class Subwords:
@@ -273,12 +274,8 @@ class CausalModel:
         dx = dkv @ both.T
         dh += dq @ scaled.T
         dx.reshape(n, SLOTS, d)[:, CONTEXT:] += dh.reshape(n, STRIDE, d)
-        order = np.argsort(ids.ravel(), kind="stable")
-        at = ids.ravel()[order]
-        s, _ = runs(at)
-        g["E"] = np.zeros_like(p["E"])
-        if len(s):
-            g["E"][at[s]] = np.add.reduceat(np.take(dx, order, 0), s, axis=0)
+        at = (ids.reshape(-1, 1) * d + np.arange(d)).ravel()
+        g["E"] = np.bincount(at, dx.ravel(), p["E"].size).astype(np.float32).reshape(p["E"].shape)
         return l1 + l2, g
 
     def fit(self, windows: np.ndarray, steps: int, batch: int = BATCH, rate: float = 8e-3, seed: int = 0, share: tuple = (0, 1)) -> CausalModel:
@@ -384,11 +381,23 @@ def _learned(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(kind, pa.int32()), pa.array(nth, pa.int32()), pa.array(weight, pa.float64()), pa.array(load, pa.binary())], ["g", "kind", "round", "weight", "load"])
 
 
-def stretches(offs: np.ndarray, limit: int):
-    """Ranges of texts of about ``limit`` bytes, one text at least, so that memory does not follow the size of Arrow batches."""
+def block_scores(model: CausalModel, data: np.ndarray, offs: np.ndarray, subwords: Subwords, words: Words):
+    """Words (doc, hash) and log10 probability of each text.  Windows and ids, many times the size of the texts, are only held for
+    ``AT_ONCE`` bytes of them."""
+    parts = []
+    for lo, hi in stretches(offs, AT_ONCE):
+        doc, h, ids, at = texts_as_ids(data, offs[lo : hi + 1], subwords, words)
+        parts.append((doc + np.int32(lo), h, score_ids(model, ids, at)))
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def stretches(offs: np.ndarray, limit: int, most: int | None = None):
+    """Ranges of texts of about ``limit`` bytes, one text at least and ``most`` texts at most, so that memory does not follow the
+    size of Arrow batches."""
     lo = 0
     while lo < len(offs) - 1:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        hi = min(hi, lo + most) if most else hi
         yield lo, hi
         lo = hi
 
@@ -542,15 +551,15 @@ def score_texts(docs: DataFrame, model: CausalModel, ranks: dict, held_out, key:
         code, words = Subwords(known_pieces), Words(SPACE, limit=1 << 18)
         shift, nth = U64(64 - (buckets.bit_length() - 1)), 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                b = batch.slice(i, 4096)
+            data, offs = text_bytes(batch.column(2))
+            for lo, hi in stretches(offs, BLOCK, BLOCK_ROWS):
+                b = batch.slice(lo, hi - lo)
                 block = block_id(nth)
                 nth += 1
                 held = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                data, offs = text_bytes(b.column(2))
-                doc, h, ids, at = texts_as_ids(data, offs, code, words)
+                doc, h, score = block_scores(net, data, offs[lo : hi + 1], code, words)
                 n = len(held)
-                rows = [(block % buckets, block, _TABLE, pack(longs(b.column(0)), held.astype(np.uint8), np.bincount(doc, minlength=n), np.round(score_ids(net, ids, at), 4)))]
+                rows = [(block % buckets, block, _TABLE, pack(longs(b.column(0)), held.astype(np.uint8), np.bincount(doc, minlength=n), np.round(score, 4)))]
                 order = np.argsort(h, kind="stable")
                 h, doc = h[order], doc[order]
                 new = np.ones(len(h), bool)
