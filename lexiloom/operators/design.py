@@ -45,10 +45,12 @@ def eval_manifest(rounds: DataFrame, pair: str = "pair_id", groups: dict[str, st
     """Round x pair of every other round: who may be evaluated in it, one row for each group's child."""
     groups = groups or {"TD": "td_child_id", "SLI": "sli_child_id"}
     index = rounds.select("round_index").distinct()
-    pool = rounds.withColumnRenamed("round_index", "own_round")
-    m = pool.crossJoin(F.broadcast(index)).where("round_index <> own_round")  # one row a round
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(c).cast("string").alias("child")) for g, c in groups.items()]))
-    return m.select("round_index", F.col(pair).alias("eval_pair_id"), each.alias("e")).select("round_index", "eval_pair_id", F.col("e.grp").alias("eval_group"), F.col("e.child").alias("eval_child_id"))
+    pool = rounds.select(F.col("round_index").alias("own_round"), F.col(pair).alias("eval_pair_id"), each.alias("e")).select("own_round", "eval_pair_id", F.col("e.grp").alias("eval_group"), F.col("e.child").alias("eval_child_id"))
+    # rounds are numbered in one task; the list, which grows with their square, is made in all, and a count keeps it so
+    pool = pool.repartition(4 * rounds.sparkSession.sparkContext.defaultParallelism)
+    m = pool.crossJoin(F.broadcast(index)).where("round_index <> own_round")  # one row a round
+    return m.select("round_index", "eval_pair_id", "eval_group", "eval_child_id")
 
 
 def held_out(real: DataFrame, prompts: DataFrame, rounds: DataFrame, keys: list[str]) -> DataFrame:

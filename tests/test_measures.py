@@ -116,6 +116,17 @@ def test_designs(spark):
     assert {r["column_name"]: (r["is_constant"], r["is_id_like"]) for r in inv.collect()} == {"id": (0, 1), "v": (1, 0)}
 
 
+def test_manifest_is_made_in_many_tasks(spark):
+    """Rounds are numbered in one task, and the whole list, which grows with their square, was made in that one too."""
+    roster = spark.range(400).selectExpr("concat('p', id) AS pair_id", "id AS td_child_id", "id + 1000 AS sli_child_id").coalesce(1)
+    m = design.eval_manifest(design.prompt_rounds(roster, 7, ["td_child_id"]))
+    tasks = m.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    n = sum(r["count"] for r in tasks)
+    assert n == 2 * (400 * 58 - 400) and len(tasks) > 3 and max(r["count"] for r in tasks) < n / 3
+    want = {(k, f"p{i}", g, str(i + (1000 if g == "SLI" else 0))) for i in range(400) for k in range(1, 59) for g in ("TD", "SLI") if k != i // 7 + 1}
+    assert set(map(tuple, m.collect())) == want
+
+
 def test_bootstrap_takes_all_rows(spark, tmp_path):
     from lexiloom.plans.measure_queries import bootstrap_interval
 
