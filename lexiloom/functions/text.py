@@ -114,10 +114,39 @@ CLEANERS: dict[str, list[tuple[str, str]]] = {
 }
 
 
+# Patterns that match the same and cost the regex engine less.  A single space is what white space becomes, so it is
+# left alone; words and marks are looked for by their first character; a class that negates others gets ten times slower once
+# another pattern of the same query has one, so it is spelled out.
+QUICK: dict[tuple[str, str], tuple[str, str]] = {
+    (r"\s+", " "): (r"\s(?:\s+|(?<=[^ ]))", " "),
+    (r"[^\w\s.?!]", ""): (r"[\x00-\x08\x0E-\x1F\"-\x2D/:->@\[-\x5E`{-\x{10FFFF}]", ""),
+    (r"[^\w\s]", ""): (r"[\x00-\x08\x0E-\x1F!-/:-@\[-\x5E`{-\x{10FFFF}]", ""),
+    (r"\b0\w+\b", ""): (r"0(?<=\b0)\w+\b", ""),
+    (r"\b0\w+", ""): (r"0(?<=\b0)\w+", ""),
+    (r"\b0([A-Za-z']+)", "$1"): (r"0(?<=\b0)([A-Za-z']+)", "$1"),
+    (r"xxx|yyy", ""): (r"[xy](?:(?<=x)xx|(?<=y)yy)", ""),
+    (r"([a-zA-Z]):+", "$1"): (r":(?<=[a-zA-Z]:):*", ""),
+}
+
+# Cleaners as fewer substitutions, where some delete or blank marks that have no part in one another, or do again
+# what a later one does.
+FEWER: dict[str, list[tuple[str, str]]] = {
+    # \x15, events, fillers, line ends and brackets are blanked at once
+    "spoken": [*CLEANERS["spoken"][:3], *CLEANERS["spoken"][4:6], (r"[&+<>\x15](?:(?<=[<>\x15])|(?<=&)(?:=\w+|[+-][A-Za-z:']+)|(?<=\+)[/.!?]+)", " "), CLEANERS["spoken"][10]],
+    "plain": [*CLEANERS["plain"][:3], (r"[<>()]", ""), CLEANERS["plain"][5]],
+    # white space is squeezed once; ``.`` would stop at the line ends that squeezing leaves
+    "raw_pair": [*CLEANERS["raw_pair"][:7], (r"\x15[^\x15\u0085\u2028\u2029]*\x15", ""), *CLEANERS["raw_pair"][9:]],
+    # a colon between letters is one after a letter
+    "child": [*CLEANERS["child"][:6], *CLEANERS["child"][7:]],
+    "for_transcript": [(r"[\n\r\t,]", " "), CLEANERS["for_transcript"][1], *CLEANERS["for_transcript"][3:]],
+}
+
+
 def clean(col: Column | str, cleaner: str = "surface") -> Column:
+    """``CLEANERS`` in order, by way of their equals in ``FEWER`` and ``QUICK``."""
     out = F.col(col) if isinstance(col, str) else col
-    for pattern, to in CLEANERS[cleaner]:
-        out = F.regexp_replace(out, pattern, to)
+    for rule in FEWER.get(cleaner, CLEANERS[cleaner]):
+        out = F.regexp_replace(out, *QUICK.get(rule, rule))
     return F.trim(out)
 
 
