@@ -128,10 +128,10 @@ class CausalModel:
         out.p = self._views(flat.copy())
         return out
 
-    def _views(self, flat: np.ndarray) -> dict:
+    def _views(self, flat: np.ndarray, names: list | None = None) -> dict:
         """The weights as parts of one vector."""
         out, at = {}, 0
-        for k in sorted(self.p):
+        for k in names or sorted(self.p):
             n = self.p[k].size
             out[k] = flat[at : at + n].reshape(self.p[k].shape)
             at += n
@@ -175,7 +175,9 @@ class CausalModel:
         prev, y = ids[:, CONTEXT:].ravel(), target.ravel()
         kv = np.take(self.keys_values, ids, 0, out=self._space("kv", n, SLOTS, 2 * d), mode="clip")
         qx = np.take(self.queries, prev, 0, out=self._space("qx", m, 2 * d), mode="clip")
-        s = np.matmul(self._split(qx[:, :d].reshape(n, STRIDE, d)), self._split(kv[:, :, :d]).transpose(0, 1, 3, 2), out=self._space("s", n, HEADS, STRIDE, SLOTS))
+        keys = self._space("keys", n, HEADS, d // HEADS, SLOTS)
+        np.copyto(keys, self._split(kv[:, :, :d]).transpose(0, 1, 3, 2))
+        s = np.matmul(self._split(qx[:, :d].reshape(n, STRIDE, d)), keys, out=self._space("s", n, HEADS, STRIDE, SLOTS))
         s += self.bias
         if not self.tame:
             np.minimum(s, np.float32(60), out=s)
@@ -213,48 +215,57 @@ class CausalModel:
 
     def step(self, ids, first, target, weight):
         """Mean loss and gradients over a batch of windows."""
+        at = np.argsort(ids.ravel(), kind="stable")
+        loss, g, seen, rows = self._passes(ids, first, target, (weight / max(weight.sum(), 1)).astype(np.float32), at, True)
+        g["E"] = np.zeros_like(self.p["E"])
+        g["E"][seen] = rows
+        return loss, g
+
+    def _passes(self, ids, first, target, weight, order, with_loss: bool = False):
+        """(mean loss if it is asked for, gradients of all weights but the embeddings, the ids of the batch in order, the
+        gradients of their embeddings); ``order`` sorts the ids, and weights add up to 1."""
         p, d, n = self.p, self.dim, len(ids)
         split = lambda m, w: self._split(m.reshape(n, w, d))
-        y, w = target.ravel(), (weight / max(weight.sum(), 1)).ravel().astype(np.float32)
-        row, i, prev = y // SIDE, np.arange(len(y)), ids[:, CONTEXT:].ravel()
-        col = y - row * SIDE
+        y, w, ids, prev = target.ravel(), weight.ravel(), ids.ravel(), ids[:, CONTEXT:].ravel()
+        row, own = y // SIDE, np.arange(0, len(y) * SIDE, SIDE)
         # all slots give keys and values, those after the context ask
-        x, xq = np.take(p["E"], ids.ravel(), 0), np.take(p["E"], prev, 0)
+        x, xq = np.take(p["E"], ids, 0), np.take(p["E"], prev, 0)
         both, scaled = np.concatenate([p["K"], p["V"]], 1), p["Q"] * np.float32(np.sqrt(HEADS / d))
         kv, q = x @ both, split(xq @ scaled, STRIDE)
         k, v = split(kv[:, :d], SLOTS), split(kv[:, d:], SLOTS)
-        a = q @ k.transpose(0, 1, 3, 2)
-        a += p["R"][:, _BACK] + _CAUSAL
-        np.exp(np.minimum(a, np.float32(40), out=a), out=a)
+        a = q @ np.ascontiguousarray(k.transpose(0, 1, 3, 2))
+        a += np.take(p["R"], _BACK, 1) + _CAUSAL
+        np.exp(_at_most(a, 40), out=a)
         a[first, :, :, :CONTEXT] = 0
-        a /= (a.reshape(-1, SLOTS) @ _ONES[:SLOTS]).reshape(n, HEADS, STRIDE, 1)
+        a *= (1 / (a.reshape(-1, SLOTS) @ _ONES[:SLOTS])).reshape(n, HEADS, STRIDE, 1)
         o = np.empty_like(xq)
         np.matmul(a, v, out=split(o, STRIDE))
         hs = o @ p["O"]
         hs += xq
 
-        def soft(z, c):
-            e = np.exp(np.minimum(z, np.float32(60), out=z), out=z)
-            e *= (1 / (e @ _ONES[:SIDE]))[:, None]
-            loss = -(np.log(e[i, c] + 1e-20) * w).sum()
-            e[i, c] -= 1
-            e *= w[:, None]
-            return loss, e
+        def soft(z, at):
+            np.exp(_at_most(z, 60), out=z)
+            total, flat = z @ _ONES[:SIDE], z.reshape(-1)
+            loss = -(np.log(flat[at] / total + 1e-20) * w).sum() if with_loss else 0.0
+            z *= (w / total)[:, None]
+            flat[at] -= w
+            return loss, z
 
         z = hs @ p["U1"]
         z += np.take(self.rows, prev, 0)
-        l1, d1 = soft(z, row)
+        l1, d1 = soft(z, own + row)
         t = np.take(p["C"], row, 0)
         t += hs
         np.tanh(t, out=t)
         z = t @ p["U2"]
         z += np.take(self.cols, prev * SIDE + row, 0)
-        l2, d2 = soft(z, col)
+        l2, d2 = soft(z, own + (y - row * SIDE))
         pick = np.zeros((len(y), SIDE), np.float32)
-        pick[i, row] = 1
+        pick.reshape(-1)[own + row] = 1
         g = {"U1": hs.T @ d1, "U2": t.T @ d2}
         dt = d2 @ p["U2"].T
-        dt *= 1 - t * t
+        t *= t
+        dt *= np.subtract(1, t, out=t)
         g["C"] = pick.T @ dt
         dh = d1 @ p["U1"].T
         dh += dt
@@ -262,11 +273,11 @@ class CausalModel:
         do = split(dh @ p["O"].T, STRIDE)
         dkv, dq = np.empty_like(kv), np.empty_like(xq)
         np.matmul(a.transpose(0, 1, 3, 2), do, out=split(dkv[:, d:], SLOTS))
-        ds = do @ v.transpose(0, 1, 3, 2)
+        ds = do @ np.ascontiguousarray(v.transpose(0, 1, 3, 2))
         ds *= a
         a *= (ds.reshape(-1, SLOTS) @ _ONES[:SLOTS]).reshape(n, HEADS, STRIDE, 1)
         ds -= a
-        g["R"] = ds.sum(0).reshape(HEADS, -1) @ _AWAY
+        g["R"] = (np.ones(n, np.float32) @ ds.reshape(n, -1)).reshape(HEADS, -1) @ _AWAY
         np.matmul(ds, k, out=split(dq, STRIDE))
         np.matmul(ds.transpose(0, 1, 3, 2), q, out=split(dkv[:, :d], SLOTS))
         g["Q"], gkv = xq.T @ dq * np.float32(np.sqrt(HEADS / d)), x.T @ dkv
@@ -274,41 +285,73 @@ class CausalModel:
         dx = dkv @ both.T
         dh += dq @ scaled.T
         dx.reshape(n, SLOTS, d)[:, CONTEXT:] += dh.reshape(n, STRIDE, d)
-        at = (ids.reshape(-1, 1) * d + np.arange(d)).ravel()
-        g["E"] = np.bincount(at, dx.ravel(), p["E"].size).astype(np.float32).reshape(p["E"].shape)
-        return l1 + l2, g
+        at = np.take(ids, order)
+        s = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        return l1 + l2, g, np.take(at, s), np.add.reduceat(np.take(dx, order, 0), s, axis=0)
 
     def fit(self, windows: np.ndarray, steps: int, batch: int = BATCH, rate: float = 8e-3, seed: int = 0, share: tuple = (0, 1)) -> CausalModel:
         """Adam over windows as ``Layout.pack`` makes them, in random order again and again; the rate falls to a tenth over the
-        whole training, of which this is the part ``share[0]`` of ``share[1]``."""
+        whole training, of which this is the part ``share[0]`` of ``share[1]``.
+
+        The means of gradients and of their squares are held as multiples of their shrunken weights, 0.9^t and 0.99^t, so that a
+        step only adds to the means of the embeddings that it met."""
         if not len(windows):
             return self
         g = np.random.default_rng(seed)
-        flat, names = self.weights(), sorted(self.p)
-        self.p = self._views(flat)
-        m, s, x, far = (np.zeros_like(flat) for _ in range(4))
+        names = [*sorted(self.p.keys() - {"E"}), "E"]  # embeddings last
+        flat = np.concatenate([self.p[k].ravel() for k in names])
+        self.p = self._views(flat, names)
+        mean, square, begin = np.zeros_like(flat), np.zeros_like(flat), len(flat) - self.p["E"].size
+        mean_rows, square_rows = (x[begin:].reshape(self.p["E"].shape) for x in (mean, square))
+        parts = [slice(i, i + _STRIP) for i in range(0, len(flat), _STRIP)]
+        t = since = 0
+        for w in self._batches(windows, steps, batch, g):
+            _, grad, seen, rows = self._passes(*w)
+            t += 1
+            lr = rate * (1 - 0.9 * (share[0] + t / steps) / share[1])
+            if t - since > 256:  # before the multiples leave single precision
+                mean *= np.float32(0.9**256)
+                square *= np.float32(0.99**256)
+                since += 256
+            small, little = 0.9 ** (t - since), 0.99 ** (t - since)
+            others = np.concatenate([grad[k].ravel() for k in names[:-1]])
+            for m, s, at, new in ((mean, square, slice(0, begin), others), (mean_rows, square_rows, seen, rows)):
+                m[at] += new * np.float32(0.1 / small)
+                new *= new
+                new *= np.float32(0.01 / little)
+                s[at] += new
+            unit = np.sqrt((1 - 0.99**t) / little)
+            eps, rise = np.float32(1e-8 * unit), np.float32(lr / (1 - 0.9**t) * small * unit)
+            for part in parts:
+                far = np.sqrt(square[part])
+                far += eps
+                np.divide(mean[part], far, out=far)
+                far *= rise
+                flat[part] -= far
+        return self
+
+    def _batches(self, windows: np.ndarray, steps: int, batch: int, g: np.random.Generator):
+        """The arguments of ``_passes`` for each step, made for many steps at once."""
         order, at = g.permutation(len(windows)), 0
-        for t in range(1, steps + 1):
+        while steps > 0:
             if at >= len(windows):
                 order, at = g.permutation(len(windows)), 0
-            w = windows[order[at : at + batch]]
-            at += batch
-            ids, left = w[:, 2:].astype(np.int64), w[:, 1]
-            _, grad = self.step(ids[:, :-1], np.flatnonzero(w[:, 0] == 0), ids[:, CONTEXT + 1 :], np.arange(STRIDE) < left[:, None])
-            lr = rate * (1 - 0.9 * (share[0] + t / steps) / share[1])
-            np.concatenate([grad[k].ravel() for k in names], out=x)
-            np.multiply(x, x, out=far)
-            for mean, new, new_share in ((m, x, 0.1), (s, far, 0.01)):
-                new *= np.float32(new_share)
-                mean *= np.float32(1 - new_share)
-                mean += new
-            np.sqrt(s, out=far)
-            far *= np.float32(1 / np.sqrt(1 - 0.99**t))
-            far += np.float32(1e-8)
-            np.divide(m, far, out=x)
-            x *= np.float32(lr / (1 - 0.9**t))
-            flat -= x
-        return self
+            w = windows[order[at : at + _STEPS * batch]]
+            at += len(w)
+            ids, first = w[:, 2:].astype(np.int64), w[:, 0] == 0
+            weight = (np.arange(STRIDE) < w[:, 1, None]).astype(np.float32)
+            for lo in range(0, min(len(w), steps * batch), batch):
+                part = slice(lo, lo + batch)
+                yield ids[part, :-1], np.flatnonzero(first[part]), ids[part, CONTEXT + 1 :], weight[part] / max(weight[part].sum(), 1), np.argsort(w[part, 2:-1].ravel(), kind="stable")
+            steps -= -(-len(w) // batch)
+
+
+_STEPS, _STRIP = 64, 1 << 13  # steps made ready, and weights brought on, at once: as much as caches hold
+
+
+def _at_most(x: np.ndarray, limit: float) -> np.ndarray:
+    """``x`` held to a limit, in place; looking for the largest is cheaper than holding all, and mostly enough."""
+    return np.minimum(x, np.float32(limit), out=x) if x.size and x.max() > limit else x
 
 
 _BACK = np.maximum(np.arange(CONTEXT, SLOTS)[:, None] - np.arange(SLOTS), 0)

@@ -241,6 +241,37 @@ def test_attention_gradients():
         assert abs((a - b) / 2e-4 - v[i]) < 1e-5 + 1e-3 * abs(v[i]), k
 
 
+def test_training_is_adam_and_only_meets_the_embeddings_of_a_batch():
+    """Gradients and means of all embeddings, a hundred times those of a batch's ids, took much of op1's steps."""
+    g = np.random.default_rng(2)
+    start = lm_scoring.CausalModel(dim=8).start_from(g.integers(0, 5, (lm_scoring.VOCAB, lm_scoring.VOCAB)))
+    windows = g.integers(0, 60, (70, lm_scoring.SLOTS + 3)).astype(np.uint16)
+    windows[:, 0], windows[:, 1] = g.integers(0, 2, 70), g.integers(1, lm_scoring.STRIDE + 1, 70)
+    steps, batch, share = 600, 16, (1, 4)  # several passes with a short last batch
+    got = start.copy().fit(windows, steps, batch, seed=3, share=share)
+
+    want, g = start.copy(), np.random.default_rng(3)
+    m, s, met = ({k: np.zeros(v.shape) for k, v in want.p.items()} for _ in range(3))
+    order, at = g.permutation(len(windows)), 0
+    for t in range(1, steps + 1):
+        if at >= len(windows):
+            order, at = g.permutation(len(windows)), 0
+        w = windows[order[at : at + batch]].astype(np.int64)
+        at += batch
+        _, grad = want.step(w[:, 2:-1], np.flatnonzero(w[:, 0] == 0), w[:, lm_scoring.CONTEXT + 3 :], np.arange(lm_scoring.STRIDE) < w[:, 1, None])
+        for k, x in grad.items():
+            m[k], s[k] = 0.9 * m[k] + 0.1 * x, 0.99 * s[k] + 0.01 * np.square(x, dtype=np.float64)
+            rate = 8e-3 * (1 - 0.9 * (share[0] + t / steps) / share[1])
+            want.p[k] = (want.p[k] - rate * m[k] / (1 - 0.9**t) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+    assert all(np.abs(got.p[k] - want.p[k]).max() < 2e-2 and np.abs(got.p[k] - want.p[k]).mean() < 1e-3 for k in want.p)
+    assert any(np.abs(want.p[k] - start.p[k]).max() > 0.1 for k in want.p) and (got.p["E"][60:] == start.p["E"][60:]).all()
+
+    args = next(start._batches(windows, 1, batch, np.random.default_rng(3)))
+    _, rest, seen, rows = start._passes(*args)
+    _, grad = start.step(*args[:3], args[3] > 0)
+    assert set(rest) == set(start.p) - {"E"} and (seen == np.unique(args[0])).all() and np.allclose(rows, grad["E"][seen], atol=1e-6)
+
+
 def test_each_id_is_scored_once_in_its_window():
     m = lm_scoring.CausalModel(dim=8).start_from(np.ones((lm_scoring.VOCAB, lm_scoring.VOCAB))).ready()
     g = np.random.default_rng(1)
