@@ -315,3 +315,66 @@ def test_measures_that_are_not_asked_for_are_not_made(spark):
     assert order(whole, got.columns) == order(got, got.columns)
     report = slice_report(got, less)
     assert order(slice_report(whole, base), report.columns) == order(report, report.columns)
+
+
+def test_char_ngrams_of_words_equal_their_sql(spark):
+    import pyarrow as pa
+
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))  # more letters than fit 64 bits
+    for words in (["a", "ab", "abcdef", "wörld", "日本語", "x\0y"], ["q"], [], [wide, "ab", wide[:7]]):
+        terms, ids, size = retrieval.char_ngrams(pa.array(words, pa.string()))
+        terms, ends = terms.to_pylist(), np.cumsum(size)
+        got = [sorted(terms[j] for j in ids[e - n : e]) for e, n in zip(ends, size)]
+        rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+        assert len(set(terms)) == len(terms)
+        assert got == [sorted(r[1]) for r in sorted(rows.select("i", retrieval.word_char_ngrams(F.col("w"))).collect())]
+
+
+def test_told_apart_is_the_minimum_and_writes_terms_once(spark, monkeypatch):
+    """Fitted to the end (it used to stop where single probabilities were some hundredths away), from texts written in a few bytes a
+    term for all folds, where each fold had its own vectors of 12 bytes a term."""
+    from lexiloom.operators import detectability as X
+
+    g = np.random.default_rng(4)
+    words = ["".join(g.choice(list("abcde"), int(g.integers(1, 6)))) for _ in range(60)]
+    texts = [(i, int(i % 3 == 0), " ".join(g.choice(words[: 45 + 15 * (i % 2 or i % 3 == 0)], int(g.integers(0, 40))))) for i in range(90)]
+    texts[7] = (7, 0, None)
+    texts[8] = (8, 0, "aaa " * 300)  # a count beyond a byte
+    df = spark.createDataFrame(texts, "id long, y int, text string")
+    sizes, plain = [], X.kept
+    monkeypatch.setattr(X, "kept", lambda t: (sizes.append(t.columns), plain(t))[1])
+    monkeypatch.setattr(X, "WORDS_AT_ONCE", 50)
+    monkeypatch.setattr(X, "TERMS_AT_ONCE", 70)
+    monkeypatch.setattr(X, "WORDS_CUT", 300)
+    got = {r[0]: r[1:] for r in X.told_apart(df, "id", "grams", "y", text="text").collect()}
+    assert len(got) == 90 and not any("x0" in c for c in sizes)
+    listed = X.told_apart(df.withColumn("grams", retrieval.word_char_ngrams(F.col("text"))), "id", "grams", "y").collect()
+    assert {r[0]: round(r[3], 9) for r in listed} == {i: round(r[2], 9) for i, r in got.items()}
+
+    def grams(text):
+        padded = [f" {w} " for w in (text or "").split()]
+        return collections.Counter(w[i : i + n] for w in padded for n in (3, 4, 5) for i in range(len(w) - n + 1))
+
+    for f in range(5):
+        train = [t for t in texts if got[t[0]][1] != f]
+        df_ = collections.Counter(t for x in train for t in grams(x[2]))
+        at = {t: i for i, t in enumerate(sorted(t for t, n in df_.items() if n >= 2))}
+
+        def vector(text):
+            x = np.zeros(len(at) + 1)
+            for t, n in grams(text).items():
+                if t in at:
+                    x[at[t]] = (1 + math.log(n)) * (math.log((1 + len(train)) / (1 + df_[t])) + 1)
+            x /= np.linalg.norm(x) or 1
+            x[-1] = 1
+            return x
+
+        x, y = np.array([vector(t[2]) for t in train]), np.array([t[1] for t in train])
+        w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        ridge, b = np.append(np.ones(len(at)), 0), np.zeros(len(at) + 1)
+        for _ in range(30):  # Newton
+            p = 1 / (1 + np.exp(-x @ b))
+            b -= np.linalg.solve((x.T * (w * p * (1 - p))) @ x + np.diag(ridge + 1e-12), x.T @ (w * (p - y)) + ridge * b)
+        for i, label, text in texts:
+            if got[i][1] == f:
+                assert got[i][0] == label and abs(got[i][2] - 1 / (1 + math.exp(-vector(text) @ b))) < 2e-3, i
